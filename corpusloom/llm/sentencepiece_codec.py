@@ -67,7 +67,7 @@ class WordTable:
             return b""
         words = _WORD.findall(MARK + text.replace(" ", MARK))
         table = self.table
-        new = list(set(words) - table.keys())
+        new = [w for w in set(words) if w not in table]
         if new:
             found = dict(zip(new, self._segment(new), strict=True))
             kept = {w: i for w, i in found.items() if len(w) <= KEPT_CHARS}
