@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_media, chat_format, hypergeometric_shuffle, sentencepiece_codec, warc_salvage
+from . import audio_media, chat_format, hypergeometric_shuffle, sentencepiece_codec, simhash_blocks, toxicity_chain, warc_salvage
 from .common import stored
 
 SHARDS = 40
@@ -58,6 +58,14 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _read(spark, sf_dir, "documents")
+    chain = toxicity_chain.fit(docs, _read(spark, sf_dir, "labels"))
+    told = toxicity_chain.predict(docs, chain)
+    names = [F.round(c, 6).alias(f"p_{c}") for c in chain.categories]
+    return told.select("doc_id", *names, (F.col("toxic") >= toxicity_chain.THRESHOLD).cast("int").alias("toxic"))
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     placed = hypergeometric_shuffle.shuffle_into_shards(_read(spark, sf_dir, "documents").select("doc_id", "text"), SHARDS, seed=6)
     octets = F.coalesce(F.col("text").cast("binary"), F.lit(b""))
@@ -78,6 +86,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return back.where("kind = 'record'").select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = simhash_blocks.near_duplicates(_read(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 _OP4_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -111,8 +124,10 @@ QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_audio": op2_audio,
     "op4_chat": op4_chat,
+    "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
     "op9_warc": op9_warc,
+    "op10_simhash": op10_simhash,
 }
 
 ORACLE_SQL = {"op4_chat": _OP4_SQL, "op9_warc": _OP9_SQL}
