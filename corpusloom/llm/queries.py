@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_media, chat_format, hypergeometric_shuffle, sentencepiece_codec, simhash_blocks, toxicity_chain, warc_salvage
+from . import audio_media, chat_format, hypergeometric_shuffle, imatch, secret_index, sentencepiece_codec, simhash_blocks, toxicity_chain, warc_salvage
 from .common import stored
 
 SHARDS = 40
@@ -42,6 +42,19 @@ def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_imatch(spark: SparkSession, sf_dir: str) -> DataFrame:
+    told = imatch.fingerprint_edits(_read(spark, sf_dir, "documents"))
+    return told.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        F.sha2("edited", 256).alias("edited_sha256"),
+        F.array_join("own", ".").alias("fingerprint"),
+        F.array_join("changed", ".").alias("edited_fingerprint"),
+        imatch.likeness(F.col("own"), F.col("changed")).alias("near_edited"),
+        imatch.likeness(F.col("own"), F.col("following")).alias("near_next"),
+    )
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
     extra = spark.sql(f"SELECT -1L conv_id, 0L turn, 'user' role, '{said}' text UNION ALL SELECT -1L, 1L, 'assistant', '{said}'")
@@ -80,6 +93,23 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_index.find_secrets(_read(spark, sf_dir, "documents"))
+    base = F.filter("secrets", lambda s: s["n"] < 3)
+
+    def count(number: int):
+        return F.size(F.filter("secrets", lambda s: s["n"] == number)).cast("long")
+
+    return found.select(
+        "doc_id",
+        count(0).alias("n_assign"),
+        count(1).alias("n_access"),
+        count(2).alias("n_hex"),
+        F.sha2(secret_index.span_text(base), 256).alias("base_sha256"),
+        secret_index.span_text(F.col("secrets")).alias("spans"),
+    )
+
+
 def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = warc_salvage.mark_revisits(_read(spark, sf_dir, "pages"))
     back = warc_salvage.read_archives(warc_salvage.write_archives(pages))
@@ -120,14 +150,66 @@ SELECT page_id, n AS payload_bytes, sha256(html) AS payload_digest,
 FROM f
 """
 
+
+
+def _op8_sql() -> str:
+    """Matches are put between marks, and the lengths of the pieces summed to positions."""
+    parts = []
+    for n, r in enumerate(secret_index.RULES):
+        pattern = r.java.replace("'", "''")
+        kept = f"length(regexp_extract(p, '{pattern}', {r.group})) >= {r.least}" if r.least else "true"
+        parts.append(f"""
+  SELECT doc_id, {n} AS n, '{r.kind}' AS kind, s AS s, s + length(p) AS e FROM (
+    SELECT doc_id, i, p, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) - length(p) AS s FROM (
+      SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i FROM (
+        SELECT doc_id, string_split(regexp_replace(text, '{pattern}', chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS ps FROM d)))
+  WHERE i % 2 = 0 AND {kept}""")
+    listed = "string_agg(kind || ':' || CAST(s AS BIGINT) || ':' || CAST(e AS BIGINT), ',' ORDER BY s, n)"
+    return f"""
+WITH d AS (SELECT doc_id, replace(coalesce(text, ''), chr(1), chr(2)) AS text FROM documents),
+m AS ({" UNION ALL ".join(parts)})
+SELECT d.doc_id, count(*) FILTER (n = 0) AS n_assign, count(*) FILTER (n = 1) AS n_access, count(*) FILTER (n = 2) AS n_hex,
+  sha256(coalesce({listed} FILTER (n < 3), '')) AS base_sha256, coalesce({listed} FILTER (n IS NOT NULL), '') AS spans
+FROM d LEFT JOIN m ON d.doc_id = m.doc_id GROUP BY d.doc_id
+"""
+
+
+_OP3_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, length(coalesce(text, '')) AS n FROM documents),
+w AS (SELECT d.doc_id, unnest(list_distinct(regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+'))) AS term FROM d),
+x AS (SELECT term FROM w WHERE term <> '' GROUP BY term
+  HAVING count(*) BETWEEN greatest(2, ceil((SELECT count(*) FROM d) * {imatch.LEAST_SHARE})) AND greatest(2, floor((SELECT count(*) FROM d) * {imatch.MOST_SHARE}))),
+l AS (SELECT *, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS next_text FROM d),
+t AS (SELECT doc_id, n, text, next_text, substr(text, 1, n - n // 4) || substr(next_text, 1, n // 4) AS edited FROM l),
+v AS (SELECT doc_id, 0 AS v, text FROM t UNION ALL SELECT doc_id, 1, edited FROM t UNION ALL SELECT doc_id, 2, next_text FROM t),
+o AS (SELECT doc_id, v, regexp_split_to_array(lower(text), '[\\x20\\x09-\\x0D]+') AS ws FROM v),
+g AS (SELECT doc_id, v, term, CAST('0x' || substr(md5(term), 1, 8) AS BIGINT) AS h
+  FROM (SELECT doc_id, v, unnest(list_distinct(ws)) AS term FROM o) SEMI JOIN x USING (term)),
+k AS (SELECT 0 AS j, 0 AS shift, 1 AS rate, 0 AS k {"".join(f" UNION ALL SELECT {1 + i * imatch.SUBSETS + k}, {sum(r.bit_length() - 1 for r in imatch.RATES[:i])}, {rate}, {k}" for i, rate in enumerate(imatch.RATES) for k in range(imatch.SUBSETS))}),
+s AS (SELECT doc_id, v, j, substr(md5(string_agg(term, ' ' ORDER BY encode(term))), 1, 8) AS sig FROM g JOIN k ON ((h >> shift) & (rate - 1)) = k.k GROUP BY ALL),
+a AS (SELECT o.doc_id, o.v, k.j, CASE WHEN e.doc_id IS NULL THEN '=' || substr(md5(array_to_string(ws, ' ')), 1, 8) ELSE coalesce(s.sig, '-') END AS sig
+  FROM o CROSS JOIN k LEFT JOIN s ON s.doc_id = o.doc_id AND s.v = o.v AND s.j = k.j LEFT JOIN (SELECT DISTINCT doc_id, v FROM g) e ON e.doc_id = o.doc_id AND e.v = o.v),
+f AS (SELECT doc_id, v, string_agg(sig, '.' ORDER BY j) AS fp, list(sig ORDER BY j) AS sigs FROM a GROUP BY doc_id, v),
+n AS (SELECT p.doc_id, p.v, (p.j - 1) // {imatch.SUBSETS} AS rate, count(*) FILTER (p.sig <> '-' OR q.sig <> '-') AS used, count(*) FILTER (p.sig <> '-' AND p.sig = q.sig) AS same
+  FROM a p JOIN a q USING (doc_id, j) WHERE q.v = 0 AND j > 0 GROUP BY ALL),
+b AS (SELECT doc_id, v, max(same / used) FILTER (used > 0) AS best FROM n GROUP BY doc_id, v),
+z AS (SELECT p.doc_id, p.v, CASE WHEN p.sig = q.sig THEN 1.0 ELSE 0.0 END AS alike FROM a p JOIN a q USING (doc_id, j) WHERE q.v = 0 AND j = 0),
+r AS (SELECT doc_id, v, CAST(coalesce(best, alike) AS DOUBLE) AS near FROM b JOIN z USING (doc_id, v))
+SELECT t.doc_id, t.n AS n_chars, sha256(edited) AS edited_sha256, f0.fp AS fingerprint, f1.fp AS edited_fingerprint, r1.near AS near_edited, r2.near AS near_next
+FROM t JOIN f f0 ON f0.doc_id = t.doc_id AND f0.v = 0 JOIN f f1 ON f1.doc_id = t.doc_id AND f1.v = 1
+JOIN r r1 ON r1.doc_id = t.doc_id AND r1.v = 1 JOIN r r2 ON r2.doc_id = t.doc_id AND r2.v = 2
+"""
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_audio": op2_audio,
+    "op3_imatch": op3_imatch,
     "op4_chat": op4_chat,
     "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
+    "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
 }
 
-ORACLE_SQL = {"op4_chat": _OP4_SQL, "op9_warc": _OP9_SQL}
+ORACLE_SQL = {"op3_imatch": _OP3_SQL, "op4_chat": _OP4_SQL, "op8_secrets": _op8_sql(), "op9_warc": _OP9_SQL}
