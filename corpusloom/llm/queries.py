@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_media, chat_format, hypergeometric_shuffle, imatch, secret_index, sentencepiece_codec, simhash_blocks, toxicity_chain, warc_salvage
+from . import audio_media, chat_format, hypergeometric_shuffle, imatch, mixture_pack, secret_index, sentencepiece_codec, simhash_blocks, toxicity_chain, warc_salvage
 from .common import stored
 
 SHARDS = 40
@@ -93,6 +93,11 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = mixture_pack.pack(_read(spark, sf_dir, "documents"), _tokenizer("byte_bpe_50k.json"))
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+
+
 def op8_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secret_index.find_secrets(_read(spark, sf_dir, "documents"))
     base = F.filter("secrets", lambda s: s["n"] < 3)
@@ -207,6 +212,7 @@ QUERIES = {
     "op4_chat": op4_chat,
     "op5_toxicity": op5_toxicity,
     "op6_sharding": op6_sharding,
+    "op7_packing": op7_packing,
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
