@@ -31,14 +31,13 @@ FAN = 64
 LEAST = 256
 #: Queues; sources beyond the largest share the last one.
 MOST_QUEUES = 64
-#: Distinct words in a task's table of ids, and nodes that a task keeps.
-TABLE_WORDS, KEPT_NODES = 400_000, 256
+#: Nodes that a task keeps.
+KEPT_NODES = 256
 #: Rows of the offsets' table up to which it is sent to every task; beyond that it is joined by a shuffle.
 SENT_ROWS = 200_000
-_WORD = re.compile(r" ?[^ \n]+|\n")
-#: White space that does not stand alone, ends the text, or starts it other than as a space or line end.
-_WHOLE = re.compile(r"\s\s|\s\Z|\A[^\S \n]")
-_PROBES = ("A b.\nC 'll d's  e", "x y z\nq", " lead 12ab-cd\n(e)", "<|endoftext|> é漢字🙂 ​z")
+#: Runs without white space of so many characters are left to the library, whose merging is not quadratic.
+_LONG = re.compile(r"\S{4096}")
+_PROBES = ("A b.\nC 'll d's  e\n\n\nf ", "x y\u00a0z\nq\r\n\t1", " lead 12ab-cd\n(e)", "<|endoftext|> é漢字🙂 \u200bz\u2028\x1c \x85")
 
 
 @lru_cache(maxsize=2)
@@ -50,57 +49,45 @@ def tokenizer(path: str):
     return found
 
 
-class WordIds:
-    """Ids of texts, from a table of distinct words where words can be encoded on their own.
+@lru_cache(maxsize=2)
+def fast_encoding(path: str):
+    """The vocabulary of a byte-level BPE file as ranks for the faster library; None if it can't be read so or ids differ on probes.
 
-    Byte-level BPE first cuts a text before each single space or line end, so a text whose white space
-    stands alone is the join of its words. Other texts are encoded whole.
+    In a byte-level vocabulary each byte is written as one printable character, and a merged token's
+    number gives its rank.
     """
+    import json
+
+    import public_tokenizers
+    import tiktoken
+
+    with open(path, encoding="utf-8") as f:
+        model = json.load(f)["model"]
+    # printable Latin bytes stand for themselves, the others follow from U+0100 on, in order
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    octet = {chr(b): b for b in plain} | {chr(256 + n): b for n, b in enumerate(rest)}
+    ranks = {bytes(octet[c] for c in t): n for t, n in model["vocab"].items() if all(c in octet for c in t)}
+    if not all(bytes([b]) in ranks for b in range(256)):
+        return None
+    found = tiktoken.Encoding("byte level", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    same = all(found.encode_ordinary(p) == tokenizer(path).encode(p, add_special_tokens=False).ids for p in _PROBES)
+    return found if same else None
+
+
+class DocumentIds:
+    """Ids of whole texts as bytes of one integer type, as the tokenizers library gives them."""
 
     def __init__(self, path: str) -> None:
-        self.library = tokenizer(path)
+        self.library, self.fast = tokenizer(path), fast_encoding(path)
         self.kind = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
-        self.table: dict[str, bytes] = {}
-        line = self.library.encode("\n", add_special_tokens=False).ids
-        self.line = line[0] if len(line) == 1 else None
-        self.splits = self.line is not None and all(
-            _WHOLE.search(p) or self._joined([p])[0] == self._whole(p) for p in _PROBES
-        )
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.kind).tobytes()
-
-    def _learn(self, words: list[str]) -> dict[str, bytes]:
-        """Words are encoded many at a time with line ends between them, which are tokens of their own."""
-        groups = [words[at : at + 256] for at in range(0, len(words), 256)]
-        out: dict[str, bytes] = {}
-        for group, found in zip(groups, self.library.encode_batch(["\n".join(g) for g in groups], add_special_tokens=False), strict=True):
-            ids = np.array(found.ids, dtype=self.kind)
-            cuts = np.flatnonzero(ids == self.line)
-            if len(cuts) != len(group) - 1:
-                out |= {w: self._whole(w) for w in group}
-                continue
-            starts, ends = np.concatenate([[0], cuts + 1]), np.concatenate([cuts, [len(ids)]])
-            raw, size = ids.tobytes(), self.kind.itemsize
-            out |= {w: raw[a * size : b * size] for w, a, b in zip(group, starts.tolist(), ends.tolist(), strict=True)}
-        return out
-
-    def _joined(self, texts: list[str]) -> list[bytes]:
-        cut = [_WORD.findall(t) for t in texts]
-        if len(self.table) > TABLE_WORDS:
-            self.table.clear()
-        table = self.table
-        table.setdefault("\n", np.array([self.line], dtype=self.kind).tobytes())
-        new = sorted({w for words in cut for w in words if w not in table})
-        table.update(self._learn(new))
-        return [b"".join([table[w] for w in words]) for words in cut]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if not self.splits:
-            return [self._whole(t) for t in texts]
-        easy = [k for k, t in enumerate(texts) if not _WHOLE.search(t)]
-        out = dict(zip(easy, self._joined([texts[k] for k in easy]), strict=True))
-        return [out[k] if k in out else self._whole(t) for k, t in enumerate(texts)]
+
+    def encode(self, text: str) -> bytes:
+        if self.fast is None or _LONG.search(text):
+            ids = np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.kind)
+        else:
+            ids = self.fast.encode_to_numpy(text, disallowed_special=()).astype(self.kind)
+        return ids.tobytes()
 
 
 def deal(quotas: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -229,12 +216,12 @@ def tokenize(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     def run(batches):
         from pyspark import TaskContext
 
-        words, part, sums = WordIds(path), TaskContext.get().partitionId(), {}
-        end, size = np.array([END_ID], dtype=words.kind).tobytes(), words.kind.itemsize
+        own, part, sums = DocumentIds(path), TaskContext.get().partitionId(), {}
+        end, size = np.array([END_ID], dtype=own.kind).tobytes(), own.kind.itemsize
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                ids_of, texts, sources = (c.to_pylist() for c in batch.slice(at, 512).columns)
-                ids = [i + end for i in words.encode([t or "" for t in texts])]
+            for at in range(0, batch.num_rows, 256):
+                ids_of, texts, sources = (c.to_pylist() for c in batch.slice(at, 256).columns)
+                ids = [own.encode(t or "") + end for t in texts]
                 before, n = [], [len(i) // size for i in ids]
                 sources = [s or "" for s in sources]
                 for s, k in zip(sources, n, strict=True):
