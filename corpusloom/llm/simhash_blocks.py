@@ -138,45 +138,50 @@ def group_links(x: np.ndarray, distance: int, free: list[int]) -> Iterator[tuple
 def pigeonhole_links(fps: DataFrame, distance: int = 3, blocks: int = 6, hot_group: int = HOT_GROUP) -> DataFrame:
     """Links ``a, b`` that span the components of distinct non-null 64-bit ``fp`` at ``distance`` bits or fewer."""
     cut = split_bits(list(range(64)), blocks)
-    chosen = [sum(c, []) for c in combinations(cut, blocks - distance)]
-    tables = {t: bits for t, bits in enumerate(chosen)}
-
-    def dealt(rows: DataFrame, which: dict[int, list[int]]) -> DataFrame:
-        pairs = F.array(*[F.struct(F.lit(t).alias("t"), F.col("fp").bitwiseAND(F.lit(as_mask(b))).alias("k")) for t, b in which.items()])
-        return rows.select("fp", F.inline(pairs))
-
-    rows, ready = dealt(fps.select("fp"), tables), []
+    masks = [as_mask(sum(c, [])) for c in combinations(cut, blocks - distance)]
+    fp = F.col("fp")
+    pairs = F.array(*[F.struct(F.lit(m).alias("mask"), fp.bitwiseAND(F.lit(m)).alias("k")) for m in masks])
+    rows, ready = fps.select("fp", F.inline(pairs)).select("mask", "k", "fp"), []
     while True:
-        hot = checkpointed(rows.groupBy("t", "k").count().where(F.col("count") > hot_group).select("t", "k"))
+        hot = checkpointed(rows.groupBy("mask", "k").count().where(F.col("count") > hot_group).select("mask", "k"))
         if hot.isEmpty():
             ready.append(rows)
             break
-        ready.append(rows.join(hot, ["t", "k"], "left_anti"))
-        over = checkpointed(rows.join(hot, ["t", "k"], "left_semi"))
-        present = [r.t for r in over.select("t").distinct().collect()]  # one row a table
-        finer: list[DataFrame] = []
-        for t in present:
-            free = [b for b in range(64) if b not in tables[t]]
-            if len(free) <= distance + 1:
-                # at most 2^(distance + 1) values agree on all other bits: never hot
-                ready.append(over.where(F.col("t") == t))
-                continue
-            mine = {len(tables) + i: tables[t] + p for i, p in enumerate(split_bits(free, distance + 1))}
-            tables |= mine
-            finer.append(dealt(over.where(F.col("t") == t).select("fp"), mine))
-        if not finer:
-            break
-        rows = reduce(DataFrame.unionByName, finer)
-    all_rows = reduce(DataFrame.unionByName, [r.select("t", "k", "fp") for r in ready])
-    free_of = {t: [b for b in range(64) if b not in set(bits)] for t, bits in tables.items()}
+        ready.append(rows.join(hot, ["mask", "k"], "left_anti"))
+        over = checkpointed(rows.join(hot, ["mask", "k"], "left_semi").distinct())
+        # values that agree on all but a few bits are few
+        last = F.bit_count("mask") >= 64 - (distance + 1)
+        ready.append(over.where(last))
+        rows = over.where(~last).mapInArrow(_finer(distance), "mask long, k long, fp long")
+    all_rows = reduce(DataFrame.unionByName, ready)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
-        for t, _, x in _groups(batches):
-            for a, b in group_links(np.unique(x.view(np.uint64)), distance, free_of[t]):
+        for mask, _, x in _groups(batches):
+            for a, b in group_links(np.unique(x.view(np.uint64)), distance, free_bits(mask)):
                 yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=schema)
 
-    return all_rows.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(run, "a long, b long")
+    return all_rows.repartition("mask", "k").sortWithinPartitions("mask", "k").mapInArrow(run, "a long, b long")
+
+
+def free_bits(mask: int) -> list[int]:
+    return [b for b in range(64) if not mask >> b & 1]
+
+
+def _finer(distance: int):
+    """Rows of ``mask, k, fp`` once for each further block of the bits that are free: near values agree on one of them."""
+    schema = pa.schema([("mask", pa.int64()), ("k", pa.int64()), ("fp", pa.int64())])
+
+    def run(batches):
+        for batch in batches:
+            mask, _, fp = (c.to_numpy() for c in batch.columns)
+            for own in np.unique(mask).tolist():
+                x = fp[mask == own]
+                for part in split_bits(free_bits(own), distance + 1):
+                    m = np.int64(own | as_mask(part))
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), m)), pa.array(x & m), pa.array(x)], schema=schema)
+
+    return run
 
 
 def _groups(batches) -> Iterator[tuple[int, int, np.ndarray]]:
@@ -323,8 +328,19 @@ def keep_one(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: st
     fingerprints estimate it; texts of equal words always do. Rows that equal a kept row in id and
     text go as well. A component without any id keeps its rows. Ids must be comparable.
     """
-    named = df.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
-    rows = stored(fingerprints(named, words, WIDE_LANES).withColumn("node", F.xxhash64("fp")), "fingerprints")
+    own_id, own_text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
+    # rows without an id are told apart by their text
+    content = F.when(own_id.isNull(), F.xxhash64(own_text)).otherwise(F.lit(0))
+    number = F.coalesce(own_id, F.lit(-(1 << 63)))
+
+    def make():
+        def work(key, own, text):
+            return ((key, own, majority_bits(shingle_hashes(text, words), WIDE_LANES)),)
+
+        return work
+
+    named = df.select(own_id.alias("doc_id"), content.alias("content"), own_text.alias("text"))
+    rows = stored(map_rows(named, "doc_id long, content long, fp binary", make).withColumn("node", F.xxhash64("fp")), "fingerprints")
     fps = checkpointed(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("low")))
     roots = connected_components(wide_links(fps)).withColumnRenamed("node", "_n")
     placed = fps.join(roots, F.col("node") == F.col("_n"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
@@ -333,8 +349,7 @@ def keep_one(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: st
     gone = (
         rows.join(of, F.col("node") == F.col("_n"))
         .where("first_id is not null and (doc_id is null or doc_id <> first_id)")
-        .select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_gone"))
+        .select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_gone"), F.col("content").alias("_content"))
         .distinct()
     )
-    key = F.coalesce(F.col(f"`{id_col}`").cast("long"), F.lit(-(1 << 63)))
-    return df.join(gone, key == F.col("_gone"), "left_anti").dropDuplicates([id_col, text_col])
+    return df.join(gone, (number == F.col("_gone")) & (content == F.col("_content")), "left_anti").dropDuplicates([id_col, text_col])
