@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -119,24 +121,36 @@ def pair_scores(queries: DataFrame, docs: DataFrame, dense: DataFrame | None = N
     """
     terms = bm25.query_terms(queries)
     index = bm25.build_index(docs, terms)
-    idfs = bm25.term_idf(docs)
-    pairs = queries.select("query_id").join(docs.select("doc_id"), how="cross")
-    out = pairs.join(bm25.bm25(terms, index), ["query_id", "doc_id"], "left")
-    out = out.join(bm25.keyword_boost(terms, index, docs), ["query_id", "doc_id"], "left")
-    out = out.join(bm25.technical_boost(queries, idfs, docs), ["query_id", "doc_id"], "left")
-    if dense is not None:
-        out = out.join(dense.select("query_id", "doc_id", "dense"), ["query_id", "doc_id"], "left")
-    keyword = F.coalesce("keyword", F.lit(0.0))
-    boosted = F.when(F.col("technical").isNull(), keyword).otherwise(F.least(keyword + F.col("technical"), F.lit(1.0)))
-    return out.select(
-        "query_id", "doc_id", F.coalesce("dense", F.lit(0.0)).alias("dense") if dense is not None else F.lit(0.0).alias("dense"),
-        F.coalesce("sparse", F.lit(0.0)).alias("sparse"), boosted.alias("keyword"),
-    )
+    names = ["dense", "sparse", "keyword", "technical"]
+
+    def part(df: DataFrame, name: str | None = None) -> DataFrame:
+        return df.select("query_id", "doc_id", *[F.col(n).cast("double").alias(n) if n == name else F.lit(0.0).alias(n) for n in names])
+
+    # scores that are absent are 0, so all parts are added up in one pre-aggregated exchange
+    parts = [
+        part(queries.select("query_id").join(docs.select("doc_id"), how="cross")),
+        part(bm25.bm25(terms, index), "sparse"),
+        part(bm25.keyword_boost(terms, index, docs), "keyword"),
+        part(bm25.technical_boost(queries, bm25.term_idf(docs), docs), "technical"),
+    ] + ([part(dense, "dense")] if dense is not None else [])
+    added = reduce(DataFrame.unionByName, parts).groupBy("query_id", "doc_id").agg(*[F.sum(n).alias(n) for n in names])
+    return added.select("query_id", "doc_id", "dense", "sparse", F.least(F.col("keyword") + F.col("technical"), F.lit(1.0)).alias("keyword"))
 
 
 def hybrid_scores(pairs: DataFrame) -> DataFrame:
-    """Adds ``hybrid``: each score min-max normalised over the query's chunks, then fused with fixed weights."""
-    return pairs.withColumn("hybrid", fuse(min_max(F.col("dense")), min_max(F.col("sparse")), min_max(F.col("keyword"))))
+    """Adds ``hybrid``: each score min-max normalised over the query's chunks, then fused with fixed weights.
+
+    The ranges are one pre-aggregated row a query, so no query's chunks meet in one task.
+    """
+    names = ["dense", "sparse", "keyword"]
+    ranges = pairs.groupBy(F.col("query_id").alias("_q")).agg(*[f(n).alias(f"_{f.__name__}_{n}") for n in names for f in (F.min, F.max)])
+
+    def scaled(n: str) -> Column:
+        low = F.col(f"_min_{n}")
+        return (F.col(n) - low) / F.greatest(F.col(f"_max_{n}") - low, F.lit(1e-6))
+
+    joined = pairs.join(ranges, F.col("query_id") == F.col("_q"))
+    return joined.select(*pairs.columns, fuse(*map(scaled, names)).alias("hybrid"))
 
 
 def dense_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import classify, vectors
+from ..functions import classify, numeric, vectors
 from ..operators import rerank, scoring
 
 #: Most queries whose vectors travel to every task; beyond it the pairs are dealt by a shuffle.
@@ -50,14 +50,19 @@ def hybrid_search(queries: DataFrame, docs: DataFrame, k: int = 10, pool: int =
     section prior, which drops contaminated ones and ranks by score alone.
     """
     scored = scoring.hybrid_scores(scoring.pair_scores(queries, docs, dense))
-    full = scored.join(docs.select("doc_id", "content", *(["source_type"] if "source_type" in docs.columns else [])), "doc_id")
-    full = full.withColumn("score", rerank.bibliography_penalty(F.col("hybrid"), F.col("content")))
-    full = rerank.numeric_rerank(full.join(F.broadcast(queries.select("query_id", "query")) if queries.count() <= SENT_QUERIES else queries.select("query_id", "query"), "query_id"))
+    # what depends on a chunk or a query alone is computed once for it, not for each pair
+    facts = docs.select("doc_id", rerank.is_bibliography(F.col("content")).alias("_listed"), numeric.values(F.col("content")).alias("_values"))
+    asked = queries.select("query_id", numeric.query_kind(F.col("query")).alias("query_kind"), numeric.constraints(F.col("query")).alias("_wanted"))
+    full = scored.join(facts, "doc_id").join(asked, "query_id")
+    met = F.exists("_values", lambda v: F.exists("_wanted", lambda c: numeric.meets(v, c)))
+    full = full.withColumns({
+        "score": F.when(F.col("_listed"), F.col("hybrid") * 0.1).otherwise(F.col("hybrid")),
+        "has_match": F.col("query_kind").isin("DigitAtomic", "DigitCombined") & F.coalesce(met, F.lit(False)),
+    }).drop("_listed", "_values", "_wanted")
     best = scoring.top_k(full, pool if prior else k, first="has_match")
     if prior:
-        if "source_type" not in best.columns:
-            best = best.withColumn("source_type", F.lit("Document Text"))
-        best = rerank.section_rerank(best.where(F.col("rank") <= k).drop("rank"))
+        sources = docs.select("doc_id", "content", F.col("source_type") if "source_type" in docs.columns else F.lit("Document Text").alias("source_type"))
+        best = rerank.section_rerank(best.where(F.col("rank") <= k).drop("rank").join(sources, "doc_id"))
         best = scoring.top_k(best, k)
     return best.select("query_id", "doc_id", "dense", "sparse", "keyword", "hybrid", "score", "query_kind", "has_match", "rank")
 
