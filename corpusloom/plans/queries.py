@@ -645,3 +645,101 @@ def capture_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     record = F.concat_ws("|", F.lit("http://x.org"), "lang", F.regexp_replace(F.substring_index("text", "\n", 1), r"\|", "/"), F.lit(""), F.col("n_chars").cast("string"), F.lit("true"), F.lit("false"))
     return docs.select("doc_id", files.dom_capture(record).alias("capture")).select("doc_id", "capture.*")
+
+
+# --- further features and maintenance ---------------------------------------------------------------
+
+_LINE = f"""CASE WHEN {sql_any("lower(line)", scoring.DISCLAIMERS)} THEN 'Disclaimer' WHEN {sql_any("lower(line)", ("forward", "outlook", "projection", "estimate"))} THEN 'ForwardLooking'
+  WHEN strlen(line) < 100 AND length(regexp_replace(line, '[^\\p{{Lu}}]', '', 'g')) / strlen(line) > 0.5 THEN 'Title'
+  WHEN starts_with(lower(line), 'chapter') OR starts_with(lower(line), 'section') OR starts_with(lower(line), 'chapitre') OR starts_with(lower(line), 'partie') THEN 'HeaderH1'
+  WHEN contains(line, chr(9)) OR length(line) - length(replace(line, '|', '')) > 2 OR (length(line) - length(replace(line, '  ', ''))) / 2 > 5 THEN 'TableCell' ELSE 'Body' END"""
+
+
+@query(f"""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents)
+  SELECT doc_id, {_LINE} AS section, count(*) AS n FROM l WHERE line <> '' GROUP BY ALL""")
+def line_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line"))
+    return lines.where("line <> ''").groupBy("doc_id", scoring.line_section(F.col("line")).alias("section")).agg(F.count("*").alias("n"))
+
+
+per_document(
+    "boosted_score",
+    lambda t: {"score": r6(scoring.intelligent_boost(F.lit(0.7), F.lit("Legal"), F.lit("Business"), t))},
+    "round(greatest(0, least(0.75, 0.7 + CASE WHEN " + " + ".join(sql_count("text", "(?i)" + p) for p in classify.STRONG_LEGAL) + " >= 2 THEN 0.15 ELSE -0.10 END)), 6) AS score",
+)
+per_document("embeddable", lambda t: {"embeddable": collections.embeddable(t)}, "trim(text) <> '' AND NOT starts_with(text, 'EXTRACTION FAILED') AS embeddable")
+per_document(
+    "extraction_route",
+    lambda t: {"ratio": r6(files.native_ratio(t)), "route": files.quality_route(t)},
+)
+per_document("chunk_types", lambda t: {"chunk_type": chunking.chunk_type(t)}, """CASE WHEN starts_with(ltrim(text), 'fn ') OR starts_with(ltrim(text), 'function ') THEN 'Function'
+  WHEN starts_with(ltrim(text), 'class ') OR starts_with(ltrim(text), 'struct ') THEN 'Class' WHEN starts_with(ltrim(text), '//') OR starts_with(ltrim(text), '/*') THEN 'Comment' ELSE 'TextBlock' END AS chunk_type""")
+
+
+@query()
+def search_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """ExactPhrase, Conceptual or Mixed for each query of the batch, by the idf of its leading terms."""
+    queries = batch(spark, sf_dir)
+    top = bm25.technical_terms(queries, bm25.term_idf(chunks(spark, sf_dir)), 3).groupBy("query_id").agg((F.max("idf") > 2.5).alias("high"))
+    known = queries.join(top, "query_id", "left")
+    return known.select("query_id", classify.search_intent(F.col("query"), F.coalesce("high", F.lit(False)), F.size(text.term_tokens(F.col("query")))).alias("intent"))
+
+
+@query()
+def span_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the character chunker explained by the spans that the sentence chunker gives."""
+    docs = table(spark, sf_dir, "documents")
+    cut = chunking.chunk_table(docs, "characters")
+    source = chunking.chunk_table(docs, "sentences").select("doc_id", F.col("chunk_idx").alias("span_id"), "content", F.lit(0.9).alias("confidence"))
+    return spans.explain(cut, source)
+
+
+@query("""SELECT conv_id, count(*) AS messages, count(*) FILTER (role = 'user') AS asked, CAST(round(avg(length(text))) AS BIGINT) AS mean_chars FROM conversations GROUP BY conv_id""")
+def conversation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations")
+    return rows.groupBy("conv_id").agg(F.count("*").alias("messages"), F.count_if(F.col("role") == "user").alias("asked"), F.round(F.avg(F.length("text"))).cast("long").alias("mean_chars"))
+
+
+@query("""WITH m AS (SELECT max(ts) AS now FROM events), s AS (SELECT user_id, min(ts) AS created_at, count(*) AS n FROM events GROUP BY user_id)
+  SELECT count(*) AS sessions, CAST(sum(n) AS BIGINT) AS chunks, CAST(sum(n) AS BIGINT) AS embedded,
+  CAST(sum(CASE WHEN epoch(date_trunc('second', now)) - epoch(date_trunc('second', created_at)) > 3600 THEN 1 ELSE 0 END) AS BIGINT) AS expired FROM s, m""")
+def session_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clients as sessions that their first event opens."""
+    events = table(spark, sf_dir, "events")
+    now = events.agg(F.max("ts")).first()[0]
+    sessions = events.groupBy("user_id").agg(F.min("ts").alias("created_at"), F.count("*").alias("n_chunks")).withColumn("n_embedded", F.col("n_chunks"))
+    return collections.session_stats(sessions, F.lit(now))
+
+
+@query("""WITH e AS (SELECT event_id AS key, event_type AS cache, value, row_number() OVER (PARTITION BY event_type ORDER BY ts DESC, event_id) AS n FROM events)
+  SELECT key, cache FROM e WHERE n <= 50""")
+def cache_cap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    entries = table(spark, sf_dir, "events").select(F.col("event_id").alias("key"), F.col("event_type").alias("cache"), F.col("ts").alias("last_access"))
+    return collections.cap_cache(entries, 50).select("key", "cache")
+
+
+@query("""WITH e AS (SELECT event_id AS key, event_type AS cache, round(value, 3) AS s, coalesce(sum(10) OVER (PARTITION BY event_type ORDER BY round(value, 3), event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS freed FROM events)
+  SELECT key, cache FROM e WHERE freed < 500""")
+def cache_eviction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lowest scores of each cache until 500 are free, with entries of size 10."""
+    entries = table(spark, sf_dir, "events").select(F.col("event_id").alias("key"), F.col("event_type").alias("cache"), F.round("value", 3).alias("eviction_score"), F.lit(10).alias("size"))
+    return collections.evict(entries, 500, by="cache").select("key", "cache")
+
+
+@query("""WITH c AS (SELECT user_id AS doc_id, event_type, max(value) AS v FROM events GROUP BY ALL) SELECT doc_id, count(*) AS methods, round(max(v), 6) AS best FROM c GROUP BY doc_id""")
+def capture_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("doc_id"), "event_type").agg(F.max("value").alias("v"))
+    return rows.groupBy("doc_id").agg(F.count("*").alias("methods"), r6(F.max("v")).alias("best"))
+
+
+@query()
+def first_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first complete enough way of capture for each document, completeness by length."""
+    docs = table(spark, sf_dir, "documents")
+    ways = F.array(*[F.struct(F.lit(m).alias("method"), (F.pmod(F.col("n_chars") * n, F.lit(100)) / 100.0).alias("completeness")) for n, m in enumerate(files.CAPTURE_ORDER, 1)])
+    return files.first_acceptable(docs.select("doc_id", F.inline(ways)))
+
+
+@query("SELECT page_id, regexp_extract(path, '\\.([^./\\\\]+)$', 1) AS extension FROM (SELECT page_id, url AS path FROM pages)")
+def url_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"\.([^./\\]+)$", 1).alias("extension"))

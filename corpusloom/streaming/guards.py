@@ -87,7 +87,7 @@ def rate_limited(df: DataFrame, client: str = "client", ts: str = "ts", calls: i
 
 
 def rate_limited_stream(df: DataFrame, client: str = "client", ts: str = "ts", calls: int = RATE_CALLS, seconds: int = RATE_SECONDS) -> DataFrame:
-    """The same on a stream: state is the list of accepted times, which expires when the window is past."""
+    """The same on a stream: state is the list of accepted times, which expires when the watermark is past the window."""
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -99,12 +99,12 @@ def rate_limited_stream(df: DataFrame, client: str = "client", ts: str = "ts", c
         at = (pdf["ts"].astype("int64") / (1e9 if "ns" in str(pdf["ts"].dtype) else 1e6)).tolist()
         flags, held = accepted_times(at, held, calls, seconds)
         state.update((held,))
-        state.setTimeoutDuration(seconds * 1000)
+        state.setTimeoutTimestamp(max(int((max(held, default=at[-1]) + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
         yield pdf.assign(client=key[0], accepted=flags)[["client", "ts", "id", "accepted"]]
 
-    rows = df.select(F.col(client).alias("client"), F.col(ts).alias("ts"), F.col("id"))
+    rows = df.select(F.col(client).alias("client"), F.col(ts).alias("ts"), F.col("id")).withWatermark("ts", f"{seconds} seconds")
     return rows.groupBy("client").applyInPandasWithState(
-        step, "client long, ts timestamp, id long, accepted boolean", "times array<double>", "append", GroupStateTimeout.ProcessingTimeTimeout
+        step, "client long, ts timestamp, id long, accepted boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
