@@ -12,10 +12,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, numeric, text, vectors
-from ..operators import bm25, chunking, collections, figures, rerank, scoring, spans
+from ..operators import answers, bm25, chunking, collections, figures, rerank, scoring, spans
 from ..sources import files, web
 from ..streaming import guards
-from . import retrieval
+from . import ingest, retrieval
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -743,3 +743,40 @@ def first_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT page_id, regexp_extract(path, '\\.([^./\\\\]+)$', 1) AS extension FROM (SELECT page_id, url AS path FROM pages)")
 def url_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"\.([^./\\]+)$", 1).alias("extension"))
+
+
+# --- ingest and answers -----------------------------------------------------------------------------
+
+
+@query()
+def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.ingest(table(spark, sf_dir, "documents")).drop("embedding")
+
+
+@query()
+def ingested_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.document_metadata(ingest.ingest(table(spark, sf_dir, "documents")))
+
+
+def lexical_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten best chunks of each query by BM25, with their texts."""
+    queries, docs = batch(spark, sf_dir), chunks(spark, sf_dir)
+    terms = bm25.query_terms(queries)
+    best = scoring.top_k(bm25.bm25(terms, bm25.build_index(docs, terms)).withColumnRenamed("sparse", "score"), 10)
+    return best.join(docs, "doc_id").join(queries, "query_id")
+
+
+@query()
+def hits_with_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = lexical_hits(spark, sf_dir).withColumns({"document_id": F.col("doc_id").cast("string"), "confidence": F.lit(None).cast("double")})
+    return retrieval.hit_metadata(rows, categories=["Business", "Academic", "Legal", "Technical", "Mixed"], business=True)
+
+
+@query()
+def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return answers.extractive_answer(lexical_hits(spark, sf_dir))
+
+
+@query(f"WITH {_INDEX}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sparse, 9) DESC, doc_id) AS rank FROM sparse) SELECT query_id, doc_id, rank FROM r WHERE rank <= 10")
+def lexical_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_hits(spark, sf_dir).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
