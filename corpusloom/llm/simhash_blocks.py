@@ -321,12 +321,75 @@ def wide_links(fps: DataFrame, share: float = WIDE_SHARE) -> DataFrame:
     return full.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(verified, "a long, b long")
 
 
+def exact_groups(sets: list[np.ndarray], fifths: int = 4) -> np.ndarray:
+    """For each set of distinct hashes the number of a set of its component; sets link at a Jaccard similarity of ``fifths / 5`` or more.
+
+    Each set is compared once with the sets that no component has reached yet, so a group of near
+    copies costs about one comparison a set.
+    """
+    sizes = np.array([len(s) for s in sets], dtype=np.int64)
+    label = np.arange(len(sets))
+    codes = np.unique(np.concatenate(sets), return_inverse=True)[1]
+    starts = np.concatenate([[0], np.cumsum(sizes)])
+    marked = np.zeros(int(codes.max(initial=-1)) + 1, dtype=np.int64)
+    # an empty set is near no other
+    left = np.argsort(sizes, kind="stable")
+    left = left[sizes[left] > 0]
+    flat, firsts = _gathered(codes, starts, left)
+    while len(left):
+        first, reached = left[0], [int(left[0])]
+        left, flat, firsts = left[1:], flat[sizes[first] :], firsts[1:] - sizes[first]
+        while reached and len(left):
+            i = reached.pop()
+            # sets of other sizes can not be similar enough
+            low = int(np.searchsorted(5 * sizes[left], fifths * sizes[i]))
+            high = int(np.searchsorted(fifths * sizes[left], 5 * sizes[i], side="right"))
+            if low >= high:
+                continue
+            own = codes[starts[i] : starts[i + 1]]
+            marked[own] = 1
+            stop = firsts[high] if high < len(left) else len(flat)
+            common = np.add.reduceat(marked[flat[firsts[low] : stop]], firsts[low:high] - firsts[low])
+            marked[own] = 0
+            near = np.zeros(len(left), dtype=bool)
+            near[low:high] = (5 + fifths) * common >= fifths * (sizes[i] + sizes[left[low:high]])
+            if near.any():
+                reached += left[near].tolist()
+                label[left[near]] = first
+                left = left[~near]
+                flat, firsts = _gathered(codes, starts, left)
+    return label
+
+
+def _gathered(codes: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of the rows one after another, and where each row's begin."""
+    sizes = starts[rows + 1] - starts[rows]
+    firsts = np.cumsum(sizes) - sizes
+    return codes[np.repeat(starts[rows] - firsts, sizes) + np.arange(int(sizes.sum()))], firsts
+
+
+def exact_roots(texts: DataFrame, words: int) -> DataFrame:
+    """``node, root`` for the rows of ``part, node, text``: of each part the components by the exact similarity of shingle sets."""
+    schema = pa.schema([("node", pa.int64()), ("root", pa.int64())])
+
+    def run(batches):
+        for _, _, node, text in _groups(batches):
+            label = exact_groups([np.unique(shingle_hashes(t, words)) for t in text])
+            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[label])], schema=schema)
+
+    bounded_batches(texts.sparkSession)
+    keyed = texts.select(F.lit(0).alias("t"), "part", "node", "text")
+    return keyed.repartition("part").sortWithinPartitions("part").mapInArrow(run, "node long, root long")
+
+
 def keep_one(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, without near-duplicates: of each component the row with the smallest id stays.
 
-    Documents link if their word-shingle sets have a similarity of about 0.8 or more, as wide SimHash
-    fingerprints estimate it; texts of equal words always do. Rows that equal a kept row in id and
-    text go as well. A component without any id keeps its rows. Ids must be comparable.
+    Documents link if the sets of their word shingles, repeats left out, have a Jaccard similarity of
+    0.8 or more. Wide SimHash fingerprints of the sets only propose components; within each of them
+    the sets themselves decide. Texts of equal shingle sets always link. Rows that equal a kept row in
+    id and text go as well. A component without any id keeps its rows. Ids must be comparable. The
+    texts of a proposed component meet in one task.
     """
     own_id, own_text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
     # rows without an id are told apart by their text
@@ -334,15 +397,21 @@ def keep_one(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: st
     number = F.coalesce(own_id, F.lit(-(1 << 63)))
 
     def make():
+        import xxhash
+
         def work(key, own, text):
-            return ((key, own, majority_bits(shingle_hashes(text, words), WIDE_LANES)),)
+            hashes = np.unique(shingle_hashes(text, words))
+            node = xxhash.xxh64_intdigest(hashes.tobytes(), 42)
+            return ((key, own, text, majority_bits(hashes, WIDE_LANES), node - (1 << 64) if node >> 63 else node),)
 
         return work
 
     named = df.select(own_id.alias("doc_id"), content.alias("content"), own_text.alias("text"))
-    rows = stored(map_rows(named, "doc_id long, content long, fp binary", make).withColumn("node", F.xxhash64("fp")), "fingerprints")
+    rows = stored(map_rows(named, "doc_id long, content long, text string, fp binary, node long", make), "fingerprints")
     fps = checkpointed(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("low")))
-    roots = connected_components(wide_links(fps)).withColumnRenamed("node", "_n")
+    parts = checkpointed(connected_components(wide_links(fps)).select(F.col("node").alias("_n"), F.col("root").alias("part")))
+    texts = rows.join(parts, F.col("node") == F.col("_n")).select("part", "node", "text").dropDuplicates(["node"])
+    roots = stored(exact_roots(texts, words).withColumnRenamed("node", "_n"), "roots")
     placed = fps.join(roots, F.col("node") == F.col("_n"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
     lowest = placed.groupBy("root").agg(F.min("low").alias("first_id")).withColumnRenamed("root", "_r")
     of = placed.join(lowest, F.col("root") == F.col("_r")).select(F.col("node").alias("_n"), "first_id")

@@ -116,6 +116,32 @@ def test_keep_one(spark, empty):
     assert sb.keep_one(empty).count() == 0
 
 
+def test_repeated_lines_do_not_decide(spark):
+    rng = random.Random(5)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    line, base = some(12), some(400)
+    # two unrelated documents with the same repeated line, and two near copies of which one repeats a line of its own
+    texts = [some(100) + line * 30, some(100) + line * 30, base + line, base + line * 60]
+    kept = sb.keep_one(spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2]
+
+
+def test_exact_groups_against_brute_force():
+    rng = np.random.default_rng(6)
+    sets = [np.zeros(0, dtype=np.uint64), np.array([7], dtype=np.uint64), np.arange(1, 5, dtype=np.uint64), np.arange(1, 6, dtype=np.uint64)]
+    for _ in range(12):
+        base = rng.choice(400, 40, replace=False)
+        sets += [np.unique(np.concatenate([base[: 40 - n], rng.choice(400, n)])).astype(np.uint64) for n in rng.integers(0, 8, 6)]
+    label, want = sb.exact_groups(sets), np.arange(len(sets))
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            both, either = len(np.intersect1d(a, b)), len(np.union1d(a, b))
+            if either and 5 * both >= 4 * either:
+                want[want == want[j]] = want[i]
+    groups = lambda m: {frozenset(np.flatnonzero(m == r).tolist()) for r in set(m.tolist())}
+    assert groups(label) == groups(want) and 12 < len(groups(want)) < len(sets)
+
+
 def test_wide_labels_in_tiles(monkeypatch):
     rng = np.random.default_rng(4)
     x = rng.integers(0, 2**63, (40, 2), dtype=np.uint64)
