@@ -126,6 +126,26 @@ def test_repeated_lines_do_not_decide(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [0, 1, 2]
 
 
+def test_pairs_at_the_border(spark):
+    rng = random.Random(7)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(6))
+    texts, want = [], []
+    for k in range(240):
+        # 300 shingles each, of which 267 or 266 are common: similarity 0.802 or 0.796
+        near, words = k % 2 == 0, [word() for _ in range(304)]
+        n = 33 if near else 34
+        for copy in (words, words[: 304 - n] + [word() for _ in range(n)]):
+            texts.append((len(texts), " ".join(copy)))
+        want += [2 * k] if near else [2 * k, 2 * k + 1]
+    # the fewest shingles that can be as near: four and five
+    for k in range(60):
+        words = [word() for _ in range(9)]
+        want.append(len(texts))
+        texts += [(len(texts), " ".join(words)), (len(texts) + 1, " ".join(words[:8]))]
+    kept = sb.keep_one(spark.createDataFrame(texts, "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == want
+
+
 def test_exact_groups_against_brute_force():
     rng = np.random.default_rng(6)
     sets = [np.zeros(0, dtype=np.uint64), np.array([7], dtype=np.uint64), np.arange(1, 5, dtype=np.uint64), np.arange(1, 6, dtype=np.uint64)]
