@@ -42,12 +42,20 @@ class Rule:
         return ("(?i)" if self.any_case else "") + self.pattern
 
 
+# A whole private key: header fields, then all up to the END line; without one, to the end of the
+# base64 lines, the last of which may be short. Loops are over one class, as those of groups recurse
+# in Java; header fields are the exception, and standards know about ten.
+_KEY = (
+    r"-----BEGIN [A-Z ]*PRIVATE KEY-----(?:(?:[ \t\r\n]*[A-Za-z][A-Za-z0-9-]*:[^\n]*\n){0,32}"
+    r"(?:[^-]*-----END [A-Z ]*PRIVATE KEY-----|[A-Za-z0-9+/= \t\r\n\\]*[A-Za-z0-9+/=]{20,}(?:[ \t]*\r?\n[A-Za-z0-9+/]+={0,2}(?:\r?\n|$)|[ \t\r\n]+[A-Za-z0-9+/]+={1,2})?))?"
+)
+
 #: The base rules, and forms of keys that services publish.
 RULES = (
     Rule("assign", r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6, True, True),
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
     Rule("hex", r"[0-9a-f]+", 0, 24, True),
-    Rule("private_key", r"-----BEGIN [A-Z ]{0,40}PRIVATE KEY-----"),
+    Rule("private_key", _KEY),
     Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
     Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,250}"),
     Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,1000}\.eyJ[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,1000}"),

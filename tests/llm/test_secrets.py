@@ -72,3 +72,29 @@ def test_redaction(spark):
         assert r.clean == (None if r.text is None else want + r.text[at:])
     again = si.find_secrets(spark.createDataFrame([(1, r.clean) for r in rows], "doc_id long, text string"))
     assert not any(s.n in (1, 3, 4, 5) for r in again.collect() for s in r.secrets)
+
+
+def cleaned(spark, texts):
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string")
+    found = si.find_secrets(df).orderBy("doc_id").select("text", "secrets", si.redact(F.col("text"), F.col("secrets")).alias("clean")).collect()
+    for r in found:
+        assert [tuple(s) for s in r.secrets] == brute(r.text), r.text
+    return [r.clean for r in found]
+
+
+def test_whole_private_keys_go(spark):
+    rng = random.Random(2)
+    line = lambda n: "".join(rng.choice("ABCDxyz0189+/") for _ in range(n))
+    begin, end = "-----BEGIN RSA PRIVATE KEY-----", "-----END RSA PRIVATE KEY-----"
+    body = [line(64) for _ in range(25)] + [line(30) + "=="]
+    fields = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,00FF\n\n"
+    long = "\n".join(line(64) for _ in range(3000))
+    texts = [
+        "a - b\n" + "\n".join([begin, *body, end]) + "\nafter - it", "\r\n".join([begin, *body, end]), begin + "\n" + fields + "\n".join([*body, end]), " ".join([begin, *body, end]),
+        '"' + "\\n".join([begin, *body, end]) + '"', f"{begin}\n{long}\n{end}",
+        "\n".join([begin, *body]) + "\nafter, it", "\n".join([begin, *body[:-1], "abc"]) + "\nafter it", "\n".join([begin, *body[:-1]]), f"{begin}\n{long}", begin + "\n" + fields + "\n".join(body),
+        f"{begin} is how a key begins.", f"{begin}\n{body[0]}\n{end}\nprose here\n{begin}\n{body[1]}\n{end}",
+    ]
+    R = "[REDACTED]"
+    want = [f"a - b\n{R}\nafter - it", R, R, R, f'"{R}"', R, f"{R}\nafter, it", f"{R}after it", R, R, R, f"{R} is how a key begins.", f"{R}\nprose here\n{R}"]
+    assert cleaned(spark, texts) == want
