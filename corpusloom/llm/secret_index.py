@@ -56,12 +56,12 @@ RULES = (
     Rule("access", r"AKIA[A-Z0-9]+", 0, 20, True),
     Rule("hex", r"[0-9a-f]+", 0, 24, True),
     Rule("private_key", _KEY),
-    Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,255}"),
-    Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,250}"),
-    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,1000}\.eyJ[A-Za-z0-9_-]{8,1000}\.[A-Za-z0-9_-]{8,1000}"),
+    Rule("code_host", r"gh[pousr]_[A-Za-z0-9]{36,}"),
+    Rule("chat_token", r"xox[abprs]-[A-Za-z0-9-]{10,}"),
+    Rule("web_token", r"eyJ[A-Za-z0-9_-]{8,}\.eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"),
     Rule("map_key", r"AIza[A-Za-z0-9_-]{35}"),
-    Rule("pay_key", r"[sr]k_live_[A-Za-z0-9]{16,250}"),
-    Rule("url_login", r"(?:https?|ftp|postgres|mysql|redis)://[^\s/:@]{1,200}:[^\s/@]{1,200}@"),
+    Rule("pay_key", r"[sr]k_live_[A-Za-z0-9]{16,}"),
+    Rule("url_login", r"(?:https?|ftp|postgres|mysql|redis)://[^\s/:@]+:[^\s/@]+@"),
 )
 
 Clauses = frozenset[frozenset[str]]

@@ -98,3 +98,12 @@ def test_whole_private_keys_go(spark):
     R = "[REDACTED]"
     want = [f"a - b\n{R}\nafter - it", R, R, R, f'"{R}"', R, f"{R}\nafter, it", f"{R}after it", R, R, R, f"{R} is how a key begins.", f"{R}\nprose here\n{R}"]
     assert cleaned(spark, texts) == want
+
+
+def test_long_secrets_go_whole(spark):
+    a = "aB3-_" * 5000
+    tokens = [
+        f"eyJ{a}.eyJ{a}.{a}", "eyJ" + "a" * 9 + ".eyJ" + "b" * 9 + f".{a}", f"eyJ{a}.eyJ" + "b" * 9 + "." + "c" * 9,
+        "ghp_" + "a1" * 9000, "xoxb-" + "1-" * 9000, "sk_live_" + "Z9" * 9000, f"ftp://{a}:p@", f"redis://u:{a}@", f"mysql://{a}:{a}@",
+    ]
+    assert cleaned(spark, [f"é {t} end" for t in tokens]) == ["é [REDACTED] end"] * len(tokens)
