@@ -3,9 +3,10 @@
 Archives are rows of ``archive, bytes``: each task writes its records as gzip members, and ends an
 archive when it is large enough. Rows reach any store that Spark reaches; archives that exist as
 files are read with :func:`archive_files`. The reader checks the gzip member, the version line, the
-length and the block digest of each record. After a failed check it searches for the next gzip
-member that starts a record, or the next version line, carries on there, and logs the bytes between
-as a quarantined gap.
+length and the block digest of each record. After a failed check inside a member it carries on at the
+next version line of the inflated bytes; of a broken member it reads the bytes before the break, and
+takes records whose block digests hold, if the damage is found outside of them. After that, and outside of members, it searches for the next gzip member that starts a record, or
+the next version line, carries on there, and logs the bytes between as a quarantined gap.
 """
 
 from __future__ import annotations
@@ -95,18 +96,53 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     return fields, block, end + 4
 
 
-def inflate(data: bytes, at: int) -> tuple[bytes, int]:
-    """The gzip member at ``at`` and where it ends; raises ValueError if it is broken."""
+def inflate(data: bytes, at: int) -> tuple[bytes, int, str]:
+    """The bytes of the gzip member at ``at``, where it ends, and why it is broken, if it is.
+
+    A broken member gives the bytes before the break and how far it was read.
+    """
     unpacker, out, pos = zlib.decompressobj(31), [], at
     try:
         while not unpacker.eof and pos < len(data):
             out.append(unpacker.decompress(data[pos : pos + _STEP]))
             pos += _STEP
     except zlib.error as e:
-        raise ValueError(f"broken member: {e}") from e
+        return *_before_break(data, at, pos), f"broken member: {e}"
+    plain = b"".join(out)
     if not unpacker.eof:
-        raise ValueError("member without end")
-    return b"".join(out), min(pos, len(data)) - len(unpacker.unused_data)
+        return plain, len(data), "member without end"
+    return plain, min(pos, len(data)) - len(unpacker.unused_data), ""
+
+
+def _before_break(data: bytes, at: int, pos: int) -> tuple[bytes, int]:
+    """What a member gives before it breaks in the step at ``pos``: an error drops the step's bytes, so they come one by one."""
+    unpacker = zlib.decompressobj(31)
+    out = [unpacker.decompress(data[k : min(k + _STEP, pos)]) for k in range(at, pos, _STEP)]
+    try:
+        while pos < len(data):
+            out.append(unpacker.decompress(data[pos : pos + 1]))
+            pos += 1
+    except zlib.error:
+        pass
+    return b"".join(out), pos
+
+
+def _member_records(plain: bytes, sure: bool) -> tuple[list[tuple[dict[str, str], bytes]], str]:
+    """The records in a member's bytes, and the first reason for bytes that are none. Unless ``sure``, a record must have a digest."""
+    found, why, pos = [], "" if plain else "empty member", 0
+    while pos < len(plain):
+        try:
+            fields, block, end = parse_record(plain, pos)
+            if not sure and "warc-block-digest" not in fields:
+                raise ValueError("no block digest in a broken member")
+        except ValueError as e:
+            why = why or str(e)
+            line = _VERSION.search(plain, pos + 1)
+            pos = line.start() if line else len(plain)
+            continue
+        found.append((fields, block))
+        pos = end
+    return found, why
 
 
 def _starts_record(data: bytes, at: int) -> bool:
@@ -131,40 +167,39 @@ def _next_start(data: bytes, at: int) -> int:
 def salvage(data: bytes) -> Iterator[tuple[str, int, int, object, bytes]]:
     """Events in order: ``("record", start, end, fields, block)`` or ``("gap", start, end, reason, b"")``.
 
-    Records and gaps cover all bytes; touching gaps are one gap with the first reason.
+    Records and gaps cover all bytes; touching gaps are one gap with the first reason. A member with
+    good and bad records is a gap, and its good records come before it with no bytes of their own.
     """
     at, gap_at, why = 0, -1, ""
+    seen, seen_to = [], 0
     while at < len(data):
-        found = []
-        try:
-            if data.startswith(_MEMBER, at):
-                plain, end = inflate(data, at)
-                pos = 0
-                while pos < len(plain):
-                    fields, block, pos = parse_record(plain, pos)
-                    found.append((fields, block))
-                if not found:
-                    raise ValueError("empty member")
-            else:
+        found, bad, end = [], "", at
+        if data.startswith(_MEMBER, at):
+            plain, end, broken = inflate(data, at)
+            # without an error the bytes before a lost end are sure
+            found, bad = _member_records(plain, not broken.startswith("broken"))
+            if broken.startswith("broken") and not bad:
+                # the damage is in none of the blocks, so it may be in any of the heads, which have no check of their own
+                found = []
+            if broken:
+                # a member that is not compressed shows its records in the archive's bytes too
+                seen, seen_to = found, end
+                bad, end = broken, _next_start(data, at + 1)
+        else:
+            try:
                 fields, block, end = parse_record(data, at)
+                if at < seen_to and (fields, block) in seen:
+                    raise ValueError("record of a broken member")
                 found.append((fields, block))
-        except ValueError as e:
-            # records of a member before its broken one are good
-            if found and gap_at >= 0:
-                yield "gap", gap_at, at, why, b""
-                gap_at = -1
-            after = _next_start(data, at + 1)
-            for fields, block in found:
-                yield "record", at, at, fields, block
-            if gap_at < 0:
-                gap_at, why = at, str(e)
-            at = after
-            continue
-        if gap_at >= 0:
+            except ValueError as e:
+                bad, end = str(e), _next_start(data, at + 1)
+        if gap_at >= 0 and (found or not bad):
             yield "gap", gap_at, at, why, b""
             gap_at = -1
         for fields, block in found:
-            yield "record", at, end, fields, block
+            yield "record", at, at if bad else end, fields, block
+        if bad and gap_at < 0:
+            gap_at, why = at, bad
         at = end
     if gap_at >= 0:
         yield "gap", gap_at, len(data), why, b""

@@ -1,4 +1,6 @@
 import hashlib
+import random
+import re
 
 from corpusloom.llm import warc_salvage as ws
 
@@ -61,6 +63,46 @@ def test_salvage_after_damage():
             covered(events, data)
 
 
+def payloads(data):
+    events = list(ws.salvage(data))
+    covered(events, data)
+    return [e[4].partition(b"\r\n\r\n")[2] for e in events if e[0] == "record"], [e[1:4] for e in events if e[0] == "gap"]
+
+
+def test_records_of_a_damaged_member():
+    rng = random.Random(0)
+    body = [rng.randbytes(4000) for _ in range(8)]
+    parts = [ws.record_bytes(i, f"http://x/{i}", b, hashlib.sha256(b).hexdigest(), None) for i, b in enumerate(body)]
+    alone = ws.member(ws.record_bytes(9, "http://x/9", b"alone", "", None))
+    # a record fails its check: the others of the member are whole
+    for bad in (parts[2].replace(body[2], body[2][::-1]), parts[2].replace(b"Content-Length: 4", b"Content-Length: 9"), parts[2][:700], b"?" * 50):
+        whole = ws.member(b"".join([*parts[:2], bad, *parts[3:]]))
+        found, gaps = payloads(alone + whole + alone)
+        assert found == [b"alone", *body[:2], *body[3:], b"alone"]
+        assert [g[:2] for g in gaps] == [(len(alone), len(alone) + len(whole))] and gaps[0][2]
+    for level in (0, 1):
+        whole = ws.member(b"".join(parts), level)
+        at = len(ws.member(b"".join(parts[:4]), level))
+        # inflating fails: what came before is kept, once
+        found, gaps = payloads(whole[: at + 1500] + alone)
+        assert found == [*body[:4], b"alone"] and len(gaps) == 1
+        found, gaps = payloads(whole[: at + 1500])
+        assert found == body[:4] and len(gaps) == 1
+        # a byte differs that inflating does not notice: the digest shows where
+        hit = whole.find(body[5][:50]) + 10 if level == 0 else 0
+        if hit:
+            found, gaps = payloads(whole[:hit] + bytes([whole[hit] ^ 1]) + whole[hit + 1 :] + alone)
+            assert found == [*body[:5], *body[6:], b"alone"] and len(gaps) == 1
+        # only the check of the whole member fails: the damage may be in any head
+        assert payloads(whole[:-8] + bytes(8) + alone)[0][-1] == b"alone"
+
+
+def test_a_broken_member_needs_digests():
+    parts = [re.sub(rb"WARC-Block-Digest: [^\r]*\r\n", b"", ws.record_bytes(i, "http://x/", b"%d " % i * 50, "", None)) for i in range(3)]
+    whole = ws.member(b"".join(parts))
+    assert len(list(ws.salvage(whole))) == 3 and payloads(whole[:-8] + bytes(8))[0] == []
+
+
 def test_end_is_lost_and_all_is_lost():
     body, parts = records(3, ws.member)
     data = b"".join(parts)[:-20]
