@@ -7,7 +7,8 @@ in turn what their deficit allows, and what a window leaves over or takes ahead
 deal is a tree: a node of the tree deals its sources' quotas to at most ``FAN`` children by the same
 deficits, down to single windows. Any node follows from the totals of the sources alone, so each task
 computes the few nodes that its documents fall into, deficits pass windows and partitions without
-any exchange of tokens, and the result does not depend on who computes it.
+any exchange of tokens, and the result does not depend on who computes it. Sources beyond the first
+queues are mixed by the same deal to one stream, which is a queue like any other.
 """
 
 from __future__ import annotations
@@ -29,10 +30,11 @@ END_ID = 1
 FAN = 64
 #: Tokens of a piece that a window takes from a queue, at least, unless the window or queue ends.
 LEAST = 256
-#: Queues; sources beyond the largest share the last one.
+#: Queues of a mixture; sources beyond the largest are mixed among themselves in the last one.
 MOST_QUEUES = 64
-#: Nodes that a task keeps.
+#: Nodes that a task keeps of a mixture, and mixtures within a mixture.
 KEPT_NODES = 256
+KEPT_STREAMS = 64
 #: Rows of the offsets' table up to which it is sent to every task; beyond that it is joined by a shuffle.
 SENT_ROWS = 200_000
 #: Runs without white space of so many characters are left to the library, whose merging is not quadratic.
@@ -204,6 +206,46 @@ class Mixture:
                     return
 
 
+class Sources:
+    """Where each token of each source lies, for any number of sources, from their totals, the largest first.
+
+    The queues of a mixture are sources or streams: a stream is the windows of a mixture of its own
+    sources, one after another. So each source has its share of its stream, and the stream its share
+    of the whole.
+    """
+
+    def __init__(self, totals: np.ndarray, window: int = WINDOW, most: int = MOST_QUEUES, top: bool = True) -> None:
+        n = len(totals)
+        if n <= most:
+            self.first = np.arange(n + 1)
+        elif top:
+            self.first = np.array([*range(most), n])
+        else:
+            self.first = np.arange(most + 1) * n // most
+        self.totals, self.window, self.most = totals, window, most
+        self.mixture = Mixture([int(totals[a:b].sum()) for a, b in zip(self.first[:-1], self.first[1:], strict=True)], window)
+        self.streams: OrderedDict[int, Sources] = OrderedDict()
+
+    def _stream(self, queue: int) -> Sources:
+        if queue in self.streams:
+            self.streams.move_to_end(queue)
+        else:
+            self.streams[queue] = Sources(self.totals[self.first[queue] : self.first[queue + 1]], self.window, self.most, False)
+            if len(self.streams) > KEPT_STREAMS:
+                self.streams.popitem(last=False)
+        return self.streams[queue]
+
+    def pieces(self, source: int, at: int, length: int) -> Iterator[tuple[int, int, int]]:
+        """``(window, offset, length)`` for the source's tokens from ``at`` on, in order."""
+        queue = int(np.searchsorted(self.first, source, side="right")) - 1
+        first = int(self.first[queue])
+        if self.first[queue + 1] - first == 1:
+            yield from self.mixture.pieces(queue, at, length)
+            return
+        for window, offset, n in self._stream(queue).pieces(source - first, at, length):
+            yield from self.mixture.pieces(queue, window * self.window + offset, n)
+
+
 def tokenize(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """``doc_id, source, part int, before long, n long, ids binary``: ``before`` counts the source's tokens in the part so far."""
     import pyarrow as pa
@@ -239,23 +281,20 @@ def pack(df: DataFrame, path: str, window: int = WINDOW, **columns: str) -> Data
     """``doc_id, start, length, ids binary, doc_tokens, sequence_id, offset``: the pieces of every document.
 
     ``ids`` holds little-endian unsigned 32-bit integers. Each document's ids end with ``END_ID``. All
-    windows but the last are full. A null text is empty, a null source is a source; repeated rows and
+    windows but the last are full. The target shares are the sources' natural shares and can not be
+    given. The driver and each task hold one number a source. A null text is empty, a null source is a source; repeated rows and
     null ids are packed like any others; an empty table gives no pieces.
     """
     rows = stored(tokenize(df, path, **columns), "tokens")
     sums = rows.groupBy("source", "part").agg(F.sum("n").alias("n"))
-    by_source = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").limit(MOST_QUEUES - 1).collect()
-    number = {r.source: k for k, r in enumerate(by_source)}
-    spark = df.sparkSession
-    listed = spark.createDataFrame(list(number.items()), "q_source string, q int") if number else spark.createDataFrame([], "q_source string, q int")
-    queued = sums.join(F.broadcast(listed), F.col("source") == F.col("q_source"), "left").select("source", "part", "n", F.coalesce("q", F.lit(len(number))).alias("queue"))
-    order = Window.partitionBy("queue").orderBy("source", "part").rowsBetween(Window.unboundedPreceding, -1)
+    by_source = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").collect()
+    totals, most = np.array([r.n for r in by_source], dtype=np.int64), MOST_QUEUES
+    listed = df.sparkSession.createDataFrame([(r.source, k) for k, r in enumerate(by_source)], "q_source string, queue int")
+    if len(by_source) <= SENT_ROWS:
+        listed = F.broadcast(listed)
+    queued = sums.join(listed, F.col("source") == F.col("q_source")).select("source", "part", "n", "queue")
+    order = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     bases = queued.select(F.col("source").alias("b_source"), F.col("part").alias("b_part"), "queue", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("base"))
-    totals = [0] * (len(number) + 1)
-    for r in queued.groupBy("queue").agg(F.sum("n").alias("n")).collect():  # at most MOST_QUEUES rows
-        totals[r.queue] = r.n
-    if totals[-1] == 0:
-        totals.pop()
     if bases.count() <= SENT_ROWS:
         bases = F.broadcast(bases)
     placed = rows.join(bases, (F.col("source") == F.col("b_source")) & (F.col("part") == F.col("b_part"))).select(
@@ -263,7 +302,7 @@ def pack(df: DataFrame, path: str, window: int = WINDOW, **columns: str) -> Data
     )
 
     def make():
-        deals = Mixture(totals, window)
+        deals = Sources(totals, window, most)
 
         def work(key, queue, at, n, raw):
             ids = np.frombuffer(raw, dtype=np.dtype("<u2") if len(raw) == 2 * n else np.dtype("<u4")).astype("<u4").tobytes()

@@ -102,3 +102,34 @@ def test_more_sources_than_queues(spark, tokenizer_path, monkeypatch):
     assert {r.doc_id for r in rows} == set(range(50))
     assert sum(r.length for r in rows) == sum({r.doc_id: r.doc_tokens for r in rows}.values())
     assert len({(r.sequence_id, r.offset) for r in rows}) == len(rows)
+
+
+def drift(counts, window):
+    """How far any source is from its share after any number of windows, in tokens."""
+    done = np.cumsum(counts, axis=0)
+    return np.abs(done - np.outer(np.minimum(np.arange(1, len(counts) + 1) * window, counts.sum()), counts.sum(axis=0) / counts.sum())).max()
+
+
+def test_sources_beyond_the_queues_keep_their_shares(spark, tokenizer_path, monkeypatch):
+    monkeypatch.setattr(mp, "MOST_QUEUES", 3)
+    df = spark.createDataFrame([(i, "word " * 60, f"s{i // 100}") for i in range(1200)], "doc_id long, text string, source string")
+    rows = mp.pack(df, tokenizer_path("byte_bpe_50k.json")).collect()
+    counts = np.zeros((1 + max(r.sequence_id for r in rows), 12), dtype=int)
+    for r in rows:
+        counts[r.sequence_id, r.doc_id // 100] += r.length
+    assert (counts.sum(axis=1)[:-1] == 2048).all() and drift(counts, 2048) < 2048
+
+
+def test_many_sources_place_each_token_once():
+    rng = np.random.default_rng(1)
+    totals = np.sort(rng.integers(0, 3000, 150))[::-1].copy()
+    deals, seen = mp.Sources(totals, 512, 4), np.zeros(int(totals.sum()), dtype=int)
+    counts = np.zeros((deals.mixture.windows, len(totals)), dtype=int)
+    for source, total in enumerate(totals.tolist()):
+        for at in range(0, total, 100):
+            pieces = list(deals.pieces(source, at, min(100, total - at)))
+            assert sum(n for _, _, n in pieces) == min(100, total - at)
+            for window, offset, n in pieces:
+                seen[window * 512 + offset : window * 512 + offset + n] += 1
+                counts[window, source] += n
+    assert (seen == 1).all() and drift(counts, 512) < 2048
