@@ -238,9 +238,10 @@ def near_duplicates(df: DataFrame, words: int = 3, distance: int = 3, blocks: in
 #: average, with a deviation of 1.3 %; sets of four and five shingles, whose bits can tie, in 18.8 %
 #: with 1.4 %. The limit is four deviations above that; the sets themselves decide afterwards.
 WIDE_LANES, BLOCK_BITS, WIDE_SHARE = 12, 12, 0.245
-#: Bits of the 64 that travel with a block in which its candidates differ at most: 9.7 are expected
-#: at similarity 0.8, with a deviation of 2.9; the rest is verified on all bits.
-SKETCH_BITS = 24
+#: Bits of the 128 that travel with a block in which its candidates differ at most: 19.4 are expected
+#: at similarity 0.8, with a deviation of 4.1; the rest is verified on all bits. Unrelated texts differ
+#: in 64 with a deviation of 5.7, so that hardly any pass as groups grow.
+SKETCH_BITS = 40
 
 
 def _near_labels(x: np.ndarray, distance: int) -> np.ndarray:
@@ -270,14 +271,14 @@ def _near_labels(x: np.ndarray, distance: int) -> np.ndarray:
 def wide_links(fps: DataFrame, share: float = WIDE_SHARE) -> DataFrame:
     """Links ``a, b`` between ``node`` values of distinct wide fingerprints ``(node long, fp binary)``.
 
-    Each fingerprint of ``WIDE_LANES * 64`` bits is dealt once a block, with a sketch of 64 of its
+    Each fingerprint of ``WIDE_LANES * 64`` bits is dealt once a block, with a sketch of 128 of its
     bits. A group keeps the rows whose sketch is near another's; only these are joined with their
     fingerprints, meet again in their groups and are verified on all bits. Groups emit rows and
     spanning links, never pairs. At similarity 0.8 a pair shares one of the 64 blocks with a
     probability of 99.99 %.
     """
     blocks = WIDE_LANES * 64 // BLOCK_BITS
-    dealt_schema = pa.schema([("t", pa.int32()), ("k", pa.int32()), ("node", pa.int64()), ("sketch", pa.int64())])
+    dealt_schema = pa.schema([("t", pa.int32()), ("k", pa.int32()), ("node", pa.int64()), ("one", pa.int64()), ("two", pa.int64())])
     kept_schema = pa.schema([("t", pa.int32()), ("k", pa.int64()), ("node", pa.int64())])
     link_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -289,17 +290,17 @@ def wide_links(fps: DataFrame, share: float = WIDE_SHARE) -> DataFrame:
                 octets = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint8).reshape(n, -1)
                 keys = np.packbits(np.unpackbits(octets, axis=1).reshape(n, blocks, BLOCK_BITS), axis=2)
                 keys = (keys[:, :, 0].astype(np.int32) << 8) | keys[:, :, 1]
-                # a block that begins in lane i travels with a lane that it does not reach
-                lanes = octets.view(">u8").astype(np.int64)[:, (np.arange(blocks) * BLOCK_BITS // 64 + 2) % WIDE_LANES]
+                # a block that begins in lane i travels with two lanes that it does not reach
+                lanes, begin = octets.view(">u8").astype(np.int64), np.arange(blocks) * BLOCK_BITS // 64
                 columns = (
                     np.tile(np.arange(blocks, dtype=np.int32), n), keys.reshape(-1),
-                    np.repeat(part.column(0).to_numpy(), blocks), lanes.reshape(-1),
+                    np.repeat(part.column(0).to_numpy(), blocks), *(lanes[:, (begin + k) % WIDE_LANES].reshape(-1) for k in (2, 3)),
                 )
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=dealt_schema)
 
     def near_in_group(batches):
-        for t, k, node, sketch in _groups(batches):
-            label = _near_labels(sketch.view(np.uint64)[:, None], SKETCH_BITS)
+        for t, k, node, *sketch in _groups(batches):
+            label = _near_labels(np.stack(sketch, axis=1).view(np.uint64), SKETCH_BITS)
             inverse, count = np.unique(label, return_inverse=True, return_counts=True)[1:]
             at = count[inverse] > 1
             if at.any():
@@ -317,7 +318,7 @@ def wide_links(fps: DataFrame, share: float = WIDE_SHARE) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[label[at]])], schema=link_schema)
 
     bounded_batches(fps.sparkSession)
-    rows = fps.select("node", "fp").mapInArrow(deal, "t int, k int, node long, sketch long")
+    rows = fps.select("node", "fp").mapInArrow(deal, "t int, k int, node long, one long, two long")
     kept = rows.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(near_in_group, "t int, k long, node long")
     full = kept.join(fps.select(F.col("node").alias("_n"), "fp"), F.col("node") == F.col("_n")).select("t", "k", "node", "fp")
     return full.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(verified, "a long, b long")
