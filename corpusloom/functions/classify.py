@@ -99,27 +99,30 @@ def business_confidence(sections: Column, metrics: Column, companies: Column, su
     return F.least(F.round(total + F.least(companies * 0.03, F.lit(0.2)) + F.when(fiscal, 0.2).otherwise(0.0), 6), F.lit(1.0))
 
 
-def business_signals(text: Column) -> Column:
-    low = F.lower(text)
-    summary = any_of(low, ["executive summary", "management summary"])
-    counts = [matches(text, ANY_CASE + p) for p in (BUSINESS_SECTIONS, BUSINESS_METRICS, COMPANIES)]
-    year = fiscal_year(text)
-    return F.struct(
-        counts[0].alias("sections"), counts[1].alias("metrics"), counts[2].alias("companies"), summary.alias("summary"), year.alias("fiscal_year"),
-        business_confidence(*counts, summary, year.isNotNull()).alias("confidence"),
-    )
-
-
-def academic_confidence(text: Column) -> Column:
-    return F.least(F.round(matches(text, "(?U)" + CITATIONS) * 0.2 + matches(text, ANY_CASE + ACADEMIC_SECTIONS) * 0.15, 6), F.lit(1.0))
+def signals(text: Column) -> Column:
+    """All counts that the categories need, each pattern counted once: a struct to be bound once for a row."""
+    counts = {
+        "sections": ANY_CASE + BUSINESS_SECTIONS, "metrics": ANY_CASE + BUSINESS_METRICS, "companies": ANY_CASE + COMPANIES,
+        "citations": "(?U)" + CITATIONS, "headings": ANY_CASE + ACADEMIC_SECTIONS, "clauses": ANY_CASE + LEGAL_CLAUSES, "terms": ANY_CASE + LEGAL_TERMS,
+        "code": "(?U)" + CODE, "specifications": ANY_CASE + SPECIFICATIONS,
+    }
+    summary = any_of(F.lower(text), ["executive summary", "management summary"])
+    return F.struct(*[matches(text, p).alias(n) for n, p in counts.items()], summary.alias("summary"), fiscal_year(text).alias("fiscal_year"))
 
 
-def legal_confidence(text: Column) -> Column:
-    return F.least(F.round((matches(text, ANY_CASE + LEGAL_CLAUSES) + matches(text, ANY_CASE + LEGAL_TERMS)) * 0.1, 6), F.lit(1.0))
+def confidences(s: Column) -> dict[str, Column]:
+    """``business, academic, legal, technical`` from :func:`signals`."""
+    return {
+        "business": business_confidence(s["sections"], s["metrics"], s["companies"], s["summary"], s["fiscal_year"].isNotNull()),
+        "academic": F.least(F.round(s["citations"] * 0.2 + s["headings"] * 0.15, 6), F.lit(1.0)),
+        "legal": F.least(F.round((s["clauses"] + s["terms"]) * 0.1, 6), F.lit(1.0)),
+        "technical": F.least(F.round((s["code"] + s["specifications"]) * 0.1, 6), F.lit(1.0)),
+    }
 
 
-def technical_confidence(text: Column) -> Column:
-    return F.least(F.round((matches(text, "(?U)" + CODE) + matches(text, ANY_CASE + SPECIFICATIONS)) * 0.1, 6), F.lit(1.0))
+def bound(value: Column, use) -> Column:
+    """``use(value)`` with the value computed once for a row, as a variable."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
 def category_of(business: Column, academic: Column, legal: Column, technical: Column) -> Column:
@@ -133,7 +136,7 @@ def category_of(business: Column, academic: Column, legal: Column, technical: Co
 
 
 def category(text: Column) -> Column:
-    return category_of(business_signals(text)["confidence"], academic_confidence(text), legal_confidence(text), technical_confidence(text))
+    return bound(signals(text), lambda s: bound(F.struct(*[c.alias(n) for n, c in confidences(s).items()]), lambda c: category_of(c["business"], c["academic"], c["legal"], c["technical"])))
 
 
 def financial_number(text: Column) -> Column:

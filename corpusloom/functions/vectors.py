@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -53,3 +56,64 @@ def hashed_embedding(dims: int = 64):
         return pd.Series(out)
 
     return F.pandas_udf(embed, T.ArrayType(T.DoubleType()))
+
+
+#: Most queries whose vectors travel to every task; beyond it the pairs are dealt by a shuffle.
+SENT_QUERIES = 10_000
+#: Points that are compared with the queries at once in a task.
+BLOCK = 4096
+
+
+def _unit(arrays: pa.Array) -> dict[int, tuple[np.ndarray, np.ndarray]]:
+    """Rows of an array of vectors by their length: numbers of the rows, and the vectors at length 1 (or 0)."""
+    sizes = np.diff(arrays.offsets.to_numpy())
+    sizes[np.asarray(arrays.is_null())] = 0
+    out = {}
+    for n in np.unique(sizes).tolist():
+        at = np.flatnonzero(sizes == n)
+        x = np.asarray(arrays.take(pa.array(at)).flatten().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.float64).reshape(len(at), n)
+        length = np.sqrt((x * x).sum(axis=1, keepdims=True))
+        out[n] = (at, np.divide(x, length, out=np.zeros_like(x), where=length > 0))
+    return out
+
+
+def similar_pairs(queries: DataFrame, points: DataFrame, k: int | None = None) -> DataFrame:
+    """``query_id, doc_id, score``: cosines of ``embedding`` columns by products of matrices of unit vectors.
+
+    Each block of points keeps the best ``k`` of each query (all without it; ties by id), so only these
+    go on to a ranking. Vectors of other lengths, null or of norm 0 have a cosine of 0. Ids are numbers.
+    The queries' vectors are sent to every task up to ``SENT_QUERIES``; more meet the points by a shuffle.
+    """
+    asked = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
+    held = points.select(F.col("doc_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
+    if asked.count() > SENT_QUERIES:
+        a = asked.select("query_id", l2_normalize(F.col("embedding")).alias("_q"))
+        unit = held.select("doc_id", l2_normalize(F.col("embedding")).alias("_p"))
+        return unit.join(a, how="cross").select("query_id", "doc_id", F.round(F.coalesce(dot(F.col("_q"), F.col("_p")), F.lit(0.0)), 12).alias("score"))
+    rows = asked.collect()  # at most SENT_QUERIES rows
+    ids = np.array([r.query_id for r in rows], dtype=np.int64)
+    sent = points.sparkSession.sparkContext.broadcast((ids, _unit(pa.array([r.embedding for r in rows], pa.list_(pa.float64())))))
+    schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, known = sent.value
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                doc, arrays = part.column(0).to_numpy(zero_copy_only=False), part.column(1)
+                scores = np.zeros((len(ids), len(doc)))
+                for n, (rows, x) in _unit(pa.concat_arrays([arrays])).items():
+                    if n in known:
+                        own, q = known[n]
+                        scores[np.ix_(own, rows)] = np.round(q @ x.T, 12)
+                if not len(ids):
+                    continue
+                if k is None or k >= len(doc):
+                    q, d = np.repeat(np.arange(len(ids)), len(doc)), np.tile(np.arange(len(doc)), len(ids))
+                else:
+                    order = np.argsort(doc, kind="stable")
+                    best = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]
+                    q, d = np.repeat(np.arange(len(ids)), k), best.reshape(-1)
+                yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(doc[d]), pa.array(scores[q, d])], schema=schema)
+
+    return held.mapInArrow(run, "query_id long, doc_id long, score double")

@@ -1,7 +1,7 @@
 """BM25 over words and word pairs, and the keyword boosts, for many queries at once.
 
-The index is three tables: lengths, postings (term frequencies) and document frequencies. Queries
-join postings on terms; only terms of queries are counted per document.
+The index is one stored table of postings, made in one pass over the texts: each document's length and
+the counts of the terms that are wanted. Lengths, postings and document frequencies are read from it.
 """
 
 from __future__ import annotations
@@ -12,13 +12,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import bare_tokens, term_tokens, with_bigrams
+from ..storage import checkpointed, stored
 
 K1, B = 1.2, 0.75
 
 
+#: Query terms up to which they are sent to every task; beyond it they meet the texts' terms by a shuffle.
+SENT_TERMS = 1_000_000
+
+
 @dataclass(frozen=True)
 class Index:
-    """``lengths (doc_id, dl)``, ``postings (doc_id, term, tf)``, ``frequencies (term, df)``, rows and mean length."""
+    """``lengths (doc_id, dl)``, ``postings (doc_id, dl, term, tf, uf)``, ``frequencies (term, df, du)``, rows and mean length.
+
+    ``uf`` and ``du`` count a term as a word only, ``tf`` and ``df`` as a word or a pair.
+    """
 
     lengths: DataFrame
     postings: DataFrame
@@ -35,18 +43,27 @@ def query_terms(queries: DataFrame) -> DataFrame:
 
 
 def build_index(docs: DataFrame, wanted: DataFrame | None = None) -> Index:
-    """From ``docs (doc_id, content)``; with ``wanted (term)`` postings hold these terms only."""
+    """From ``docs (doc_id, content)``; with ``wanted (term)`` postings hold these terms only.
+
+    A document's terms lie in its row, so they are counted before anything is exchanged. A row
+    without a term carries the length of each document, also of those without wanted terms.
+    """
     # the words are a column of their own, so that they are computed once and not wherever pairs name them
     bare = docs.select("doc_id", bare_tokens(F.coalesce("content", F.lit(""))).alias("bare"))
-    tokens = bare.select("doc_id", with_bigrams(F.col("bare")).alias("tokens"))
-    lengths = bare.select("doc_id", (2 * F.size("bare") - F.least(F.size("bare"), F.lit(1))).alias("dl"))
-    stats = lengths.agg(F.count("*").alias("n"), F.avg("dl").alias("mean")).first()
-    terms = tokens.select("doc_id", F.explode("tokens").alias("term"))
+    size = F.size("bare")
+    tokens = bare.select("doc_id", size.alias("words"), (2 * size - F.least(size, F.lit(1))).alias("dl"), F.array_append(with_bigrams(F.col("bare")), F.lit(None)).alias("tokens"))
+    terms = tokens.select("doc_id", "dl", "words", F.posexplode("tokens").alias("at", "term"))
     if wanted is not None:
-        terms = terms.join(wanted.select("term").distinct(), "term", "left_semi")
-    postings = terms.groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    frequencies = postings.groupBy("term").agg(F.count("*").alias("df"))
-    return Index(lengths, postings, frequencies, stats.n, stats.mean or 0.0)
+        named = checkpointed(wanted.select(F.col("term").alias("w")).distinct())
+        named = F.broadcast(named) if named.count() <= SENT_TERMS else named
+        terms = terms.join(named, F.col("term") == F.col("w"), "left").where("term is null or w is not null")
+    counted = terms.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"), F.count_if(F.col("at") < F.col("words")).alias("uf"))
+    held = stored(counted, "postings")
+    lengths, postings = held.where("term is null").select("doc_id", "dl", "tf"), held.where("term is not null")
+    # equal ids share one row, so a row stands for as many documents as it has been counted
+    stats = lengths.agg(F.sum("tf").alias("n"), (F.sum(F.col("dl") * F.col("tf")) / F.sum("tf")).alias("mean")).first()
+    frequencies = postings.groupBy("term").agg(F.count("*").alias("df"), F.count_if(F.col("uf") > 0).alias("du"))
+    return Index(lengths.drop("tf"), postings, frequencies, stats.n or 0, stats.mean or 0.0)
 
 
 def idf(rows: int, df):
@@ -55,7 +72,7 @@ def idf(rows: int, df):
 
 def bm25(terms: DataFrame, index: Index, k1: float = K1, b: float = B) -> DataFrame:
     """``query_id, doc_id, sparse`` for pairs that share a term; a term that a query repeats counts as often."""
-    held = terms.join(index.frequencies, "term").join(index.postings, "term").join(index.lengths, "doc_id")
+    held = terms.join(index.frequencies, "term").join(index.postings, "term")
     norm = 1.0 - b + b * F.col("dl") / max(index.mean_length, 1e-9)
     score = F.col("qtf") * idf(index.rows, F.col("df")) * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * norm)
     return held.groupBy("query_id", "doc_id").agg(F.sum(score).alias("sparse"))
@@ -85,20 +102,23 @@ def containing(tokens: DataFrame, docs: DataFrame) -> DataFrame:
     return found.unionByName(brief).join(placed, "word").select("token", "doc_id").distinct()
 
 
-def keyword_boost(terms: DataFrame, index: Index, docs: DataFrame) -> DataFrame:
+def boost_tokens(terms: DataFrame, index: Index) -> DataFrame:
+    """``query_id, token, qtf, idf``: the query terms of three bytes or more that any document has."""
+    return terms.where(F.octet_length("term") >= 3).join(index.frequencies, "term").select(
+        "query_id", F.col("term").alias("token"), "qtf", idf(index.rows, F.col("df")).alias("idf")
+    )
+
+
+def keyword_boost(tokens: DataFrame, found: DataFrame) -> DataFrame:
     """``query_id, doc_id, keyword``: rare query terms that lie anywhere in the content, at most 1.
 
-    A term of three bytes or more gives a fifth of its idf, at most 0.2; two terms of an idf over 2
-    give 0.2 more.
+    From :func:`boost_tokens` and :func:`containing`. A term gives a fifth of its idf, at most 0.2; two
+    terms of an idf over 2 give 0.2 more.
     """
-    usable = terms.where(F.octet_length("term") >= 3).join(index.frequencies, "term").select(
-        "query_id", F.col("term").alias("token"), "qtf", idf(index.rows, F.col("df")).alias("idf")
-    )
-    found = containing(usable, docs)
     total = F.sum(F.col("qtf") * F.least(F.col("idf") / 5.0, F.lit(0.2)))
     rare = F.sum(F.when(F.col("idf") > 2.0, F.col("qtf")).otherwise(0))
     boost = F.least(total + F.when(rare >= 2, 0.2).otherwise(0.0), F.lit(1.0))
-    return usable.join(found, "token").groupBy("query_id", "doc_id").agg(boost.alias("keyword"))
+    return tokens.join(found, "token").groupBy("query_id", "doc_id").agg(boost.alias("keyword"))
 
 
 def term_idf(docs: DataFrame) -> DataFrame:
@@ -108,6 +128,12 @@ def term_idf(docs: DataFrame) -> DataFrame:
     return terms.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log(F.lit(rows) / F.col("df") + 1.0))
 
 
+def index_idf(index: Index) -> DataFrame:
+    """The same for the terms of an index, from its frequencies of words."""
+    words = index.frequencies.where((F.col("du") > 0) & (F.octet_length("term") > 2))
+    return words.select("term", F.col("du").alias("df"), F.log(F.lit(index.rows) / F.col("du") + 1.0).alias("idf"))
+
+
 def technical_terms(queries: DataFrame, idfs: DataFrame, k: int) -> DataFrame:
     """``query_id, term, idf, place``: the query's known terms of the highest idf; repeated ones stay; ties by place in the query."""
     from pyspark.sql import Window
@@ -117,11 +143,18 @@ def technical_terms(queries: DataFrame, idfs: DataFrame, k: int) -> DataFrame:
     return placed.join(idfs.select("term", "idf"), "term").withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).select("query_id", "term", "idf", "place")
 
 
-def technical_boost(queries: DataFrame, idfs: DataFrame, docs: DataFrame, k: int = 5) -> DataFrame:
-    """``query_id, doc_id, technical``: what the top terms that lie in the content add, before the cap."""
-    top = technical_terms(queries, idfs, k).withColumnRenamed("term", "token")
-    found = containing(top, docs)
-    return top.join(found, "token").groupBy("query_id", "doc_id").agg(F.sum(F.least(F.col("idf") / 5.0, F.lit(0.2))).alias("technical"))
+def technical_boost(top: DataFrame, found: DataFrame) -> DataFrame:
+    """``query_id, doc_id, technical``: what the :func:`technical_terms` that lie in the content add, before the cap."""
+    named = top.withColumnRenamed("term", "token")
+    return named.join(found, "token").groupBy("query_id", "doc_id").agg(F.sum(F.least(F.col("idf") / 5.0, F.lit(0.2))).alias("technical"))
+
+
+def boosts(queries: DataFrame, terms: DataFrame, index: Index, docs: DataFrame, k: int = 5) -> tuple[DataFrame, DataFrame]:
+    """The keyword and the technical boosts, for which the texts are searched once for all tokens of both."""
+    usable, top = boost_tokens(terms, index), technical_terms(queries, index_idf(index), k)
+    wanted = usable.select("token").unionByName(top.select(F.col("term").alias("token")))
+    found = stored(containing(wanted, docs), "containing")
+    return keyword_boost(usable, found), technical_boost(top, found)
 
 
 def plain_bm25(query, content):

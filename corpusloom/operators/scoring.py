@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, text, vectors
+from ..storage import checkpointed
 from . import bm25
 
 # Weights of dense, sparse and keyword scores.
@@ -22,16 +23,33 @@ DISCLAIMERS = (
 )
 
 
-def min_max(score: Column, by: str = "query_id") -> Column:
-    """Over the candidates of each query; a range below 1e-6 counts as 1e-6."""
-    own = Window.partitionBy(by)
-    low = F.min(score).over(own)
-    return (score - low) / F.greatest(F.max(score).over(own) - low, F.lit(1e-6))
+def min_max(score: Column, low: Column, high: Column) -> Column:
+    """Between a query's least and greatest score; a range below 1e-6 counts as 1e-6."""
+    return (score - low) / F.greatest(high - low, F.lit(1e-6))
 
 
-def z_logistic(score: Column, by: str = "query_id") -> Column:
-    own = Window.partitionBy(by)
-    return 1.0 / (1.0 + F.exp(-(score - F.avg(score).over(own)) / F.greatest(F.stddev_pop(score).over(own), F.lit(1e-6))))
+def z_logistic(score: Column, mean: Column, deviation: Column) -> Column:
+    return 1.0 / (1.0 + F.exp(-(score - mean) / F.greatest(deviation, F.lit(1e-6))))
+
+
+def score_ranges(scores: DataFrame, names: list[str], rows: int, by: str = "query_id") -> DataFrame:
+    """``by`` and ``low_, high_, mean_, deviation_`` and the name of each score, over ``rows`` candidates of each query.
+
+    Pairs that ``scores`` lacks, and scores that are null, are 0. All is partly aggregated before the one
+    exchange, so no query's candidates meet in one task.
+    """
+    out = []
+    for n in names:
+        # the population's deviation from the sums over the pairs that are there
+        total, squares = F.coalesce(F.sum(n), F.lit(0.0)), F.coalesce(F.sum(F.col(n) * F.col(n)), F.lit(0.0))
+        absent = F.count(n) < rows
+        low, high = F.coalesce(F.min(n), F.lit(0.0)), F.coalesce(F.max(n), F.lit(0.0))
+        spread = F.greatest(squares / rows - F.pow(total / rows, F.lit(2)), F.lit(0.0))
+        out += [
+            F.when(absent, F.least(low, F.lit(0.0))).otherwise(low).alias(f"low_{n}"), F.when(absent, F.greatest(high, F.lit(0.0))).otherwise(high).alias(f"high_{n}"),
+            (total / rows).alias(f"mean_{n}"), F.sqrt(spread).alias(f"deviation_{n}"),
+        ]
+    return scores.groupBy(by).agg(*out)
 
 
 def fuse(dense: Column, sparse: Column, keyword: Column, intent: Column | None = None) -> Column:
@@ -112,51 +130,46 @@ def fielded_bm25(query: Column, content: Column) -> Column:
     return F.aggregate(lines, F.lit(0.0), lambda a, line: a + weight(line) * bm25.plain_bm25(query, line))
 
 
-def pair_scores(queries: DataFrame, docs: DataFrame, dense: DataFrame | None = None) -> DataFrame:
-    """``query_id, doc_id, dense, sparse, keyword`` for every query and every chunk.
+NAMES = ["dense", "sparse", "keyword"]
 
-    Scores are normalised over all chunks of a collection, so every pair is a candidate; the query set
-    is stated and small beside the chunks. ``dense`` may bring ``query_id, doc_id, dense``; without it
-    the score is 0.
+
+def pair_scores(queries: DataFrame, docs: DataFrame, dense: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """``query_id, doc_id, dense, sparse, keyword`` for the pairs that have any score, and the number of chunks.
+
+    Every chunk is a candidate of every query, but a pair without a row has scores of 0 and is not
+    written down. ``dense`` may bring ``query_id, doc_id, dense``, as a rule for all pairs.
     """
-    terms = bm25.query_terms(queries)
+    terms = checkpointed(bm25.query_terms(queries))
     index = bm25.build_index(docs, terms)
-    names = ["dense", "sparse", "keyword", "technical"]
+    keyword, technical = bm25.boosts(queries, terms, index, docs)
+    names = [*NAMES, "technical"]
 
-    def part(df: DataFrame, name: str | None = None) -> DataFrame:
+    def part(df: DataFrame, name: str) -> DataFrame:
         return df.select("query_id", "doc_id", *[F.col(n).cast("double").alias(n) if n == name else F.lit(0.0).alias(n) for n in names])
 
     # scores that are absent are 0, so all parts are added up in one pre-aggregated exchange
-    parts = [
-        part(queries.select("query_id").join(docs.select("doc_id"), how="cross")),
-        part(bm25.bm25(terms, index), "sparse"),
-        part(bm25.keyword_boost(terms, index, docs), "keyword"),
-        part(bm25.technical_boost(queries, bm25.term_idf(docs), docs), "technical"),
-    ] + ([part(dense, "dense")] if dense is not None else [])
+    parts = [part(bm25.bm25(terms, index), "sparse"), part(keyword, "keyword"), part(technical, "technical")]
+    parts += [part(dense, "dense")] if dense is not None else []
     added = reduce(DataFrame.unionByName, parts).groupBy("query_id", "doc_id").agg(*[F.sum(n).alias(n) for n in names])
-    return added.select("query_id", "doc_id", "dense", "sparse", F.least(F.col("keyword") + F.col("technical"), F.lit(1.0)).alias("keyword"))
+    boosted = F.least(F.col("keyword") + F.col("technical"), F.lit(1.0))
+    return added.select("query_id", "doc_id", "dense", "sparse", boosted.alias("keyword")), index.rows
 
 
-def hybrid_scores(pairs: DataFrame) -> DataFrame:
+def hybrid_scores(pairs: DataFrame, ranges: DataFrame, intents: DataFrame | None = None) -> DataFrame:
     """Adds ``hybrid``: each score min-max normalised over the query's chunks, then fused with fixed weights.
 
-    The ranges are one pre-aggregated row a query, so no query's chunks meet in one task.
+    ``ranges`` are :func:`score_ranges` of the pairs; ``intents (query_id, intent)`` choose the weights by
+    the query's intent. Both have one row a query.
     """
-    names = ["dense", "sparse", "keyword"]
-    ranges = pairs.groupBy(F.col("query_id").alias("_q")).agg(*[f(n).alias(f"_{f.__name__}_{n}") for n in names for f in (F.min, F.max)])
-
-    def scaled(n: str) -> Column:
-        low = F.col(f"_min_{n}")
-        return (F.col(n) - low) / F.greatest(F.col(f"_max_{n}") - low, F.lit(1e-6))
-
-    joined = pairs.join(ranges, F.col("query_id") == F.col("_q"))
-    return joined.select(*pairs.columns, fuse(*map(scaled, names)).alias("hybrid"))
+    known = ranges if intents is None else ranges.join(intents, "query_id", "left")
+    joined = pairs.join(known.withColumnRenamed("query_id", "_q"), F.col("query_id") == F.col("_q"))
+    scaled = [min_max(F.col(n), F.col(f"low_{n}"), F.col(f"high_{n}")) for n in NAMES]
+    return joined.select(*pairs.columns, fuse(*scaled, F.col("intent") if intents is not None else None).alias("hybrid"))
 
 
 def dense_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """``query_id, doc_id, dense``: cosine of ``embedding`` columns."""
-    a = queries.select("query_id", F.col("embedding").alias("qe"))
-    return docs.select("doc_id", "embedding").join(F.broadcast(a), how="cross").select("query_id", "doc_id", vectors.cosine(F.col("qe"), F.col("embedding")).alias("dense"))
+    """``query_id, doc_id, dense``: cosine of ``embedding`` columns, for all pairs."""
+    return vectors.similar_pairs(queries, docs).select("query_id", "doc_id", F.col("score").alias("dense"))
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", by: str = "query_id", tie: str = "doc_id", first: str | None = None) -> DataFrame:

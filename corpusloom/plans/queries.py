@@ -6,85 +6,16 @@ vector collection, ``pages`` the web source, ``events`` the ingest stream.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import classify, numeric, text, vectors
 from ..operators import answers, bm25, chunking, collections, figures, rerank, scoring, spans
 from ..sources import files, web
+from ..storage import stored
 from ..streaming import guards
 from . import ingest, retrieval
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-
-
-def chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
-
-
-def batch(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
-
-
-def per_document(name: str, columns: Callable[[Column], dict[str, Column]], sql: str | None = None) -> None:
-    """A query of scalar functions of the text of every document."""
-
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        own = columns(F.col("text"))
-        return table(spark, sf_dir, "documents").select("doc_id", *[c.alias(k) for k, c in own.items()])
-
-    run.__name__ = name
-    query(f"SELECT doc_id, {sql} FROM documents" if sql else None)(run)
-
-
-# --- SQL pieces -------------------------------------------------------------------------------------
-
-
-def q(pattern: str) -> str:
-    return "'" + pattern.replace("'", "''") + "'"
-
-
-def sql_count(column: str, pattern: str) -> str:
-    return f"len(regexp_extract_all({column}, {q(pattern)}))"
-
-
-def sql_hits(column: str, pieces) -> str:
-    return "(" + " + ".join(f"CAST(contains({column}, {q(p)}) AS INT)" for p in pieces) + ")"
-
-
-def sql_any(column: str, pieces) -> str:
-    return "(" + " OR ".join(f"contains({column}, {q(p)})" for p in pieces) + ")"
-
-
-def sql_words(column: str) -> str:
-    return f"list_filter(regexp_split_to_array({column}, '\\s+'), lambda x: x <> '')"
-
-
-def sql_tokens(column: str) -> str:
-    bare = f"list_transform({sql_words(f'lower({column})')}, lambda x: regexp_replace(x, '[^\\p{{L}}\\p{{N}}_]', '', 'g'))"
-    return f"list_filter({bare}, lambda x: x <> '')"
-
-
-def sql_pairs(tokens: str) -> str:
-    return f"list_concat({tokens}, list_transform(range(1, len({tokens})), lambda i: {tokens}[i] || '_' || {tokens}[i + 1]))"
-
+from .registry import batch, chunks, per_document, q, query, r6, sql_any, sql_count, sql_hits, sql_pairs, sql_tokens, sql_words, table, vector_tables
 
 _INDEX = f"""
 d0 AS (SELECT doc_id, coalesce(text, '') AS content, {sql_tokens("coalesce(text, '')")} AS t FROM documents),
@@ -122,10 +53,6 @@ _BIB = f"""({sql_hits("lower(content)", rerank.BIBLIOGRAPHY + rerank.NUMBERED)}
   OR (len({sql_words("content")}) > 20 AND length(content) - length(replace(content, ',', '')) > len({sql_words("content")}) // 4))"""
 
 
-def r6(c: Column) -> Column:
-    return F.round(c, 6)
-
-
 # --- scoring ----------------------------------------------------------------------------------------
 
 
@@ -147,7 +74,8 @@ def document_frequencies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keyword_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = chunks(spark, sf_dir)
     terms = bm25.query_terms(batch(spark, sf_dir))
-    boosts = bm25.keyword_boost(terms, bm25.build_index(docs, terms), docs)
+    usable = bm25.boost_tokens(terms, bm25.build_index(docs, terms))
+    boosts = bm25.keyword_boost(usable, bm25.containing(usable, docs))
     return boosts.select("query_id", "doc_id", r6(F.col("keyword")).alias("keyword"))
 
 
@@ -160,7 +88,8 @@ def technical_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_INDEX} SELECT query_id, doc_id, round(technical, 6) AS technical FROM technical")
 def technical_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = chunks(spark, sf_dir)
-    found = bm25.technical_boost(batch(spark, sf_dir), bm25.term_idf(docs), docs)
+    top = bm25.technical_terms(batch(spark, sf_dir), bm25.term_idf(docs), 5)
+    found = bm25.technical_boost(top, bm25.containing(top.select(F.col("term").alias("token")), docs))
     return found.select("query_id", "doc_id", r6(F.col("technical")).alias("technical"))
 
 
@@ -169,11 +98,14 @@ def technical_boosts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def score_normalisation(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, docs = batch(spark, sf_dir), chunks(spark, sf_dir)
     terms = bm25.query_terms(queries)
-    scores = bm25.bm25(terms, bm25.build_index(docs, terms))
-    pairs = queries.select("query_id").join(docs.select("doc_id"), how="cross").join(scores, ["query_id", "doc_id"], "left")
+    index = bm25.build_index(docs, terms)
+    scores = stored(bm25.bm25(terms, index), "sparse")
+    ranges = scoring.score_ranges(scores, ["sparse"], index.rows).withColumnRenamed("query_id", "_q")
+    every = queries.select("query_id").join(F.broadcast(ranges), F.col("query_id") == F.col("_q"), "left").drop("_q").fillna(0.0)  # one row a query
+    pairs = docs.select("doc_id").join(F.broadcast(every), how="cross").join(scores, ["query_id", "doc_id"], "left")
     s = F.coalesce("sparse", F.lit(0.0))
-    filled = pairs.withColumn("s", s)
-    return filled.select("query_id", "doc_id", r6(scoring.min_max(F.col("s"))).alias("min_max"), r6(scoring.z_logistic(F.col("s"))).alias("z_logistic"))
+    z = scoring.z_logistic(s, F.col("mean_sparse"), F.col("deviation_sparse"))
+    return pairs.select("query_id", "doc_id", r6(scoring.min_max(s, F.col("low_sparse"), F.col("high_sparse"))).alias("min_max"), r6(z).alias("z_logistic"))
 
 
 _KIND = f"""CASE WHEN (regexp_matches(query, {q(numeric.PERCENT)}) OR regexp_matches(query, {q(numeric.TIMES)}))
@@ -221,12 +153,6 @@ sc AS (SELECT query_id, vec_id AS doc_id, label, list_dot_product(CAST(qe AS DOU
 rk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS rank FROM sc)"""
 
 
-def vector_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """The query set of a search is every vector whose id is divisible by 20, against all."""
-    points = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("doc_id"), "embedding", "label")
-    return points.where("doc_id % 20 = 0").select(F.col("doc_id").alias("query_id"), "embedding"), points
-
-
 @query(f"WITH {_VEC} SELECT query_id, doc_id, round(score, 6) AS score, rank FROM rk WHERE rank <= 10")
 def vector_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = retrieval.vector_search(*vector_tables(spark, sf_dir))
@@ -283,14 +209,12 @@ SELECT doc_id, sections, metrics, companies, fiscal_year, CAST(business AS DOUBL
 
 @query(_CONFIDENCES)
 def document_category(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    scored = table(spark, sf_dir, "documents").select(
-        "doc_id", classify.business_signals(t).alias("b"), classify.academic_confidence(t).alias("academic"), classify.legal_confidence(t).alias("legal"), classify.technical_confidence(t).alias("technical")
-    )
+    counted = table(spark, sf_dir, "documents").select("doc_id", F.inline(F.array(classify.signals(F.col("text")))))
+    s = F.struct(*[c for c in counted.columns if c != "doc_id"])
+    scored = counted.select("doc_id", "sections", "metrics", "companies", "fiscal_year", *[c.alias(n) for n, c in classify.confidences(s).items()])
     return scored.select(
-        "doc_id", *[F.col(f"b.{c}").cast("long").alias(c) for c in ("sections", "metrics", "companies")], F.col("b.fiscal_year").alias("fiscal_year"),
-        F.col("b.confidence").alias("business"), "academic", "legal", "technical",
-        classify.category_of(F.col("b.confidence"), F.col("academic"), F.col("legal"), F.col("technical")).alias("category"),
+        "doc_id", *[F.col(c).cast("long").alias(c) for c in ("sections", "metrics", "companies")], "fiscal_year", "business", "academic", "legal", "technical",
+        classify.category_of(F.col("business"), F.col("academic"), F.col("legal"), F.col("technical")).alias("category"),
     )
 
 

@@ -7,18 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, numeric, vectors
 from ..operators import rerank, scoring
-
-#: Most queries whose vectors travel to every task; beyond it the pairs are dealt by a shuffle.
-SENT_QUERIES = 10_000
-
+from ..storage import checkpointed, stored
 
 def vector_search(queries: DataFrame, points: DataFrame, k: int = 10, min_score: float | None = None) -> DataFrame:
     """``query_id, doc_id, score, rank``: exact cosine top-k; ``min_score`` filters after the top-k, so fewer may be left."""
-    sent = queries.select("query_id", F.col("embedding").alias("_q"))
-    if sent.count() <= SENT_QUERIES:
-        sent = F.broadcast(sent)
-    scored = points.select("doc_id", "embedding").join(sent, how="cross").select("query_id", "doc_id", vectors.cosine(F.col("_q"), F.col("embedding")).alias("score"))
-    best = scoring.top_k(scored, k)
+    best = scoring.top_k(vectors.similar_pairs(queries, points, k), k)
     return best if min_score is None else best.where(F.col("score") >= min_score)
 
 
@@ -42,24 +35,43 @@ def hit_metadata(hits: DataFrame, categories: list[str] | None = None, business:
     return out
 
 
-def hybrid_search(queries: DataFrame, docs: DataFrame, k: int = 10, pool: int = 20, dense: DataFrame | None = None, prior: bool = False) -> DataFrame:
+def hybrid_search(
+    queries: DataFrame, docs: DataFrame, k: int = 10, pool: int = 20, dense: DataFrame | None = None, prior: bool = False, intents: DataFrame | None = None
+) -> DataFrame:
     """``query_id, doc_id, dense, sparse, keyword, hybrid, score, query_kind, has_match, rank``.
 
     Hybrid scores over all chunks; bibliography scores a tenth; queries about numbers put chunks whose
     numbers fit before others; a pool of the best. With ``prior`` the best ``k`` of the pool pass the
-    section prior, which drops contaminated ones and ranks by score alone.
+    section prior, which drops contaminated ones and ranks by score alone. With ``intents (query_id,
+    intent)`` the weights follow the query's intent.
+
+    Pairs without any score rank last, by id, unless their numbers fit; of them only those that can be
+    among the best are written down: the lowest ids, and the chunks whose numbers fit.
     """
-    scored = scoring.hybrid_scores(scoring.pair_scores(queries, docs, dense))
-    # what depends on a chunk or a query alone is computed once for it, not for each pair
-    facts = docs.select("doc_id", rerank.is_bibliography(F.col("content")).alias("_listed"), numeric.values(F.col("content")).alias("_values"))
-    asked = queries.select("query_id", numeric.query_kind(F.col("query")).alias("query_kind"), numeric.constraints(F.col("query")).alias("_wanted"))
-    full = scored.join(facts, "doc_id").join(asked, "query_id")
-    met = F.exists("_values", lambda v: F.exists("_wanted", lambda c: numeric.meets(v, c)))
+    best_of = pool if prior else k
+    scored, rows = scoring.pair_scores(queries, docs, dense)
+    scored = stored(scored, "pairs")
+    ranges = checkpointed(scoring.score_ranges(scored, scoring.NAMES, rows))
+    asked = checkpointed(queries.select("query_id", numeric.query_kind(F.col("query")).alias("query_kind"), numeric.constraints(F.col("query")).alias("_wanted")))
+    # what depends on a chunk alone is computed once for it
+    facts = stored(docs.select("doc_id", rerank.is_bibliography(F.col("content")).alias("_listed"), numeric.values(F.col("content")).alias("_values")), "facts")
+    lowest = facts.select("doc_id").orderBy("doc_id").limit(best_of)
+    digits = asked.where(F.col("query_kind").isin("DigitAtomic", "DigitCombined")).select("query_id", F.inline("_wanted"))
+    numbers = facts.select("doc_id", F.inline(F.array_distinct("_values")))
+    fitting = numbers.join(digits.withColumnRenamed("unit", "_unit"), F.col("unit") == F.col("_unit"))
+    fitting = fitting.where(numeric.meets(F.struct("value", "unit"), F.struct("op", "low", "high", F.col("_unit").alias("unit")))).select("query_id", "doc_id").distinct()
+    fitting = stored(fitting, "fitting")
+    more = queries.select("query_id").join(lowest, how="cross").unionByName(fitting)
+    zeros = more.select("query_id", "doc_id", *[F.lit(0.0).alias(n) for n in scoring.NAMES])
+    pairs = scored.unionByName(zeros).groupBy("query_id", "doc_id").agg(*[F.sum(n).alias(n) for n in scoring.NAMES])
+    every = queries.select("query_id").join(ranges, "query_id", "left").fillna(0.0)
+    full = scoring.hybrid_scores(pairs, every, intents).join(facts.select("doc_id", "_listed"), "doc_id").join(asked.select("query_id", "query_kind"), "query_id")
+    full = full.join(fitting.withColumn("_fits", F.lit(True)), ["query_id", "doc_id"], "left")
     full = full.withColumns({
         "score": F.when(F.col("_listed"), F.col("hybrid") * 0.1).otherwise(F.col("hybrid")),
-        "has_match": F.col("query_kind").isin("DigitAtomic", "DigitCombined") & F.coalesce(met, F.lit(False)),
-    }).drop("_listed", "_values", "_wanted")
-    best = scoring.top_k(full, pool if prior else k, first="has_match")
+        "has_match": F.coalesce("_fits", F.lit(False)),
+    }).drop("_listed", "_fits")
+    best = scoring.top_k(full, best_of, first="has_match")
     if prior:
         sources = docs.select("doc_id", "content", F.col("source_type") if "source_type" in docs.columns else F.lit("Document Text").alias("source_type"))
         best = rerank.section_rerank(best.where(F.col("rank") <= k).drop("rank").join(sources, "doc_id"))

@@ -31,7 +31,8 @@ def test_keyword_boost(spark):
     ], "doc_id long, content string")
     queries = spark.createDataFrame([(1, "neural compression architecture")], "query_id long, query string")
     terms = bm25.query_terms(queries)
-    rows = bm25.keyword_boost(terms, bm25.build_index(docs, terms), docs).collect()
+    usable = bm25.boost_tokens(terms, bm25.build_index(docs, terms))
+    rows = bm25.keyword_boost(usable, bm25.containing(usable, docs)).collect()
     assert {r.doc_id: round(r.keyword, 6) for r in rows} == {1: 0.575094, 2: 0.175094}
 
 
@@ -43,10 +44,32 @@ def test_containing_matches_inside_words(spark):
 
 def test_normalisation_and_fusion(spark):
     rows = spark.createDataFrame([(1, i, s) for i, s in enumerate([0.2, 0.5, 0.8, 0.3])] + [(2, 0, 0.7)], "query_id int, i int, s double")
-    got = {(r.query_id, r.i): round(r.m, 6) for r in rows.withColumn("m", scoring.min_max(F.col("s"))).collect()}
-    assert [got[1, i] for i in range(4)] == [0.0, 0.5, 1.0, 0.166667] and got[2, 0] == 0.0
+    # query 1 has all four candidates, query 2 one of four: the others count as 0
+    ranges = scoring.score_ranges(rows, ["s"], 4)
+    scaled = scoring.min_max(F.col("s"), F.col("low_s"), F.col("high_s"))
+    got = {(r.query_id, r.i): (round(r.m, 6), r.mean_s, r.deviation_s) for r in rows.join(ranges, "query_id").withColumn("m", scaled).collect()}
+    assert [got[1, i][0] for i in range(4)] == [0.0, 0.5, 1.0, 0.166667] and got[2, 0][0] == 1.0
+    assert got[1, 0][1:] == pytest.approx((0.45, 0.05**0.5 * 1.0246951), rel=1e-5) and got[2, 0][1] == 0.7 / 4
     pairs = spark.createDataFrame([(1, 1, 0.7, 0.9, 0.8), (1, 2, 0.3, 0.1, 0.0)], "query_id int, doc_id int, dense double, sparse double, keyword double")
-    assert {r.doc_id: round(r.hybrid, 6) for r in scoring.hybrid_scores(pairs).collect()} == {1: 1.0, 2: 0.0}
+    ranges = scoring.score_ranges(pairs, scoring.NAMES, 2)
+    assert {r.doc_id: round(r.hybrid, 6) for r in scoring.hybrid_scores(pairs, ranges).collect()} == {1: 1.0, 2: 0.0}
+    # exact phrases weigh sparse scores by a half
+    third = spark.createDataFrame([(1, 3, 0.3, 0.9, 0.0)], pairs.schema)
+    intents = spark.createDataFrame([(1, "ExactPhrase")], "query_id int, intent string")
+    assert {r.doc_id: round(r.hybrid, 6) for r in scoring.hybrid_scores(pairs.union(third), ranges, intents).collect()} == {1: 1.0, 2: 0.0, 3: 0.5}
+
+
+def test_similar_pairs(spark, monkeypatch):
+    rows = [(1, [1.0, 0.0]), (2, [3.0, 4.0]), (3, [0.0, 0.0]), (4, [1.0]), (5, None), (6, [2.0, 0.0])]
+    points = spark.createDataFrame(rows, "doc_id long, embedding array<double>").repartition(2)
+    asked = spark.createDataFrame([(9, [2.0, 0.0]), (8, [0.0, 5.0])], "query_id long, embedding array<double>")
+    want = {(9, 1): 1.0, (9, 2): 0.6, (9, 6): 1.0, (8, 2): 0.8}
+    for most in (vectors.SENT_QUERIES, 1):
+        monkeypatch.setattr(vectors, "SENT_QUERIES", most)
+        got = {(r.query_id, r.doc_id): r.score for r in vectors.similar_pairs(asked, points).collect()}
+        assert got == {(q, d): pytest.approx(want.get((q, d), 0.0)) for q in (8, 9) for d in range(1, 7)}
+        best = scoring.top_k(vectors.similar_pairs(asked, points, 2), 2).collect()
+        assert sorted((r.query_id, r.rank, r.doc_id) for r in best) == [(8, 1, 2), (8, 2, 1), (9, 1, 1), (9, 2, 6)]
 
 
 @pytest.mark.parametrize(("query", "kind"), [
