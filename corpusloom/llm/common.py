@@ -2,51 +2,41 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..storage import checkpointed, clear_stored, scan, shared_dir, stored
+
+__all__ = ["checkpointed", "clear_stored", "scan", "shared_dir", "stored"]
+
 #: Output bytes that a Python worker gathers before it hands a batch to Spark.
 FLUSH_BYTES = 8 << 20
 #: Rows that a worker turns into Python objects at once.
 SLICE_ROWS = 128
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only where the setting is absent (tests, one machine) a temporary folder is made and set.
-    """
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    jsc = spark.sparkContext._jsc.sc()
-    if not folder:
-        current = jsc.getCheckpointDir()
-        if current.isDefined():
-            return str(current.get())
-        folder = tempfile.mkdtemp(prefix="corpusloom-")
-        spark.sparkContext.setCheckpointDir(folder)
-    elif not jsc.getCheckpointDir().isDefined():
-        spark.sparkContext.setCheckpointDir(folder)
-    return folder
+def numbered(df: DataFrame) -> DataFrame:
+    """The same rows with the columns ``c0, c1, ...``: no name of the input can clash with a helper, whatever its case."""
+    return df.toDF(*[f"c{n}" for n in range(len(df.columns))])
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as a Parquet table in the shared folder and read it back; cuts the lineage."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/corpusloom-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+def place_of(df: DataFrame, name: str) -> int:
+    """Where the column is: by its exact name, else by any case."""
+    if name in df.columns:
+        return df.columns.index(name)
+    low = [c.lower() for c in df.columns]
+    if name.lower() not in low:
+        raise ValueError(f"no column {name}")
+    return low.index(name.lower())
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint of a narrow table."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def row_hash(df: DataFrame, *salt: Column) -> Column:
+    """A hash of all columns of a numbered table; maps, which have no order, are hashed as JSON."""
+    return F.xxhash64(*salt, *[F.to_json(c) if "map<" in kind else F.col(c) for c, kind in df.dtypes])
 
 
 def bounded_batches(spark: SparkSession) -> None:
@@ -103,31 +93,34 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
     ``edges`` has two comparable, non-null columns ``a`` and ``b``. Returns ``node, root`` for every node
     that an edge names; ``root`` is the smallest node of its component. Each step is a pre-aggregated
-    minimum and a join, so no node's neighbours meet in one row; each round ends in a reliable checkpoint.
+    minimum, stored, and a plain join of two exchanges, which adaptive execution splits where many
+    neighbours meet one hub; each round ends in a reliable checkpoint.
     """
 
     def digest(e: DataFrame) -> tuple:
         return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
 
+    def lowest(e: DataFrame) -> DataFrame:
+        return checkpointed(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("m", "a").alias("m")))
+
     e = checkpointed(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
     before = digest(e)
-    while True:
+    while before[0]:
+        # a node's neighbours are larger ones, which rows name second, and smaller ones, which rows name first
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("m", "a").alias("m"))
         large = (
-            both.join(low, F.col("a") == F.col("k"))
-            .where("b > a")
+            both.where("b > a")
+            .join(lowest(both), F.col("a") == F.col("k"))
             .select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .where("a <> b")
             .distinct()
         )
         large = checkpointed(large)
-        least = large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "k")
-        joined = large.join(least, F.col("a") == F.col("k"))
+        least = lowest(large)
         small = (
-            joined.where("b <> m")
+            large.join(least, F.col("a") == F.col("k"))
+            .where("b <> m")
             .select(F.col("b").alias("a"), F.col("m").alias("b"))
             .unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b")))
             .where("a <> b")

@@ -14,6 +14,8 @@ from itertools import product
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .common import numbered, place_of, row_hash
+
 try:
     from re import _constants as sre
     from re import _parser as sre_parse
@@ -216,26 +218,24 @@ def _fast(rule: Rule) -> Rule:
     return rule
 
 
-def find_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text") -> DataFrame:
+def find_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", out_col: str = "secrets") -> DataFrame:
     """All rows and columns of ``df`` with ``secrets array<struct<start, n, stop>>``, sorted; ``n`` counts the rules.
 
-    A null text is empty and has no spans. Repeated rows are kept. A column of the name secrets is replaced.
-    Row hash collisions and nulls only widen the candidates.
+    A null or empty text has no spans; an empty table gives an empty one. Repeated rows are kept, and
+    rows that share a hash only widen the candidates. A column of the result's name, in any case, is
+    replaced; other names do not matter.
     """
-    names = [c for c in df.columns if c not in ("secrets", "_kinds", "_row")]
-    kinds = dict(df.dtypes)
-    hashed = [F.to_json(c) if "map<" in kinds[c] else F.col(f"`{c}`") for c in names]
-    text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
-    rows = df.select(*[F.col(f"`{c}`") for c in names], F.xxhash64(*hashed).alias("_row"))
-    index = postings(rows.select(F.col("_row").alias("row"), text.alias("text")), rules)
-    hits = candidates(index, rules).select(F.col("row").alias("_hit"), F.col("kinds").alias("_kinds"))
-    joined = rows.join(hits, F.col("_row") == F.col("_hit"), "left")
+    kept = [n for n, c in enumerate(df.columns) if c.lower() != out_col.lower()]
+    rows = numbered(df).select(*[f"c{n}" for n in kept], F.coalesce(F.col(f"c{place_of(df, text_col)}").cast("string"), F.lit("")).alias("text"))
+    rows = rows.withColumn("row", row_hash(rows))
+    hits = candidates(postings(rows.select("row", "text"), rules), rules).select(F.col("row").alias("hit"), "kinds")
+    joined = rows.join(hits, F.col("row") == F.col("hit"), "left")
     none = F.expr("cast(array() as array<struct<start: int, n: int, stop: int>>)")
     found = []
     for number, rule in enumerate(rules):
-        own = spans_of(text, _fast(rule), number)
-        found.append(own if trigram_query(rule) is None else F.when(F.array_contains("_kinds", rule.kind), own).otherwise(none))
-    return joined.select(*[F.col(f"`{c}`") for c in names], F.sort_array(F.concat(*found)).alias("secrets"))
+        own = spans_of(F.col("text"), _fast(rule), number)
+        found.append(own if trigram_query(rule) is None else F.when(F.array_contains("kinds", rule.kind), own).otherwise(none))
+    return joined.select(*[f"c{n}" for n in kept], F.sort_array(F.concat(*found))).toDF(*[df.columns[n] for n in kept], out_col)
 
 
 def span_text(spans: Column, rules: tuple[Rule, ...] = RULES) -> Column:
@@ -256,3 +256,21 @@ def redact(text: Column, spans: Column, by: str = "[REDACTED]") -> Column:
         return F.concat(F.array_join(acc["parts"], ""), F.substring(text, acc["at"] + 1, F.length(text)))
 
     return F.when(F.size(spans) > 0, F.aggregate(spans, start, walk, finish)).otherwise(text)
+
+
+def redact_secrets(df: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "text", count_col: str = "n_chars") -> DataFrame:
+    """The rows and exactly the columns of ``df`` with the secrets in the text replaced.
+
+    Where a text changes, ``count_col``, if there is such a column, becomes its new length. Null texts
+    stay null. All rows stay, repeated ones too; columns of any other name, such as secrets, are
+    carried as they are.
+    """
+    found = find_secrets(numbered(df), rules, f"c{place_of(df, text_col)}", "spans")
+    text = F.col(f"c{place_of(df, text_col)}")
+    found = found.withColumn("done", F.when(text.isNotNull(), redact(text.cast("string"), F.col("spans"))).cast(df.schema[place_of(df, text_col)].dataType))
+    columns = [F.col(f"c{n}") for n in range(len(df.columns))]
+    columns[place_of(df, text_col)] = F.col("done")
+    if count_col.lower() in [c.lower() for c in df.columns]:
+        n = place_of(df, count_col)
+        columns[n] = F.when(F.size("spans") > 0, F.length("done").cast(df.schema[n].dataType)).otherwise(columns[n])
+    return found.select(*columns).toDF(*df.columns)

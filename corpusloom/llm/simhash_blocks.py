@@ -18,8 +18,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import bounded_batches, checkpointed, connected_components, map_rows, stored
+from .common import arrow_schema, bounded_batches, checkpointed, connected_components, map_rows, numbered, place_of, row_hash, stored
 
 #: Rows of a group that is compared at once in a task.
 DIRECT = 2048
@@ -231,17 +232,46 @@ def near_duplicates(df: DataFrame, words: int = 3, distance: int = 3, blocks: in
     return components(rows, pigeonhole_links(rows.select("fp").distinct(), distance, blocks))
 
 
-# Wide fingerprints: similarity down to 0.8 differs in too many bits for 64-bit pigeonholes
+# Similarity of whole shingle sets
 
-#: Lanes of 64 bits, bits of a block, and the share of bits in which candidates differ at most.
-#: Sets of Jaccard similarity 0.8 have a cosine of 8/9 or more and differ in 15.2 % of the bits on
-#: average, with a deviation of 1.3 %; sets of four and five shingles, whose bits can tie, in 18.8 %
-#: with 1.4 %. The limit is four deviations above that; the sets themselves decide afterwards.
-WIDE_LANES, BLOCK_BITS, WIDE_SHARE = 12, 12, 0.245
-#: Bits of the 128 that travel with a block in which its candidates differ at most: 19.4 are expected
-#: at similarity 0.8, with a deviation of 4.1; the rest is verified on all bits. Unrelated texts differ
-#: in 64 with a deviation of 5.7, so that hardly any pass as groups grow.
-SKETCH_BITS = 40
+#: Lanes of the fingerprint of a set, and differing bits up to which a pair is a candidate. Sets of Jaccard
+#: similarity 0.8 have a cosine of 8/9 and differ in 15.2 % of the bits on average, with a deviation of
+#: 2.2 %; sets of four and five shingles, whose bits can tie, in 18.8 %. The sets themselves decide afterwards.
+LANES, NEAR_BITS = 4, 68
+#: Cells of a set that are dealt, each with its own fingerprint as a block.
+CELLS = 16
+#: Rows of a group of equal blocks that are compared at once, and texts that are.
+GROUP, CHUNK = 4096, 1000
+#: Blocks on which a group that stays large is split at most, one after another.
+DEPTH = 4
+
+
+def set_blocks(hashes: np.ndarray) -> np.ndarray:
+    """Blocks (signed 64 bits) of a set of distinct hashes: the SimHash of each non-empty dealt cell.
+
+    The hashes are dealt to cells by a mixed hash, two to four a cell, or to 16 cells if they are few.
+    Sets of similarity 0.8 differ in two ninths of a set's hashes, which are fewer than its cells, so by
+    the pigeonhole principle some cells agree as a whole: six or more of 16 on average at worst, none
+    with a probability below 0.1 %. Sets whose sizes lie to both sides of a power of two meet in the
+    cells of the smaller one.
+    """
+    n, out = len(hashes), []
+    level = max(n.bit_length() - 1, 0)
+    levels = {max(4, level - 1)} | ({max(4, level - 2)} if 4 * n < 5 << level else set())
+    for log in sorted(levels) if n else ():
+        cell = _mixed(hashes, 97) >> np.uint64(64 - log)
+        at = np.flatnonzero(cell < CELLS)
+        at = at[np.argsort(cell[at], kind="stable")]
+        if not len(at):
+            continue
+        own = cell[at]
+        starts = np.flatnonzero(np.concatenate([[True], own[1:] != own[:-1]]))
+        bits = np.unpackbits(hashes[at].astype(">u8").view(np.uint8).reshape(-1, 8), axis=1)
+        counts = np.diff(np.concatenate([starts, [len(at)]]))
+        majority = np.add.reduceat(bits, starts, axis=0, dtype=np.int64) * 2 > counts[:, None]
+        value = np.packbits(majority, axis=1).view(">u8").reshape(-1).astype(np.uint64)
+        out.append(_mixed(value ^ (own[starts] + np.uint64(CELLS * log)), 3))
+    return np.concatenate(out).view(np.int64) if out else np.zeros(0, dtype=np.int64)
 
 
 def _near_labels(x: np.ndarray, distance: int) -> np.ndarray:
@@ -268,60 +298,70 @@ def _near_labels(x: np.ndarray, distance: int) -> np.ndarray:
     return parent
 
 
-def wide_links(fps: DataFrame, share: float = WIDE_SHARE) -> DataFrame:
-    """Links ``a, b`` between ``node`` values of distinct wide fingerprints ``(node long, fp binary)``.
-
-    Each fingerprint of ``WIDE_LANES * 64`` bits is dealt once a block, with a sketch of 128 of its
-    bits. A group keeps the rows whose sketch is near another's; only these are joined with their
-    fingerprints, meet again in their groups and are verified on all bits. Groups emit rows and
-    spanning links, never pairs. At similarity 0.8 a pair shares one of the 64 blocks with a
-    probability of 99.99 %.
-    """
-    blocks = WIDE_LANES * 64 // BLOCK_BITS
-    dealt_schema = pa.schema([("t", pa.int32()), ("k", pa.int32()), ("node", pa.int64()), ("one", pa.int64()), ("two", pa.int64())])
-    kept_schema = pa.schema([("t", pa.int32()), ("k", pa.int64()), ("node", pa.int64())])
-    link_schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+def _grouped_links(rows: DataFrame) -> DataFrame:
+    """``k, a, b``: links that span the near components of each group of equal ``k`` among rows of ``k, node, fp``; groups are bounded."""
+    schema = pa.schema([("k", pa.int64()), ("a", pa.int64()), ("b", pa.int64())])
 
-    def deal(batches):
+    def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                n = part.num_rows
-                octets = np.frombuffer(b"".join(part.column(1).to_pylist()), dtype=np.uint8).reshape(n, -1)
-                keys = np.packbits(np.unpackbits(octets, axis=1).reshape(n, blocks, BLOCK_BITS), axis=2)
-                keys = (keys[:, :, 0].astype(np.int32) << 8) | keys[:, :, 1]
-                # a block that begins in lane i travels with two lanes that it does not reach
-                lanes, begin = octets.view(">u8").astype(np.int64), np.arange(blocks) * BLOCK_BITS // 64
-                columns = (
-                    np.tile(np.arange(blocks, dtype=np.int32), n), keys.reshape(-1),
-                    np.repeat(part.column(0).to_numpy(), blocks), *(lanes[:, (begin + k) % WIDE_LANES].reshape(-1) for k in (2, 3)),
-                )
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=dealt_schema)
-
-    def near_in_group(batches):
-        for t, k, node, *sketch in _groups(batches):
-            label = _near_labels(np.stack(sketch, axis=1).view(np.uint64), SKETCH_BITS)
-            inverse, count = np.unique(label, return_inverse=True, return_counts=True)[1:]
-            at = count[inverse] > 1
-            if at.any():
-                own = (np.int64(k) << 32) + label[at]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(at.sum(), t, dtype=np.int32)), pa.array(own), pa.array(node[at])], schema=kept_schema)
-
-    most = int(share * WIDE_LANES * 64)
-
-    def verified(batches):
-        for _, _, node, fp in _groups(batches):
-            x = np.frombuffer(b"".join(fp.tolist()), dtype=">u8").reshape(len(fp), -1).astype(np.uint64)
-            label = _near_labels(x, most)
-            at = label != np.arange(len(label))
-            if at.any():
-                yield pa.RecordBatch.from_arrays([pa.array(node[at]), pa.array(node[label[at]])], schema=link_schema)
-
-    bounded_batches(fps.sparkSession)
-    rows = fps.select("node", "fp").mapInArrow(deal, "t int, k int, node long, one long, two long")
-    kept = rows.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(near_in_group, "t int, k long, node long")
-    full = kept.join(fps.select(F.col("node").alias("_n"), "fp"), F.col("node") == F.col("_n")).select("t", "k", "node", "fp")
-    return full.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(verified, "a long, b long")
+            keys, lists = batch.column(0).to_numpy(), batch.column(1)
+            ends, flat = lists.offsets.to_numpy(), lists.flatten()
+            first, nodes, fps = ends[0], flat.field(0).to_numpy(), flat.field(1)
+            for key, a, b in zip(keys.tolist(), (ends[:-1] - first).tolist(), (ends[1:] - first).tolist(), strict=True):
+                node = nodes[a:b]
+                order = np.argsort(node, kind="stable")
+                node = node[order]
+                x = np.frombuffer(b"".join(fps.slice(a, b - a).to_pylist()), dtype=">u8").reshape(b - a, -1)[order].astype(np.uint64)
+                label = _near_labels(x, NEAR_BITS)
+                at = label != np.arange(len(label))
+                if at.any():
+                    columns = (np.full(at.sum(), key, dtype=np.int64), node[at], node[label[at]])
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=schema)
+
+    bounded_batches(rows.sparkSession)
+    groups = rows.groupBy("k").agg(F.collect_list(F.struct("node", "fp")).alias("g"))  # at most about GROUP rows
+    return groups.where(F.size("g") > 1).mapInArrow(run, "k long, a long, b long")
+
+
+def set_links(sets: DataFrame) -> DataFrame:
+    """Candidate links ``a, b`` between the rows of ``node long, fp binary, blocks array<long>``, one row a distinct set.
+
+    Rows that share a block meet in a group, which gives links that span its components by Hamming
+    distance. In a larger group first each of several parts keeps one row a component, so a crowd of
+    near copies shrinks to a few; if many are left, they are not near each other and are dealt by each
+    further block that they share as well. No group of any size meets in one task.
+    """
+    counts = checkpointed(sets.select(F.explode("blocks").alias("k")).groupBy("k").agg(F.count("*").alias("n")).where("n > 1"))
+    dealt = sets.select("node", "fp", F.explode("blocks").alias("k"))
+    links = [checkpointed(_grouped_links(dealt.join(counts.where(F.col("n") <= GROUP), "k", "left_semi")))]
+    hot = counts.where(F.col("n") > GROUP)
+    placed = sets.select("node", "fp", "blocks", F.posexplode("blocks").alias("place", "k"))
+    for depth in range(DEPTH + 1):
+        if hot.isEmpty():
+            break
+        rows = stored(placed.join(hot, "k").select("k", "n", "place", "node", "fp", "blocks"), "hot")
+        for turn in range(3):
+            # parts of a group by a hash that differs from turn to turn
+            part = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / GROUP))
+            parted = stored(rows.withColumn("p", F.xxhash64("k", part)), "hot")
+            found = checkpointed(_grouped_links(parted.select(F.col("p").alias("k"), "node", "fp")))
+            links.append(found)
+            gone = found.select(F.col("k").alias("_k"), F.col("a").alias("_a"))
+            left = parted.join(gone, (F.col("p") == F.col("_k")) & (F.col("node") == F.col("_a")), "left_anti").drop("n", "p")
+            now = checkpointed(left.groupBy("k").agg(F.count("*").alias("n")))
+            before = rows.select("k", "n").distinct()
+            shrunk = now.join(before.withColumnRenamed("n", "m"), "k").where(F.col("n") <= 0.8 * F.col("m")).limit(1).count()
+            rows = stored(left.join(now, "k"), "hot")
+            if now.where(F.col("n") > GROUP).isEmpty() or not shrunk:
+                break
+        links.append(checkpointed(_grouped_links(rows.where(F.col("n") <= GROUP).select("k", "node", "fp"))))
+        further = F.posexplode(F.expr("slice(blocks, place + 2, size(blocks))")).alias("more", "other")
+        deeper = rows.where(F.col("n") > GROUP).select("k", "node", "fp", "blocks", "place", further)
+        placed = deeper.select("node", "fp", "blocks", (F.col("place") + 1 + F.col("more")).alias("place"), F.xxhash64("k", "other").alias("k"))
+        counts = checkpointed(placed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"))
+        links.append(checkpointed(_grouped_links(placed.join(counts.where(F.col("n") <= GROUP), "k", "left_semi").select("k", "node", "fp"))))
+        hot = counts.where(F.col("n") > GROUP)
+    return reduce(DataFrame.unionByName, links).select("a", "b")
 
 
 def exact_groups(sets: list[np.ndarray], fifths: int = 4) -> np.ndarray:
@@ -371,57 +411,122 @@ def _gathered(codes: np.ndarray, starts: np.ndarray, rows: np.ndarray) -> tuple[
     return codes[np.repeat(starts[rows] - firsts, sizes) + np.arange(int(sizes.sum()))], firsts
 
 
-def exact_roots(texts: DataFrame, words: int) -> DataFrame:
-    """``node, root`` for the rows of ``part, node, text``: of each part the components by the exact similarity of shingle sets."""
-    schema = pa.schema([("node", pa.int64()), ("root", pa.int64())])
+def exact_links(texts: DataFrame, words: int) -> DataFrame:
+    """``a, b``: links that span the components by exact similarity of shingle sets in each group of the rows of ``g long, node, text``.
+
+    A node that a group holds twice counts once.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def run(batches):
         for _, _, node, text in _groups(batches):
-            label = exact_groups([np.unique(shingle_hashes(t, words)) for t in text])
-            yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[label])], schema=schema)
+            node, at = np.unique(node, return_index=True)
+            label = exact_groups([np.unique(shingle_hashes(t, words)) for t in text[at]])
+            far = label != np.arange(len(label))
+            if far.any():
+                yield pa.RecordBatch.from_arrays([pa.array(node[far]), pa.array(node[label[far]])], schema=schema)
 
     bounded_batches(texts.sparkSession)
-    keyed = texts.select(F.lit(0).alias("t"), "part", "node", "text")
-    return keyed.repartition("part").sortWithinPartitions("part").mapInArrow(run, "node long, root long")
+    keyed = texts.select(F.lit(0).alias("t"), "g", "node", "text")
+    return keyed.repartition("g").sortWithinPartitions("g").mapInArrow(run, "a long, b long")
+
+
+def exact_components(texts: DataFrame, words: int) -> DataFrame:
+    """``node, root`` for the rows of ``part, node, text`` that have a near one: the components of each part by exact similarity.
+
+    Parts of up to ``CHUNK`` texts are compared in one task each. Of larger ones first each chunk keeps
+    one text a component, again and again while that makes them fewer; what is not joined to a part's
+    largest component by then is compared with all chunks of the part, chunk by chunk. So every pair
+    that may join two components has been compared, and no task holds more than two chunks.
+    """
+    sizes = checkpointed(texts.groupBy("part").agg(F.count("*").alias("n")))
+    small, large = sizes.where(F.col("n") <= CHUNK), sizes.where(F.col("n") > CHUNK)
+    links = [checkpointed(exact_links(texts.join(small.select("part"), "part").withColumn("g", F.col("part")), words))]
+    if not large.isEmpty():
+        full = stored(texts.join(large, "part"), "large")
+        rows, before = full, full.count()
+        while True:
+            chunk = F.pmod(F.xxhash64("node", F.lit(len(links))), F.ceil(F.col("n") / CHUNK))
+            found = checkpointed(exact_links(rows.withColumn("g", F.xxhash64("part", chunk)), words))
+            links.append(found)
+            left = rows.join(found.select(F.col("a").alias("_a")), F.col("node") == F.col("_a"), "left_anti").drop("n")
+            now = checkpointed(left.groupBy("part").agg(F.count("*").alias("n")))
+            after = now.agg(F.sum("n")).first()[0] or 0
+            if rows.where(F.col("n") > CHUNK).isEmpty() or after > 0.8 * before:
+                break
+            rows, before = stored(left.join(now, "part"), "large"), after
+        roots = connected_components(reduce(DataFrame.unionByName, links[1:])).withColumnRenamed("node", "_n")
+        placed = full.select("part", "node", "n").join(roots, F.col("node") == F.col("_n"), "left").select("part", "node", "n", F.coalesce("root", "node").alias("root"))
+        clusters = placed.groupBy("part", "root").agg(F.count("*").alias("m"))
+        main = clusters.groupBy(F.col("part").alias("_p")).agg(F.max_by("root", F.struct("m", "root")).alias("main"))
+        minor = checkpointed(placed.join(main, F.col("part") == F.col("_p")).where("root <> main").select("part", "node", "n"))
+        if not minor.isEmpty():
+            of = checkpointed(minor.groupBy("part").agg(F.count("*").alias("m")))
+
+            def chunk_of(rows: str):
+                return F.pmod(F.xxhash64("node", F.lit(rows)), F.ceil(F.col(rows) / CHUNK))
+
+            def each(rows: str):
+                return F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(rows) / CHUNK) - 1))
+
+            both = full.join(of, "part")
+            few = both.join(minor.select(F.col("node").alias("_m")), F.col("node") == F.col("_m"), "left_semi")
+            one = few.select("part", "node", "text", chunk_of("m").alias("i"), each("n").alias("j"))
+            two = both.select("part", "node", "text", each("m").alias("i"), chunk_of("n").alias("j"))
+            links.append(checkpointed(exact_links(one.unionByName(two).withColumn("g", F.xxhash64("part", "i", "j")), words)))
+    return connected_components(reduce(DataFrame.unionByName, links))
 
 
 def keep_one(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``df``, all columns, without near-duplicates: of each component the row with the smallest id stays.
+    """The rows of ``df``, all columns, without near-duplicates: of each component exactly one row stays.
 
     Documents link if the sets of their word shingles, repeats left out, have a Jaccard similarity of
-    0.8 or more. Wide SimHash fingerprints of the sets only propose components; within each of them
-    the sets themselves decide. Texts of equal shingle sets always link. Rows that equal a kept row in
-    id and text go as well. A component without any id keeps its rows. Ids must be comparable. The
-    texts of a proposed component meet in one task.
+    0.8 or more. Blocks and SimHash fingerprints of the sets only propose components; within each of
+    them the sets themselves decide. Texts of equal shingle sets always link, so null, empty and blank
+    texts do. The row that stays is the one with the smallest id, rows without an id last; of several
+    the one with the smallest hash of all its columns, so the result does not depend on the order of
+    the rows. Repeated rows are one row afterwards; columns of any name are carried; an empty table
+    gives an empty one. Ids must be numbers.
     """
-    own_id, own_text = F.col(f"`{id_col}`").cast("long"), F.col(f"`{text_col}`").cast("string")
-    # rows without an id are told apart by their text
-    content = F.when(own_id.isNull(), F.xxhash64(own_text)).otherwise(F.lit(0))
-    number = F.coalesce(own_id, F.lit(-(1 << 63)))
+    names, text_at = df.columns, place_of(df, text_col)
+    plain = numbered(df)
+    own_id = F.col(f"c{place_of(df, id_col)}").cast("long")
+    source = plain.select(
+        *plain.columns, F.monotonically_increasing_id().alias("rid"), own_id.alias("id"), row_hash(plain).alias("hash"), F.col(f"c{text_at}").cast("string").alias("body")
+    )
+    target = T.StructType([*source.schema.fields[:-1], *T.StructType.fromDDL("node long, fp binary, blocks array<long>").fields])
+    out_schema = arrow_schema(target)
 
-    def make():
+    def run(batches):
         import xxhash
 
-        def work(key, own, text):
-            hashes = np.unique(shingle_hashes(text, words))
-            node = xxhash.xxh64_intdigest(hashes.tobytes(), 42)
-            return ((key, own, text, majority_bits(hashes, WIDE_LANES), node - (1 << 64) if node >> 63 else node),)
-
-        return work
-
-    named = df.select(own_id.alias("doc_id"), content.alias("content"), own_text.alias("text"))
-    rows = stored(map_rows(named, "doc_id long, content long, text string, fp binary, node long", make), "fingerprints")
-    fps = checkpointed(rows.groupBy("node").agg(F.min("fp").alias("fp"), F.min("doc_id").alias("low")))
-    parts = checkpointed(connected_components(wide_links(fps)).select(F.col("node").alias("_n"), F.col("root").alias("part")))
-    texts = rows.join(parts, F.col("node") == F.col("_n")).select("part", "node", "text").dropDuplicates(["node"])
-    roots = stored(exact_roots(texts, words).withColumnRenamed("node", "_n"), "roots")
-    placed = fps.join(roots, F.col("node") == F.col("_n"), "left").select("node", "low", F.coalesce("root", "node").alias("root"))
-    lowest = placed.groupBy("root").agg(F.min("low").alias("first_id")).withColumnRenamed("root", "_r")
-    of = placed.join(lowest, F.col("root") == F.col("_r")).select(F.col("node").alias("_n"), "first_id")
-    gone = (
-        rows.join(of, F.col("node") == F.col("_n"))
-        .where("first_id is not null and (doc_id is null or doc_id <> first_id)")
-        .select(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("_gone"), F.col("content").alias("_content"))
-        .distinct()
-    )
-    return df.join(gone, (number == F.col("_gone")) & (content == F.col("_content")), "left_anti").dropDuplicates([id_col, text_col])
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part = batch.slice(at, 256)
+                node, fp, blocks = [], [], []
+                for text in part.column(part.num_columns - 1).to_pylist():
+                    hashes = np.unique(shingle_hashes(text, words))
+                    node.append(xxhash.xxh64_intdigest(hashes.tobytes(), 42))
+                    fp.append(majority_bits(hashes, LANES))
+                    blocks.append(set_blocks(hashes))
+                ends = np.cumsum([0, *map(len, blocks)])
+                columns = [
+                    *part.columns[:-1], pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(fp, pa.binary()),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(blocks))),
+                ]
+                yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out_schema, strict=True)], schema=out_schema)
+
+    bounded_batches(df.sparkSession)
+    rows = stored(source.mapInArrow(run, target), "sets")
+    sets = stored(rows.groupBy("node").agg(F.min("rid").alias("rid"), F.any_value("fp").alias("fp"), F.any_value("blocks").alias("blocks")), "nodes")
+    parts = checkpointed(connected_components(set_links(sets)).select(F.col("node").alias("_n"), F.col("root").alias("part")))
+    # the text of one row a set
+    asked = sets.select("node", F.col("rid").alias("_rid")).join(parts, F.col("node") == F.col("_n")).select("part", "node", "_rid")
+    texts = stored(rows.select("rid", F.col(f"c{text_at}").cast("string").alias("text")).join(asked, F.col("rid") == F.col("_rid")).select("part", "node", "text"), "texts")
+    roots = checkpointed(exact_components(texts, words).withColumnRenamed("node", "_n"))
+    narrow = rows.select("rid", "id", "hash", "node").join(roots, F.col("node") == F.col("_n"), "left").select("rid", "id", "hash", F.coalesce("root", "node").alias("root"))
+    narrow = checkpointed(narrow)
+    order = F.struct(F.col("id").isNull().alias("x"), "id", "hash", "rid")
+    best = narrow.groupBy(F.col("root").alias("_r")).agg(F.min_by("rid", order).alias("best"), F.count("*").alias("n")).where("n > 1").select("_r", "best")
+    gone = narrow.join(checkpointed(best), F.col("root") == F.col("_r")).where("rid <> best").select(F.col("rid").alias("_gone"))
+    return rows.join(checkpointed(gone), F.col("rid") == F.col("_gone"), "left_anti").select(*plain.columns).toDF(*names)

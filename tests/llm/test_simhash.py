@@ -176,3 +176,56 @@ def test_components_of_a_chain(spark):
     found = {r.node: r.root for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert all(found[i] == 0 for i in range(41)) and {found[i] for i in (100, 101, 102)} == {100}
     assert common.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def brute_kept(texts):
+    """The smallest number of each component of texts by the exact similarity of their five-word shingle sets."""
+    sets = [set(sb.shingle_hashes(t, 5).tolist()) for t in texts]
+    low = list(range(len(sets)))
+    for i, a in enumerate(sets):
+        for j in range(i):
+            if a == sets[j] or 5 * len(a & sets[j]) >= 4 * len(a | sets[j]):
+                x, y = sorted((low[i], low[j]))
+                low = [x if v == y else v for v in low]
+    return sorted(set(low))
+
+
+def test_crowded_groups_against_brute_force(spark, monkeypatch):
+    """Large groups of near copies, copies that drift apart, and unrelated texts around one passage, with small limits."""
+    monkeypatch.setattr(sb, "GROUP", 6)
+    monkeypatch.setattr(sb, "CHUNK", 5)
+    rng = random.Random(11)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    base, passage, texts = some(150), some(120), []
+    for _ in range(40):
+        own = list(base)
+        own[rng.randrange(150)] = some(1)[0]
+        texts.append(" ".join(own))
+    drifting = some(150)
+    for _ in range(40):
+        drifting = drifting[3:] + some(3)
+        texts.append(" ".join(drifting))
+    texts += [" ".join(some(12) + passage + some(12)) for _ in range(30)] + [" ".join(some(60) + passage) for _ in range(30)]
+    rng.shuffle(texts)
+    kept = sb.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == brute_kept(texts)
+
+
+def test_one_row_of_equal_ids_stays_whatever_their_order(spark):
+    rows = [(1, "one two three four five six", tag) for tag in "yxzx"] + [(2, "One two  three four five six", "a"), (3, None, "b"), (3, "", "c"), (None, None, "d"), (4, "else " * 9, None)]
+    schema = "doc_id long, text string, tag string"
+    kept = [sorted(map(str, sb.keep_one(spark.createDataFrame(r, schema).repartition(n)).collect())) for n, r in ((1, rows), (3, rows[::-1]))]
+    assert kept[0] == kept[1] and len(kept[0]) == 3
+
+
+def test_names_of_helpers_are_carried(spark):
+    names = ["doc_id", "text", "rid", "id", "hash", "body", "node", "fp", "blocks", "_gone", "_content", "c0", "Node", "a.b", "root"]
+    rows = [(i, t, *range(len(names) - 2)) for i, t in enumerate(["a b c d e f", "a b c d e f", None])]
+    kept = sb.keep_one(spark.createDataFrame(rows, ", ".join(f"`{c}` {'string' if c == 'text' else 'long'}" for c in names if c != "Node") + ", `Node2` long").toDF(*names))
+    assert kept.columns == names and sorted(r[0] for r in kept.collect()) == [0, 2] and kept.first()[2:] == tuple(range(len(names) - 2))
+
+
+def test_hub_in_components(spark):
+    edges = [(0, i) for i in range(1, 3000)] + [(i, 5000 + i) for i in range(100)]
+    found = {r.node: r.root for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert len(found) == 3100 and set(found.values()) == {0}
