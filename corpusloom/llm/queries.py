@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import audio_media, chat_format, hypergeometric_shuffle, imatch, mixture_pack, secret_index, sentencepiece_codec, simhash_blocks, toxicity_chain, warc_salvage
-from .common import stored
+from .common import scan, stored
 
 SHARDS = 40
 
@@ -18,7 +18,7 @@ def _tokenizer(name: str) -> str:
 
 
 def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return scan(spark, f"{sf_dir}/{table}.parquet")
 
 
 def op1_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
