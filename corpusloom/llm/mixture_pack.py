@@ -1,7 +1,9 @@
 """Mixture-controlled packing: deficit round-robin over source queues fills windows to target proportions.
 
-Every document is tokenized once and stored with its place in its source's queue. A source's target
-share is its share of all tokens, so all queues run dry together. Tokens are dealt to windows by
+Every document is tokenized once and stored with its place in its source's queue. Target shares of
+the windows can be given by source; without them a source's target is its share of all tokens, so all
+queues run dry together. Where a queue runs dry before the others, these go on in proportion to their
+targets; no token is dropped or repeated. Tokens are dealt to windows by
 deficits: each window adds a source's share of its size to the source's deficit, sources are served
 in turn what their deficit allows, and what a window leaves over or takes ahead is carried on. The
 deal is a tree: a node of the tree deals its sources' quotas to at most ``FAN`` children by the same
@@ -39,16 +41,14 @@ KEPT_STREAMS = 64
 SENT_ROWS = 200_000
 #: Runs without white space of so many characters are left to the library, whose merging is not quadratic.
 _LONG = re.compile(r"\S{4096}")
-_PROBES = ("A b.\nC 'll d's  e\n\n\nf ", "x y\u00a0z\nq\r\n\t1", " lead 12ab-cd\n(e)", "<|endoftext|> é漢字🙂 \u200bz\u2028\x1c \x85")
+_PROBES = ("A b.\nC 'll d's  e\n\n\nf ", "x y\u00a0z\nq\r\n\t1", " lead 12ab-cd\n(e)", "é漢字🙂 \u200bz\u2028\x1c \x85")
 
 
 @lru_cache(maxsize=2)
 def tokenizer(path: str):
     from tokenizers import Tokenizer
 
-    found = Tokenizer.from_file(path)
-    found.encode_special_tokens = True
-    return found
+    return Tokenizer.from_file(path)
 
 
 @lru_cache(maxsize=2)
@@ -78,14 +78,19 @@ def fast_encoding(path: str):
 
 
 class DocumentIds:
-    """Ids of whole texts as bytes of one integer type, as the tokenizers library gives them."""
+    """Ids of whole texts as bytes of one integer type, as the tokenizers library gives them.
+
+    A control token of the vocabulary that stands in a text is read as such, as the library does;
+    such texts are left to it.
+    """
 
     def __init__(self, path: str) -> None:
         self.library, self.fast = tokenizer(path), fast_encoding(path)
+        self.control = [t.content for t in self.library.get_added_tokens_decoder().values()]
         self.kind = np.dtype("<u2") if self.library.get_vocab_size() <= 1 << 16 else np.dtype("<u4")
 
     def encode(self, text: str) -> bytes:
-        if self.fast is None or _LONG.search(text):
+        if self.fast is None or _LONG.search(text) or any(c in text for c in self.control):
             ids = np.array(self.library.encode(text, add_special_tokens=False).ids, dtype=self.kind)
         else:
             ids = self.fast.encode_to_numpy(text, disallowed_special=()).astype(self.kind)
@@ -246,8 +251,73 @@ class Sources:
             yield from self.mixture.pieces(queue, window * self.window + offset, n)
 
 
+def phases(totals: np.ndarray, weights: np.ndarray, window: int) -> list[np.ndarray]:
+    """Tokens that each queue gives in each phase; all but the last phase fill whole windows.
+
+    In a phase the queues that are not dry give in proportion to their weights until the next one is
+    about to run dry, and a window at a time around that point. Queues of weight 0 come last.
+    """
+    left, out = totals.astype(np.int64).copy(), []
+    while left.sum():
+        w = np.where(left > 0, weights, 0.0)
+        w = w / w.sum() if w.sum() > 0 else left / left.sum()
+        lasts = np.floor(np.min(left[w > 0] / w[w > 0]) / window) * window
+        size = int(min(max(lasts, window), left.sum()))
+        give = np.minimum(np.floor(w * size).astype(np.int64), left)
+        while short := size - int(give.sum()):
+            can, weight = (give < left) & (w > 0), w
+            if not can.any():
+                can, weight = give < left, left
+            share = np.where(can, weight, 0.0)
+            more = np.minimum(np.floor(share / share.sum() * short).astype(np.int64), left - give)
+            if not more.any():
+                order = np.argsort(np.where(can, give - w * size, np.inf), kind="stable")[: min(short, int(can.sum()))]
+                more[order] = 1
+            give += more
+        out.append(give)
+        left -= give
+    return out
+
+
+class Targets:
+    """Where each token of each source lies if the first sources have target shares and the others, as one queue, what is left."""
+
+    def __init__(self, totals: np.ndarray, shares: list[float], window: int = WINDOW, most: int = MOST_QUEUES) -> None:
+        self.named, self.window = len(shares), window
+        rest = totals[self.named :]
+        self.rest = Sources(rest, window, most) if len(rest) else None
+        queues = np.array([*totals[: self.named], *([rest.sum()] if len(rest) else [])], dtype=np.int64)
+        weights = np.array([*shares, *([max(0.0, 1.0 - sum(shares))] if len(rest) else [])], dtype=float)
+        gives = phases(queues, weights, window)
+        self.mixtures = [Mixture(g.tolist(), window) for g in gives]
+        self.before = np.concatenate([np.zeros((1, len(queues)), dtype=np.int64), np.cumsum(np.array(gives, dtype=np.int64).reshape(-1, len(queues)), axis=0)])
+        self.windows = np.concatenate([[0], np.cumsum([m.windows for m in self.mixtures])]).astype(int).tolist()
+
+    def _queue(self, queue: int, at: int, length: int) -> Iterator[tuple[int, int, int]]:
+        ends = self.before[:, queue]
+        while length:
+            k = int(np.searchsorted(ends, at, side="right")) - 1
+            n = min(length, int(ends[k + 1]) - at)
+            for window, offset, size in self.mixtures[k].pieces(queue, at - int(ends[k]), n):
+                yield self.windows[k] + window, offset, size
+            at, length = at + n, length - n
+
+    def pieces(self, source: int, at: int, length: int) -> Iterator[tuple[int, int, int]]:
+        """``(window, offset, length)`` for the source's tokens from ``at`` on, in order."""
+        if source < self.named:
+            yield from self._queue(source, at, length)
+            return
+        for window, offset, n in self.rest.pieces(source - self.named, at, length):
+            yield from self._queue(self.named, window * self.window + offset, n)
+
+
 def tokenize(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """``doc_id, source, part int, before long, n long, ids binary``: ``before`` counts the source's tokens in the part so far."""
+    """``doc_id, source, part int, before long, n long, ids binary``: ``before`` counts the source's tokens in the part so far.
+
+    A null or empty text has the end id alone; a null source is the source of the empty name; rows
+    without an id and repeated rows are rows like any other; other columns are not read; an empty
+    table gives an empty one.
+    """
     import pyarrow as pa
 
     from .common import bounded_batches
@@ -277,17 +347,23 @@ def tokenize(df: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "
     return source.mapInArrow(run, "doc_id long, source string, part int, before long, n long, ids binary")
 
 
-def pack(df: DataFrame, path: str, window: int = WINDOW, **columns: str) -> DataFrame:
+def pack(df: DataFrame, path: str, window: int = WINDOW, shares: dict[str, float] | None = None, **columns: str) -> DataFrame:
     """``doc_id, start, length, ids binary, doc_tokens, sequence_id, offset``: the pieces of every document.
 
     ``ids`` holds little-endian unsigned 32-bit integers. Each document's ids end with ``END_ID``. All
-    windows but the last are full. The target shares are the sources' natural shares and can not be
-    given. The driver and each task hold one number a source. A null text is empty, a null source is a source; repeated rows and
-    null ids are packed like any others; an empty table gives no pieces.
+    windows but the last are full. ``shares`` gives sources their target shares of a window; the others
+    share what is left of 1 as they occur. Without it all have their natural shares. The driver and
+    each task hold one number a source. A null text is empty, a null source is the source of the empty
+    name; repeated rows and null ids are packed like any others; other columns are not read; an empty
+    table gives no pieces.
     """
+    shares = shares or {}
+    if any(v < 0 for v in shares.values()) or sum(shares.values()) > 1 + 1e-9:
+        raise ValueError("shares are not negative and add up to 1 at most")
     rows = stored(tokenize(df, path, **columns), "tokens")
     sums = rows.groupBy("source", "part").agg(F.sum("n").alias("n"))
-    by_source = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "source").collect()
+    by_source = sums.groupBy("source").agg(F.sum("n").alias("n")).orderBy(F.desc(F.col("source").isin(list(shares))), F.desc("n"), "source").collect()
+    targets = [shares[r.source] for r in by_source if r.source in shares]
     totals, most = np.array([r.n for r in by_source], dtype=np.int64), MOST_QUEUES
     listed = df.sparkSession.createDataFrame([(r.source, k) for k, r in enumerate(by_source)], "q_source string, queue int")
     if len(by_source) <= SENT_ROWS:
@@ -302,7 +378,7 @@ def pack(df: DataFrame, path: str, window: int = WINDOW, **columns: str) -> Data
     )
 
     def make():
-        deals = Sources(totals, window, most)
+        deals = Targets(totals, targets, window, most) if targets else Sources(totals, window, most)
 
         def work(key, queue, at, n, raw):
             ids = np.frombuffer(raw, dtype=np.dtype("<u2") if len(raw) == 2 * n else np.dtype("<u4")).astype("<u4").tobytes()
