@@ -1,10 +1,12 @@
 """Toxicity categories by a classifier chain of linear models.
 
-The chain predicts its categories one after the other: the model of a category sees the words of the
+The chain predicts its categories one after the other: the model of a category sees its words in the
 document and the probabilities of all earlier categories. While fitting, those probabilities are
-out-of-fold predictions, so a later model learns from what an earlier one says of documents that it
-has not seen; equal texts lie in one fold. Word statistics and vectors are computed by Spark; only
-the vectors of a bounded sample of labelled rows and the chosen words reach the driver.
+out-of-fold predictions, by models whose words were chosen without the fold too, so a later model
+learns from what an earlier one says of documents that it has not seen; equal texts lie in one fold.
+All targets are columns of the labels: low quality, then toxic. Word statistics and vectors are
+computed by Spark; only the vectors of a bounded sample of labelled rows and the chosen words reach
+the driver.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from __future__ import annotations
 import re
 from collections import Counter
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -21,7 +24,7 @@ from .common import bounded_batches, checkpointed, map_rows
 
 #: Labelled rows that the chain is fitted on, at most (those with the smallest hash of their id and text).
 TRAIN_ROWS = 12_000
-#: Words that the models see, at most.
+#: Words that the model of a category sees, at most.
 VOCABULARY = 384
 #: Labelled positive documents that a word must be in, and its least log odds.
 LEAST_POSITIVES, LEAST_ODDS = 3, 1.0
@@ -31,9 +34,10 @@ FOLDS = 4
 RIDGE = 0.05
 #: Probability of the last category from which a document counts as toxic.
 THRESHOLD = 0.35
-#: Cue words that a positive document must have for each severity category, from the strongest on.
-SEVERITIES = (("severe", 4), ("repeated", 2), ("toxic", 0))
-_WORD = re.compile(r"\w+")
+#: Categories in the order of the chain: the column of the labels, and which values are positive ones.
+CATEGORIES = {"low_quality": ("quality", "= 0"), "toxic": ("toxic", "> 0")}
+#: Words, and runs of marks, in which low quality shows.
+_WORD = re.compile(r"\w+|[^\w\s]+")
 
 
 def sigmoid(z: np.ndarray) -> np.ndarray:
@@ -61,33 +65,45 @@ def fit_linear(x: np.ndarray, y: np.ndarray, ridge: float = RIDGE, steps: int =
 
 @dataclass(frozen=True)
 class Chain:
-    """Words in the order of their weights, categories in the order of the chain."""
+    """Words, categories in the order of the chain, the words that each category's model uses, and its weights in their order."""
 
     words: tuple[str, ...]
     categories: tuple[str, ...]
+    uses: tuple[np.ndarray, ...]
     weights: tuple[np.ndarray, ...]
 
     def probabilities(self, x: np.ndarray) -> np.ndarray:
-        """One column a category; each model sees ``x`` and the columns before."""
+        """One column a category; each model sees its words' columns of ``x`` and the columns before."""
         out = np.zeros((len(x), 0))
-        for w in self.weights:
-            out = np.hstack([out, sigmoid(np.hstack([x, out]) @ w[:-1] + w[-1])[:, None]])
+        for use, w in zip(self.uses, self.weights, strict=True):
+            out = np.hstack([out, sigmoid(np.hstack([x[:, use], out]) @ w[:-1] + w[-1])[:, None]])
         return out
 
 
-def fit_chain(x: np.ndarray, labels: np.ndarray, folds: np.ndarray, words: tuple[str, ...], categories: tuple[str, ...]) -> Chain:
-    """Fit one model a category; ``labels`` has one column a category, ``folds`` a fold for each row."""
-    seen, weights = np.zeros((len(x), 0)), []
+def fit_chain(
+    x: np.ndarray, labels: np.ndarray, folds: np.ndarray, words: tuple[str, ...], categories: tuple[str, ...], chosen: list[dict] | None = None
+) -> Chain:
+    """Fit one model a category; ``labels`` has one column a category (negative: unknown), ``folds`` a fold for each row.
+
+    ``chosen`` gives the columns of each category's words by the fold that they were chosen without, and
+    under None those of the final model; without it all columns are used.
+    """
+    everything = np.arange(x.shape[1])
+    seen, uses, weights = np.zeros((len(x), 0)), [], []
     for k in range(labels.shape[1]):
-        inputs = np.hstack([x, seen])
-        held_out = np.zeros(len(x))
+        known, held_out = labels[:, k] >= 0, np.zeros(len(x))
+        own = chosen[k] if chosen else {}
         for fold in np.unique(folds):
             at = folds == fold
-            w = fit_linear(inputs[~at], labels[~at, k])
+            inputs = np.hstack([x[:, own.get(int(fold), everything)], seen])
+            w = fit_linear(inputs[~at & known], labels[~at & known, k])
             held_out[at] = sigmoid(inputs[at] @ w[:-1] + w[-1])
-        weights.append(fit_linear(inputs, labels[:, k]))
+        uses.append(np.asarray(own.get(None, everything), dtype=np.int64))
+        weights.append(fit_linear(np.hstack([x[:, uses[-1]], seen])[known], labels[known, k]))
         seen = np.hstack([seen, held_out[:, None]])
-    return Chain(words, categories, tuple(weights))
+    # the columns that only models of folds use are left out
+    kept = np.unique(np.concatenate(uses))
+    return Chain(tuple(words[c] for c in kept), categories, tuple(np.searchsorted(kept, u) for u in uses), tuple(weights))
 
 
 class Index(dict):
@@ -120,76 +136,86 @@ def vectors(counts: list[dict[int, int]], width: int) -> np.ndarray:
     return out
 
 
-def choose_words(labelled: DataFrame, size: int = VOCABULARY) -> list[tuple[str, float]]:
-    """The words most over-represented in positive rows, with their log odds; ties by the word."""
-    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+)")))
+def choose_words(labelled: DataFrame, categories: list[str], size: int = VOCABULARY) -> dict[str, dict[int | None, list[str]]]:
+    """By category, and by the fold that is left out (None: no fold), the words most over-represented in positive rows.
+
+    ``labelled`` has a text, a fold and one column a category (0, 1 or null, which does not count). Ties
+    go by the word; texts that are null or have no words choose none; an empty table gives empty lists.
+    """
+    words = F.array_distinct(F.regexp_extract_all(F.lower("text"), F.lit(r"(?U)(\w+|[^\w\s]+)")))
 
     def stems(k: int):
         return F.transform(F.filter("words", lambda w: F.length(w) >= k), lambda w: F.concat(F.substring(w, 1, k), F.lit("*")))
 
+    def sums() -> list:
+        out = []
+        for c in categories:
+            for f in range(FOLDS):
+                inside = F.when(F.col("fold") == f, F.col(c))
+                out += [F.coalesce(F.sum(inside), F.lit(0)).alias(f"p_{c}_{f}"), F.count(inside).alias(f"n_{c}_{f}")]
+        return out
+
     features = F.array_distinct(F.concat("words", *map(stems, STEMS)))
-    counts = (
-        labelled.select("label", words.alias("words"))
-        .select("label", F.explode(features).alias("word"))
-        .groupBy("word")
-        .agg(F.sum("label").alias("p"), F.count("*").alias("n"))
-    )
-    total = labelled.agg(F.sum("label").alias("tp"), F.count("*").alias("tn")).first()
-    positives, negatives = int(total.tp or 0), int(total.tn - (total.tp or 0))
-    odds = F.log((F.col("p") + 0.5) / (positives + 1) / ((F.col("n") - F.col("p") + 0.5) / (negatives + 1)))
-    best = (
-        counts.where(F.col("p") >= LEAST_POSITIVES)
-        .select("word", odds.alias("odds"), (odds * F.col("p")).alias("score"))
-        .where(F.col("odds") >= LEAST_ODDS)
-        .orderBy(F.desc("score"), "word")
-        .limit(size)
-    )
-    return [(r.word, r.odds) for r in best.collect()]  # at most `size` rows
+    rows = labelled.select("fold", *categories, words.alias("words")).select("fold", *categories, F.explode(features).alias("word"))
+    counts = checkpointed(rows.groupBy("word").agg(*sums()).where(" or ".join(f"{' + '.join(f'p_{c}_{f}' for f in range(FOLDS))} >= {LEAST_POSITIVES}" for c in categories)))
+    total = labelled.agg(*sums()).first().asDict()
+    tops = []
+    for k, c in enumerate(categories):
+        for left_out in (None, *range(FOLDS)):
+            inside = [f for f in range(FOLDS) if f != left_out]
+            p, n = (sum((F.col(f"{x}_{c}_{f}") for f in inside), F.lit(0)) for x in "pn")
+            positives, known = (sum(total[f"{x}_{c}_{f}"] for f in inside) for x in "pn")
+            odds = F.log((p + 0.5) / (positives + 1) / ((n - p + 0.5) / (known - positives + 1)))
+            best = counts.where(p >= LEAST_POSITIVES).select(F.lit(k).alias("category"), F.lit(left_out).cast("int").alias("fold"), "word", odds.alias("odds"), (odds * p).alias("score"))
+            tops.append(best.where(F.col("odds") >= LEAST_ODDS).orderBy(F.desc("score"), "word").limit(size))
+    out: dict[str, dict[int | None, list[str]]] = {c: {f: [] for f in (None, *range(FOLDS))} for c in categories}
+    for r in reduce(DataFrame.unionByName, tops).orderBy("category", "fold", F.desc("score"), "word").collect():  # at most `size` rows a list
+        out[categories[r.category]][r.fold].append(r.word)
+    return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", train_rows: int = TRAIN_ROWS, seed: int = 5) -> Chain:
-    """A chain of severity categories from ``docs (doc_id, text)`` and ``labels (doc_id, label)``.
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = 5) -> Chain:
+    """A chain of the categories that ``labels (doc_id, quality, toxic)`` has, from ``docs (doc_id, text)``.
 
-    A positive document is of a category if it holds enough different cue words (the chosen words
-    with log odds of at least 2). Rows without text, label or partner are not used. Without any
-    labelled row the chain has no words and says 0.
+    It is fitted on at most ``train_rows`` labelled rows, those with the smallest hash of id and text.
+    Rows without text, id, any label or partner are not used; a label that is null is not used for its
+    category; rows of labels that repeat count as often. Other columns are not read. Without any
+    labelled row, or any word, the chain says 0.
     """
-    rows = labels.where(F.col(label_col).isNotNull()).select(F.col("doc_id").alias("_id"), (F.col(label_col) > 0).cast("int").alias("label"))
-    order = F.xxhash64(F.lit(seed), "doc_id", "text")
+    known = {name: rule for name, rule in CATEGORIES.items() if rule[0] in labels.columns}
+    names = list(known)
+    marks = [F.expr(f"CAST(`{column}` {rule} AS INT)").alias(name) for name, (column, rule) in known.items()]
+    rows = labels.select(F.col("doc_id").alias("_id"), *marks).where(" or ".join(f"{n} is not null" for n in names))
     sample = (
         docs.where("text is not null")
         .select("doc_id", "text")
         .join(rows, F.col("doc_id") == F.col("_id"))
-        .select(order.alias("h"), F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"), "label", "text")
+        .select(F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"), *names, "text")
     )
-    total = sample.count()
-    if total > train_rows:
-        # cut by hash, a little generously, and then exactly; no row meets another in one task
-        share = min(1.0, 1.2 * train_rows / total + 100 / total)
-        sample = sample.where(F.pmod(F.col("h"), F.lit(1_000_000)) < int(share * 1_000_000))
-    sample = checkpointed(sample.orderBy("h").limit(train_rows))
-    chosen = choose_words(sample)
-    words = tuple(w for w, _ in chosen)
-    cues = {k for k, (_, odds) in enumerate(chosen) if odds >= 2.0}
+    # the cut is found on the hashes alone, so texts stay where they are
+    cut = sample.select("h").orderBy("h").limit(train_rows).agg(F.max("h")).first()[0]
+    sample = checkpointed(sample.where(F.col("h") <= cut) if cut is not None else sample.limit(0))
+    chosen = choose_words(sample, names)
+    words = tuple(sorted({w for lists in chosen.values() for own in lists.values() for w in own}))
 
     def make():
         index = Index(words)
 
-        def work(fold, label, text):
+        def work(fold, text, *labels):
             found = count_words(text, index)
-            return ((fold, label, list(found), list(found.values())),)
+            return ((fold, list(labels), list(found), list(found.values())),)
 
         return work
 
-    held = map_rows(sample.select("fold", "label", "text"), "fold int, label int, ids array<int>, counts array<int>", make).collect()
-    counts = [dict(zip(r.ids, r.counts, strict=True)) for r in held]
-    y = np.array([r.label for r in held], dtype=float)
-    distinct = np.array([len(cues & c.keys()) for c in counts])
-    categories = tuple(name for name, _ in SEVERITIES)
-    if not len(y) or not words:
-        return Chain((), categories, tuple(np.array([0.0] * k + [-30.0]) for k in range(len(categories))))
-    targets = np.stack([y * (distinct >= least) for _, least in SEVERITIES], axis=1)
-    return fit_chain(vectors(counts, len(words)), targets, np.array([r.fold for r in held]), words, categories)
+    held = map_rows(sample.select("fold", "text", *names), "fold int, labels array<int>, ids array<int>, counts array<int>", make).collect()
+    if not held or not words:
+        return Chain((), tuple(names), tuple(np.zeros(0, dtype=np.int64) for _ in names), tuple(np.array([0.0] * k + [-30.0]) for k in range(len(names))))
+    held.sort(key=lambda r: (r.fold, r.ids, r.counts, str(r.labels)))  # the same sums in whatever order the rows came
+    at = {w: k for k, w in enumerate(words)}
+    columns = [{f: np.array([at[w] for w in own], dtype=np.int64) for f, own in chosen[c].items()} for c in names]
+    x = vectors([dict(zip(r.ids, r.counts, strict=True)) for r in held], len(words))
+    targets = np.array([[-1 if v is None else v for v in r.labels] for r in held], dtype=float)
+    return fit_chain(x, targets, np.array([r.fold for r in held]), words, tuple(names), columns)
 
 
 def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -221,7 +247,11 @@ def predict(docs: DataFrame, chain: Chain, id_col: str = "doc_id", text_col: str
 
 
 def keep_clean(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose last category's probability is below ``threshold``."""
+    """The rows of ``docs``, with all their columns, whose last category's probability is below ``threshold``.
+
+    A null or empty text has no words and stays, unless an empty text counts as toxic itself. Repeated
+    rows are judged alike; columns of any name are carried; an empty table gives an empty one.
+    """
     import pyarrow as pa
 
     bounded_batches(docs.sparkSession)

@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+from corpusloom.llm import queries
 from corpusloom.llm import toxicity_chain as tc
 
 
@@ -34,8 +35,16 @@ def test_chain_is_fitted_out_of_fold():
     x = rng.normal(size=(600, 3))
     first = (x[:, 0] > 0).astype(float)
     second = ((first > 0) & (x[:, 1] > 0)).astype(float)
-    chain = tc.fit_chain(x, np.stack([first, second], axis=1), rng.integers(0, 4, 600), ("a", "b", "c"), ("one", "two"))
+    folds = rng.integers(0, 4, 600)
+    chain = tc.fit_chain(x, np.stack([first, second], axis=1), folds, ("a", "b", "c"), ("one", "two"))
     assert len(chain.weights[0]) == 4 and len(chain.weights[1]) == 5  # the second sees the first's probability
+    # brute force: the first model without each fold says what the second one sees
+    told = np.zeros(600)
+    for f in range(4):
+        at = folds == f
+        w = tc.fit_linear(x[~at], first[~at])
+        told[at] = tc.sigmoid(x[at] @ w[:-1] + w[-1])
+    assert np.allclose(chain.weights[1], tc.fit_linear(np.hstack([x, told[:, None]]), second)) and np.allclose(chain.weights[0], tc.fit_linear(x, first))
     p = chain.probabilities(x)
     assert ((p > 0.5) == np.stack([first, second], axis=1)).mean() > 0.95
     assert chain.weights[1][3] > 0
@@ -68,3 +77,50 @@ def test_awkward_rows(spark, awkward, empty):
     assert [r.doc_id for r in tc.keep_clean(bad, chain).collect()] == [2]
     nothing = tc.fit(empty, spark.createDataFrame([], "doc_id long, toxic int"))
     assert tc.keep_clean(awkward, nothing).count() == 11 and tc.predict(empty, nothing).count() == 0
+
+
+def brute_words(rows, category, left_out):
+    """The words of :func:`tc.choose_words` by counting."""
+    inside = [r for r in rows if r["fold"] != left_out and r[category] is not None]
+    positives = sum(r[category] for r in inside)
+    seen = {}
+    for r in inside:
+        words = set(tc._WORD.findall(r["text"].lower()))
+        for f in words | {f"{w[:k]}*" for w in words for k in tc.STEMS if len(w) >= k}:
+            p, n = seen.get(f, (0, 0))
+            seen[f] = (p + r[category], n + 1)
+    scored = []
+    for f, (p, n) in seen.items():
+        odds = np.log((p + 0.5) / (positives + 1) / ((n - p + 0.5) / (len(inside) - positives + 1)))
+        if p >= tc.LEAST_POSITIVES and odds >= tc.LEAST_ODDS:
+            scored.append((-round(odds * p, 9), f))
+    return [f for _, f in sorted(scored)]
+
+
+def test_words_are_chosen_without_the_fold(spark):
+    docs, labels = corpus(120)
+    rows = [{"text": t, "fold": i % tc.FOLDS, "toxic": y, "low_quality": None if i % 7 == 0 else int(i % 3 == 0)} for (i, t), (_, y) in zip(docs, labels, strict=True)]
+    df = spark.createDataFrame([(r["text"], r["fold"], r["low_quality"], r["toxic"]) for r in rows], "text string, fold int, low_quality int, toxic int")
+    got = tc.choose_words(df, ["low_quality", "toxic"], 1000)
+    for c in ("low_quality", "toxic"):
+        for f in (None, *range(tc.FOLDS)):
+            assert sorted(got[c][f]) == sorted(brute_words(rows, c, f))
+    assert "nasty" in got["toxic"][None]
+
+
+def test_query_on_held_out_documents(spark, small, tmp_path):
+    """The registered query, fitted on two thirds of the labels, judged on the others."""
+    small = small.replace("sf0.001", "sf0.01")
+    labels = spark.read.parquet(f"{small}/labels.parquet")
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    chain = tc.fit(docs, labels.where("doc_id % 3 <> 0"))
+    assert chain.categories == ("low_quality", "toxic")
+    toxic = {r.doc_id: r.toxic for r in labels.where("doc_id % 3 = 0").collect()}
+    said = {r.doc_id: r.toxic >= tc.THRESHOLD for r in tc.predict(docs.join(labels.where("doc_id % 3 = 0").select("doc_id"), "doc_id"), chain).collect()}
+    right = [said[d] for d, t in toxic.items() if t]
+    assert np.mean(right) >= 0.6 and not any(said[d] for d, t in toxic.items() if not t)
+    rows = queries.op5_toxicity(spark, small).collect()
+    assert sorted(r.doc_id for r in rows) == sorted(r.doc_id for r in docs.collect())
+    whole = tc.fit(docs, labels)
+    told = {r.doc_id: r for r in tc.predict(docs, whole).collect()}
+    assert all(abs(r.p_toxic - told[r.doc_id].toxic) < 1e-5 and r.toxic == int(told[r.doc_id].toxic >= tc.THRESHOLD) for r in rows)
