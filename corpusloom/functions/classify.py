@@ -274,3 +274,83 @@ def blocked_domain(url: Column) -> Column:
 def filename_category(name: Column) -> Column:
     low = F.lower(name)
     return F.when(F.contains(low, F.lit("facture")), "facture").when(F.contains(low, F.lit("contrat")), "contrat").when(F.contains(low, F.lit("rapport")), "rapport").when(F.contains(low, F.lit("manuel")), "manuel").otherwise("document")
+
+
+# Ways of carrying out an intention with milliseconds and whether the web is searched, and further actions.
+STRATEGIES = {
+    "Summary": ("Local LLM summarization", 2000, False), "Search": ("Web search + fact checking", 5000, True),
+    "Recommendation": ("Context analysis + action planning", 3000, False), "Translation": ("Language detection + translation", 1500, False),
+    "Explanation": ("Knowledge retrieval + explanation", 4000, True), "General": ("General analysis", 2500, False),
+}
+ACTIONS = {"Summary": "export_note", "Search": "open_sources", "Recommendation": "create_tasks"}
+NO_TEXT = "Aucun contenu textuel disponible"
+
+
+def relevant_content(selection: Column, fulltext: Column, completeness: Column, intention: Column) -> Column:
+    """A selection of more than 50 bytes; else a complete text, cut for some intentions; else any selection; else the text's start."""
+    cut = F.when(intention.isin("Summary", "Translation") & (F.octet_length(fulltext) > 2000), F.concat(F.substring(fulltext, 1, 2000), F.lit("..."))).otherwise(fulltext)
+    start = F.when(F.octet_length(fulltext) > 500, F.concat(F.substring(fulltext, 1, 500), F.lit("..."))).otherwise(fulltext)
+    return (
+        F.when(F.octet_length(F.trim(selection)) > 50, selection)
+        .when(fulltext.isNotNull() & (completeness > 0.8), cut)
+        .when(F.trim(selection) != "", selection)
+        .when(fulltext.isNotNull(), start)
+        .otherwise(NO_TEXT)
+    )
+
+
+def strategy(intention: Column) -> Column:
+    """``struct<approach, duration_ms, web_search>``."""
+
+    def of(name: str) -> Column:
+        approach, duration, web = STRATEGIES[name]
+        return F.struct(F.lit(approach).alias("approach"), F.lit(duration).alias("duration_ms"), F.lit(web).alias("web_search"))
+
+    out = of("General")
+    for name in STRATEGIES:
+        out = F.when(intention == name, of(name)).otherwise(out)
+    return out
+
+
+def suggested_actions(intention: Column, app: Column, document_type: Column) -> Column:
+    """Names of actions: copying, what the intention asks for, and what the application and the document allow."""
+    by_intention = F.lit(None).cast("string")
+    for name, action in ACTIONS.items():
+        by_intention = F.when(intention == name, action).otherwise(by_intention)
+    listed = F.array(F.lit("copy"), by_intention, F.when(any_of(app, ("Word", "Pages")), "insert_document"), F.when(document_type == "web", "bookmark"))
+    return F.filter(listed, lambda a: a.isNotNull())
+
+
+# What each kind of page is headed by and what is asked about it.
+PAGE_FORMS = {
+    "article": (
+        "📰 **ARTICLE:**\n",
+        "**MISSION:** Résume cet article en 5 points clés, extrais 3 citations importantes, et génère 3 questions critiques pour approfondir le sujet.",
+    ),
+    "table_dataset": (
+        "📊 **DONNÉES TABULAIRES:**\n",
+        "**MISSION:** Analyse ces données structurées. Identifie 3 insights clés, détecte 2 valeurs aberrantes potentielles, et propose une synthèse actionnable.",
+    ),
+    "email_like": (
+        "📧 **CONTENU EMAIL/MESSAGE:**\n",
+        "**MISSION:** Résume ce message, extrais les action items et deadlines, identifie les contacts importants et propose un plan de suivi.",
+    ),
+    "commerce": (
+        "📄 **CONTENU:**\n",
+        "**MISSION:** Analyse ces informations commerciales. Identifie les meilleurs prix, compare les offres, et donne des conseils d'achat concrets basés sur les données extraites.",
+    ),
+}
+GENERIC_FORM = "**Question à propos de ce contenu :** "
+
+
+def page_form(kind: Column, source: Column, title: Column, url: Column, content: Column) -> Column:
+    """A page's content under the heading of its kind, with what is asked about it; commerce lists its first five prices."""
+    head = F.concat(source, F.lit(" extrait de **"), title, F.lit("**\n🔗 "), url, F.lit("\n\n"))
+    found = F.slice(prices(content), 1, 5)
+    listed = F.array_join(F.transform(found, lambda p: F.concat(F.lit("• "), p, F.lit("\n"))), "")
+    offers = F.when(F.size(found) > 0, F.concat(F.lit("💰 **PRIX DÉTECTÉS:**\n"), listed, F.lit("\n"))).otherwise("")
+    out = F.concat(head, content, F.lit("\n\n" + GENERIC_FORM))
+    for name, (heading, asked) in PAGE_FORMS.items():
+        form = F.concat(head, offers if name == "commerce" else F.lit(""), F.lit(heading), content, F.lit("\n\n" + asked))
+        out = F.when(kind == name, form).otherwise(out)
+    return out

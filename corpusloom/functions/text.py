@@ -194,19 +194,20 @@ def truncate_bytes(text: Column, limit: int) -> Column:
 
 
 def condense(text: Column, limit: int) -> Column:
-    """The text up to its last full stop within the limit if that is past the middle, else up to the last space."""
-    head = F.substring(text, 1, limit)
+    """The trimmed text up to its last full stop within the limit if that is past the middle, else up to the last space."""
+    bare = F.regexp_replace(text, r"(?U)^\s+|\s+$", "")
+    head = F.substring(bare, 1, limit)
     stop = F.length(head) - F.locate(".", F.reverse(head)) + 1
     space = F.length(head) - F.locate(" ", F.reverse(head)) + 1
-    at_stop, at_space = F.contains(head, F.lit(".")) & (stop > limit / 2), F.contains(head, F.lit(" "))
+    at_stop, at_space = F.contains(head, F.lit(".")) & (stop - 1 > limit // 2), F.contains(head, F.lit(" "))
     cut = F.when(at_space, F.substring(head, F.lit(1), space - 1)).otherwise(head)
-    return F.when(F.length(text) <= limit, text).when(at_stop, F.substring(head, F.lit(1), stop)).otherwise(F.concat(cut, F.lit("...")))
+    return F.when(F.length(bare) <= limit, bare).when(at_stop, F.substring(head, F.lit(1), stop)).otherwise(F.concat(cut, F.lit("...")))
 
 
 def key_sentences(text: Column, n: int) -> Column:
-    """The first sentences of more than 30 bytes."""
-    parts = F.transform(F.split(text, "[.!?]"), lambda s: F.trim(s))
-    return F.slice(F.filter(parts, lambda s: F.octet_length(s) > 30), 1, n)
+    """The first sentences of more than 30 bytes, counted before they are trimmed."""
+    long = F.filter(F.split(text, "[.!?]"), lambda s: (F.octet_length(s) > 30) & (F.trim(s) != ""))
+    return F.transform(F.slice(long, 1, n), lambda s: F.regexp_replace(s, r"(?U)^\s+|\s+$", ""))
 
 
 def line_numbers(text: Column, start: Column, end: Column) -> Column:
@@ -224,3 +225,56 @@ def human_size(size: Column) -> Column:
     for k in (3, 2, 1, 0):
         out = F.when(size < 1024.0 ** (k + 1), F.concat(F.round(size / 1024.0**k, 1).cast("string"), F.lit(f" {units[k]}"))).otherwise(out)
     return out
+
+
+def confidence_percent(confidence: Column) -> Column:
+    """0 to 100, cut to a whole number."""
+    return F.least(F.greatest(confidence * 100.0, F.lit(0.0)), F.lit(100.0)).cast("int")
+
+
+def ligature_positions(text: Column) -> Column:
+    """``array<struct<at, ligature>>``: bytes before each ligature, in order."""
+    found = F.array(*[F.lit(c) for c in LIGATURES | MORE_LIGATURES])
+    chars = F.split(text, "")
+    sized = F.transform(chars, lambda c, i: F.struct(F.octet_length(F.substring(text, F.lit(1), i)).alias("at"), c.alias("ligature")))
+    return F.filter(sized, lambda s: F.array_contains(found, s["ligature"]))
+
+
+# Phrases of a recording program's own windows, marks that are navigation, and what stands at the start of such lines.
+INTERFACE_MARKS = "©€@&+>\\|"
+
+
+def without_interface(text: Column, phrases: tuple[str, ...], starts: tuple[str, ...] = (), marks: str = INTERFACE_MARKS) -> Column:
+    """Trimmed lines of three bytes or more that hold none of the phrases, are not marks alone and do not begin as listed."""
+    lines = F.transform(F.split(text, "\r?\n"), lambda x: F.trim(x))
+
+    def good(line: Column) -> Column:
+        noise = (F.octet_length(line) < 3) | (F.translate(line, marks, "") == "")
+        for s in starts:
+            noise = noise | F.startswith(line, F.lit(s))
+        return ~noise & ~any_of(line, phrases)
+
+    return F.trim(F.array_join(F.filter(lines, good), "\n"))
+
+
+def secured(content: Column, app: Column, blocked: tuple[str, ...], redact: bool = True, limit: int = 100_000) -> Column:
+    """The content that may go on: none of a blocked application, without personal data, cut to the limit."""
+    kept = F.when(~any_of(app, blocked), content)
+    return F.substring(redact_pii(kept) if redact else kept, 1, limit)
+
+
+def hash_base36(text: Column) -> Column:
+    """The 32-bit hash ``h * 31 + c`` over UTF-16 units of the text, signed, in base 36."""
+    units = F.encode(text, "UTF-16BE")
+    codes = F.transform(
+        F.sequence(F.lit(1), F.floor(F.octet_length(units) / 2).cast("int")),
+        lambda i: F.conv(F.hex(F.substring(units, (2 * i - 1).cast("int"), F.lit(2))), 16, 10).cast("long"),
+    )
+    folded = F.aggregate(codes, F.lit(0).cast("long"), lambda h, c: F.pmod(h * 31 + c + (1 << 31), F.lit(1 << 32)) - (1 << 31))
+    digits = F.lower(F.conv(F.abs(folded).cast("string"), 10, 36))
+    return F.when(F.length(text) == 0, "0").otherwise(F.concat(F.when(folded < 0, "-").otherwise(""), digits))
+
+
+def file_title(name: Column) -> Column:
+    """The file's name without its extension, with spaces for ``_`` and ``-``."""
+    return F.translate(F.regexp_replace(name, r"\.[^/.]+$", ""), "_-", "  ")

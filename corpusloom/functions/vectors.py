@@ -40,16 +40,16 @@ def l2_normalize(a: Column) -> Column:
 def hashed_embedding(dims: int = 64):
     """A stand-in for a model of static word vectors, as a function of a text column.
 
-    The mean of signed one-hot vectors of hashed words, normalised. Hashing and summing per text is
-    Arrow-batched, because a column expression would be copied into every product that uses it.
+    The mean of signed one-hot vectors of hashed words (MD5), normalised. Hashing and summing per text
+    is Arrow-batched, because a column expression would be copied into every product that uses it.
     """
 
     def embed(texts: pd.Series) -> pd.Series:
-        import zlib
+        import hashlib
 
         out = []
         for t in texts:
-            slots = np.array([zlib.crc32(w.encode()) for w in (t or "").lower().split()], dtype=np.int64) % (2 * dims)
+            slots = np.array([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) for w in (t or "").lower().split()], dtype=np.int64) % (2 * dims)
             v = np.bincount(slots % dims, weights=np.where(slots < dims, 1.0, -1.0), minlength=dims) if len(slots) else np.zeros(dims)
             n = float(np.sqrt((v * v).sum()))
             out.append((v / n if n > 1e-6 else v).tolist())

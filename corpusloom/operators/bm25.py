@@ -78,15 +78,8 @@ def bm25(terms: DataFrame, index: Index, k1: float = K1, b: float = B) -> DataFr
     return held.groupBy("query_id", "doc_id").agg(F.sum(score).alias("sparse"))
 
 
-def containing(tokens: DataFrame, docs: DataFrame) -> DataFrame:
-    """``token, doc_id`` for tokens that lie anywhere in the lower-case content.
-
-    A token has no white space, so it lies within one word of the content: distinct words are matched
-    by their three-character pieces and verified, and only the words found are joined with documents.
-    """
-    words = F.array_distinct(F.split(F.lower(F.coalesce("content", F.lit(""))), r"(?U)\s+"))
-    placed = docs.select("doc_id", F.explode(words).alias("word")).where("word <> ''")
-    vocabulary = placed.select("word").distinct()
+def words_containing(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
+    """``token, word`` for the distinct words of ``vocabulary (word)`` that hold a token anywhere, by their three-character pieces."""
     size = F.length("word")
     pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size - 2, F.lit(1))), lambda i: F.substring("word", i, F.lit(3))))
     indexed = vocabulary.select("word", F.explode(pieces).alias("piece"))
@@ -99,7 +92,19 @@ def containing(tokens: DataFrame, docs: DataFrame) -> DataFrame:
         F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.array(F.substring("word", i, F.lit(1)), F.substring("word", i, F.lit(2)))))
     )
     brief = vocabulary.select("word", F.explode(ends).alias("token")).join(short, "token", "left_semi").select("token", "word")
-    return found.unionByName(brief).join(placed, "word").select("token", "doc_id").distinct()
+    return found.unionByName(brief).distinct()
+
+
+def containing(tokens: DataFrame, docs: DataFrame) -> DataFrame:
+    """``token, doc_id`` for tokens that lie anywhere in the lower-case content.
+
+    A token has no white space, so it lies within one word of the content: distinct words are matched
+    by their pieces and verified, and only the words found are joined with documents.
+    """
+    words = F.array_distinct(F.split(F.lower(F.coalesce("content", F.lit(""))), r"(?U)\s+"))
+    placed = docs.select("doc_id", F.explode(words).alias("word")).where("word <> ''")
+    found = words_containing(tokens, placed.select("word").distinct())
+    return found.join(placed, "word").select("token", "doc_id").distinct()
 
 
 def boost_tokens(terms: DataFrame, index: Index) -> DataFrame:

@@ -28,12 +28,43 @@ def captions(text: Column) -> Column:
     return F.concat(of(FIGURE, False), of(TABLE, True))
 
 
+OCR_NOTE = "⚠️ Note: Data extracted via OCR from graphic. Verify visually for exact values."
+
+
 def figure_chunks(pages: DataFrame) -> DataFrame:
-    """Caption chunks of ``doc_id, page, text``: certain and of high priority."""
-    rows = pages.select("doc_id", "page", F.inline(captions(F.col("text"))))
-    content = F.concat(F.lit("[FIGURE CAPTION - Page "), (F.col("page") + 1).cast("string"), F.lit("]\n"), F.col("caption"))
+    """Caption chunks of ``doc_id, page, text``, certain and of high priority, and with ``ocr_text`` the numbers of each figure's page.
+
+    ``doc_id, page, figure_id, content, chunk_source, confidence, priority``. A page whose recognised text
+    holds no number gives captions only.
+    """
+    ocr = numeric_lines(F.col("ocr_text")) if "ocr_text" in pages.columns else F.lit(None).cast("string")
+    rows = pages.select("doc_id", "page", ocr.alias("numbers"), F.inline(captions(F.col("text"))))
+    page = (F.col("page") + 1).cast("string")
+    caption = F.concat(F.lit("[FIGURE CAPTION - Page "), page, F.lit("]\n"), F.col("caption"))
     source = F.when(F.col("kind") == "Table", "Table").otherwise("FigureCaption")
-    return rows.select("doc_id", "page", "figure_id", content.alias("content"), source.alias("chunk_source"), F.lit(1.0).alias("confidence"), F.lit(3).alias("priority"))
+    pairs = F.transform(key_values(F.col("numbers")), lambda p: F.concat(p["key"], F.lit(": "), p["value"]))
+    listed = F.when(F.size(pairs) > 0, F.concat(F.lit("\n\nExtracted values:\n"), F.array_join(pairs, "\n"))).otherwise("")
+    seen = F.concat(F.lit("[FIGURE OCR - "), F.col("figure_id"), F.lit(" - Page "), page, F.lit("]\n"), F.col("numbers"), listed, F.lit("\n\n" + OCR_NOTE))
+    one = F.struct(caption.alias("content"), source.alias("chunk_source"), F.lit(1.0).alias("confidence"), F.lit(3).alias("priority"))
+    two = F.when(F.trim("numbers") != "", F.struct(seen.alias("content"), F.lit("FigureRegionText").alias("chunk_source"), F.lit(0.7).alias("confidence"), F.lit(2).alias("priority")))
+    return rows.select("doc_id", "page", "figure_id", F.inline(F.filter(F.array(one, two), lambda c: c.isNotNull())))
+
+
+def figure_context(text: Column, caption: Column, around: int) -> Column:
+    """The text from so many characters before the caption's first occurrence to as many after its end."""
+    at = F.locate(caption, text) if isinstance(caption, str) else F.call_function("locate", caption, text)
+    start = F.greatest(at - around, F.lit(1))
+    return F.when(at > 0, F.substring(text, start, at - start + F.length(caption) + around))
+
+
+def with_figures(body: DataFrame, figures: DataFrame) -> DataFrame:
+    """Body chunks and figure chunks of documents as one set, numbered anew: body first, in order, then figures by page."""
+    from pyspark.sql import Window
+
+    own = body.select("doc_id", F.lit(0).alias("_part"), F.col("chunk_idx").alias("_at"), "content", F.lit("Body").alias("chunk_source"), F.lit(None).cast("string").alias("figure_id"), "confidence")
+    seen = figures.select("doc_id", F.lit(1).alias("_part"), F.col("page").alias("_at"), "content", "chunk_source", "figure_id", "confidence")
+    order = Window.partitionBy("doc_id").orderBy("_part", "_at", "figure_id", "chunk_source")
+    return own.unionByName(seen).withColumn("chunk_idx", F.row_number().over(order) - 1).drop("_part", "_at")
 
 
 def numeric_lines(text: Column) -> Column:

@@ -139,7 +139,8 @@ def mmr(candidates: DataFrame, k: int, balance: float = 0.5) -> DataFrame:
         chosen = [len(score) - 1 - int(np.argmax(score[::-1]))]
         nearest = unit @ unit[chosen[0]]
         while len(chosen) < min(k, len(pdf)):
-            value = share * relevance + (1 - share) * (1 - np.maximum(nearest, 0.0))
+            # rounded, so that arithmetic ties are ties
+            value = np.round(share * relevance + (1 - share) * (1 - np.maximum(nearest, 0.0)), 9)
             value[chosen] = -np.inf
             chosen.append(int(np.argmax(value)))
             nearest = np.maximum(nearest, unit @ unit[chosen[-1]])

@@ -85,7 +85,7 @@ def type_aware_cap(intent: Column, category: Column, score: Column) -> Column:
     )
 
 
-def intelligent_boost(score: Column, intent: Column, category: Column, content: Column) -> Column:
+def boosted(score: Column, intent: Column, category: Column, legal_hits: Column) -> Column:
     aligned = (
         F.when((intent == "Business") & (category == "Business"), 0.25)
         .when((intent == "Academic") & (category == "Academic"), 0.20)
@@ -93,9 +93,12 @@ def intelligent_boost(score: Column, intent: Column, category: Column, content:
         .when((intent == "Technical") & (category == "Academic"), 0.12)
         .otherwise(0.0)
     )
-    legal = F.when(classify.strong_legal_hits(content) >= 2, 0.15).when(category != "Mixed", -0.10).otherwise(0.0)
-    boosted = score + aligned + F.when(intent == "Legal", legal).otherwise(0.0)
-    return F.greatest(type_aware_cap(intent, category, boosted), F.lit(0.0))
+    legal = F.when(legal_hits >= 2, 0.15).when(category != "Mixed", -0.10).otherwise(0.0)
+    return F.greatest(type_aware_cap(intent, category, score + aligned + F.when(intent == "Legal", legal).otherwise(0.0)), F.lit(0.0))
+
+
+def intelligent_boost(score: Column, intent: Column, category: Column, content: Column) -> Column:
+    return boosted(score, intent, category, classify.strong_legal_hits(content))
 
 
 def line_section(line: Column) -> Column:

@@ -15,7 +15,7 @@ from ..sources import files, web
 from ..storage import stored
 from ..streaming import guards
 from . import ingest, retrieval
-from .registry import batch, chunks, per_document, q, query, r6, sql_any, sql_count, sql_hits, sql_pairs, sql_tokens, sql_words, table, vector_tables
+from .registry import batch, chunks, per_document, q, query, r6, sql_any, sql_count, sql_hits, sql_pairs, sql_sentences, sql_tokens, sql_words, table, vector_tables
 
 _INDEX = f"""
 d0 AS (SELECT doc_id, coalesce(text, '') AS content, {sql_tokens("coalesce(text, '')")} AS t FROM documents),
@@ -126,25 +126,6 @@ def hybrid_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
-def hybrid_search_dense(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole ranking with a stand-in for the embedding model, the numeric order and the section prior."""
-    queries, docs = batch(spark, sf_dir), chunks(spark, sf_dir)
-    embed = vectors.hashed_embedding()
-    dense = scoring.dense_scores(
-        queries.select("query_id", embed("query").alias("embedding")), docs.select("doc_id", embed("content").alias("embedding"))
-    )
-    return retrieval.hybrid_search(queries, docs, dense=dense, prior=True)
-
-
-@query()
-def answer_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = chunks(spark, sf_dir)
-    found = retrieval.hybrid_search(batch(spark, sf_dir), docs, k=5).join(docs, "doc_id")
-    ranked = found.select("query_id", "rank", "score", "content", F.concat(F.lit("document "), F.col("doc_id").cast("string")).alias("label"), F.lit(None).cast("int").alias("page"))
-    return retrieval.answer_context(ranked)
-
-
 _VEC = """
 qv AS (SELECT vec_id AS query_id, embedding AS qe FROM embeddings WHERE vec_id % 20 = 0),
 sc AS (SELECT query_id, vec_id AS doc_id, label, list_dot_product(CAST(qe AS DOUBLE[]), CAST(embedding AS DOUBLE[]))
@@ -174,21 +155,6 @@ def response_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.response_confidence(ranked).select("query_id", r6(F.col("confidence")).alias("confidence"))
 
 
-@query()
-def mmr_rerank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    queries, points = vector_tables(spark, sf_dir)
-    pool = retrieval.vector_search(queries, points, k=20).join(points.select("doc_id", "embedding"), "doc_id")
-    return rerank.mmr(pool.join(queries.select("query_id", F.col("embedding").alias("query_embedding")), "query_id"), k=10)
-
-
-@query()
-def near_duplicate_collapse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = chunks(spark, sf_dir)
-    terms = bm25.query_terms(batch(spark, sf_dir))
-    best = scoring.top_k(bm25.bm25(terms, bm25.build_index(docs, terms)).withColumnRenamed("sparse", "score"), 10)
-    return rerank.collapse_near_duplicates(best.join(docs, "doc_id"))
-
-
 # --- classification and extraction ------------------------------------------------------------------
 
 _SIGNALS = f"""
@@ -218,12 +184,6 @@ def document_category(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query()
-def business_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = F.col("text")
-    return table(spark, sf_dir, "documents").select("doc_id", F.expr("1").alias("version"), classify.business_metadata(t, classify.fiscal_year(t)).alias("b")).select("doc_id", "b.*")
-
-
 _DOMAIN = {name: sql_hits("lower(text)", words) for name, words in classify.DOMAIN_TERMS.items()}
 _TOP = "greatest(" + ", ".join(_DOMAIN.values()) + ")"
 per_document(
@@ -243,10 +203,6 @@ per_document(
     lambda t: {"page_type": classify.page_type(F.lit("intelligent"), t)},
     f"CASE WHEN {sql_any('lower(text)', classify.COMMERCE_WORDS)} THEN 'commerce' WHEN {sql_any('lower(text)', classify.ARTICLE_WORDS)} THEN 'article' ELSE 'generic' END AS page_type",
 )
-per_document(
-    "price_extraction",
-    lambda t: {"n_prices": F.size(classify.prices(t)).cast("long"), "prices": F.array_join(classify.prices(t), "|")},
-)
 per_document(
     "numeric_values",
     lambda t: {
@@ -263,16 +219,6 @@ def query_kind(spark: SparkSession, sf_dir: str) -> DataFrame:
     return batch(spark, sf_dir).select("query_id", numeric.query_kind(F.col("query")).alias("kind"))
 
 
-@query()
-def query_understanding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Kinds, constraints and intents of the query batch."""
-    t = F.col("query")
-    return batch(spark, sf_dir).select(
-        "query_id", numeric.query_kind(t).alias("kind"), numeric.constraints(t).alias("constraints"), rerank.question_type(t).alias("question"),
-        classify.domain_intent(t).alias("domain"), classify.user_intention(t).alias("intention"),
-    )
-
-
 # --- rerank features --------------------------------------------------------------------------------
 
 per_document(
@@ -339,7 +285,6 @@ per_document(
     " + CASE WHEN contains(text, '-' || chr(10)) OR contains(text, '- ' || chr(10)) OR contains(text, '-' || chr(13) || chr(10)) THEN 5 ELSE 0 END AS score, "
     "strlen(text) >= 10 AND score >= CASE WHEN strlen(text) > 50000 THEN 8 ELSE 3 END AS needed",
 )
-per_document("text_normalization", lambda t: {"report": text.normalization_report(t), "normalized": F.sha2(text.normalize_for_rag(t), 256)})
 per_document(
     "line_cleaning",
     lambda t: {"cleaned": F.sha2(text.trimmed_lines(t), 256), "joined": F.sha2(text.joined_words(t), 256)},
@@ -348,10 +293,8 @@ per_document(
 per_document(
     "key_sentences",
     lambda t: {"sentences": F.array_join(text.key_sentences(t, 3), "|")},
-    "array_to_string(list_slice(list_filter(list_transform(regexp_split_to_array(text, '[.!?]'), lambda x: trim(x, ' ')), lambda x: strlen(x) > 30), 1, 3), '|') AS sentences",
+    f"array_to_string({sql_sentences('text', 3)}, '|') AS sentences",
 )
-per_document("condensed_text", lambda t: {"condensed": text.condense(t, 300)})
-
 
 @query(f"""WITH a AS (SELECT doc_id, list_distinct({sql_words("lower(text)")}) AS w FROM documents),
   b AS (SELECT item_id AS query_id, list_distinct({sql_words("lower(text)")}) AS w FROM benchmark),
@@ -374,18 +317,6 @@ def selection_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- segmentation -----------------------------------------------------------------------------------
 
 
-def _chunk_query(name: str) -> None:
-    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        cut = chunking.chunk_table(table(spark, sf_dir, "documents"), name)
-        return cut.select("doc_id", "chunk_idx", F.sha2("content", 256).alias("content"), "section", "level", "char_start", "char_end")
-
-    run.__name__ = f"chunk_{name}"
-    query()(run)
-
-
-for _name in ("sentences", "paragraphs", "characters", "bytes", "coarse", "pages", "academic", "business", "legal", "technical", "mixed"):
-    _chunk_query(_name)
-
 per_document(
     "figure_captions",
     lambda t: {"n_captions": F.size(figures.captions(t)).cast("long")},
@@ -563,14 +494,6 @@ def debounced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return guards.debounced(events, "user_id", gap="1 hour")
 
 
-@query()
-def capture_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Capture records made of the documents' first lines."""
-    docs = table(spark, sf_dir, "documents")
-    record = F.concat_ws("|", F.lit("http://x.org"), "lang", F.regexp_replace(F.substring_index("text", "\n", 1), r"\|", "/"), F.lit(""), F.col("n_chars").cast("string"), F.lit("true"), F.lit("false"))
-    return docs.select("doc_id", files.dom_capture(record).alias("capture")).select("doc_id", "capture.*")
-
-
 # --- further features and maintenance ---------------------------------------------------------------
 
 _LINE = f"""CASE WHEN {sql_any("lower(line)", scoring.DISCLAIMERS)} THEN 'Disclaimer' WHEN {sql_any("lower(line)", ("forward", "outlook", "projection", "estimate"))} THEN 'ForwardLooking'
@@ -592,32 +515,10 @@ per_document(
     "round(greatest(0, least(0.75, 0.7 + CASE WHEN " + " + ".join(sql_count("text", "(?i)" + p) for p in classify.STRONG_LEGAL) + " >= 2 THEN 0.15 ELSE -0.10 END)), 6) AS score",
 )
 per_document("embeddable", lambda t: {"embeddable": collections.embeddable(t)}, "trim(text) <> '' AND NOT starts_with(text, 'EXTRACTION FAILED') AS embeddable")
-per_document(
-    "extraction_route",
-    lambda t: {"ratio": r6(files.native_ratio(t)), "route": files.quality_route(t)},
-)
 per_document("chunk_types", lambda t: {"chunk_type": chunking.chunk_type(t)}, """CASE WHEN starts_with(ltrim(text), 'fn ') OR starts_with(ltrim(text), 'function ') THEN 'Function'
   WHEN starts_with(ltrim(text), 'class ') OR starts_with(ltrim(text), 'struct ') THEN 'Class' WHEN starts_with(ltrim(text), '//') OR starts_with(ltrim(text), '/*') THEN 'Comment' ELSE 'TextBlock' END AS chunk_type""")
 
 
-@query()
-def search_intents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """ExactPhrase, Conceptual or Mixed for each query of the batch, by the idf of its leading terms."""
-    queries = batch(spark, sf_dir)
-    top = bm25.technical_terms(queries, bm25.term_idf(chunks(spark, sf_dir)), 3).groupBy("query_id").agg((F.max("idf") > 2.5).alias("high"))
-    known = queries.join(top, "query_id", "left")
-    return known.select("query_id", classify.search_intent(F.col("query"), F.coalesce("high", F.lit(False)), F.size(text.term_tokens(F.col("query")))).alias("intent"))
-
-
-@query()
-def span_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Chunks of the character chunker explained by the spans that the sentence chunker gives."""
-    docs = table(spark, sf_dir, "documents")
-    cut = chunking.chunk_table(docs, "characters")
-    source = chunking.chunk_table(docs, "sentences").select("doc_id", F.col("chunk_idx").alias("span_id"), "content", F.lit(0.9).alias("confidence"))
-    return spans.explain(cut, source)
-
-
 @query("""SELECT conv_id, count(*) AS messages, count(*) FILTER (role = 'user') AS asked, CAST(round(avg(length(text))) AS BIGINT) AS mean_chars FROM conversations GROUP BY conv_id""")
 def conversation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations")
@@ -656,14 +557,6 @@ def capture_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("methods"), r6(F.max("v")).alias("best"))
 
 
-@query()
-def first_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first complete enough way of capture for each document, completeness by length."""
-    docs = table(spark, sf_dir, "documents")
-    ways = F.array(*[F.struct(F.lit(m).alias("method"), (F.pmod(F.col("n_chars") * n, F.lit(100)) / 100.0).alias("completeness")) for n, m in enumerate(files.CAPTURE_ORDER, 1)])
-    return files.first_acceptable(docs.select("doc_id", F.inline(ways)))
-
-
 @query("SELECT page_id, regexp_extract(path, '\\.([^./\\\\]+)$', 1) AS extension FROM (SELECT page_id, url AS path FROM pages)")
 def url_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"\.([^./\\]+)$", 1).alias("extension"))
@@ -672,35 +565,9 @@ def url_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- ingest and answers -----------------------------------------------------------------------------
 
 
-@query()
-def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.ingest(table(spark, sf_dir, "documents")).drop("embedding")
-
-
-@query()
-def ingested_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ingest.document_metadata(ingest.ingest(table(spark, sf_dir, "documents")))
-
-
-def lexical_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The ten best chunks of each query by BM25, with their texts."""
+@query(f"WITH {_INDEX}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sparse, 9) DESC, doc_id) AS rank FROM sparse) SELECT query_id, doc_id, rank FROM r WHERE rank <= 10")
+def lexical_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, docs = batch(spark, sf_dir), chunks(spark, sf_dir)
     terms = bm25.query_terms(queries)
     best = scoring.top_k(bm25.bm25(terms, bm25.build_index(docs, terms)).withColumnRenamed("sparse", "score"), 10)
-    return best.join(docs, "doc_id").join(queries, "query_id")
-
-
-@query()
-def hits_with_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = lexical_hits(spark, sf_dir).withColumns({"document_id": F.col("doc_id").cast("string"), "confidence": F.lit(None).cast("double")})
-    return retrieval.hit_metadata(rows, categories=["Business", "Academic", "Legal", "Technical", "Mixed"], business=True)
-
-
-@query()
-def extractive_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return answers.extractive_answer(lexical_hits(spark, sf_dir))
-
-
-@query(f"WITH {_INDEX}, r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(sparse, 9) DESC, doc_id) AS rank FROM sparse) SELECT query_id, doc_id, rank FROM r WHERE rank <= 10")
-def lexical_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lexical_hits(spark, sf_dir).select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))
+    return best.select("query_id", "doc_id", F.col("rank").cast("long").alias("rank"))

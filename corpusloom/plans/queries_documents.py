@@ -1 +1,452 @@
-"""Queries."""
+"""Queries of documents: chunkers, ingest, text functions, recognised pages, figures, layout, captures, business facts."""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import classify, text
+from ..operators import blocks, chunking, figures, layout, sessions, spans
+from ..sources import files
+from . import ingest
+from .queries import _CONFIDENCES
+from .registry import per_document, q, query, r6, sql_condense, sql_count, sql_strip, sql_tail, sql_words, table
+
+# --- chunkers ---------------------------------------------------------------------------------------
+
+#: A chunker in SQL is a fold over a document's pieces; ``out`` gathers what it emits.
+
+
+def fold(pieces: str, start: str, step: str, rest: str) -> str:
+    """A list of chunks: pieces are structs like ``start``; ``step`` makes the next state of ``a`` and ``x``; ``rest`` is what is left of ``s``."""
+    return f"(SELECT {rest} FROM (SELECT list_reduce({pieces}, lambda a, x: {step}, {start}) AS s))"
+
+
+def chunk_sql(source: str, chunks: str, where: str = "true") -> str:
+    return f"""WITH d AS (SELECT doc_id, {source} AS t FROM documents), c AS (SELECT doc_id, {chunks} AS cs FROM d WHERE {where})
+  SELECT doc_id, CAST(i - 1 AS INT) AS chunk_idx, sha256(content) AS content, '' AS section, CAST(1 AS INT) AS level, CAST(NULL AS INT) AS char_start, CAST(NULL AS INT) AS char_end
+  FROM (SELECT doc_id, unnest(cs) AS content, generate_subscripts(cs, 1) AS i FROM c)"""
+
+
+def sentence_fold(t: str, size: int = 384, overlap: int = 48) -> str:
+    pieces = f"list_transform(list_filter(regexp_split_to_array({t}, '[.!?]'), lambda x: len({sql_words('x')}) > 0), lambda x: {{'h': {sql_strip('x')}, 'n': len({sql_words('x')}), 'o': CAST([] AS VARCHAR[])}})"
+    full = f"(a.h <> '' AND a.n + x.n > {size})"
+    base = f"(CASE WHEN {full} THEN {sql_tail('a.h', overlap)} ELSE a.h END)"
+    held = f"(CASE WHEN {base} <> '' THEN {base} || '. ' || x.h ELSE x.h END)"
+    step = f"{{'h': {held}, 'n': len({sql_words(held)}), 'o': CASE WHEN {full} THEN list_append(a.o, a.h) ELSE a.o END}}"
+    return fold(pieces, "{'h': '', 'n': CAST(0 AS BIGINT), 'o': CAST([] AS VARCHAR[])}", step, f"CASE WHEN {sql_strip('s.h')} <> '' THEN list_append(s.o, s.h) ELSE s.o END")
+
+
+def paragraph_fold(t: str, size: int = 384, overlap: int = 48) -> str:
+    pieces = f"list_transform(string_split({t}, chr(10) || chr(10)), lambda x: {{'h': x, 'o': CAST([] AS VARCHAR[])}})"
+    words = sql_words("x.h")
+    slices = f"list_transform(range(0, len({words}), {size}), lambda i: array_to_string(list_slice({words}, i + 1, i + {size}), ' '))"
+    joined = "(CASE WHEN a.h <> '' THEN a.h || chr(10) || chr(10) || x.h ELSE x.h END)"
+    step = f"""CASE WHEN len({words}) > {size} THEN {{'h': '', 'o': list_concat(CASE WHEN {sql_strip('a.h')} <> '' THEN list_append(a.o, a.h) ELSE a.o END, {slices})}}
+      WHEN len({sql_words(joined)}) >= {size} THEN {{'h': {sql_tail(joined, overlap)}, 'o': list_append(a.o, {joined})}} ELSE {{'h': {joined}, 'o': a.o}} END"""
+    return fold(pieces, "{'h': '', 'o': CAST([] AS VARCHAR[])}", step, f"CASE WHEN {sql_strip('s.h')} <> '' THEN list_append(s.o, s.h) ELSE s.o END")
+
+
+def byte_fold(pieces: str, size: int, overlap: int) -> str:
+    tail = f"right(a.h, list_filter(range(1, {overlap + 1}), lambda k: strlen(right(a.h, k)) >= {overlap})[1])" if overlap else "''"
+    full = f"(a.h <> '' AND strlen(a.h) + strlen(x.h) > {size})"
+    base = f"(CASE WHEN {full} THEN CASE WHEN strlen(a.h) > {overlap} THEN {tail} ELSE '' END ELSE a.h END)"
+    step = f"{{'h': CASE WHEN {base} <> '' THEN {base} || chr(10) || chr(10) || x.h ELSE x.h END, 'o': CASE WHEN {full} THEN list_append(a.o, {sql_strip('a.h')}) ELSE a.o END}}"
+    listed = f"list_transform({pieces}, lambda x: {{'h': x, 'o': CAST([] AS VARCHAR[])}})"
+    return fold(listed, "{'h': '', 'o': CAST([] AS VARCHAR[])}", step, f"CASE WHEN {sql_strip('s.h')} <> '' THEN list_append(s.o, {sql_strip('s.h')}) ELSE s.o END")
+
+
+def section_sql(profile: str) -> str:
+    """For texts without a heading of the profile, which these are: one section, whole or packed by sentences."""
+    p = chunking.PROFILES[profile]
+    target, most, back = p.target * 4, p.most * 4, int(p.target * 4 * chunking.dynamic_overlap(p))
+    pieces = f"list_transform(list_filter(list_transform(regexp_split_to_array(t, {q(chunking.SENTENCE_END.pattern)}), lambda x: {sql_strip('x')}), lambda x: x <> ''), lambda x: {{'h': x, 'z': strlen(x), 'o': CAST([] AS VARCHAR[])}})"
+    full = f"(a.h <> '' AND a.z + x.z > {target})"
+    held = f"(CASE WHEN {full} THEN right(a.h, {back}) || ' ' || x.h WHEN a.h <> '' THEN a.h || ' ' || x.h ELSE x.h END)"
+    size = f"(CASE WHEN {full} THEN strlen({held}) ELSE a.z + x.z + 1 END)"
+    out = f"(CASE WHEN {full} THEN list_append(a.o, a.h) ELSE a.o END)"
+    step = f"CASE WHEN {size} > {most} THEN {{'h': '', 'z': CAST(0 AS BIGINT), 'o': list_append({out}, {held})}} ELSE {{'h': {held}, 'z': {size}, 'o': {out}}} END"
+    packed = fold(pieces, "{'h': '', 'z': CAST(0 AS BIGINT), 'o': CAST([] AS VARCHAR[])}", step, f"CASE WHEN {sql_strip('s.h')} <> '' THEN list_append(s.o, s.h) ELSE s.o END")
+    short = f"CASE WHEN strlen({sql_strip('t')}) >= {p.least * 4} THEN [{sql_strip('t')}] ELSE CAST([] AS VARCHAR[]) END"
+    return chunk_sql("text", f"CASE WHEN strlen(t) <= {target} THEN {short} ELSE {packed} END", "t IS NOT NULL").replace("'' AS section", "'Document' AS section")
+
+
+_WINDOWS = """WITH RECURSIVE d AS (SELECT doc_id, text AS t, length(text) AS n FROM documents WHERE text <> ''),
+w AS (SELECT doc_id, CAST(0 AS BIGINT) AS i, CAST(0 AS BIGINT) AS s, CAST(NULL AS BIGINT) AS e, n FROM d
+  UNION ALL SELECT doc_id, i + 1, CASE WHEN e IS NULL THEN s ELSE greatest(e - 184, s + 1) END,
+    (SELECT CASE WHEN stop < w.n AND length(found) > 0 THEN stop - length(cut) + length(found) ELSE stop END FROM
+      (SELECT stop, cut, regexp_extract(cut, '(?s)^.*[\\s.!?]') AS found FROM (SELECT stop, substr(d.t, greatest(stop - 50, 0) + 1, least(stop, 50)) AS cut FROM
+        (SELECT least(CASE WHEN w.e IS NULL THEN w.s ELSE greatest(w.e - 184, w.s + 1) END + 1536, w.n) AS stop)))), w.n
+  FROM w JOIN d USING (doc_id) WHERE e IS NULL OR e < w.n),
+p AS (SELECT doc_id, i, s, e, substr(t, s + 1, e - s) AS piece, d.n FROM w JOIN d USING (doc_id) WHERE e IS NOT NULL)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS INT) AS chunk_idx, sha256(piece) AS content, '' AS section, CAST(1 AS INT) AS level, CAST(s AS INT) AS char_start, CAST(e AS INT) AS char_end
+FROM p WHERE n < 50 OR strlen(regexp_replace(piece, '^\\s+|\\s+$', '', 'g')) >= 50"""
+
+_PAGED = "CASE doc_id % 3 WHEN 0 THEN replace(text, chr(10), chr(12)) WHEN 1 THEN replace(text, chr(10), repeat(chr(10), 3)) ELSE text END"
+_HEAD = "left(a.r, list_max(list_filter(range(1, 4001), lambda k: k <= length(a.r) AND strlen(left(a.r, k)) <= 4000)))"
+_PAGE = f"(CASE WHEN contains({_HEAD}, chr(10)) THEN left({_HEAD}, length({_HEAD}) - strpos(reverse({_HEAD}), chr(10)) + 1) ELSE {_HEAD} END)"
+_CUT = fold(
+    "list_transform(range(0, strlen(t) // 2000 + 3), lambda x: {'r': '', 'o': CAST([] AS VARCHAR[])})", "{'r': t, 'o': CAST([] AS VARCHAR[])}",
+    f"CASE WHEN a.r = '' THEN a ELSE {{'r': substr(a.r, length({_PAGE}) + 1), 'o': list_append(a.o, {_PAGE})}} END", "s.o",
+)
+_MARKED = f"list_filter(string_split(t, chr(12)), lambda p: {sql_strip('p')} <> '')"
+_BLOCKS = f"list_filter(regexp_split_to_array(t, '\\n\\s*\\n\\s*\\n'), lambda p: {sql_strip('p')} <> '')"
+_PAGES = f"CASE WHEN contains(t, chr(12)) AND len({_MARKED}) > 0 THEN {_MARKED} WHEN len({_BLOCKS}) BETWEEN 2 AND 100 THEN {_BLOCKS} WHEN strlen(t) <= 10000 THEN [t] ELSE {_CUT} END"
+_SPREAD = "replace(text, chr(10), chr(10) || chr(10))"
+def _spread() -> Column:
+    """Each line as a paragraph."""
+    return F.replace("text", F.lit("\n"), F.lit("\n\n"))
+
+
+_CHUNKERS: dict[str, tuple[Callable[[], Column], str | None]] = {
+    "sentences": (lambda: F.col("text"), chunk_sql("text", sentence_fold("t"))),
+    "paragraphs": (_spread, chunk_sql(_SPREAD, paragraph_fold("t"))),
+    "bytes": (_spread, chunk_sql(_SPREAD, byte_fold("string_split(t, chr(10) || chr(10))", 384, 48), "strlen(t) > 384")),
+    "coarse": (_spread, chunk_sql(_SPREAD, byte_fold("string_split(t, chr(10) || chr(10))", 1500, 0))),
+    "characters": (lambda: F.col("text"), _WINDOWS),
+    "pages": (
+        lambda: F.when(F.col("doc_id") % 3 == 0, F.replace("text", F.lit("\n"), F.lit("\f"))).when(F.col("doc_id") % 3 == 1, F.replace("text", F.lit("\n"), F.lit("\n\n\n"))).otherwise(F.col("text")),
+        chunk_sql(_PAGED, _PAGES),
+    ),
+} | {name: (lambda: F.col("text"), section_sql(name)) for name in chunking.PROFILES}
+
+
+def _chunk_query(name: str, source: Callable[[], Column], sql: str | None) -> None:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        cut = chunking.chunk_table(table(spark, sf_dir, "documents").select("doc_id", source().alias("text")), name)
+        return cut.select("doc_id", "chunk_idx", F.sha2("content", 256).alias("content"), "section", "level", "char_start", "char_end")
+
+    run.__name__ = f"chunk_{name}"
+    query(sql)(run)
+
+
+for _name, (_source, _sql) in _CHUNKERS.items():
+    _chunk_query(_name, _source, _sql)
+
+# --- ingest -----------------------------------------------------------------------------------------
+
+_CHUNKED = f"""k AS ({_CONFIDENCES}), d AS (SELECT doc_id, lang, coalesce(text, '') AS t FROM documents), c0 AS (SELECT doc_id, lang, t, {sentence_fold("t")} AS cs FROM d),
+c1 AS (SELECT doc_id, lang, CASE WHEN len(cs) = 1 AND strlen(t) > 3000 THEN [{sql_strip("t")}] ELSE cs END AS cs, CASE WHEN len(cs) = 1 AND strlen(t) > 3000 THEN 0.7 ELSE 1.0 END AS confidence FROM c0),
+c2 AS (SELECT doc_id, lang, confidence, unnest(cs) AS content, generate_subscripts(cs, 1) - 1 AS i FROM c1)"""
+
+
+@query(f"""WITH {_CHUNKED} SELECT doc_id || ':' || i AS chunk_id, doc_id, 'default' AS group_id, CAST(i AS INT) AS chunk_idx, content, 'TextBlock' AS chunk_type, category, CAST(confidence AS DOUBLE) AS confidence,
+  sha256(content) AS hash, lang AS language FROM c2 JOIN k USING (doc_id)""")
+def ingest_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.ingest(table(spark, sf_dir, "documents")).drop("embedding")
+
+
+@query(f"""WITH {_CHUNKED} SELECT doc_id, count(*) AS chunks, any_value(category) AS category, CAST(avg(confidence) AS DOUBLE) AS confidence, any_value(lang) AS language FROM c2 JOIN k USING (doc_id) GROUP BY doc_id""")
+def ingested_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ingest.document_metadata(ingest.ingest(table(spark, sf_dir, "documents")))
+
+
+@query(f"""WITH {_CHUNKED} SELECT doc_id, count(*) AS chunks, count(*) AS embedded, CAST(round(0.4 * avg(confidence) + 0.3 * 0.8 + 0.3, 6) AS DOUBLE) AS confidence FROM c2 GROUP BY doc_id""")
+def open_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A session for each document: its chunks, those with an embedding, and its confidence."""
+    opened = sessions.open_sessions(ingest.ingest(table(spark, sf_dir, "documents")), F.lit("2024-01-01").cast("timestamp"), F.lit(0.8))
+    return opened.select("doc_id", "chunks", "embedded", r6(F.col("confidence")).alias("confidence"))
+
+
+@query("""WITH m AS (SELECT max(ts) AS now FROM events), s AS (SELECT user_id AS session_id, max(ts) AS created_at, count(*) AS chunks FROM events GROUP BY user_id)
+  SELECT session_id, chunks, CAST(epoch(date_trunc('second', now)) - epoch(date_trunc('second', created_at)) AS BIGINT) AS age_s FROM s, m
+  WHERE epoch(date_trunc('second', now)) - epoch(date_trunc('second', created_at)) <= 3600""")
+def list_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The live sessions of clients, opened by their last event."""
+    events = table(spark, sf_dir, "events")
+    opened = events.groupBy(F.col("user_id").alias("session_id")).agg(F.max("ts").alias("created_at"), F.count("*").alias("chunks"))
+    now = events.agg(F.max("ts")).first()[0]
+    return sessions.list_sessions(opened, F.lit(now)).select("session_id", "chunks", "age_s")
+
+
+@query(f"""WITH d AS (SELECT doc_id, text AS t FROM documents), w AS ({_WINDOWS.replace("sha256(piece) AS content", "piece AS content").replace("WITH RECURSIVE d AS", "WITH RECURSIVE d AS")}),
+  s AS (SELECT doc_id, unnest({sentence_fold("t")}) AS content FROM d), m AS (SELECT doc_id, chunk_idx, w.content AS chunk, s.content FROM w JOIN s USING (doc_id) WHERE contains(w.content, s.content) OR contains(s.content, w.content))
+  SELECT doc_id, chunk_idx, count(*) AS spans, CAST(round(avg(0.9), 6) AS DOUBLE) AS confidence, round(sum(len(list_filter(string_split(content, ''), lambda c: c <> '' AND contains(chunk, c)))) / strlen(any_value(chunk)) * 100, 6) AS coverage
+  FROM m GROUP BY doc_id, chunk_idx""")
+def span_explanations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the character chunker explained by the spans that the sentence chunker gives."""
+    docs = table(spark, sf_dir, "documents")
+    cut = chunking.chunk_table(docs, "characters")
+    source = chunking.chunk_table(docs, "sentences").select("doc_id", F.col("chunk_idx").alias("span_id"), "content", F.lit(0.9).alias("confidence"))
+    return spans.explain(cut, source).select("doc_id", "chunk_idx", "spans", r6(F.col("confidence")).alias("confidence"), r6(F.col("coverage")).alias("coverage"))
+
+
+@query("SELECT doc_id AS chunk_id FROM documents WHERE doc_id % 7 = 3 OR (doc_id + 1) % 7 = 3")
+def chunks_with_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks list their own and the next number as spans; wanted are the spans that leave 3 by 7."""
+    docs = table(spark, sf_dir, "documents")
+    listed = docs.select(F.col("doc_id").alias("chunk_id"), F.array("doc_id", F.col("doc_id") + 1).alias("source_spans"))
+    wanted = docs.select(F.explode(F.array("doc_id", F.col("doc_id") + 1)).alias("span_id")).where("span_id % 7 = 3")
+    return spans.chunks_with_spans(listed, wanted).select("chunk_id")
+
+
+# --- text -------------------------------------------------------------------------------------------
+
+#: Texts with ligatures, no-break spaces, hyphens at line ends and zero-width marks, the same in Spark and SQL.
+_MARKED_SQL = f"replace(replace(replace(replace(text, 'ti', 'ﬁ'), 'th', 'ﬀ'), 'an ', 'an' || chr({0xA0})), 're', 'r' || chr({0x200B}) || 'e')"
+_LIG = [("ﬀ", "ff"), ("ﬁ", "fi"), ("ﬂ", "fl"), ("ﬃ", "ffi"), ("ﬄ", "ffl"), ("ﬅ", "ft"), ("ﬆ", "st")]
+
+
+def _marked(t: Column) -> Column:
+    for a, b in (("ti", "ﬁ"), ("th", "ﬀ"), ("an ", "an\u00a0"), ("re", "r\u200be")):
+        t = F.replace(t, F.lit(a), F.lit(b))
+    return t
+
+
+def _plain(column: str) -> str:
+    out = column
+    for a, b in _LIG:
+        out = f"replace({out}, '{a}', '{b}')"
+    return out
+
+
+_SANE = f"nfc_normalize(replace({_plain('m')}, chr({0xA0}), ' '))"
+_BARE = f"array_to_string({sql_words(f'replace({_SANE}, chr({0x200B}), {chr(39)}{chr(39)})')}, ' ')"
+_ONE_LINE = f"array_to_string({sql_words(_SANE)}, ' ')"
+
+
+@query(f"""SELECT doc_id, sha256({_SANE}) AS sanitized, sha256({_BARE}) AS sanitized_all, sha256({_ONE_LINE}) AS cleaned,
+  sha256(array_to_string({sql_words(f"replace({_SANE}, chr({0x200B}), {chr(39)}{chr(39)})")}, ' ')) AS normalized, sha256({_plain("m")}) AS replaced, length(m) - length(regexp_replace(m, '[ﬀﬁ]', '', 'g')) AS ligatures,
+  len(regexp_extract_all(m, 'ﬁ')) AS fi, CASE WHEN length({_plain("m")}) / length(m) <= 1.3 THEN 1.0 WHEN length({_plain("m")}) / length(m) <= 1.5 THEN 0.8 ELSE 0.6 END::DOUBLE AS quality,
+  coalesce(strlen(left(m, strpos(m, 'ﬁ') - 1)), -1) AS first_fi FROM (SELECT doc_id, {_MARKED_SQL} AS m FROM documents) WHERE contains(m, 'ﬁ')""")
+def ligature_cleaning(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All ways of cleaning recognised text, on texts whose syllables are replaced by ligatures and marks."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", _marked(F.col("text")).alias("m")).where(F.contains("m", F.lit("ﬁ")))
+    m = F.col("m")
+    first = F.filter(text.ligature_positions(F.substring(m, 1, 200)), lambda p: p["ligature"] == "ﬁ")
+    start = F.when(F.size(first) > 0, F.get(first, F.lit(0))["at"]).otherwise(F.octet_length(F.substring_index(m, "ﬁ", 1)))
+    return docs.select(
+        "doc_id", F.sha2(text.sanitize_pdf_text(m), 256).alias("sanitized"), F.sha2(text.sanitize_pdf_text(m, True), 256).alias("sanitized_all"),
+        F.sha2(text.clean_extracted(m), 256).alias("cleaned"), F.sha2(text.normalize_for_rag(m, True), 256).alias("normalized"), F.sha2(text.replace_ligatures(m), 256).alias("replaced"),
+        text.ligature_count(m).cast("long").alias("ligatures"), text.ligature_counts(m)["ﬁ"].cast("long").alias("fi"), text.normalization_quality(m, text.replace_ligatures(m)).alias("quality"),
+        start.cast("long").alias("first_fi"),
+    )
+
+
+per_document(
+    "text_normalization",
+    lambda t: {"normalized": F.sha2(text.normalize_for_rag(t), 256), "words_before": text.normalization_report(t)["tokens_before"].cast("long"), "applied": text.normalization_report(t)["applied"]},
+    f"sha256(text) AS normalized, len({sql_words('text')}) AS words_before, false AS applied",
+)
+per_document("condensed_text", lambda t: {"condensed": text.condense(t, 300)}, f"{sql_condense('text', 300)} AS condensed")
+per_document(
+    "text_measures",
+    lambda t: {
+        "cut": text.truncate_bytes(t, 100), "lines": text.line_numbers(t, F.lit(50), F.lit(400))["line_end"].cast("long"), "size": text.human_size(F.octet_length(t) * F.octet_length(t)),
+        "percent": text.confidence_percent(F.octet_length(t) / 3000.0), "hash": text.hash_base36(F.substring(t, 1, 40)),
+    },
+    f"""CASE WHEN strlen(text) <= 100 THEN text ELSE left(text, 97) || '…' END AS cut, {sql_count("left(text, 400)", chr(10))} + 1 AS lines,
+    CASE WHEN b < 1024 THEN format('{{:.1f}} B', b) WHEN b < 1024^2 THEN round(b / 1024, 1) || ' KB' WHEN b < 1024^3 THEN round(b / 1024^2, 1) || ' MB' ELSE round(b / 1024^3, 1) || ' GB' END AS size,
+    CAST(trunc(least(strlen(text) / 3000 * 100, 100)) AS INT) AS percent,
+    (SELECT CASE WHEN h < 0 THEN '-' ELSE '' END || lower(to_base(abs(h), 36)) FROM (SELECT list_reduce(list_prepend(CAST(0 AS BIGINT), list_transform(string_split(left(text, 40), ''), lambda c: CAST(unicode(c) AS BIGINT))),
+      lambda a, c: (a * 31 + c + 2147483648) % 4294967296 - 2147483648 + CASE WHEN (a * 31 + c + 2147483648) < 0 AND (a * 31 + c + 2147483648) % 4294967296 <> 0 THEN 4294967296 ELSE 0 END) AS h)) AS hash""".replace("b < ", "(strlen(text) * strlen(text))::DOUBLE < ").replace("(b /", "((strlen(text) * strlen(text))::DOUBLE /").replace("', b)", "', (strlen(text) * strlen(text))::DOUBLE)"),
+)
+
+_PHRASES, _STARTS = ("nonren", "tionea"), ("The ", "De ")
+_NOISE = "(strlen(x) < 3 OR regexp_replace(x, '[©€@&+>\\\\|]', '', 'g') = '' OR starts_with(x, 'The ') OR starts_with(x, 'De ') OR contains(x, 'nonren') OR contains(x, 'tionea'))"
+
+
+@query(f"""SELECT doc_id, sha256(trim(array_to_string(list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x, ' ')), lambda x: NOT {_NOISE}), chr(10)), ' ')) AS kept,
+  CASE WHEN source = 'src1' THEN NULL ELSE sha256(left(regexp_replace(regexp_replace(text, {q(text.EMAIL)}, '[EMAIL_REDACTED]', 'g'), {q(text.PHONE)}, '[PHONE_REDACTED]', 'g'), 500)) END AS secured FROM documents""".replace("source = 'src1'", "contains(source, 'src1')"))
+def capture_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a program's own windows dropped, and content of blocked applications withheld."""
+    t = F.col("text")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", F.sha2(text.without_interface(t, _PHRASES, _STARTS), 256).alias("kept"), F.sha2(text.secured(t, F.col("source"), ("src1",), limit=500), 256).alias("secured")
+    )
+
+
+# --- business facts ---------------------------------------------------------------------------------
+
+_PRICED = "'Prix: ' || (doc_id % 90) || ',50 € et ' || doc_id || ' USD, from ' || (doc_id % 7) || '$ ou ' || (doc_id % 90) || ',50 €'"
+
+
+@query(f"""SELECT doc_id, CAST(len(ps) AS BIGINT) AS n_prices, array_to_string(ps, '|') AS prices FROM (SELECT doc_id, list_distinct_in_order AS ps FROM (SELECT doc_id,
+  list_filter([(doc_id % 90) || ',50 €', (doc_id % 7) || '$', doc_id || ' USD', 'from ' || (doc_id % 7) || '$', 'Prix: ' || (doc_id % 90) || ',50 €'], lambda x: true) AS list_distinct_in_order FROM documents))""")
+def price_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices in several writings, each once, pattern after pattern."""
+    d, n = F.col("doc_id").cast("string"), (F.col("doc_id") % 90).cast("string")
+    said = F.concat(F.lit("Prix: "), n, F.lit(",50 € et "), d, F.lit(" USD, from "), (F.col("doc_id") % 7).cast("string"), F.lit("$ ou "), n, F.lit(",50 €"))
+    found = classify.prices(said)
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("n_prices"), F.array_join(found, "|").alias("prices"))
+
+
+@query("""SELECT doc_id, CAST(2000 + doc_id % 25 AS INT) AS fiscal_year, 'Acme Corporation' AS company, 'Technology' AS sector, 'ExecutiveSummary' AS section, CAST(2 AS INT) AS n_kpis, 'Revenue' AS name, (1 + doc_id % 40) * 1e6 AS value, 'USD' AS currency,
+  CAST(2000 + doc_id % 25 AS VARCHAR) AS period, 'Units' AS unit, 'Million' AS second_unit, (1 + doc_id % 9 + 0.5) * 1e6 AS second_value, CAST(0.9 AS DOUBLE) AS confidence FROM documents""")
+def business_enrichment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Reports with two indicators each: names, values with units, period, company, sector and section."""
+    year = F.concat(F.lit("FY "), (2000 + F.col("doc_id") % 25).cast("string"))
+    said = F.concat(
+        F.lit("The executive summary of Acme Corporation, software. Revenue of $"), (1 + F.col("doc_id") % 40).cast("string"), F.lit(" millions and EBITDA of $"),
+        (1 + F.col("doc_id") % 9).cast("string"), F.lit(".5 million in "), year,
+    )
+    told = table(spark, sf_dir, "documents").select("doc_id", classify.business_metadata(said, classify.fiscal_year(said)).alias("b"))
+    one, two = F.get("b.kpis", F.lit(0)), F.get("b.kpis", F.lit(1))
+    return told.select(
+        "doc_id", "b.fiscal_year", F.regexp_extract("b.company", r"(Acme Corporation)$", 1).alias("company"), "b.sector", "b.section", F.size("b.kpis").alias("n_kpis"), one["name"].alias("name"), one["value"].alias("value"),
+        one["currency"].alias("currency"), one["period"].alias("period"), one["unit"].alias("unit"), two["unit"].alias("second_unit"), two["value"].alias("second_value"), "b.confidence",
+    )
+
+
+# --- recognised pages -------------------------------------------------------------------------------
+
+#: A recognition table of each document's first forty words: every third is too uncertain, places follow from numbers.
+_BOXES_SQL = f"""SELECT doc_id, i, w AS text, CAST(i % 10 * 60 AS INT) AS x, CAST(i // 10 * 25 AS INT) AS y, CAST(50 AS INT) AS width, CAST(12 AS INT) AS height, CASE WHEN i % 3 = 0 THEN 20 ELSE 50 + i END / 100 AS confidence
+  FROM (SELECT doc_id, unnest(ws) AS w, generate_subscripts(ws, 1) - 1 AS i FROM (SELECT doc_id, list_slice({sql_words("text")}, 1, 40) AS ws FROM documents))"""
+
+
+def recognised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, tsv``."""
+    words = F.slice(text.words(F.col("text")), 1, 40)
+    line = F.transform(words, lambda w, i: F.concat_ws("\t", F.lit("5"), F.lit("1"), F.lit("1"), F.lit("1"), F.lit("1"), i.cast("string"), (i % 10 * 60).cast("string"), (F.floor(i / 10) * 25).cast("string"),
+                                                      F.lit("50"), F.lit("12"), F.when(i % 3 == 0, "20").otherwise((50 + i).cast("string")), w))
+    return table(spark, sf_dir, "documents").select("doc_id", F.concat(F.lit("level\tpage\n"), F.array_join(line, "\n")).alias("tsv"))
+
+
+@query(f"WITH b AS ({_BOXES_SQL}) SELECT doc_id, x, y, width, height, confidence, text FROM b WHERE confidence >= 0.3")
+def ocr_boxes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return recognised(spark, sf_dir).select("doc_id", F.inline(files.ocr_boxes(F.col("tsv")))).select("doc_id", "x", "y", "width", "height", "confidence", "text")
+
+
+@query(f"""WITH b AS ({_BOXES_SQL}), g AS (SELECT doc_id, string_agg(text, ' ' ORDER BY i) AS text, round(avg(confidence), 6) AS confidence, CAST(count(*) AS INT) AS boxes FROM b WHERE confidence >= 0.3 GROUP BY doc_id)
+  SELECT doc_id, coalesce(g.text, '') AS text, coalesce(confidence, 0) AS confidence, coalesce(boxes, 0) AS boxes, 'fra' AS language, coalesce(boxes, 0) > 0 AS has_layout FROM documents LEFT JOIN g USING (doc_id)""")
+def ocr_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = recognised(spark, sf_dir).select("doc_id", files.ocr_result(F.col("tsv"), ("fra", "eng")).alias("r")).select("doc_id", "r.*")
+    return found.withColumn("confidence", r6(F.col("confidence")))
+
+
+@query(f"""WITH b AS ({_BOXES_SQL}), g AS (SELECT doc_id, CAST(i % 2 AS INT) AS page, string_agg(text, chr(10) ORDER BY round(y / 10), x, text) AS text, round(avg(confidence), 6) AS confidence, bool_or(i % 7 = 2) AS has_table, bool_or(i = 1) AS has_header
+  FROM b WHERE confidence >= 0.3 GROUP BY ALL) SELECT * FROM g""")
+def page_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Boxes as blocks of two pages, in reading order."""
+    rows = recognised(spark, sf_dir).select("doc_id", F.inline(files.ocr_boxes(F.col("tsv"))))
+    n = (F.col("x") / 60 + F.col("y") / 25 * 10).cast("int")
+    kinds = F.when(n % 7 == 2, "Table").when(n == 1, "Header").otherwise("Text")
+    found = figures.assemble_pages(rows.select("doc_id", (n % 2).alias("page"), "x", "y", F.col("text").alias("content"), "confidence", kinds.alias("block_type")))
+    return found.withColumn("confidence", r6(F.col("confidence")))
+
+
+@query(f"""WITH b AS (SELECT *, CASE WHEN i % 20 < 5 THEN 0 WHEN i % 20 < 10 THEN 1 WHEN i % 20 < 15 THEN 2 ELSE 3 END AS region, i % 5 AS c, i // 20 AS r FROM ({_BOXES_SQL}))
+  SELECT doc_id, CAST(0 AS INT) AS page, CAST(region AS INT) AS region, string_agg(text, ' ' ORDER BY round((region * 100 + r * 20) / 10), c) AS content, CAST(count(*) AS INT) AS boxes, CAST(0 AS DOUBLE) AS x, CAST(region * 100 AS DOUBLE) AS y,
+    CAST(max(c) * 60 + 50 AS DOUBLE) AS width, CAST(max(r) * 20 + 12 AS DOUBLE) AS height FROM b GROUP BY doc_id, region""")
+def layout_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words laid out as four groups that are far apart; boxes of a group are near each other."""
+    words = F.posexplode(F.slice(text.words(F.col("text")), 1, 40))
+    rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("i", "content"))
+    region, c, r = F.floor(F.col("i") % 20 / 5), F.col("i") % 5, F.floor(F.col("i") / 20)
+    placed = rows.select("doc_id", F.lit(0).alias("page"), (c * 60).cast("double").alias("x"), (region * 100 + r * 20).cast("double").alias("y"), F.lit(50.0).alias("width"), F.lit(12.0).alias("height"), "content")
+    return layout.regions(placed)
+
+
+_DATED = "'Abstract' || chr(10) || 'Figure ' || (doc_id % 9 + 1) || ': ' || left(replace(text, chr(10), ' '), 30) || chr(10) || 'Table 2: Results of ' || doc_id || chr(10) || 'plain'"
+
+
+def captioned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, page, text, ocr_text`` with a figure and a table on each page."""
+    d, n = F.col("doc_id"), F.col("doc_id").cast("string")
+    said = F.concat(F.lit("Abstract\nFigure "), (d % 9 + 1).cast("string"), F.lit(": "), F.substring(F.replace("text", F.lit("\n"), F.lit(" ")), 1, 30), F.lit("\nTable 2: Results of "), n, F.lit("\nplain"))
+    ocr = F.when(d % 2 == 0, F.concat(F.lit("Accuracy: "), n, F.lit("%\nwords\nratio = 10")))
+    return table(spark, sf_dir, "documents").select("doc_id", (d % 3).cast("int").alias("page"), said.alias("text"), ocr.alias("ocr_text"))
+
+
+_FIGURES = f"""f AS (SELECT doc_id, CAST(doc_id % 3 AS INT) AS page, 'Figure ' || (doc_id % 9 + 1) AS figure_id, 'FigureCaption' AS src, trim(left(replace(text, chr(10), ' '), 30), ' ') AS rest FROM documents
+  UNION ALL SELECT doc_id, CAST(doc_id % 3 AS INT), 'Table 2', 'Table', 'Results of ' || doc_id FROM documents),
+fc AS (SELECT doc_id, page, figure_id, '[FIGURE CAPTION - Page ' || (page + 1) || ']' || chr(10) || figure_id || ': ' || rest AS content, src AS chunk_source, CAST(1 AS DOUBLE) AS confidence, CAST(3 AS INT) AS priority FROM f
+  UNION ALL SELECT doc_id, page, figure_id, '[FIGURE OCR - ' || figure_id || ' - Page ' || (page + 1) || ']' || chr(10) || 'Accuracy: ' || doc_id || '%' || chr(10) || 'ratio = 10' || chr(10) || chr(10) || 'Extracted values:' || chr(10)
+    || 'Accuracy: ' || doc_id || '%' || chr(10) || 'ratio: 10' || chr(10) || chr(10) || '{figures.OCR_NOTE}', 'FigureRegionText', 0.7, 2 FROM f WHERE doc_id % 2 = 0)"""
+
+
+@query(f"WITH {_FIGURES} SELECT * FROM fc")
+def figure_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return figures.figure_chunks(captioned(spark, sf_dir))
+
+
+@query(f"""WITH {_FIGURES}, a AS (SELECT doc_id, 0 AS part, 0 AS place, 'body of ' || doc_id AS content, 'Body' AS chunk_source, CAST(NULL AS VARCHAR) AS figure_id, CAST(0.9 AS DOUBLE) AS confidence FROM documents
+    UNION ALL SELECT doc_id, 1, page, content, chunk_source, figure_id, confidence FROM fc)
+  SELECT doc_id, content, chunk_source, figure_id, confidence, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY part, place, figure_id, chunk_source) - 1 AS INT) AS chunk_idx FROM a""")
+def chunks_with_figures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    body = table(spark, sf_dir, "documents").select("doc_id", F.lit(0).alias("chunk_idx"), F.concat(F.lit("body of "), F.col("doc_id").cast("string")).alias("content"), F.lit(0.9).alias("confidence"))
+    return figures.with_figures(body, figures.figure_chunks(captioned(spark, sf_dir)))
+
+
+@query(f"""SELECT doc_id, substr(t, greatest(p - 20, 1), p - greatest(p - 20, 1) + 7 + 20) AS context FROM (SELECT doc_id, {_DATED} AS t, strpos({_DATED}, 'Table 2') AS p FROM documents)""")
+def figure_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return captioned(spark, sf_dir).select("doc_id", figures.figure_context(F.col("text"), F.lit("Table 2"), 20).alias("context"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 25 >= 10 THEN 'Native' WHEN doc_id % 2 = 0 THEN 'OcrFallback' ELSE 'Failed' END AS page_route, CASE WHEN strlen(text) * 300 < 1048576 THEN 'NativeOnly' ELSE 'Hybrid' END AS strategy,
+  ['Pdf', 'Png', 'Tiff', 'Text', 'Text', 'Bmp'][doc_id % 6 + 1] AS format, ['facture', 'contrat', 'rapport', 'manuel', 'document'][doc_id % 5 + 1] AS category, ['ma facture 1', 'Contrat x', 'le rapport', 'manuel', 'autre nom'][doc_id % 5 + 1] AS title FROM documents""")
+def file_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Formats by extension, ways of extraction by size and tokens, titles and categories by name."""
+    d = F.col("doc_id")
+
+    def pick(values: tuple[str, ...]) -> Column:
+        return F.get(F.array(*map(F.lit, values)), (d % len(values)).cast("int"))
+
+    name = pick(("ma_facture-1.pdf", "Contrat_x.md", "le-rapport.txt", "manuel.pdf", "autre_nom.png"))
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", files.page_route(d % 25, d % 2 == 0).alias("page_route"), files.pdf_strategy(F.octet_length("text") * 300).alias("strategy"),
+        files.file_format(pick(("a/b.pdf", "b.png", "c.d.tif", "e.md", "f.PDF", "g.bmp"))).alias("format"), classify.filename_category(name).alias("category"), text.file_title(name).alias("title"),
+    )
+
+
+@query("""WITH p AS (SELECT doc_id // 4 AS doc, doc_id % 4 AS page, CASE WHEN doc_id % 3 = 0 THEN ' ' ELSE 'native ' || doc_id END AS n, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'ocr ' || doc_id END AS o, CASE WHEN doc_id % 7 = 0 THEN NULL ELSE (doc_id % 10) / 10 END AS c FROM documents),
+  t AS (SELECT doc, page, coalesce(nullif(trim(n), ''), o) AS t, CASE WHEN trim(n) <> '' THEN 0.95 ELSE coalesce(c, 0.5) END AS c FROM p)
+  SELECT doc AS doc_id, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY page), '') AS text, round(avg(c), 6) AS confidence FROM t GROUP BY doc""")
+def page_coalescing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Four pages a document, some of them without native or recognised text."""
+    d, n = F.col("doc_id"), F.col("doc_id").cast("string")
+    pages = table(spark, sf_dir, "documents").select(
+        F.floor(d / 4).alias("doc_id"), (d % 4).alias("page"), F.when(d % 3 == 0, " ").otherwise(F.concat(F.lit("native "), n)).alias("native_text"),
+        F.when(d % 5 != 0, F.concat(F.lit("ocr "), n)).alias("ocr_text"), F.when(d % 7 != 0, d % 10 / 10).alias("ocr_confidence"),
+    )
+    return figures.coalesce_pages(pages).withColumn("confidence", r6(F.col("confidence")))
+
+
+per_document(
+    "extraction_route",
+    lambda t: {"ratio": r6(files.native_ratio(t)), "route": files.quality_route(t)},
+    """round(CASE WHEN strlen(text) <= 200 THEN 0.3 WHEN length(regexp_replace(text, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F\\x7F]', '', 'g')) / length(text) > 0.9 AND strlen(text) > 1000 THEN 1.0
+      ELSE least(1.2 * length(regexp_replace(text, '[^\\p{L}]', '', 'g')) / length(text), 1.0) END, 6)::DOUBLE AS ratio, CASE WHEN ratio > 0.6 THEN 'PdfNative' ELSE 'HybridIntelligent' END AS route""",
+)
+
+
+@query("""SELECT doc_id, lang AS title, 'http://x.org' AS url, split_part(replace(text, '|', '/'), chr(10), 1) AS body, CAST(NULL AS VARCHAR) AS selection, CAST(n_chars AS INT) AS words, true AS frames, false AS shadow,
+  CASE WHEN doc_id % 4 = 0 THEN NULL ELSE 'text ' || doc_id END AS spoken, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE ['AXText', 'AXButton'] END AS roles, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE 'docx' END AS document_type, CASE WHEN doc_id % 5 = 0 THEN NULL ELSE CAST(doc_id AS INT) END AS script_words FROM documents""")
+def capture_parsing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of the three ways of capture, some of them errors."""
+    d, n = F.col("doc_id"), F.col("doc_id").cast("string")
+    record = F.concat_ws("|", F.lit("http://x.org"), "lang", F.replace(F.substring_index("text", "\n", 1), F.lit("|"), F.lit("/")), F.lit(""), F.col("n_chars").cast("string"), F.lit("true"), F.lit("false"))
+    spoken = F.when(d % 4 == 0, F.concat(F.lit("ERROR: "), n, F.lit("|SEPARATOR|0|SEPARATOR|"))).otherwise(F.concat(F.lit("text "), n, F.lit("|SEPARATOR|"), n, F.lit("|SEPARATOR|AXText, AXButton")))
+    script = F.when(d % 5 == 0, F.lit("NO_DOCUMENT|SEPARATOR||SEPARATOR|0|SEPARATOR|false")).otherwise(F.concat(F.lit("body|SEPARATOR|/tmp/a|SEPARATOR|"), n, F.lit("|SEPARATOR|true")))
+    rows = table(spark, sf_dir, "documents").select("doc_id", files.dom_capture(record).alias("c"), files.accessibility_capture(spoken).alias("a"), files.script_capture(script, F.lit("Microsoft Word")).alias("s"))
+    return rows.select("doc_id", "c.*", F.col("a.text").alias("spoken"), "a.roles", "s.document_type", F.col("s.words").alias("script_words"))
+
+
+_WAYS = " UNION ALL ".join(f"SELECT doc_id, '{m}' AS method, {n} AS place, (n_chars * {n} % 100) / 100 AS c, {least} AS least FROM documents" for m, (n, least) in files.CAPTURE_ORDER.items())
+
+
+@query(f"""WITH w AS ({_WAYS}), g AS (SELECT doc_id, arg_min(method, place) AS method, arg_min(c, place) AS completeness FROM w WHERE c > least GROUP BY doc_id)
+  SELECT doc_id, coalesce(method, 'stub') AS method, coalesce(completeness, 0.1) AS completeness FROM documents LEFT JOIN g USING (doc_id)""")
+def first_capture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first complete enough way of capture for each document, completeness by length."""
+    docs = table(spark, sf_dir, "documents")
+    ways = F.array(*[F.struct(F.lit(m).alias("method"), (F.pmod(F.col("n_chars") * n, F.lit(100)) / 100.0).alias("completeness")) for n, m in enumerate(files.CAPTURE_ORDER, 1)])
+    return files.first_acceptable(docs.select("doc_id", F.inline(ways)))
+
+
+@query("""SELECT doc_id, ['Header', 'Text', 'Figure', 'List', 'KeyValue', 'Amount', 'Date', 'Text'][doc_id % 8 + 1] AS kind, 'PdfPoints' AS system, CAST((doc_id % 50) * 2 AS DOUBLE) AS area, trim(text) <> '' AND doc_id % 9 <> 0 AS valid FROM documents""")
+def boxes_and_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    name = F.get(F.array(*map(F.lit, ("Title", "paragraph", "IMAGE", "bullet_list", "field", "money", "date", "other"))), (d % 8).cast("int"))
+    box = files.point_box(F.lit(1), d, d, d % 50, F.lit(2))
+    return table(spark, sf_dir, "documents").select("doc_id", blocks.block_type(name).alias("kind"), box["system"].alias("system"), files.box_area(box).alias("area"), files.valid_source(F.col("text"), d % 9).alias("valid"))
+
+
+@query()
+def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks of every text with a look ahead, rebuilt, formed and laid out; tests hold them against fixtures."""
+    found = blocks.document_blocks(table(spark, sf_dir, "documents"))
+    return found.withColumn("content", F.sha2("content", 256))

@@ -74,6 +74,28 @@ def sql_tokens(column: str) -> str:
     return f"list_filter({bare}, lambda x: x <> '')"
 
 
+def sql_strip(column: str) -> str:
+    return f"regexp_replace({column}, '^\\s+|\\s+$', '', 'g')"
+
+
+def sql_sentences(column: str, n: int) -> str:
+    long = f"list_filter(regexp_split_to_array({column}, '[.!?]'), lambda s: strlen(s) > 30 AND trim(s, ' ') <> '')"
+    return f"list_transform(list_slice({long}, 1, {n}), lambda s: {sql_strip('s')})"
+
+
+def sql_condense(column: str, n: int) -> str:
+    bare = sql_strip(column)
+    head = f"left({bare}, {n})"
+    stop, space = (f"(length({head}) - strpos(reverse({head}), '{c}') + 1)" for c in ". ")
+    return f"""CASE WHEN length({bare}) <= {n} THEN {bare} WHEN contains({head}, '.') AND {stop} - 1 > {n // 2} THEN left({head}, {stop})
+      WHEN contains({head}, ' ') THEN left({head}, {space} - 1) || '...' ELSE {head} || '...' END"""
+
+
+def sql_tail(column: str, n: int) -> str:
+    """The last words of a text, joined by spaces."""
+    return f"array_to_string(list_slice({sql_words(column)}, greatest(len({sql_words(column)}) - {n} + 1, 1), len({sql_words(column)})), ' ')"
+
+
 def sql_pairs(tokens: str) -> str:
     return f"list_concat({tokens}, list_transform(range(1, len({tokens})), lambda i: {tokens}[i] || '_' || {tokens}[i + 1]))"
 

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import classify, numeric, vectors
-from ..operators import rerank, scoring
+from ..functions import classify, numeric, text, vectors
+from ..operators import bm25, rerank, scoring
 from ..storage import checkpointed, stored
 
 def vector_search(queries: DataFrame, points: DataFrame, k: int = 10, min_score: float | None = None) -> DataFrame:
@@ -79,6 +79,14 @@ def hybrid_search(
     return best.select("query_id", "doc_id", "dense", "sparse", "keyword", "hybrid", "score", "query_kind", "has_match", "rank")
 
 
+def query_intents(queries: DataFrame, docs: DataFrame) -> DataFrame:
+    """``query_id, intent``: ExactPhrase, Conceptual or Mixed, by the query's words and the idf of its three leading terms."""
+    index = bm25.build_index(docs, bm25.query_terms(queries))
+    top = bm25.technical_terms(queries, bm25.index_idf(index), 3).groupBy("query_id").agg((F.max("idf") > 2.5).alias("high"))
+    known = queries.join(top, "query_id", "left")
+    return known.select("query_id", classify.search_intent(F.col("query"), F.coalesce("high", F.lit(False)), F.size(text.term_tokens(F.col("query")))).alias("intent"))
+
+
 def context_block(rank: Column, label: Column, page: Column, confidence: Column, content: Column) -> Column:
     """One source of the answer context."""
     head = F.format_string("### Source %d - %s (Page %s, Confidence: %d%%)\n", rank, label, F.coalesce(page.cast("string"), F.lit("?")), F.round(confidence * 100).cast("int"))

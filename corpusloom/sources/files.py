@@ -75,16 +75,43 @@ def ocr_boxes(tsv: Column) -> Column:
     return F.filter(boxes, lambda b: (b["text"] != "") & (b["confidence"] >= 0.3))
 
 
-def ocr_result(tsv: Column) -> Column:
-    """``struct<text, confidence, boxes>``: the mean confidence of the boxes, 0 without any."""
+def ocr_result(tsv: Column, languages: tuple[str, ...] = ("eng",)) -> Column:
+    """``struct<text, confidence, boxes, language, has_layout>``: the mean confidence of the boxes, 0 without any; the first configured language."""
     boxes = ocr_boxes(tsv)
     total = F.aggregate(boxes, F.lit(0.0), lambda a, b: a + b["confidence"])
     return F.struct(
         F.array_join(F.transform(boxes, lambda b: b["text"]), " ").alias("text"),
         F.coalesce(total / F.nullif(F.size(boxes), F.lit(0)), F.lit(0.0)).alias("confidence"), F.size(boxes).alias("boxes"),
+        F.lit(languages[0] if languages else None).alias("language"), (F.size(boxes) > 0).alias("has_layout"),
     )
 
 
+def pixel_box(x: Column, y: Column, width: Column, height: Column) -> Column:
+    return _box(F.lit(None).cast("int"), x, y, width, height, "ImagePixels")
+
+
+def point_box(page: Column, x: Column, y: Column, width: Column, height: Column) -> Column:
+    return _box(page, x, y, width, height, "PdfPoints")
+
+
+def normalized_box(x: Column, y: Column, width: Column, height: Column) -> Column:
+    return _box(F.lit(None).cast("int"), x, y, width, height, "Normalized")
+
+
+def _box(page: Column, x: Column, y: Column, width: Column, height: Column, system: str) -> Column:
+    parts = {"x": x, "y": y, "width": width, "height": height}
+    return F.struct(page.cast("int").alias("page"), *[c.cast("double").alias(n) for n, c in parts.items()], F.lit(system).alias("system"))
+
+
+def box_area(box: Column) -> Column:
+    return box["width"] * box["height"]
+
+
+def valid_source(content: Column, pid: Column) -> Column:
+    """Neither a blank text nor the process 0."""
+    return (F.trim(content) != "") & (pid != 0)
+
+
 def dom_capture(record: Column) -> Column:
     """Seven fields between bars; null if there are fewer."""
     f = F.split(F.trim(record), r"\|")

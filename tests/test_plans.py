@@ -1,5 +1,6 @@
-from corpusloom.operators import answers
-from corpusloom.plans import ingest, retrieval
+from corpusloom.operators import answers, sessions
+from corpusloom.plans import ingest, queries_ranking, retrieval
+from pyspark.sql import functions as F
 
 
 def test_ingest(spark, tmp_path):
@@ -25,7 +26,30 @@ def test_context_and_answers(spark):
     context = retrieval.answer_context(ranked).first()
     assert context.sources == 2 and context.context.startswith("### Source 1 - doc (Page ?, Confidence: 90%)") and context.context.endswith("x" * 500 + "...")
     answer = answers.extractive_answer(ranked).first()
-    assert answer.answer == "Method:\nA long enough sentence that explains it" and answer.sources == 1
+    footer = "\n*Réponse générée à partir de 1 sections du document (confiance: haute)*"
+    assert answer.form == "explanation" and answer.sources == 1
+    assert answer.answer == answers.HEADINGS["explanation"] + "A long enough sentence that explains it. Short.\n\n" + footer
+    weak = answers.extractive_answer(ranked.withColumn("score", F.lit(0.1))).first()
+    assert weak.answer == answers.TOO_WEAK and weak.sources == 0
+    known = answers.knowledge_context(ranked.withColumns({"source_file": F.lit(None).cast("string"), "category": F.lit("Mixed")}), "Réponds.").first()
+    assert "### [Source 1] Score: 90.00%\nCatégorie: Mixed\n" in known.context and known.context.endswith("---\n\nRéponds.") and len(known.previews[1]) == 303
+
+
+def test_sessions(spark):
+    docs = spark.createDataFrame([(1, "Eins. Zwei.", "de"), (2, " ", "de")], "doc_id long, text string, lang string")
+    opened = sessions.open_sessions(ingest.ingest(docs), F.lit("2024-01-01 10:00:00").cast("timestamp"), F.lit(1.0))
+    row = opened.first()
+    assert opened.count() == 1 and (row.doc_id, row.chunks, row.embedded, row.confidence) == (1, 1, 1, 1.0)
+    now = F.lit("2024-01-01 10:30:00").cast("timestamp")
+    assert sessions.list_sessions(opened, now).first().age_s == 1800
+    assert sessions.get_sessions(opened, opened.select("session_id"), now).count() == 1
+    assert sessions.get_sessions(opened, opened.select("session_id"), F.lit("2024-01-01 11:30:01").cast("timestamp")).count() == 0
+    assert sessions.close_sessions(opened, opened.select("session_id")).count() == 0
+
+
+def test_approximate_search_finds_nine_in_ten(spark, small):
+    found = queries_ranking.approximate_search(spark, small).collect()
+    assert len(found) == 25 and sum(r.recall for r in found) / len(found) >= 0.9
     assert abs(retrieval.response_confidence(ranked).first().confidence - (0.9 + 0.1) / 1.1) < 1e-9
 
 
