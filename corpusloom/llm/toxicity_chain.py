@@ -186,15 +186,14 @@ def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, seed:
     names = list(known)
     marks = [F.expr(f"CAST(`{column}` {rule} AS INT)").alias(name) for name, (column, rule) in known.items()]
     rows = labels.select(F.col("doc_id").alias("_id"), *marks).where(" or ".join(f"{n} is not null" for n in names))
-    sample = (
-        docs.where("text is not null")
-        .select("doc_id", "text")
-        .join(rows, F.col("doc_id") == F.col("_id"))
-        .select(F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"), *names, "text")
+    # hashes are made before the join, so that only the texts of the cut are exchanged
+    hashed = docs.where("text is not null").select(
+        "doc_id", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"), "text"
     )
     # the cut is found on the hashes alone, so texts stay where they are
-    cut = sample.select("h").orderBy("h").limit(train_rows).agg(F.max("h")).first()[0]
-    sample = checkpointed(sample.where(F.col("h") <= cut) if cut is not None else sample.limit(0))
+    cut = hashed.select("doc_id", "h").join(rows.select("_id"), F.col("doc_id") == F.col("_id")).select("h").orderBy("h").limit(train_rows).agg(F.max("h")).first()[0]
+    cut = -(1 << 63) if cut is None else cut
+    sample = checkpointed(hashed.where(F.col("h") <= cut).join(rows, F.col("doc_id") == F.col("_id")).select("fold", *names, "text"))
     chosen = choose_words(sample, names)
     words = tuple(sorted({w for lists in chosen.values() for own in lists.values() for w in own}))
 
