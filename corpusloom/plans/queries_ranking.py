@@ -365,5 +365,5 @@ def approximate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The recall of an inverted file at ten for each query of the query set, against exact search."""
     queries, points = vector_tables(spark, sf_dir)
     centres = ann.fit_centroids(points, 32)
-    found = scoring.top_k(ann.approximate_search(queries, ann.in_cells(points, centres), centres, probes=12), 10)
+    found = scoring.top_k(ann.approximate_search(queries, ann.in_cells(points, centres), centres, probes=20), 10)
     return retrieval.recall(found, retrieval.vector_search(queries, points), 10)
