@@ -74,8 +74,19 @@ def latest_versions(cache: DataFrame, key: str, modified: str = "modified") -> D
 
 def evict(entries: DataFrame, needed: int, score: str = "eviction_score", size: str = "size", by: str | None = None) -> DataFrame:
     """Entries to evict, lowest scores first, until the needed size is free; ``by`` splits into caches."""
-    own = Window.partitionBy(*([by] if by else [F.lit(0)])).orderBy(score, "key").rowsBetween(Window.unboundedPreceding, -1)
-    return entries.withColumn("_freed", F.coalesce(F.sum(size).over(own), F.lit(0))).where(F.col("_freed") < needed).drop("_freed")
+    groups = [by] if by else []
+    # cut by score first: what lies above the scores that free enough is never ordered
+    steps = entries.groupBy(*groups, F.floor(F.col(score)).alias("_step")).agg(F.sum(size).alias("_size"))
+    below = Window.partitionBy(*groups).orderBy("_step").rowsBetween(Window.unboundedPreceding, -1)  # one row a step of the score
+    enough = steps.withColumn("_before", F.coalesce(F.sum("_size").over(below), F.lit(0))).where(F.col("_before") < needed)
+    named = enough.select(*[F.col(g).alias(f"_{g}") for g in groups], F.col("_step"), "_before")
+    step = F.floor(F.col(score)) == F.col("_step")
+    for g in groups:
+        step = step & (F.col(g) == F.col(f"_{g}"))
+    left = entries.join(named, step).drop(*[f"_{g}" for g in groups])
+    own = Window.partitionBy(*groups, "_step").orderBy(score, "key").rowsBetween(Window.unboundedPreceding, -1)
+    freed = F.col("_before") + F.coalesce(F.sum(size).over(own), F.lit(0))
+    return left.withColumn("_freed", freed).where(F.col("_freed") < needed).drop("_freed", "_before", "_step")
 
 
 def cap_cache(entries: DataFrame, max_entries: int, newest: str = "last_access", by: str = "cache") -> DataFrame:
@@ -127,16 +138,28 @@ def running_metrics(requests: DataFrame, by: str = "app") -> DataFrame:
     return requests.groupBy(by).agg(F.count("*").alias("n"), F.avg("latency").alias("mean_latency"), F.avg(F.col("ok").cast("double")).alias("success_rate"))
 
 
+#: Rows of a group over which its moving average is folded at a time.
+AVERAGE_ROWS = 50_000
+
+
 def moving_average(events: DataFrame, by: str, order: str, value: str, keep: float) -> DataFrame:
     """Exponential moving average: ``keep`` of the old value and the rest of the new one, from the first value on.
 
-    The average is a weighted sum, so weights are aggregated by row number and no list is gathered.
+    ``order`` is a number. A group's rows are cut into stretches of it, in each of which the average is a
+    weighted sum by row numbers; stretches follow each other by one multiplication, so no group meets in
+    one task.
     """
-    own = Window.partitionBy(by).orderBy(order)
-    n = F.count("*").over(Window.partitionBy(by))
-    rows = events.select(by, F.col(value).cast("double").alias("v"), F.row_number().over(own).alias("i"), n.alias("n"))
-    weight = F.when(F.col("i") == 1, F.pow(F.lit(keep), F.col("n") - 1)).otherwise((1 - keep) * F.pow(F.lit(keep), F.col("n") - F.col("i")))
-    return rows.groupBy(by).agg(F.sum(weight * F.col("v")).alias("ema"))
+    span = events.agg(F.min(order), F.max(order), F.count("*")).first()
+    cuts = max(1, -(-(span[2] or 0) // AVERAGE_ROWS))
+    width = max(1, -(-((span[1] or 0) - (span[0] or 0) + 1) // cuts))
+    rows = events.select(by, F.floor((F.col(order) - F.lit(span[0] or 0)) / width).alias("_part"), F.col(order).alias("_o"), F.col(value).cast("double").alias("v"))
+    own = Window.partitionBy(by, "_part")
+    numbered = rows.select(by, "_part", "v", F.row_number().over(own.orderBy("_o", "v")).alias("i"), F.count("*").over(own).alias("n"))
+    weight = (1 - keep) * F.pow(F.lit(keep), F.col("n") - F.col("i"))
+    parts = numbered.groupBy(by, "_part").agg(F.sum(weight * F.col("v")).alias("s"), F.max("n").alias("n"), F.min_by("v", "i").alias("first"))
+    # one row a stretch: the first value of all stands in for what came before it
+    listed = parts.groupBy(by).agg(F.sort_array(F.collect_list(F.struct("_part", "s", "n", "first"))).alias("p"))
+    return listed.select(by, F.aggregate("p", F.get("p", F.lit(0))["first"], lambda a, x: a * F.pow(F.lit(keep), x["n"]) + x["s"]).alias("ema"))
 
 
 def latency_summary(runs: DataFrame, by: str, value: str) -> DataFrame:
@@ -146,3 +169,42 @@ def latency_summary(runs: DataFrame, by: str, value: str) -> DataFrame:
 
 def hit_ratio(requests: DataFrame) -> DataFrame:
     return requests.agg(F.coalesce(F.avg(F.col("hit").cast("double")), F.lit(0.0)).alias("ratio"))
+
+
+def create_collection(catalog: DataFrame, name: str, dims: int, distance: str = "Cosine") -> DataFrame:
+    """``name, dims, distance`` with the collection; one that exists stays as it is."""
+    new = catalog.sparkSession.createDataFrame([(name, dims, distance)], "name string, dims int, distance string")
+    return insert_absent(catalog.select("name", "dims", "distance"), new, "name")
+
+
+def drop_collection(catalog: DataFrame, name: str) -> DataFrame:
+    """The catalog without the collection; one that does not exist is no error."""
+    return catalog.where(F.col("name") != name)
+
+
+def collection_of(groups: DataFrame, asked: DataFrame) -> DataFrame:
+    """``asked`` with the collection of its group, null for groups that do not exist."""
+    known = groups.select(F.col("group_id").alias("_g"), "collection")
+    return asked.join(known, F.col("group_id") == F.col("_g"), "left").drop("_g")
+
+
+def conversation_totals(rows: DataFrame) -> DataFrame:
+    """``model, conversations, messages, mean_messages`` of ``conv_id, model, n_messages``; the mean is rounded."""
+    return rows.groupBy("model").agg(F.count("*").alias("conversations"), F.sum("n_messages").alias("messages"), F.round(F.avg("n_messages")).cast("long").alias("mean_messages"))
+
+
+def method_histogram(requests: DataFrame, by: str = "app", method: str = "method") -> DataFrame:
+    return requests.groupBy(by, method).agg(F.count("*").alias("n"))
+
+
+def overlap_stats(chunks: DataFrame, overlap: Column) -> DataFrame:
+    """``chunks, mean_bytes, overlap_percent``."""
+    return chunks.agg(F.count("*").alias("chunks"), F.avg(F.octet_length("content")).alias("mean_bytes"), F.max(overlap * 100.0).alias("overlap_percent"))
+
+
+def model_summary(models: DataFrame) -> DataFrame:
+    """``total_size, popular, categories`` of ``name, size, downloads, category``: those above the mean of downloads are popular."""
+    mean = models.agg(F.avg("downloads").alias("mean"))
+    return models.join(F.broadcast(mean), how="cross").agg(  # one row
+        F.sum("size").alias("total_size"), F.count_if(F.col("downloads") > F.col("mean")).alias("popular"), F.array_join(F.array_sort(F.collect_set("category")), ",").alias("categories")
+    )

@@ -428,14 +428,6 @@ def conversation_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- web --------------------------------------------------------------------------------------------
 
 
-@query("SELECT page_id, CASE WHEN " + " OR ".join(f"contains(url, {q(d)})" for d in classify.BLOCKED_DOMAINS) + " THEN true ELSE false END AS blocked, "
-       "regexp_extract(url, '^[a-zA-Z]+://([^/:?#]+)', 1) AS host, "
-       f"{sql_any(chr(104) + 'tml', ['Subscribe to continue'])} AS paywalled FROM (SELECT page_id, lower(url) AS url, html FROM pages)")
-def page_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    u = F.lower("url")
-    return table(spark, sf_dir, "pages").select("page_id", classify.blocked_domain(u).alias("blocked"), web.host(u).alias("host"), F.contains("html", F.lit("Subscribe to continue")).alias("paywalled"))
-
-
 @query(f"""WITH p AS (SELECT page_id, url, regexp_extract(url, '#[a-zA-Z].*$', 0) AS f, regexp_replace(url, '#.*$', '') AS b FROM pages),
   k AS (SELECT page_id, regexp_replace(b, '\\?.*$', '') AS h, list_filter(string_split(regexp_extract(b, '\\?(.*)$', 1), '&'),
     lambda x: x <> '' AND NOT regexp_matches(x, '^({"|".join(web.TRACKING)})(=|$)')) AS ps, f FROM p)
@@ -444,35 +436,9 @@ def url_normalization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "pages").select("page_id", web.normalize_url(F.col("url")).alias("url"))
 
 
-@query()
-def page_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return web.extract_pages(table(spark, sf_dir, "pages"))
-
-
-@query()
-def page_cache_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "pages").withColumn("body", web.strip_tags(F.col("html")))
-    kind = web.content_type(F.col("url"), F.lit(""), F.col("body"))
-    return p.select("page_id", kind.alias("content_type"), web.ttl_minutes(kind).alias("ttl_minutes"), web.cacheable(F.col("url"), F.lit(""), F.col("body")).alias("cacheable"))
-
-
 # --- ingest guards ----------------------------------------------------------------------------------
 
 
-@query()
-def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("client"), "ts", F.col("event_id").alias("id"))
-    return guards.rate_limited(events, calls=3, seconds=3600)
-
-
-@query("""WITH k AS (SELECT *, json_extract_string(props, '$.k') AS nonce FROM events)
-  SELECT nonce, min(ts) AS ts, arg_min(event_id, (ts, event_id)) AS event_id FROM k GROUP BY nonce""")
-def nonce_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").alias("nonce"), "ts", "event_id")
-    first = events.groupBy("nonce").agg(F.min_by(F.struct("ts", "event_id"), F.struct("ts", "event_id")).alias("e"))
-    return first.select("nonce", "e.ts", "e.event_id")
-
-
 @query("""WITH m AS (SELECT max(ts) AS now FROM events) SELECT event_id, abs(epoch(now) - epoch(date_trunc('second', ts))) <= 900 AS fresh FROM
   (SELECT event_id, ts, date_trunc('second', now) AS now FROM events, m)""")
 def time_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -488,12 +454,6 @@ def telemetry(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select(F.col("window.start").alias("start"), "method", "n", F.round("bytes", 4).alias("bytes"))
 
 
-@query()
-def debounced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = table(spark, sf_dir, "events").select("user_id", "ts", F.col("event_id").alias("id"))
-    return guards.debounced(events, "user_id", gap="1 hour")
-
-
 # --- further features and maintenance ---------------------------------------------------------------
 
 _LINE = f"""CASE WHEN {sql_any("lower(line)", scoring.DISCLAIMERS)} THEN 'Disclaimer' WHEN {sql_any("lower(line)", ("forward", "outlook", "projection", "estimate"))} THEN 'ForwardLooking'
@@ -519,12 +479,6 @@ per_document("chunk_types", lambda t: {"chunk_type": chunking.chunk_type(t)}, ""
   WHEN starts_with(ltrim(text), 'class ') OR starts_with(ltrim(text), 'struct ') THEN 'Class' WHEN starts_with(ltrim(text), '//') OR starts_with(ltrim(text), '/*') THEN 'Comment' ELSE 'TextBlock' END AS chunk_type""")
 
 
-@query("""SELECT conv_id, count(*) AS messages, count(*) FILTER (role = 'user') AS asked, CAST(round(avg(length(text))) AS BIGINT) AS mean_chars FROM conversations GROUP BY conv_id""")
-def conversation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = table(spark, sf_dir, "conversations")
-    return rows.groupBy("conv_id").agg(F.count("*").alias("messages"), F.count_if(F.col("role") == "user").alias("asked"), F.round(F.avg(F.length("text"))).cast("long").alias("mean_chars"))
-
-
 @query("""WITH m AS (SELECT max(ts) AS now FROM events), s AS (SELECT user_id, min(ts) AS created_at, count(*) AS n FROM events GROUP BY user_id)
   SELECT count(*) AS sessions, CAST(sum(n) AS BIGINT) AS chunks, CAST(sum(n) AS BIGINT) AS embedded,
   CAST(sum(CASE WHEN epoch(date_trunc('second', now)) - epoch(date_trunc('second', created_at)) > 3600 THEN 1 ELSE 0 END) AS BIGINT) AS expired FROM s, m""")
@@ -557,11 +511,6 @@ def capture_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id").agg(F.count("*").alias("methods"), r6(F.max("v")).alias("best"))
 
 
-@query("SELECT page_id, regexp_extract(path, '\\.([^./\\\\]+)$', 1) AS extension FROM (SELECT page_id, url AS path FROM pages)")
-def url_extension(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "pages").select("page_id", F.regexp_extract("url", r"\.([^./\\]+)$", 1).alias("extension"))
-
-
 # --- ingest and answers -----------------------------------------------------------------------------
 
 

@@ -1 +1,408 @@
-"""Queries."""
+"""Queries of pages, caches, streams' guards, sessions and collections."""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import classify
+from ..operators import caches, collections, spans
+from ..sources import files, readability, web
+from ..storage import tables_dir
+from ..streaming import guards
+from .registry import per_document, q, query, r6, sql_any, table
+
+# --- pages ------------------------------------------------------------------------------------------
+
+_BARE = "trim(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<(script|style)\\b.*?</(script|style)\\s*>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g'), ' ')"
+
+
+def _kind_sql(body: str) -> str:
+    arms = []
+    for name, lists in web.CONTENT_TYPES.items():
+        parts = [sql_any(c, words) for c, words in zip(("lower(url)", "''", f"lower({body})"), lists, strict=True) if words and c != "''"]
+        arms.append(f"WHEN {' OR '.join(parts)} THEN '{name}'")
+    return f"CASE {' '.join(arms)} ELSE 'general' END"
+
+
+_TTL = "CASE content_type " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in web.TTL_MINUTES.items()) + " END"
+_URL = "replace(url, '/en/', ['/news/', '/docs/', '/shop/', '/login/', '/en/'][page_id % 5 + 1])"
+
+
+@query(f"""WITH p AS (SELECT page_id, {_URL} AS url, {_BARE} AS body FROM pages), k AS (SELECT *, {_kind_sql("body")} AS content_type FROM p)
+  SELECT page_id, content_type, CAST({_TTL} AS DOUBLE) AS ttl_minutes, length(body) >= 100 AND NOT {sql_any("lower(url)", ("/login", "/auth", "/signin"))} AS cacheable, md5(body) AS body FROM k""")
+def page_cache_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Kinds of pages at addresses of several kinds, how long they are kept, and their text without tags."""
+    place = F.get(F.array(*map(F.lit, ("/news/", "/docs/", "/shop/", "/login/", "/en/"))), (F.col("page_id") % 5).cast("int"))
+    p = table(spark, sf_dir, "pages").select("page_id", F.replace("url", F.lit("/en/"), place).alias("url"), web.strip_tags(F.col("html")).alias("body"))
+    kind = web.content_type(F.col("url"), F.lit(""), F.col("body"))
+    return p.select("page_id", kind.alias("content_type"), web.ttl_minutes(kind).alias("ttl_minutes"), web.cacheable(F.col("url"), F.lit(""), F.col("body")).alias("cacheable"), F.md5("body").alias("body"))
+
+
+_HOST = "regexp_extract(lower(url), '^[a-zA-Z]+://([^/:?#]+)', 1)"
+_BASE = f"array_to_string(list_slice(string_split({_HOST}, '.'), -2, -1), '.')"
+_ARTICLE = "html || CASE WHEN page_id % 4 = 0 THEN ' PREMIUM content' ELSE '' END"
+
+
+@query(f"""WITH p AS (SELECT page_id, replace(url, 'http://', CASE WHEN page_id % 6 = 0 THEN 'http://bank' ELSE 'http://' END) AS url, {_ARTICLE} AS html FROM pages)
+  SELECT page_id, {sql_any("lower(url)", classify.BLOCKED_DOMAINS)} AS blocked, {_HOST} AS host, {_BASE} AS base_domain, {sql_any(_HOST, web.SENSITIVE)} AS sensitive,
+    CASE WHEN page_id % 11 = 0 THEN 'allow' WHEN page_id % 7 = 0 THEN 'deny' WHEN page_id % 5 = 0 THEN 'allow' WHEN {sql_any(_HOST, web.SENSITIVE)} THEN 'deny' WHEN page_id % 3 = 0 THEN 'ask' ELSE 'allow' END AS consent,
+    {sql_any("lower(html)", [w.lower() for w in web.PAYWALL])} AS paywalled, contains(url, '.pdf') OR contains(html, 'PDF') AS pdf,
+    least(1.0, CASE WHEN page_id % 2 = 0 THEN 0.4 ELSE 0 END + CASE WHEN page_id % 3 = 0 THEN 0.3 ELSE 0 END + CASE WHEN page_id % 5 = 0 THEN 0.2 ELSE 0 END + CASE WHEN page_id % 7 = 0 THEN 0.5 ELSE 0 END)::DOUBLE AS paywall_score,
+    regexp_extract(url, '\\.([^./\\\\]+)$', 1) AS extension FROM p""")
+def page_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an address and a text tell: blocked, sensitive, allowed, paid for, or a file."""
+    n = F.col("page_id")
+    p = table(spark, sf_dir, "pages").select(
+        "page_id", F.replace("url", F.lit("http://"), F.when(n % 6 == 0, "http://bank").otherwise("http://")).alias("url"), F.concat("html", F.when(n % 4 == 0, " PREMIUM content").otherwise("")).alias("html")
+    )
+    host = web.host(F.lower("url"))
+    mode = F.when(n % 3 == 0, "ask").otherwise("always")
+    return p.select(
+        "page_id", classify.blocked_domain(F.col("url")).alias("blocked"), host.alias("host"), web.base_domain(host).alias("base_domain"), web.sensitive_domain(host).alias("sensitive"),
+        web.consent(host, F.when(n % 11 == 0, "allow"), n % 7 == 0, n % 5 == 0, mode).alias("consent"), web.is_paywalled(F.col("html")).alias("paywalled"), web.is_pdf(F.col("url"), F.col("html")).alias("pdf"),
+        r6(web.paywall_score(n % 2 == 0, n % 3 == 0, n % 5 == 0, n % 7 == 0)).alias("paywall_score"), web.extension(F.col("url")).alias("extension"),
+    )
+
+
+_FILLER = " and so on, with some more words of no meaning at all" * 6
+_INNER = "regexp_extract(html, '(?s)<article>(.*)</article>', 1)"
+_TEXT = f"replace(replace(regexp_replace({_INNER}, '(?s)<[^>]*>', '', 'g'), '&quot;', '\"'), '&amp;', '&')"
+_TITLE = "replace(replace(regexp_extract(html, '<title>([^<]*)</title>', 1), '&quot;', '\"'), '&amp;', '&')"
+_HEADING = "replace(replace(trim(regexp_extract(html, '(?s)<h1>(.*?)</h1>', 1)), '&quot;', '\"'), '&amp;', '&')"
+
+
+@query(f"""WITH p AS (SELECT page_id, url, html, trim({_TEXT} || '{_FILLER}') AS content FROM pages)
+  SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'semantic' ELSE 'score' END AS way, md5(content) AS content, length(content) AS length, CASE WHEN page_id % 3 = 0 THEN 'An Author' ELSE '' END AS byline, left(content, 280) AS excerpt,
+    CASE WHEN page_id % 5 = 0 THEN 'medium' ELSE 'low' END AS complexity, {_HEADING} AS title, CASE WHEN page_id % 3 = 0 THEN '2024-05-06' END AS published, CAST(CASE WHEN length({_HEADING}) > 10 THEN 1 ELSE 0 END AS INT) AS headings FROM p""")
+def main_content(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main content of pages with a semantic element, and of the same without one; authors, dates and frames on some."""
+    n = F.col("page_id")
+    html = F.replace("html", F.lit("</article>"), F.lit(f"<p>{_FILLER}</p></article>"))
+    html = F.when(n % 2 == 0, html).otherwise(F.replace(F.replace(html, F.lit("<article>"), F.lit("<section>")), F.lit("</article>"), F.lit("</section>")))
+    extra = F.concat(F.when(n % 3 == 0, '<span class="author">An Author</span><time pubdate datetime="2024-05-06">May</time>').otherwise(""), F.when(n % 5 == 0, "<iframe></iframe>").otherwise(""))
+    told = readability.read_pages(table(spark, sf_dir, "pages").select("page_id", "url", F.replace(html, F.lit("<footer>"), F.concat(F.lit("<footer>"), extra)).alias("html")))
+    return told.select(
+        "page_id", "way", F.md5("content").alias("content"), "length", "byline", "excerpt", "complexity", "public.title", F.col("public.date").alias("published"), F.size("public.headings").alias("headings")
+    )
+
+
+_SCORED = f"""SELECT page_id, (SELECT count(*) FROM (SELECT unnest(regexp_extract_all({_INNER}, '<p>')))) AS ps, length(trim({_TEXT})) AS n FROM pages"""
+
+
+@query(f"""SELECT page_id, 'article' AS best_tag, round(greatest(0, least(1, CASE WHEN n < 100 THEN 0 ELSE CASE WHEN n > 500 THEN 0.3 ELSE 0 END + CASE WHEN n > 1500 THEN 0.2 ELSE 0 END + CASE WHEN n > 3000 THEN 0.1 ELSE 0 END
+    + least(ps * 0.05, 0.3) + 0.2 + 0.3 END)), 6)::DOUBLE AS best_score FROM ({_SCORED}) WHERE n >= 500""")
+def best_elements(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The element with the best score, for pages whose article has a telling name and 500 characters or more."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", F.replace("html", F.lit("<article>"), F.lit('<article class="story">')).alias("html"))
+    told = readability.read_pages(pages)
+    inner = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.regexp_extract("html", r'(?s)<article class="story">(.*)</article>', 1), r"(?s)<[^>]*>", ""), "&quot;", '"'), "&amp;", "&")
+    long = pages.where(F.length(F.trim(inner)) >= 500).select("page_id")
+    return told.join(long, "page_id", "left_semi").select("page_id", "best_tag", r6(F.col("best_score")).alias("best_score"))
+
+
+_ADDED = "'<meta property=\"og:title\" content=\"T' || page_id || '\"><meta name=\"k\" content=\"v\"><script type=\"application/ld+json\">{\"@type\": \"' || ['Product', 'Article', 'Dataset', 'Thing'][page_id % 4 + 1] || '\"}</script>'"
+
+
+@query(f"""SELECT page_id, 'T' || page_id AS title, CASE page_id % 4 WHEN 0 THEN 'commerce' WHEN 1 THEN 'article' WHEN 2 THEN 'table_dataset' END AS page_class, CAST(0.9 AS DOUBLE) AS confidence, 'a,b' AS headers, '1,2;3,4' AS rows,
+    CAST(2 AS INT) AS row_count, CAST(2 AS INT) AS column_count, 'v' AS meta, 'T' || page_id AS open_graph, '12' AS price FROM (SELECT page_id, {_ADDED} AS added FROM pages) WHERE page_id % 4 < 3""")
+def page_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Structured data of pages: classes by their own words, tables as rows, and the three kinds of metadata."""
+    n = F.col("page_id")
+    kind = F.get(F.array(*map(F.lit, ("Product", "Article", "Dataset", "Thing"))), (n % 4).cast("int"))
+    head = F.concat(F.lit('<meta property="og:title" content="T'), n.cast("string"), F.lit('"><meta name="k" content="v"><script type="application/ld+json">{"@type": "'), kind, F.lit('"}</script></head>'))
+    body = F.lit('<table><tr><th>a</th><th>b</th></tr><tr><td>1</td><td>2</td></tr><tr><td>3</td><td>4</td></tr></table><i itemprop="price" content="12"></i><footer>')
+    pages = table(spark, sf_dir, "pages").where(n % 4 < 3).select("page_id", F.replace(F.replace("html", F.lit("</head>"), head), F.lit("<footer>"), body).alias("html"))
+    one = F.get("tables", F.lit(0))
+    rows = F.array_join(F.transform(one["rows"], lambda r: F.array_join(r, ",")), ";")
+    return web.extract_pages(pages).select(
+        "page_id", "title", "page_class", "confidence", F.array_join(one["headers"], ",").alias("headers"), rows.alias("rows"), one["row_count"].alias("row_count"), one["column_count"].alias("column_count"),
+        F.col("meta")["k"].alias("meta"), F.col("open_graph")["og:title"].alias("open_graph"), F.col("microdata")["price"].alias("price"),
+    )
+
+
+@query("""SELECT page_id, '=== MAIN CONTENT ===' || chr(10) || 'main ' || page_id || CASE WHEN page_id % 2 = 0 THEN chr(10) || chr(10) || '=== IFRAME CONTENT ===' || chr(10) || '--- Frame 1 (f' || page_id || ') ---' || chr(10) || 'inside' ELSE '' END
+    || CASE WHEN page_id % 3 = 0 THEN chr(10) || chr(10) || '=== DYNAMIC CONTENT ===' || chr(10) || 'later' || chr(10) || 'last' ELSE '' END AS combined FROM pages""")
+def combined_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    n = F.col("page_id")
+    nothing = F.expr("cast(array() as array<struct<name: string, content: string>>)")
+    frames = F.when(n % 2 == 0, F.array(F.struct(F.concat(F.lit("f"), n.cast("string")).alias("name"), F.lit("inside").alias("content")))).otherwise(nothing)
+    added = F.when(n % 3 == 0, F.array(F.lit("later"), F.lit("last"))).otherwise(F.expr("cast(array() as array<string>)"))
+    return table(spark, sf_dir, "pages").select("page_id", web.combine_parts(F.concat(F.lit("main "), n.cast("string")), frames, nothing, added).alias("combined"))
+
+
+_FORMED = {k: v for k, v in classify.PAGE_FORMS.items()}
+_ASKED_OF = "CASE kind " + " ".join(f"WHEN '{k}' THEN {q(h.strip())} || chr(10) || content || chr(10) || chr(10) || {q(a)}" for k, (h, a) in _FORMED.items()) + f" ELSE content || chr(10) || chr(10) || {q(classify.GENERIC_FORM)} END"
+
+
+@query(f"""WITH p AS (SELECT page_id, url, ['commerce', 'article', 'table_dataset', 'email_like', 'generic'][page_id % 5 + 1] AS kind, 'Costs ' || page_id || ' USD today' AS content FROM pages)
+  SELECT page_id, 'Page extrait de **t' || page_id || '**' || chr(10) || '🔗 ' || url || chr(10) || chr(10) || CASE WHEN kind = 'commerce' THEN '💰 **PRIX DÉTECTÉS:**' || chr(10) || '• ' || page_id || ' USD' || chr(10) || chr(10) ELSE '' END || {_ASKED_OF} AS form FROM p""")
+def page_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages of every kind under their headings, with what is asked about them."""
+    n = F.col("page_id").cast("string")
+    kind = F.get(F.array(*map(F.lit, ("commerce", "article", "table_dataset", "email_like", "generic"))), (F.col("page_id") % 5).cast("int"))
+    form = classify.page_form(kind, F.lit("Page"), F.concat(F.lit("t"), n), F.col("url"), F.concat(F.lit("Costs "), n, F.lit(" USD today")))
+    return table(spark, sf_dir, "pages").select("page_id", form.alias("form"))
+
+
+_INTENTIONS = tuple(classify.STRATEGIES)
+_APPROACH = "['" + "','".join(classify.STRATEGIES[n][0] for n in _INTENTIONS) + "'][doc_id % 6 + 1]"
+_DURATION = str([classify.STRATEGIES[n][1] for n in _INTENTIONS]) + "[doc_id % 6 + 1]"
+per_document(
+    "intention_plans",
+    lambda t: (lambda i, s: {
+        "content": F.sha2(classify.relevant_content(s, t, F.col("doc_id") % 10 / 10, i), 256), "approach": classify.strategy(i)["approach"], "duration_ms": classify.strategy(i)["duration_ms"],
+        "actions": F.array_join(classify.suggested_actions(i, F.when(F.col("doc_id") % 4 == 0, "Microsoft Word").otherwise("Mail"), F.when(F.col("doc_id") % 3 == 0, "web").otherwise("file")), ","),
+    })(F.get(F.array(*map(F.lit, _INTENTIONS)), (F.col("doc_id") % 6).cast("int")), F.when(F.col("doc_id") % 5 == 0, F.substring(t, 1, 90)).when(F.col("doc_id") % 5 == 1, "short")),
+    f"""sha256(CASE WHEN doc_id % 5 = 0 AND strlen(trim(left(text, 90))) > 50 THEN left(text, 90) WHEN doc_id % 10 > 8 THEN CASE WHEN doc_id % 6 IN (0, 3) AND strlen(text) > 2000 THEN left(text, 2000) || '...' ELSE text END
+      WHEN doc_id % 5 = 0 AND trim(left(text, 90)) <> '' THEN left(text, 90) WHEN doc_id % 5 = 1 THEN 'short' WHEN strlen(text) > 500 THEN left(text, 500) || '...' ELSE text END) AS content, {_APPROACH} AS approach, CAST({_DURATION} AS INT) AS duration_ms,
+      'copy' || ['', ',open_sources', '', '', '', ''][1] || CASE doc_id % 6 WHEN 0 THEN ',export_note' WHEN 1 THEN ',open_sources' WHEN 2 THEN ',create_tasks' ELSE '' END || CASE WHEN doc_id % 4 = 0 THEN ',insert_document' ELSE '' END || CASE WHEN doc_id % 3 = 0 THEN ',bookmark' ELSE '' END AS actions""",
+)
+
+
+@query("""SELECT page_id || '.txt' AS name, sha256(html) AS content, 'PlainText' AS document_type, 'Text' AS format, strlen(html) < 1048576 AS small FROM pages""")
+def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages written as one file each, then read as whole texts and listed as a folder."""
+    import uuid
+
+    folder = f"{tables_dir(spark)}/files-{uuid.uuid4().hex}"
+    table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("value")).write.partitionBy("page_id").option("lineSep", "\x01").text(folder)
+    key = F.regexp_extract("path", r"page_id=(\d+)/", 1)
+    read = files.text_files(spark, f"{folder}/page_id=*").select(F.concat(key, F.lit(".txt")).alias("name"), F.sha2(F.regexp_replace("content", "\x01$", ""), 256).alias("content"), "document_type")
+    listed = files.folder_listing(spark, f"{folder}/page_id=*").select("document_type", "size")
+    small = listed.agg(F.bool_and(F.col("size").endswith("KB")).alias("small"), F.max("document_type").alias("format"))
+    return read.join(F.broadcast(small), how="cross")  # one row
+
+
+# --- caches -----------------------------------------------------------------------------------------
+
+
+def cache_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Entries for the first use of each key by a client, and new ones for later uses; every third has the same content."""
+    n = F.col("event_id")
+    events = table(spark, sf_dir, "events").select(
+        F.concat("event_type", F.lit("-"), (F.col("user_id") % 40).cast("string")).alias("key"), F.concat(F.lit("http://x/"), "event_type").alias("url"), F.col("event_type").alias("content_type"),
+        F.when(n % 3 == 0, "same").otherwise(F.concat(F.lit("c"), (n % 5).cast("string"))).alias("content_hash"), (n % 100).alias("size"), n.alias("created_at"), (n + 500).alias("expires_at"), F.lit(1).cast("long").alias("accesses"), (n % 2).alias("half"),
+    )
+    first = events.where("half = 0").groupBy("key").agg(F.min_by(F.struct(*[c for c in events.columns if c not in ("key", "half")]), "created_at").alias("e")).select("key", "e.*")
+    return first.withColumn("content_hash", F.lit("same")), events.where("half = 1").drop("half")
+
+
+_CACHES = """e0 AS (SELECT event_type || '-' || (user_id % 40) AS key, 'http://x/' || event_type AS url, event_type AS content_type, CASE WHEN event_id % 3 = 0 THEN 'same' ELSE 'c' || (event_id % 5) END AS content_hash, event_id % 100 AS size, event_id AS created_at, event_id + 500 AS expires_at, 1 AS accesses, event_id % 2 AS half FROM events),
+a AS (SELECT key, url, content_type, 'same' AS content_hash, size, created_at, expires_at, accesses FROM e0 WHERE half = 0 QUALIFY row_number() OVER (PARTITION BY key ORDER BY created_at) = 1),
+b AS (SELECT key, url, content_type, content_hash, size, created_at, expires_at, accesses FROM e0 WHERE half = 1 QUALIFY row_number() OVER (PARTITION BY key ORDER BY created_at DESC) = 1),
+c AS (SELECT a.key, a.url, a.content_type, a.content_hash, a.size, a.created_at, coalesce(b.expires_at, a.expires_at) AS expires_at, a.accesses FROM a LEFT JOIN b USING (key) WHERE b.key IS NULL OR a.content_hash = b.content_hash
+  UNION ALL SELECT b.* FROM b LEFT JOIN a USING (key) WHERE a.key IS NULL OR a.content_hash <> b.content_hash)"""
+
+
+@query(f"WITH {_CACHES} SELECT key, content_hash, CAST(size AS BIGINT) AS size, created_at, expires_at FROM c")
+def cache_put(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caches.put(*cache_tables(spark, sf_dir)).select("key", "content_hash", "size", "created_at", "expires_at")
+
+
+@query(f"""WITH {_CACHES}, m AS (SELECT max(event_id) AS now FROM events), r AS (SELECT event_id AS request_id, event_type || '-' || (user_id % 50) AS key FROM events)
+  SELECT request_id, key, c.key IS NOT NULL AS hit FROM r LEFT JOIN (SELECT key FROM c, m WHERE expires_at >= now) c USING (key)""")
+def cache_get(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    now = events.agg(F.max("event_id")).first()[0]
+    asked = events.select(F.col("event_id").alias("request_id"), F.concat("event_type", F.lit("-"), (F.col("user_id") % 50).cast("string")).alias("key"))
+    return caches.get(caches.put(*cache_tables(spark, sf_dir)), asked, F.lit(now))
+
+
+@query(f"""WITH {_CACHES} SELECT content_type, count(*) AS entries, CAST(sum(size) AS BIGINT) AS size, CAST(avg(accesses) AS DOUBLE) AS mean_accesses FROM c WHERE NOT regexp_matches(url, 'x/.*i') GROUP BY content_type""")
+def cache_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return caches.stats_by_type(caches.invalidate(caches.put(*cache_tables(spark, sf_dir)), "x/.*i"))
+
+
+@query("""WITH m AS (SELECT date_trunc('second', max(ts)) AS now FROM events), r AS (SELECT event_id AS path, user_id AS size, CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END AS modified, ts AS cached_at, value AS last_used FROM events)
+  SELECT path, size FROM r, m WHERE event_id_ok(path) AND epoch(now) - epoch(date_trunc('second', cached_at)) <= 864000 AND modified = 0 QUALIFY row_number() OVER (ORDER BY last_used DESC, path) <= 209""".replace("event_id_ok(path)", "path % 7 <> 0"))
+def ocr_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Results for files that are there and unchanged, of ten days, the last used ten megabytes."""
+    events = table(spark, sf_dir, "events")
+    now = events.agg(F.max("ts")).first()[0]
+    n = F.col("event_id")
+    cache = events.select(n.alias("path"), F.col("user_id").alias("size"), F.when(n % 5 == 0, 1).otherwise(0).alias("modified"), F.col("ts").alias("cached_at"), F.col("value").alias("last_used"))
+    there = events.where(n % 7 != 0).select(n.alias("path"), F.col("user_id").alias("size"), F.lit(0).alias("modified"))
+    return caches.valid_results(cache, there, F.lit(now), ttl_hours=240, max_mb=10).select("path", "size")
+
+
+@query("""WITH m AS (SELECT date_trunc('second', max(ts)) AS now FROM events), e AS (SELECT CASE WHEN event_id % 2 = 0 THEN 'documents' ELSE 'embeddings' END AS cache, event_id AS key, ts AS cached_at FROM events),
+  k AS (SELECT cache, key, cached_at FROM e, m WHERE cache = 'embeddings' OR epoch(now) - epoch(date_trunc('second', cached_at)) <= 172800)
+  SELECT cache, key FROM k QUALIFY row_number() OVER (PARTITION BY cache ORDER BY cached_at DESC, key) <= CASE WHEN cache = 'embeddings' THEN 500 ELSE 50 END""")
+def cache_cleanup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events")
+    now = events.agg(F.max("ts")).first()[0]
+    entries = events.select(F.when(F.col("event_id") % 2 == 0, "documents").otherwise("embeddings").alias("cache"), F.col("event_id").alias("key"), F.col("ts").alias("cached_at"))
+    return caches.clean(entries, F.lit(now), 50, 48).select("cache", "key")
+
+
+@query("SELECT user_id AS key, max(event_id) AS version FROM events GROUP BY user_id")
+def document_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("user_id").alias("key"), F.col("event_id").alias("version"))
+    return collections.latest_versions(rows, "key", "version")
+
+
+# --- guards -----------------------------------------------------------------------------------------
+
+
+@query("""WITH k AS (SELECT *, json_extract_string(props, '$.k') AS nonce FROM events)
+  SELECT nonce, ts, event_id FROM k QUALIFY row_number() OVER (PARTITION BY nonce ORDER BY ts, event_id) = 1""")
+def nonce_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select(F.get_json_object("props", "$.k").alias("nonce"), "ts", "event_id")
+    return guards.first_use(events, tie="event_id")
+
+
+_LIMITED = """SELECT user_id, unnest(list_reduce(list_prepend({'h': CAST([] AS BIGINT[]), 'o': CAST([] AS STRUCT(i BIGINT, t BIGINT, ok BOOLEAN)[]), 't': CAST(0 AS BIGINT), 'i': CAST(0 AS BIGINT)},
+    list({'h': CAST([] AS BIGINT[]), 'o': CAST([] AS STRUCT(i BIGINT, t BIGINT, ok BOOLEAN)[]), 't': epoch_us(ts), 'i': event_id} ORDER BY ts, event_id)), lambda a, x:
+    {'h': CASE WHEN len(list_filter(a.h, lambda v: x.t - v < 3600000000)) < 3 THEN list_append(list_filter(a.h, lambda v: x.t - v < 3600000000), x.t) ELSE list_filter(a.h, lambda v: x.t - v < 3600000000) END,
+     'o': list_append(a.o, {'i': x.i, 't': x.t, 'ok': len(list_filter(a.h, lambda v: x.t - v < 3600000000)) < 3}), 't': x.t, 'i': x.i}).o) AS r FROM events GROUP BY user_id"""
+
+
+@query(f"SELECT user_id AS client, make_timestamp(r.t) AS ts, r.i AS id, r.ok AS accepted FROM ({_LIMITED})")
+def rate_limit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("client"), "ts", F.col("event_id").alias("id"))
+    return guards.rate_limited(events, calls=3, seconds=3600)
+
+
+@query("""WITH l AS (SELECT *, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events), s AS (SELECT *, sum(CASE WHEN before IS NULL OR epoch_us(ts) - epoch_us(before) > 3600000000 THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS burst FROM l)
+  SELECT user_id, max(ts) AS ts, arg_max(event_id, (ts, event_id)) AS id, count(*) AS events FROM s GROUP BY user_id, burst""")
+def debounced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select("user_id", "ts", F.col("event_id").alias("id"))
+    return guards.debounced(events, "user_id", gap="1 hour")
+
+
+@query("""SELECT client, make_timestamp(t) AS ts, id FROM (SELECT user_id AS client, r.t AS t, r.i AS id, r.ok AS ok FROM (""" + _LIMITED.replace("< 3 ", "< 1 ").replace(") < 3}", ") < 1}") + """)) WHERE ok""")
+def spaced_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("client"), "ts", F.col("event_id").alias("id"))
+    return guards.spaced(events, "client", seconds=3600)
+
+
+@query("""WITH l AS (SELECT user_id, ts, CAST(floor(value * 10) AS BIGINT) AS size, abs(CAST(floor(value * 10) AS BIGINT) - lag(CAST(floor(value * 10) AS BIGINT)) OVER w) < 100 AS calm FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts, CAST(floor(value * 10) AS BIGINT))),
+  r AS (SELECT *, coalesce(calm, false) AND coalesce(lag(calm) OVER (PARTITION BY user_id ORDER BY ts, size), false) AS settled FROM l)
+  SELECT user_id, min(ts) AS ts, arg_min(size, (ts, size)) AS size FROM r WHERE settled GROUP BY user_id""")
+def stable_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first time that a client's sizes have changed little twice in a row."""
+    return guards.stable(table(spark, sf_dir, "events").select("user_id", "ts", F.floor(F.col("value") * 10).alias("size")), "user_id")
+
+
+@query("""SELECT doc_id, strlen(text) <= 3000 AND doc_id % 10 <> 0 AS valid, doc_id % 3 <> 0 AS signed, doc_id % 4 <> 3 AND doc_id % 9 >= 5 AND length(text) >= 500 AS worth FROM documents""")
+def payload_gates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Versions, sizes and signatures of posted texts; every third signature is of another text."""
+    d = F.col("doc_id")
+    docs = table(spark, sf_dir, "documents").select(
+        "doc_id", "text", F.when(d % 10 == 0, "2").otherwise("1").alias("v"), hmac_hex(F.concat_ws("\n", F.when(d % 3 == 0, "x").otherwise(d.cast("string")), F.col("text"))).alias("sig")
+    )
+    good = guards.signed(docs, b"key", ["doc_id", "text"]).select(F.col("doc_id").alias("_g"))
+    kind = F.when(d % 4 == 3, "focus").otherwise("navigation")
+    return docs.join(good, d == F.col("_g"), "left").select(
+        "doc_id", guards.valid_payload(F.col("v"), F.col("text"), 3000).alias("valid"), F.col("_g").isNotNull().alias("signed"), guards.worth_extracting(kind, d % 9, F.col("text")).alias("worth")
+    )
+
+
+def hmac_hex(message: Column, key: bytes = b"key") -> Column:
+    """HMAC-SHA256 by expressions."""
+    inner, outer = (bytes(b ^ pad for b in key.ljust(64, b"\0")) for pad in (0x36, 0x5C))
+    first = F.sha2(F.concat(F.lit(inner), F.encode(message, "UTF-8")), 256)
+    return F.sha2(F.concat(F.lit(outer), F.unhex(first)), 256)
+
+
+@query("""WITH m AS (SELECT max(ts) AS now FROM events), g AS (SELECT CAST(event_id AS VARCHAR) AS nonce, user_id % 5 AS client, ts FROM events, m WHERE event_id % 10 <> 0 AND abs(epoch(date_trunc('second', ts)) - epoch(date_trunc('second', now))) <= 900 AND event_id % 7 <> 0)
+  SELECT nonce, client FROM g QUALIFY row_number() OVER (PARTITION BY client ORDER BY ts, nonce) <= 3""")
+def accepted_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All gates of the ingest endpoint in one pipeline: three calls of a client in the last quarter of an hour."""
+    events = table(spark, sf_dir, "events")
+    now = events.agg(F.max("ts")).first()[0]
+    n = F.col("event_id")
+    posted = events.select(
+        n.cast("string").alias("nonce"), (F.col("user_id") % 5).alias("client"), "ts", F.when(n % 10 == 0, "0").otherwise("1").alias("version"),
+        F.when(n % 7 == 0, "https://paypal.com").otherwise("https://x.org").alias("url"), F.lit("text").alias("content"),
+    )
+    return guards.accepted_events(posted.unionByName(posted), F.lit(now), calls=3, seconds=3600).select("nonce", "client")
+
+
+# --- collections ------------------------------------------------------------------------------------
+
+
+@query("""SELECT left(sha256(CAST(doc_id AS VARCHAR)), 32) AS point_id, doc_id, CASE WHEN doc_id % 4 = 0 THEN 0.85 ELSE 0.5 END::DOUBLE AS confidence FROM documents WHERE doc_id % 3 <> 0""")
+def chunk_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    rows = table(spark, sf_dir, "documents").select(d.alias("chunk_id"), "doc_id", F.col("text").alias("content"), F.when(d % 3 != 0, F.array(F.lit(1.0))).alias("embedding"), F.when(d % 4 != 0, 0.5).alias("confidence"))
+    return collections.chunk_points(rows).select("point_id", "doc_id", "confidence")
+
+
+@query("SELECT source AS group_id, 'c_' || source AS collection FROM documents WHERE source >= 'src5' GROUP BY source UNION ALL SELECT DISTINCT source, 'old' FROM documents WHERE source < 'src5'")
+def create_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups that exist stay; the others are made, each once."""
+    docs = table(spark, sf_dir, "documents").select(F.col("source").alias("group_id"))
+    old = docs.where("group_id < 'src5'").distinct().withColumn("collection", F.lit("old"))
+    return collections.insert_absent(old, docs.withColumn("collection", F.concat(F.lit("c_"), "group_id")), "group_id")
+
+
+@query("""SELECT doc_id, CASE WHEN source < 'src5' THEN 'c_' || source END AS collection FROM documents""")
+def group_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("group_id"))
+    groups = docs.where("group_id < 'src5'").select("group_id", F.concat(F.lit("c_"), "group_id").alias("collection")).distinct()
+    return collections.collection_of(groups, docs).select("doc_id", "collection")
+
+
+@query("SELECT DISTINCT 'c_' || source AS name, CAST(64 AS INT) AS dims, 'Cosine' AS distance FROM documents WHERE source <> 'src3' UNION ALL SELECT 'new', 384, 'Cosine'")
+def collection_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A collection is created once, creating one that exists changes nothing, and dropping one that is not there neither."""
+    held = table(spark, sf_dir, "documents").select(F.concat(F.lit("c_"), "source").alias("name"), F.lit(64).alias("dims"), F.lit("Cosine").alias("distance")).distinct()
+    made = collections.create_collection(collections.create_collection(held, "new", 384), "c_src1", 999)
+    return collections.drop_collection(collections.drop_collection(made, "c_src3"), "absent")
+
+
+@query("""SELECT owner, conv_id FROM (SELECT conv_id % 3 AS owner, conv_id, max(turn) AS updated_at FROM conversations GROUP BY conv_id) QUALIFY row_number() OVER (PARTITION BY owner ORDER BY updated_at DESC, conv_id) <= 20""")
+def saved_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns as saves of their conversation: the last counts, and each owner keeps the newest twenty."""
+    rows = table(spark, sf_dir, "conversations").select((F.col("conv_id") % 3).alias("owner"), "conv_id", F.col("turn").alias("updated_at"))
+    return collections.cap_conversations(rows, 20).select("owner", "conv_id")
+
+
+@query("""WITH c AS (SELECT conv_id, count(*) AS n FROM conversations GROUP BY conv_id) SELECT 'm' || (conv_id % 4) AS model, count(*) AS conversations, CAST(sum(n) AS BIGINT) AS messages, CAST(round(avg(n)) AS BIGINT) AS mean_messages FROM c GROUP BY ALL""")
+def conversation_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.count("*").alias("n_messages"))
+    return collections.conversation_totals(rows.withColumn("model", F.concat(F.lit("m"), (F.col("conv_id") % 4).cast("string"))))
+
+
+@query("""SELECT doc_id, round((CASE WHEN doc_id % 2 = 0 THEN 0.8 ELSE 1.0 END + CASE WHEN doc_id % 3 = 0 THEN 0 ELSE 0.4 END + 0.9) / CASE WHEN doc_id % 3 = 0 THEN 2 ELSE 3 END, 6)::DOUBLE AS overall, round(0.4 * 0.9 + 0.3 * 0.8 + 0.3 * (doc_id % 5) / 5, 6)::DOUBLE AS session FROM documents""")
+def confidences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = F.col("doc_id")
+    return table(spark, sf_dir, "documents").select(
+        "doc_id", r6(collections.global_confidence(d % 2 == 0, F.when(d % 3 != 0, 0.4), F.lit(0.9))).alias("overall"), r6(collections.session_confidence(F.lit(0.9), F.lit(0.8), d % 5 / 5)).alias("session")
+    )
+
+
+@query("""SELECT event_type AS app, CAST(n AS BIGINT) AS n, round(mean, 6) AS mean_latency, round(ok, 6) AS success_rate FROM (SELECT event_type, count(*) AS n, avg(value) AS mean, avg(CASE WHEN event_id % 4 = 0 THEN 0 ELSE 1 END) AS ok FROM events GROUP BY event_type)""")
+def running_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "events").select(F.col("event_type").alias("app"), F.col("value").alias("latency"), (F.col("event_id") % 4 != 0).alias("ok"))
+    return collections.running_metrics(rows).select("app", "n", r6(F.col("mean_latency")).alias("mean_latency"), r6(F.col("success_rate")).alias("success_rate"))
+
+
+@query("SELECT event_type AS app, user_id % 3 AS method, count(*) AS n FROM events GROUP BY ALL")
+def method_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collections.method_histogram(table(spark, sf_dir, "events").select(F.col("event_type").alias("app"), (F.col("user_id") % 3).alias("method")))
+
+
+@query("SELECT round(avg(CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END), 6)::DOUBLE AS ratio FROM events")
+def hit_ratio(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collections.hit_ratio(table(spark, sf_dir, "events").select((F.col("event_id") % 3 == 0).alias("hit"))).select(r6(F.col("ratio")).alias("ratio"))
+
+
+@query("SELECT count(*) AS chunks, round(avg(strlen(text)), 6) AS mean_bytes, 12.0::DOUBLE AS overlap_percent FROM documents")
+def overlap_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "documents").select(F.col("text").alias("content"))
+    return collections.overlap_stats(rows, F.lit(0.12)).select("chunks", r6(F.col("mean_bytes")).alias("mean_bytes"), r6(F.col("overlap_percent")).alias("overlap_percent"))
+
+
+@query("""SELECT CAST(sum(p_size) AS BIGINT) AS total_size, count(*) FILTER (p_retailprice > (SELECT avg(p_retailprice) FROM part)) AS popular, (SELECT string_agg(p_brand, ',' ORDER BY p_brand) FROM (SELECT DISTINCT p_brand FROM part)) AS categories FROM part""")
+def model_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parts as models: their total size, those above the mean, and the distinct kinds."""
+    return collections.model_summary(table(spark, sf_dir, "part").select(F.col("p_name").alias("name"), F.col("p_size").alias("size"), F.col("p_retailprice").alias("downloads"), F.col("p_brand").alias("category")))
+
+
+@query("""SELECT doc_id, n, CAST(coalesce(sum(h + 5) OVER (PARTITION BY doc_id ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS y FROM (SELECT user_id AS doc_id, event_id AS n, 10 + event_id % 3 AS h FROM events)""")
+def running_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = table(spark, sf_dir, "events").select(F.col("user_id").alias("doc_id"), F.col("event_id").alias("n"), (10 + F.col("event_id") % 3).alias("height"), F.lit(5).alias("gap"))
+    return spans.layout_blocks(lines).select("doc_id", "n", F.col("y").cast("long").alias("y"))

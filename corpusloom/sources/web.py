@@ -269,7 +269,22 @@ def extract_pages(pages: DataFrame) -> DataFrame:
     return pages.select("page_id", "html").mapInPandas(run, PAGE)
 
 
+def extension(url: Column) -> Column:
+    """What follows the last dot of the last part of a path."""
+    return F.regexp_extract(url, r"\.([^./\\]+)$", 1)
+
+
 def combine_parts(main: Column, frames: Column, shadow: Column, dynamic: Column, limit: int = 100_000) -> Column:
-    """The parts of a page with headings, without empty ones."""
-    parts = [F.when(F.trim(c) != "", F.concat(F.lit(head), c)) for head, c in (("", main), ("--- Frames ---\n", frames), ("--- Shadow ---\n", shadow), ("--- Dynamic ---\n", dynamic))]
-    return F.substring(F.concat_ws("\n\n", *parts), 1, limit)
+    """The parts of a page under headings: the main text, frames and shadow roots as ``array<struct<name, content>>``, and added texts."""
+
+    def listed(items: Column, kind: str) -> Column:
+        return F.transform(items, lambda x, i: F.concat(F.lit(f"--- {kind} "), (i + 1).cast("string"), F.lit(" ("), x["name"], F.lit(") ---\n"), x["content"]))
+
+    def headed(heading: str, items: Column) -> Column:
+        return F.when(F.size(items) > 0, F.concat(F.array(F.lit(heading)), items)).otherwise(F.expr("cast(array() as array<string>)"))
+
+    first = F.when(main != "", F.array(F.lit("=== MAIN CONTENT ==="), main)).otherwise(F.expr("cast(array() as array<string>)"))
+    parts = F.concat(
+        first, headed("\n=== IFRAME CONTENT ===", listed(frames, "Frame")), headed("\n=== SHADOW DOM CONTENT ===", listed(shadow, "Shadow")), headed("\n=== DYNAMIC CONTENT ===", dynamic)
+    )
+    return F.substring(F.array_join(parts, "\n"), 1, limit)

@@ -11,6 +11,9 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+
+from ..functions import classify
 
 # Gates of the ingest endpoint.
 LIVE_SKEW_S, LEGACY_SKEW_S = 15 * 60, 90
@@ -44,11 +47,14 @@ def signed(df: DataFrame, secret: bytes, fields: list[str], signature: str = "si
     return df.mapInPandas(check, df.schema)
 
 
-def first_use(df: DataFrame, nonce: str = "nonce", ts: str = "ts", memory: str = "15 minutes") -> DataFrame:
-    """The first row of each nonce; a stream forgets nonces after the memory, which is the time gate's width."""
+def first_use(df: DataFrame, nonce: str = "nonce", ts: str = "ts", memory: str = "15 minutes", tie: str | None = None) -> DataFrame:
+    """The first row of each nonce, of equal times that with the smallest ``tie``, or hash of its columns; a stream forgets nonces after the memory.
+
+    The memory is the time gate's width.
+    """
     if df.isStreaming:
         return df.withWatermark(ts, memory).dropDuplicatesWithinWatermark([nonce])
-    own = Window.partitionBy(nonce).orderBy(ts)
+    own = Window.partitionBy(nonce).orderBy(ts, tie or F.xxhash64(*df.columns))
     return df.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
 
 
@@ -70,6 +76,7 @@ def rate_limited(df: DataFrame, client: str = "client", ts: str = "ts", calls: i
     window are kept between batches, so a client with many calls needs no more memory than others.
     """
     rows = df.select(F.col(client).alias("client"), F.col(ts).alias("ts"), F.col("id"))
+    schema = T.StructType([*rows.schema.fields, T.StructField("accepted", T.BooleanType())])
 
     def limit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         who, held = None, []
@@ -83,7 +90,7 @@ def rate_limited(df: DataFrame, client: str = "client", ts: str = "ts", calls: i
                 flags += ok
             yield pdf.assign(accepted=flags)
 
-    return rows.repartition("client").sortWithinPartitions("client", "ts", "id").mapInPandas(limit, "client long, ts timestamp, id long, accepted boolean")
+    return rows.repartition("client").sortWithinPartitions("client", "ts", "id").mapInPandas(limit, schema)
 
 
 def rate_limited_stream(df: DataFrame, client: str = "client", ts: str = "ts", calls: int = RATE_CALLS, seconds: int = RATE_SECONDS) -> DataFrame:
@@ -95,17 +102,17 @@ def rate_limited_stream(df: DataFrame, client: str = "client", ts: str = "ts", c
             state.remove()
             return
         held = list(state.get[0]) if state.exists else []
-        pdf = pd.concat(list(batches)).sort_values(["ts", "id"])
-        at = (pdf["ts"].astype("int64") / (1e9 if "ns" in str(pdf["ts"].dtype) else 1e6)).tolist()
-        flags, held = accepted_times(at, held, calls, seconds)
+        # only times and ids of a client's batch are sorted, and only the accepted times of the window are kept
+        calls_of = sorted((t, i) for pdf in batches for t, i in zip(pdf["ts"], pdf["id"], strict=True))
+        flags, held = accepted_times([t.timestamp() for t, _ in calls_of], held, calls, seconds)
+        last = max(held, default=calls_of[-1][0].timestamp())
         state.update((held,))
-        state.setTimeoutTimestamp(max(int((max(held, default=at[-1]) + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
-        yield pdf.assign(client=key[0], accepted=flags)[["client", "ts", "id", "accepted"]]
+        state.setTimeoutTimestamp(max(int((last + seconds) * 1000), state.getCurrentWatermarkMs() + 1))
+        yield pd.DataFrame({"client": key[0], "ts": [t for t, _ in calls_of], "id": [i for _, i in calls_of], "accepted": flags})
 
     rows = df.select(F.col(client).alias("client"), F.col(ts).alias("ts"), F.col("id")).withWatermark("ts", f"{seconds} seconds")
-    return rows.groupBy("client").applyInPandasWithState(
-        step, "client long, ts timestamp, id long, accepted boolean", "times array<double>", "append", GroupStateTimeout.EventTimeTimeout
-    )
+    schema = T.StructType([*rows.schema.fields, T.StructField("accepted", T.BooleanType())])
+    return rows.groupBy("client").applyInPandasWithState(step, schema, "times array<double>", "append", GroupStateTimeout.EventTimeTimeout)
 
 
 def expired(created: Column, now: Column, ttl_s: int = SESSION_TTL_S) -> Column:
@@ -124,5 +131,36 @@ def spaced(df: DataFrame, key: str, ts: str = "ts", seconds: int = 5) -> DataFra
     return rate_limited(df, key, ts, calls=1, seconds=seconds).where("accepted").drop("accepted")
 
 
+def stable(df: DataFrame, key: str, ts: str = "ts", size: str = "size", change: int = 100, times: int = 2) -> DataFrame:
+    """``key, ts, size``: the first look at each key whose size has changed by less than ``change`` so many times in a row.
+
+    Looks are ordered by time, then size; keys that never settle are left out.
+    """
+    looks = Window.partitionBy(key).orderBy(ts, size)
+    calm = (F.abs(F.col(size) - F.lag(size).over(looks)) < change).cast("int")
+    run = F.sum(F.coalesce("_calm", F.lit(0))).over(looks.rowsBetween(-(times - 1), 0))
+    settled = df.withColumn("_calm", calm).withColumn("_run", run).where(F.col("_run") >= times)
+    return settled.groupBy(key).agg(F.min_by(F.struct(ts, size), F.struct(ts, size)).alias("_l")).select(key, f"_l.{ts}", f"_l.{size}")
+
+
+def worth_extracting(kind: Column, since_s: Column, content: Column, gap_s: int = 5, least: int = 500) -> Column:
+    """Not on mere changes of focus, not within the gap after the last extraction, and not for short contents."""
+    return ~kind.isin("visibility", "focus") & (since_s.isNull() | (since_s >= gap_s)) & (F.length(content) >= least)
+
+
+def accepted_events(df: DataFrame, now: Column, calls: int = RATE_CALLS, seconds: int = RATE_SECONDS) -> DataFrame:
+    """The gates of the ingest endpoint in one pipeline: ``nonce, client, ts, url, content`` of the events that pass.
+
+    ``df (nonce, client, ts, version, url, content)`` may stream: version and size, time gate, domain,
+    first use of a nonce, then the rate of each client, of which rejected calls do not count.
+    """
+    good = df.where(valid_payload(F.col("version"), F.col("content")) & fresh(F.col("ts"), now) & ~classify.blocked_domain(F.col("url")))
+    used = first_use(good, "nonce", "ts")
+    if df.isStreaming:
+        return used.select("nonce", "client", "ts", "url", "content")
+    rated = rate_limited(used.withColumn("id", F.col("nonce")), "client", "ts", calls, seconds).where("accepted").select(F.col("id").alias("_id"))
+    return used.join(rated, F.col("nonce") == F.col("_id"), "left_semi").select("nonce", "client", "ts", "url", "content")
+
+
 def telemetry(df: DataFrame, ts: str = "ts", window: str = "1 minute", by: str = "method") -> DataFrame:
     return df.groupBy(F.window(ts, window), by).agg(F.count("*").alias("n"), F.sum("size").alias("bytes"))

@@ -47,3 +47,35 @@ def test_gates(spark):
     assert [r[0] for r in times.select(guards.fresh(F.col("ts"), F.lit(START))).collect()] == [True, False, False]
     spaced = spark.createDataFrame([(1, START + timedelta(seconds=s), s) for s in (0, 3, 5, 9, 10)], "client long, ts timestamp, id long")
     assert sorted(r.id for r in guards.spaced(spaced, "client").collect()) == [0, 5, 10]
+
+
+def test_clients_of_any_type(spark, tmp_path):
+    rows = [("c", START + timedelta(seconds=i), f"id{i:02d}") for i in range(12)]
+    schema = "client string, ts timestamp, id string"
+    want = {f"id{i:02d}": i < 10 for i in range(12)}
+    assert {r.id: r.accepted for r in guards.rate_limited(spark.createDataFrame(rows, schema)).collect()} == want
+    out = collected(spark, guards.rate_limited_stream(stream(spark, tmp_path, rows, schema)), "any_type")
+    assert {r.id: r.accepted for r in out} == want
+
+
+def test_events_pass_all_gates_as_a_stream(spark, tmp_path):
+    import json
+
+    from corpusloom.sources import events
+    from pyspark.sql import functions as F
+
+    base = {"client": "c", "ts": "2024-01-01T00:00:00Z", "version": "1", "url": "https://x.org", "content": "text"}
+    posted = [base | {"nonce": "a"}, base | {"nonce": "a"}, base | {"nonce": "b", "version": "2"}, base | {"nonce": "c", "url": "https://paypal.com"}, base | {"nonce": "d", "ts": "2024-01-01T01:00:00Z"}, base | {"nonce": "e"}]
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "one.json").write_text("\n".join(map(json.dumps, posted)) + "\nno event\n")
+    now = F.lit(START)
+    assert sorted(r.nonce for r in collected(spark, guards.accepted_events(events.event_stream(spark, str(tmp_path / "in")), now), "gates")) == ["a", "e"]
+    assert sorted(r.nonce for r in guards.accepted_events(events.events(spark, str(tmp_path / "in")), now, calls=1).collect()) in (["a"], ["e"])
+
+
+def test_first_use_of_equal_times(spark):
+    rows = [("a", START, 3), ("a", START, 1), ("a", START, 2)]
+    for n in (1, 3):
+        df = spark.createDataFrame(rows, "nonce string, ts timestamp, id int").repartition(n)
+        assert [r.id for r in guards.first_use(df, tie="id").collect()] == [1]
+        assert len({r.id for r in guards.first_use(df).collect()}) == 1
