@@ -97,7 +97,11 @@ def format_conversations(
 
 
 def parse_formatted(df: DataFrame) -> DataFrame:
-    """The way back: ``conv_id, turns array<struct<role, text>>, loss_text string`` and the input's other columns."""
+    """The way back: ``conv_id, turns array<struct<role, text>>, loss_text string`` and the input's other columns.
+
+    It takes what :func:`format_conversations` gives, and rows whose formatted text is null have null
+    results. Columns of the results' names are replaced; an empty table gives an empty one.
+    """
     inner = F.expr(f"substring(formatted, {len(BEGIN) + 1}, length(formatted) - {len(BEGIN) + len(FINISH)})")
 
     def turns_of(block: Column) -> Column:

@@ -39,6 +39,20 @@ def _digest(block: bytes) -> str:
     return "sha1:" + base64.b32encode(hashlib.sha1(block).digest()).decode()
 
 
+def digest_holds(stated: str, block: bytes) -> bool:
+    """Whether a block has the stated digest: any algorithm that the library knows, in base32 or hexadecimal of any case.
+
+    A digest of an unknown algorithm says nothing, so it does not fail.
+    """
+    name, colon, value = stated.partition(":")
+    name = name.strip().lower().replace("-", "")
+    if not colon or name not in ("md5", "sha1", "sha224", "sha256", "sha384", "sha512"):
+        return True
+    own = hashlib.new(name, block, usedforsecurity=False).digest()
+    value = value.strip()
+    return value.lower() == own.hex() or value.upper().rstrip("=") == base64.b32encode(own).decode().rstrip("=")
+
+
 def record_bytes(page_id: int | None, url: str | None, payload: bytes, digest: str, refers_to: int | None) -> bytes:
     """One record, not compressed. A revisit keeps the HTTP head with the full payload's length and no body."""
     revisit = refers_to is not None
@@ -91,7 +105,7 @@ def parse_record(data: bytes, at: int) -> tuple[dict[str, str], bytes, int]:
     if data[end : end + 4] != b"\r\n\r\n":
         raise ValueError("record end is not where the length says")
     block = data[start:end]
-    if "warc-block-digest" in fields and fields["warc-block-digest"] != _digest(block):
+    if not digest_holds(fields.get("warc-block-digest", ""), block):
         raise ValueError("block digest differs")
     return fields, block, end + 4
 
@@ -234,7 +248,11 @@ def mark_revisits(df: DataFrame, id_col: str = "page_id", url_col: str = "url",
 
 
 def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
-    """``archive string, bytes binary`` from the rows of :func:`mark_revisits`, stored in the shared folder."""
+    """``archive string, bytes binary`` from the rows of :func:`mark_revisits`, stored in the shared folder.
+
+    Null ids, addresses and payloads make records without them; repeated rows are records of their
+    own; an empty table gives no archive. :func:`write_files` makes files of the rows.
+    """
     import pyarrow as pa
 
     from .common import bounded_batches
@@ -265,6 +283,35 @@ def write_archives(pages: DataFrame, archive_bytes: int = ARCHIVE_BYTES) -> Data
     return stored(pages.mapInArrow(run, "archive string, bytes binary"), "warc")
 
 
+def write_files(archives: DataFrame, folder: str) -> DataFrame:
+    """``archive, path, size`` of ``.warc.gz`` files in a folder that all executors reach, one for each row of ``archive, bytes``.
+
+    Each file is written under another name and then moved to its own, so a task that is run again
+    leaves whole files with the same content. ``folder`` is an absolute path or any address that Arrow's
+    file systems know. A null archive is an empty file. Files are written when the result is read.
+    """
+    import pyarrow as pa
+
+    schema = pa.schema([("archive", pa.string()), ("path", pa.string()), ("size", pa.int64())])
+
+    def run(batches):
+        import uuid
+
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder)
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            for name, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                data, path, hidden = data.as_py() or b"", f"{base}/{name}", f"{base}/.{name}.{uuid.uuid4().hex}"
+                with system.open_output_stream(hidden, compression=None) as out:
+                    out.write(data)
+                system.move(hidden, path)
+                yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([path]), pa.array([len(data)])], schema=schema)
+
+    return archives.select("archive", "bytes").mapInArrow(run, "archive string, path string, size long")
+
+
 def archive_files(spark: SparkSession, path: str) -> DataFrame:
     """Archives that exist as files (``.warc`` or ``.warc.gz``, below 2 GB each) as rows of ``archive, bytes``."""
     return spark.read.format("binaryFile").load(path).select(F.col("path").alias("archive"), F.col("content").alias("bytes"))

@@ -118,3 +118,25 @@ def test_gaps_are_rows(spark, tmp_path):
     rows = ws.read_archives(ws.archive_files(spark, str(tmp_path))).orderBy("start_byte", "end_byte").collect()
     assert [r.kind for r in rows] == ["record", "gap", "record", "record"]
     assert rows[1].end_byte - rows[1].start_byte == 4 and rows[1].page_id is None and rows[1].reason
+
+
+def test_files_round_trip(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://x/{i}", "page %d " % i * 40) for i in range(30)] + [(99, None, None)], "page_id long, url string, html string")
+    archives = ws.write_archives(ws.mark_revisits(pages), archive_bytes=500)
+    folder = tmp_path / "out"
+    rows = ws.write_files(archives, str(folder)).collect()
+    assert len(rows) == archives.count() > 3 and sorted(p.name for p in folder.iterdir()) == sorted(r.archive for r in rows)
+    assert all((folder / r.archive).stat().st_size == r.size for r in rows)
+    assert len(ws.write_files(archives, str(folder)).collect()) == len(rows)  # again: the same files
+    back = ws.read_archives(ws.archive_files(spark, str(folder))).collect()
+    assert sorted(r.page_id for r in back) == [*range(30), 99] and all(r.kind == "record" for r in back)
+
+
+def test_digests_of_other_writers():
+    import base64
+    import hashlib
+
+    for name, digest in (("sha1", hashlib.sha1(b"x")), ("SHA-256", hashlib.sha256(b"x")), ("md5", hashlib.md5(b"x"))):
+        for value in (digest.hexdigest(), digest.hexdigest().upper(), base64.b32encode(digest.digest()).decode().rstrip("=")):
+            assert ws.digest_holds(f"{name}:{value}", b"x") and not ws.digest_holds(f"{name}:{value}", b"y")
+    assert ws.digest_holds("blake9:00", b"x") and ws.digest_holds("", b"x")
