@@ -157,7 +157,8 @@ def collapse_near_duplicates(ranked: DataFrame, threshold: float = 0.7) -> DataF
 
     def collapse(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[tuple[set, int, float]] = []
-        for row in pdf.sort_values("rank").itertuples():
+        # rounded, so that copies of a text are ties
+        for row in pdf.assign(score=pdf.score.round(9)).sort_values("rank").itertuples():
             own = set((row.content or "").lower().split())
             for at, (other, _, score) in enumerate(kept):
                 union = len(own | other)

@@ -230,7 +230,7 @@ def lexical_hits(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     return best.join(docs, "doc_id").join(queries, "query_id")
 
 
-@query(f"""WITH {_HITS}, h AS (SELECT query_id, doc_id, score, rank, list_distinct({sql_words("lower(content)")}) AS w FROM hits),
+@query(f"""WITH {_HITS}, h AS (SELECT query_id, doc_id, round(score, 9) AS score, rank, list_distinct({sql_words("lower(content)")}) AS w FROM hits),
   l AS (SELECT query_id, list({{'k': [{{'w': w, 'd': doc_id, 's': score}}], 'n': rank}} ORDER BY rank) AS l FROM h GROUP BY query_id),
   c AS (SELECT query_id, list_reduce(l, lambda a, x: {{'k': CASE WHEN len(list_filter(a.k, lambda o: {"{j}"} >= 0.7)) = 0 THEN list_concat(a.k, x.k)
       ELSE list_transform(a.k, lambda o, i: CASE WHEN i = list_position(list_transform(a.k, lambda p: {"{jp}"} >= 0.7), true) AND x.k[1].s > o.s THEN x.k[1] ELSE o END) END, 'n': x.n}}).k AS kept FROM l),
