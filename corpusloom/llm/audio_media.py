@@ -203,7 +203,7 @@ def audio_features(media: DataFrame, config: AudioConfig = AudioConfig()) -> Dat
     and ``segments array<struct<start_s double, end_s double>>``. Media that is null or not in the
     format gives nulls in all of them. Equal media have equal features.
     """
-    fields = [f for f in media.schema.fields if f.name not in ("payload", "n_frames", "n_windows", "features", "segments")]
+    fields = [f for f in media.schema.fields if f.name.lower() not in ("payload", "n_frames", "n_windows", "features", "segments")]
     own = media.select(*[F.col(f"`{f.name}`") for f in fields])
     at = [f.name for f in fields].index("media")
     kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
