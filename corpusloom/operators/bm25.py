@@ -52,7 +52,8 @@ def build_index(docs: DataFrame, wanted: DataFrame | None = None) -> Index:
     bare = docs.select("doc_id", bare_tokens(F.coalesce("content", F.lit(""))).alias("bare"))
     size = F.size("bare")
     tokens = bare.select("doc_id", size.alias("words"), (2 * size - F.least(size, F.lit(1))).alias("dl"), F.array_append(with_bigrams(F.col("bare")), F.lit(None)).alias("tokens"))
-    terms = tokens.select("doc_id", "dl", "words", F.posexplode("tokens").alias("at", "term"))
+    # the outer form: for the inner one a filter on the array's size is inferred, for which all tokens would be made twice
+    terms = tokens.select("doc_id", "dl", "words", F.posexplode_outer("tokens").alias("at", "term"))
     if wanted is not None:
         named = checkpointed(wanted.select(F.col("term").alias("w")).distinct())
         named = F.broadcast(named) if named.count() <= SENT_TERMS else named
@@ -82,7 +83,7 @@ def words_containing(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``token, word`` for the distinct words of ``vocabulary (word)`` that hold a token anywhere, by their three-character pieces."""
     size = F.length("word")
     pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size - 2, F.lit(1))), lambda i: F.substring("word", i, F.lit(3))))
-    indexed = vocabulary.select("word", F.explode(pieces).alias("piece"))
+    indexed = vocabulary.select("word", F.explode_outer(pieces).alias("piece"))
     wanted = tokens.select("token").distinct()
     long = wanted.where(F.length("token") >= 3).select("token", F.substring("token", 1, 3).alias("piece"))
     found = long.join(indexed, "piece").where(F.contains("word", "token")).select("token", "word")
@@ -102,7 +103,7 @@ def containing(tokens: DataFrame, docs: DataFrame) -> DataFrame:
     by their pieces and verified, and only the words found are joined with documents.
     """
     words = F.array_distinct(F.split(F.lower(F.coalesce("content", F.lit(""))), r"(?U)\s+"))
-    placed = docs.select("doc_id", F.explode(words).alias("word")).where("word <> ''")
+    placed = docs.select("doc_id", F.explode_outer(words).alias("word")).where("word <> ''")
     found = words_containing(tokens, placed.select("word").distinct())
     return found.join(placed, "word").select("token", "doc_id").distinct()
 
@@ -129,7 +130,7 @@ def keyword_boost(tokens: DataFrame, found: DataFrame) -> DataFrame:
 def term_idf(docs: DataFrame) -> DataFrame:
     """``term, df, idf``: ln(rows / df + 1) over terms of more than two bytes."""
     rows = docs.count()
-    terms = docs.select(F.explode(F.array_distinct(term_tokens(F.coalesce("content", F.lit(""))))).alias("term"))
+    terms = docs.select(F.explode_outer(F.array_distinct(term_tokens(F.coalesce("content", F.lit(""))))).alias("term")).where("term is not null")
     return terms.groupBy("term").agg(F.count("*").alias("df")).withColumn("idf", F.log(F.lit(rows) / F.col("df") + 1.0))
 
 

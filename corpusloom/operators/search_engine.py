@@ -19,12 +19,12 @@ def fielded_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     text = F.coalesce("content", F.lit(""))
     lines = F.filter(F.transform(F.split(text, "\r?\n"), lambda x: F.trim(x)), lambda x: x != "")
     lines = F.when(F.size(lines) == 0, F.array(text)).otherwise(lines)
-    placed = docs.select("doc_id", F.posexplode(lines).alias("at", "line"))
+    placed = docs.select("doc_id", F.posexplode_outer(lines).alias("at", "line"))
     weight = F.lit(0.7)
     for name, w in scoring.LINE_WEIGHTS.items():
         weight = F.when(F.col("section") == name, w).otherwise(weight)
     kinds = placed.select("doc_id", "at", scoring.line_section(F.col("line")).alias("section"), words(F.lower("line")).alias("words"))
-    held = kinds.select("doc_id", "at", weight.alias("weight"), F.size("words").alias("n"), F.explode("words").alias("word"))
+    held = kinds.select("doc_id", "at", weight.alias("weight"), F.size("words").alias("n"), F.explode_outer("words").alias("word")).where("word is not null")
     terms = queries.select("query_id", F.explode(words(F.lower(F.coalesce("query", F.lit(""))))).alias("token")).groupBy("query_id", "token").agg(F.count("*").alias("qtf"))
     found = bm25.words_containing(terms, held.select("word").distinct())
     counted = held.join(found, "word").groupBy("doc_id", "at", "weight", "n", "token").agg(F.count("*").cast("double").alias("tf"))

@@ -307,8 +307,8 @@ def selection_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
         return df.select(key, F.array_distinct(text.words(F.lower(F.coalesce(column, F.lit(""))))).alias("w"))
 
     a, b = sets(chunks(spark, sf_dir), "doc_id", "content"), sets(batch(spark, sf_dir), "query_id", "query")
-    x = a.select("doc_id", F.size("w").alias("na"), F.explode("w").alias("word"))
-    y = b.select("query_id", F.size("w").alias("nb"), F.explode("w").alias("word"))
+    x = a.select("doc_id", F.size("w").alias("na"), F.explode_outer("w").alias("word")).where("word is not null")
+    y = b.select("query_id", F.size("w").alias("nb"), F.explode_outer("w").alias("word")).where("word is not null")
     met = x.join(y, "word").groupBy("query_id", "doc_id").agg(F.count("*").alias("i"), F.first("na").alias("na"), F.first("nb").alias("nb"))
     jaccard = F.col("i") / (F.col("na") + F.col("nb") - F.col("i"))
     return met.where(jaccard > 0.3).select("query_id", "doc_id", r6(jaccard).alias("jaccard"))
@@ -465,7 +465,7 @@ _LINE = f"""CASE WHEN {sql_any("lower(line)", scoring.DISCLAIMERS)} THEN 'Discla
 @query(f"""WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents)
   SELECT doc_id, {_LINE} AS section, count(*) AS n FROM l WHERE line <> '' GROUP BY ALL""")
 def line_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line"))
+    lines = table(spark, sf_dir, "documents").select("doc_id", F.explode_outer(F.split("text", "\n")).alias("line")).select("doc_id", F.trim("line").alias("line"))
     return lines.where("line <> ''").groupBy("doc_id", scoring.line_section(F.col("line")).alias("section")).agg(F.count("*").alias("n"))
 
 
