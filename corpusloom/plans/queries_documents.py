@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify, text
 from ..operators import blocks, chunking, figures, layout, sessions, spans
-from ..sources import files
+from ..sources import files, pdf
 from . import ingest
 from .queries import _CONFIDENCES
 from .registry import per_document, q, query, r6, sql_condense, sql_count, sql_strip, sql_tail, sql_words, table
@@ -450,3 +450,34 @@ def document_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Blocks of every text with a look ahead, rebuilt, formed and laid out; tests hold them against fixtures."""
     found = blocks.document_blocks(table(spark, sf_dir, "documents"))
     return found.withColumn("content", F.sha2("content", 256))
+
+
+# --- PDF files --------------------------------------------------------------------------------------
+
+_LETTERS = "trim(regexp_replace(left(text, 600), '[^A-Za-z]+', ' ', 'g'), ' ')"
+
+
+def pdf_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``doc_id, content``: files of two pages that show the first letters of each text, in one string and in an array of strings."""
+    letters = F.trim(F.regexp_replace(F.substring("text", 1, 600), "[^A-Za-z]+", " "))
+
+    def page(n: int, shown: Column) -> Column:
+        head = f"{n} 0 obj\n<< /Type /Page /MediaBox [0 0 300 400] /Contents {n + 1} 0 R >>\nendobj\n{n + 1} 0 obj\n<< /Length 1 >>\nstream\nBT\n/F1 10 Tf\n"
+        return F.concat(F.lit(head), shown, F.lit("\nET\nendstream\nendobj\n"))
+
+    one = F.concat(F.lit("("), letters, F.lit(") Tj"))
+    two = F.concat(F.lit("[("), F.replace(letters, F.lit(" "), F.lit(") 20 (")), F.lit(")] TJ"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.encode(F.concat(F.lit("%PDF-1.4\n"), page(1, one), page(3, two), F.lit("%%EOF")), "ISO-8859-1").alias("content"))
+
+
+@query(f"""SELECT doc_id, md5(t || ' ' || chr(10) || t || ' ' || chr(10)) AS text, CAST(2 * len(list_filter(string_split(t, ' '), lambda w: w <> '')) AS BIGINT) AS tokens, CAST(2 AS INT) AS pages,
+  2 * len(list_filter(string_split(t, ' '), lambda w: w <> '')) >= 10 AS success FROM (SELECT doc_id, {_LETTERS} AS t FROM documents)""")
+def pdf_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pdf.pdf_texts(pdf_table(spark, sf_dir)).select("doc_id", F.md5("text").alias("text"), "tokens", "pages", "success")
+
+
+@query(f"""SELECT doc_id, CAST(1 AS INT) AS page, 'Text' AS kind, md5(trim(t || ' ' || chr(10) || t, ' ')) AS content, CAST(50 AS DOUBLE) AS x, CAST(50 AS DOUBLE) AS y, CAST(200 AS DOUBLE) AS width, CAST(32 AS DOUBLE) AS height
+  FROM (SELECT doc_id, {_LETTERS} AS t FROM documents) WHERE t <> ''""")
+def pdf_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pdf.pdf_blocks(pdf_table(spark, sf_dir))
+    return found.select("doc_id", "page", "kind", F.md5("content").alias("content"), "x", "y", "width", "height")
