@@ -87,3 +87,20 @@ def meets(value: Column, constraint: Column) -> Column:
 def has_match(content: Column, wanted: Column) -> Column:
     """Whether any value of the content meets any of the constraints."""
     return F.exists(values(content), lambda v: F.exists(wanted, lambda c: meets(v, c)))
+
+
+def placed_values(text: Column) -> Column:
+    """The same with the characters before each: ``array<struct<value, unit, at>>``."""
+
+    def of(pattern: str, unit: str) -> Column:
+        gaps, whole = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+        number = F.regexp_extract_all(text, F.lit(pattern), F.lit(1))
+
+        def before(k: Column) -> Column:
+            sized = F.transform(F.slice(gaps, F.lit(1), k + 1), lambda g: F.length(g))
+            told = F.transform(F.slice(whole, F.lit(1), k), lambda w: F.length(w))
+            return F.aggregate(F.concat(sized, told), F.lit(0), lambda a, n: a + n)
+
+        return F.transform(number, lambda v, k: F.struct(v.cast("double").alias("value"), F.lit(unit).alias("unit"), before(k).alias("at")))
+
+    return F.concat(of(PERCENT, "%"), of(TIMES, "x"))

@@ -9,13 +9,22 @@ from pyspark.sql import functions as F
 
 #: Gap below which boxes are neighbours.
 GAP = 30.0
+# Steps of columns, and limits of each kind of region.
+COLUMN = 20.0
+FIGURE_AREA, FIGURE_DENSITY, PLAIN_AREA, PLAIN_DENSITY = 50_000.0, 0.003, 100_000.0, 0.001
+TABLE_WIDTH, TABLE_COLUMNS, HEADER_SHAPE, HEADER_PLACE, HEADER_BYTES = 200.0, 2, 0.3, 0.15, 100
+CAPTION = r"(?i)^((figure|fig\.?|chart|graph|diagram)\s*\d+|(tableau|table)\s*\d+)"
+LIST_ITEM = r"^\s*([•\-*]\s+|\d+[.)]\s+|[a-z][.)]\s+)"
+KEY_VALUE = r"^[^:=]+[:=]\s*.+$"
+CONFIDENCES = {"Figure": 0.8, "Table": 0.85, "Header": 0.9, "List": 0.75, "KeyValue": 0.7, "Text": 0.9}
 
 
 def regions(boxes: DataFrame) -> DataFrame:
-    """``doc_id, page, region, content, boxes, x, y, width, height`` of connected boxes, page by page.
+    """``doc_id, page, region, content, boxes, columns, x, y, width, height`` of connected boxes, page by page.
 
     A page is what one recognition returns, so its boxes are few; regions are numbered in order of their
-    first box, and contents are read by lines of ten units, then from left to right.
+    first box, and contents are read by lines of ten units, then from left to right. A column is a step
+    of 20 units across in which two boxes begin.
     """
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -36,21 +45,37 @@ def regions(boxes: DataFrame) -> DataFrame:
             at = at[np.lexsort((x[at], np.round(y[at] / 10)))]
             left, top = x[at].min(), y[at].min()
             text = " ".join(pdf.content.iloc[at].fillna("").tolist())
-            out.append((pdf.doc_id.iloc[0], pdf.page.iloc[0], n, text, len(at), left, top, (x + w)[at].max() - left, (y + h)[at].max() - top))
-        return pd.DataFrame(out, columns=["doc_id", "page", "region", "content", "boxes", "x", "y", "width", "height"])
+            columns = int((np.unique(np.floor(x[at] / COLUMN), return_counts=True)[1] >= 2).sum())
+            out.append((pdf.doc_id.iloc[0], pdf.page.iloc[0], n, text, len(at), columns, left, top, (x + w)[at].max() - left, (y + h)[at].max() - top))
+        return pd.DataFrame(out, columns=["doc_id", "page", "region", "content", "boxes", "columns", "x", "y", "width", "height"])
 
-    schema = "doc_id long, page int, region int, content string, boxes int, x double, y double, width double, height double"
+    schema = "doc_id long, page int, region int, content string, boxes int, columns int, x double, y double, width double, height double"
     return boxes.select("doc_id", "page", "x", "y", "width", "height", "content").groupBy("doc_id", "page").applyInPandas(cluster, schema)
 
 
-def region_kind(content: Column, width: Column, height: Column, boxes: Column) -> Column:
-    """Figure, Table, Header, List, KeyValue or Text, by area, density and form."""
-    density = F.length(content) / F.greatest(width * height, F.lit(1.0))
+def region_kind(content: Column, y: Column, width: Column, height: Column, columns: Column, page_height: Column) -> Column:
+    """Figure, Table, Header, List, KeyValue or Text, by area and density, columns, place and form; the first that fits."""
+    area = width * height
+    density = F.when(area == 0, 0.0).otherwise(F.octet_length(content) / F.nullif(area, F.lit(0.0)))
+    lines = F.split(content, "\r?\n")
+
+    def share(pattern: str) -> Column:
+        return F.size(F.filter(lines, lambda x: F.rlike(x, F.lit(pattern)))) / F.size(lines)
+
+    figure = (area >= FIGURE_AREA) & (density <= FIGURE_DENSITY) & (F.rlike(content, F.lit(CAPTION)) | ((density < PLAIN_DENSITY) & (area > PLAIN_AREA)))
+    header = (y / page_height <= HEADER_PLACE) & (height / width <= HEADER_SHAPE) & (F.octet_length(content) < HEADER_BYTES) & (F.size(lines) <= 2)
     return (
-        F.when((width * height > 40_000) & (density < 0.0005), "Figure")
-        .when((boxes >= 6) & (F.regexp_count(content, F.lit(r"\d+")) >= 4), "Table")
-        .when((height < 40) & (F.length(content) < 80), "Header")
-        .when(F.rlike(content, F.lit(r"^\s*([-*•]|\d+[.)])\s")), "List")
-        .when(F.rlike(content, F.lit(r"^[^:]{2,40}:\s+\S")), "KeyValue")
+        F.when(figure, "Figure")
+        .when((width >= TABLE_WIDTH) & (columns >= TABLE_COLUMNS), "Table")
+        .when(header, "Header")
+        .when((F.size(lines) >= 2) & (share(LIST_ITEM) > 0.5), "List")
+        .when((F.size(lines) >= 2) & (share(KEY_VALUE) > 0.6), "KeyValue")
         .otherwise("Text")
     )
+
+
+def region_confidence(kind: Column) -> Column:
+    out = F.lit(CONFIDENCES["Text"])
+    for name, value in CONFIDENCES.items():
+        out = F.when(kind == name, value).otherwise(out)
+    return out

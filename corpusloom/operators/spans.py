@@ -38,8 +38,10 @@ def valid_spans(spans: DataFrame) -> DataFrame:
 
 
 def span_stats(spans: DataFrame) -> DataFrame:
+    """``spans, documents, mean_length``, and ``with_box`` if spans have a ``bbox``."""
+    boxed = [F.count("bbox").alias("with_box")] if "bbox" in spans.columns else []
     return spans.agg(
-        F.count("*").alias("spans"), F.count_distinct("doc_id").alias("documents"), F.avg(F.col("char_end") - F.col("char_start")).alias("mean_length")
+        *boxed, F.count("*").alias("spans"), F.count_distinct("doc_id").alias("documents"), F.avg(F.col("char_end") - F.col("char_start")).alias("mean_length")
     )
 
 
@@ -64,6 +66,16 @@ def chunks_with_spans(chunks: DataFrame, span_ids: DataFrame) -> DataFrame:
     return chunks.join(listed.select("chunk_id").distinct(), "chunk_id", "left_semi")
 
 
+def with_source_spans(chunks: DataFrame, spans: DataFrame) -> DataFrame:
+    """Chunks of ``doc_id, chunk_idx, char_start, char_end, ...`` with ``source_spans``: the sorted ids of the spans that they overlap."""
+    ranges = chunks.select("doc_id", F.struct("doc_id", "chunk_idx").alias("range_id"), F.col("char_start").alias("lo"), F.col("char_end").alias("hi"))
+    found = overlapping(spans, ranges).groupBy("range_id").agg(F.sort_array(F.collect_list("span_id")).alias("source_spans"))  # the spans of one chunk
+    named = found.select(F.col("range_id.doc_id").alias("_d"), F.col("range_id.chunk_idx").alias("_i"), "source_spans")
+    nothing = F.expr("cast(array() as array<bigint>)")
+    joined = chunks.join(named, (F.col("doc_id") == F.col("_d")) & (F.col("chunk_idx") == F.col("_i")), "left").drop("_d", "_i")
+    return joined.withColumn("source_spans", F.coalesce("source_spans", nothing))
+
+
 def layout_blocks(lines: DataFrame) -> DataFrame:
     """Running vertical position of lines of ``doc_id, n, height, gap``."""
     own = Window.partitionBy("doc_id").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)

@@ -361,9 +361,10 @@ def span_at_position(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.at_position(span_table(spark, sf_dir), positions)
 
 
-@query(f"WITH {_SPANS} SELECT count(*) AS spans, count(DISTINCT doc_id) AS documents, round(avg(char_end - char_start), 6) AS mean_length FROM s")
+@query(f"WITH {_SPANS} SELECT count(*) FILTER (span_id % 2 = 0) AS with_box, count(*) AS spans, count(DISTINCT doc_id) AS documents, round(avg(char_end - char_start), 6) AS mean_length FROM s")
 def span_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.span_stats(span_table(spark, sf_dir)).withColumn("mean_length", r6(F.col("mean_length")))
+    boxed = span_table(spark, sf_dir).withColumn("bbox", F.when(F.col("span_id") % 2 == 0, F.struct(F.lit(1.0).alias("x"))))
+    return spans.span_stats(boxed).withColumn("mean_length", r6(F.col("mean_length")))
 
 
 # --- collections ------------------------------------------------------------------------------------

@@ -7,11 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import classify, text
+from ..functions import classify, numeric, text
 from ..operators import blocks, chunking, figures, layout, sessions, spans
 from ..sources import files, pdf
 from . import ingest
-from .queries import _CONFIDENCES
+from .queries import _CONFIDENCES, span_table
 from .registry import per_document, q, query, r6, sql_condense, sql_count, sql_strip, sql_tail, sql_words, table
 
 # --- chunkers ---------------------------------------------------------------------------------------
@@ -328,16 +328,27 @@ def page_assembly(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("confidence", r6(F.col("confidence")))
 
 
-@query(f"""WITH b AS (SELECT *, CASE WHEN i % 20 < 5 THEN 0 WHEN i % 20 < 10 THEN 1 WHEN i % 20 < 15 THEN 2 ELSE 3 END AS region, i % 5 AS c, i // 20 AS r FROM ({_BOXES_SQL}))
-  SELECT doc_id, CAST(0 AS INT) AS page, CAST(region AS INT) AS region, string_agg(text, ' ' ORDER BY round((region * 100 + r * 20) / 10), c) AS content, CAST(count(*) AS INT) AS boxes, CAST(0 AS DOUBLE) AS x, CAST(region * 100 AS DOUBLE) AS y,
-    CAST(max(c) * 60 + 50 AS DOUBLE) AS width, CAST(max(r) * 20 + 12 AS DOUBLE) AS height FROM b GROUP BY doc_id, region""")
+@query(f"""WITH b AS (SELECT *, CASE WHEN i % 20 < 5 THEN 0 WHEN i % 20 < 10 THEN 1 WHEN i % 20 < 15 THEN 2 ELSE 3 END AS region, i % 5 AS c, i // 20 AS r FROM ({_BOXES_SQL})),
+  g AS (SELECT doc_id, CAST(0 AS INT) AS page, CAST(region AS INT) AS region, string_agg(text, ' ' ORDER BY round((region * 100 + r * 20) / 10), c) AS content, CAST(count(*) AS INT) AS boxes, CAST(count(*) FILTER (r = 1) AS INT) AS columns,
+    CAST(0 AS DOUBLE) AS x, CAST(region * 100 AS DOUBLE) AS y, CAST(max(c) * 60 + 50 AS DOUBLE) AS width, CAST(max(r) * 20 + 12 AS DOUBLE) AS height FROM b GROUP BY doc_id, region)
+  SELECT *, CASE WHEN width >= 200 AND columns >= 2 THEN 'Table' WHEN y / 842 <= 0.15 AND height / width <= 0.3 AND strlen(content) < 100 THEN 'Header' ELSE 'Text' END AS kind FROM g""")
 def layout_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Words laid out as four groups that are far apart; boxes of a group are near each other."""
+    """Words laid out as four groups that are far apart; boxes of a group are near each other, and their places tell its kind."""
     words = F.posexplode(F.slice(text.words(F.col("text")), 1, 40))
     rows = table(spark, sf_dir, "documents").select("doc_id", words.alias("i", "content"))
     region, c, r = F.floor(F.col("i") % 20 / 5), F.col("i") % 5, F.floor(F.col("i") / 20)
     placed = rows.select("doc_id", F.lit(0).alias("page"), (c * 60).cast("double").alias("x"), (region * 100 + r * 20).cast("double").alias("y"), F.lit(50.0).alias("width"), F.lit(12.0).alias("height"), "content")
-    return layout.regions(placed)
+    found = layout.regions(placed)
+    return found.withColumn("kind", layout.region_kind(*[F.col(n) for n in ("content", "y", "width", "height", "columns")], F.lit(842.0)))
+
+
+per_document(
+    "region_kinds",
+    lambda t: (lambda k: {"kind": layout.region_kind(
+        F.when(k == 0, F.concat(F.lit("Figure "), F.col("doc_id").cast("string"))).when(k == 1, F.lit("- a\n- b\nc")).when(k == 2, F.lit("a: 1\nb = 2\nc")).when(k == 3, F.lit("x")).otherwise(t),
+        F.lit(500.0), F.when(k == 3, 500.0).otherwise(150.0 + F.when(k == 0, 350.0).otherwise(0.0)), F.lit(400.0), F.when(k == 3, 0).otherwise(1), F.lit(842.0))})(F.col("doc_id") % 5),
+    "['Figure', 'List', 'KeyValue', 'Figure', 'Text'][doc_id % 5 + 1] AS kind",
+)
 
 
 _DATED = "'Abstract' || chr(10) || 'Figure ' || (doc_id % 9 + 1) || ': ' || left(replace(text, chr(10), ' '), 30) || chr(10) || 'Table 2: Results of ' || doc_id || chr(10) || 'plain'"
@@ -481,3 +492,26 @@ def pdf_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pdf_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pdf.pdf_blocks(pdf_table(spark, sf_dir))
     return found.select("doc_id", "page", "kind", F.md5("content").alias("content"), "x", "y", "width", "height")
+
+
+# --- positions and spans of chunks ------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, CAST(doc_id % 7 AS BIGINT) AS first_at, CAST(doc_id % 7 + length(CAST(doc_id AS VARCHAR)) + 6 AS BIGINT) AS second_at, CAST(doc_id % 7 + 2 * length(CAST(doc_id AS VARCHAR)) + 6 + 5 AS BIGINT) AS third_at FROM documents""")
+def value_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where percentages, then multiples, stand in a text."""
+    n = F.col("doc_id").cast("string")
+    said = F.concat(F.repeat(F.lit("-"), (F.col("doc_id") % 7).cast("int")), n, F.lit("% and "), n, F.lit("% or 3x"))
+    found = numeric.placed_values(said)
+    at = [F.get(found, F.lit(k))["at"].cast("long") for k in range(3)]
+    return table(spark, sf_dir, "documents").select("doc_id", at[0].alias("first_at"), at[1].alias("second_at"), at[2].alias("third_at"))
+
+
+@query(f"""WITH w AS ({_WINDOWS}), s AS (SELECT doc_id, doc_id * 100000 + i AS span_id, i * 200 AS a, least(i * 200 + 300, n_chars) AS b FROM (SELECT doc_id, n_chars, unnest(range(0, (n_chars + 199) // 200)) AS i FROM documents WHERE n_chars > 0))
+  SELECT doc_id, chunk_idx, string_agg(span_id, ',' ORDER BY span_id) AS source_spans FROM w JOIN s USING (doc_id) WHERE a < char_end AND b > char_start GROUP BY doc_id, chunk_idx""")
+def chunk_source_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks of the character chunker with the spans that they overlap."""
+    docs = table(spark, sf_dir, "documents")
+    cut = chunking.chunk_table(docs, "characters").select("doc_id", "chunk_idx", "char_start", "char_end")
+    found = spans.with_source_spans(cut, span_table(spark, sf_dir))
+    return found.select("doc_id", "chunk_idx", F.array_join(F.transform("source_spans", lambda s: s.cast("string")), ",").alias("source_spans"))
