@@ -4,6 +4,7 @@ Terms are the distinct words of the lower-case text. The lexicon holds the terms
 frequency lies in a band of shares of all documents: a term needs a least share, so there are at
 most (mean distinct terms of a document) / (least share) of them, whatever the number of documents.
 That bound is what lets the lexicon travel to every task as one literal, as buckets of a hash table.
+A longer lexicon, which only very long documents can give, meets the terms of the texts by a join.
 A document's lexicon terms are sorted and hashed once over the whole lexicon and once over each of
 several randomised subsets of it, at three rates, so that short and long documents have subsets
 with few of their terms.
@@ -11,6 +12,7 @@ with few of their terms.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window
@@ -25,10 +27,12 @@ RATES = (8, 32, 128)
 SUBSETS = 8
 #: Buckets of the lexicon's hash table.
 BUCKETS = 1 << 13
-#: Rows of a range of ids that is sorted at once.
-RANGE_ROWS = 5_000
-#: Quantiles of the ids that bound the ranges.
-COARSE = 64
+#: Rows of a range of ids that is sorted at once, about, and ranges into which a range is cut at a time.
+RANGE_ROWS, CUTS = 5_000, 64
+#: Terms of a lexicon that travels to every task; beyond it the lexicon is joined.
+SENT_TERMS = 300_000
+#: Rows of a small table up to which it is sent to every task.
+SENT_ROWS = 20_000
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -41,7 +45,8 @@ def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHAR
     total = docs.count()
     # without a repeat a term says nothing about a second document
     low, high = max(2, ceil(total * least)), max(2, floor(total * most))
-    terms = docs.select(F.explode(F.array_distinct(words(F.col("text")))).alias("term")).where("term <> ''")
+    # the outer form: for the inner one a filter on the array's size is inferred, for which all words would be split twice
+    terms = docs.select(F.explode_outer(F.array_distinct(words(F.col("text")))).alias("term")).where("term <> ''")
     return terms.groupBy("term").count().where(F.col("count").between(low, high)).select("term")
 
 
@@ -65,12 +70,21 @@ def lexicon_terms(text: Column, table: Column) -> Column:
     return F.array_sort(F.array_distinct(own))
 
 
-def signatures(text: Column, table: Column) -> Column:
-    """``array<string>``: the whole lexicon's signature, then the subsets'; an empty subset's is ``-``.
+def joined_terms(texts: DataFrame, terms: DataFrame) -> DataFrame:
+    """``text, terms``: the same for the distinct texts of ``texts (text)`` by a join with the lexicon."""
+    each = texts.select("text").distinct().withColumn("key", F.sha2("text", 256))
+    held = each.select("key", F.explode_outer(F.array_distinct(words(F.col("text")))).alias("term")).join(terms, "term")
+    own = held.groupBy("key").agg(F.array_sort(F.collect_list("term")).alias("terms"))  # the terms of one text
+    nothing = F.expr("cast(array() as array<string>)")
+    return each.join(own, "key", "left").select("text", F.coalesce("terms", nothing).alias("terms"))
+
+
+def signatures(text: Column, own: Column) -> Column:
+    """``array<string>`` from a text and its lexicon terms: the whole lexicon's signature, then the subsets'; an empty subset's is ``-``.
 
     A text without lexicon terms has the hash of its words in all places, so that only equal ones agree.
     """
-    terms = F.transform(lexicon_terms(text, table), lambda t: F.struct(t.alias("t"), F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint").alias("h")))
+    terms = F.transform(own, lambda t: F.struct(t.alias("t"), F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("bigint").alias("h")))
 
     def hashed(part: Column) -> Column:
         joined = F.array_join(F.transform(part, lambda t: t["t"]), " ")
@@ -90,6 +104,14 @@ def signatures(text: Column, table: Column) -> Column:
     return F.element_at(F.transform(F.array(terms), lambda t: F.when(F.size(t) == 0, alone).otherwise(chosen(t))), 1)
 
 
+def signed(df: DataFrame, text_col: str, out_col: str, terms: DataFrame, table: Column | None) -> DataFrame:
+    """``df`` with the signatures of a text column, by the literal lexicon or, if it has none, by a join."""
+    if table is not None:
+        return df.withColumn(out_col, signatures(F.col(text_col), lexicon_terms(F.col(text_col), table)))
+    own = joined_terms(df.select(F.col(text_col).alias("text")), terms).select(F.col("text").alias("_t"), signatures(F.col("text"), F.col("terms")).alias(out_col))
+    return df.join(own, F.col(text_col) == F.col("_t")).drop("_t")
+
+
 def _subset(terms: Column, shift: int, rate: int, k: int, hashed) -> Column:
     return hashed(F.filter(terms, lambda t: F.shiftright(t["h"], shift).bitwiseAND(F.lit(rate - 1)) == k))
 
@@ -110,34 +132,46 @@ def likeness(a: Column, b: Column) -> Column:
     return F.coalesce(best, F.when(F.get(a, F.lit(0)) == F.get(b, F.lit(0)), 1.0).otherwise(0.0))
 
 
-def with_successor(docs: DataFrame, carried: list[str]) -> DataFrame:
-    """The rows of ``docs (doc_id, text, ...)`` with ``next_`` and the name of each carried column of the next row.
+def id_ranges(docs: DataFrame) -> DataFrame:
+    """``docs`` with ``_range``: numbers of ranges of ``doc_id`` in its order, of about ``RANGE_ROWS`` rows each; -1 for null ids.
 
-    Rows are ordered by id, then text, null ids first; the first row follows the last. Ids are cut into
-    ranges by quantiles and evenly between them. A range is sorted in one task; only the numbers and
-    first rows of the ranges are exchanged between them.
+    Ranges are cut by quantiles of their own ids, into ``CUTS`` at most at a time, until they are small
+    enough, so clustered ids do not make large ranges. Rows of one id are one range.
+    """
+    needed = -(-docs.count() // RANGE_ROWS)
+    ranged = docs.withColumn("_range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long"))
+    while needed > 1:
+        cuts = min(CUTS, needed)
+        shares = [k / cuts for k in range(cuts)]
+        bounds = ranged.where("_range >= 0").groupBy(F.col("_range").alias("_r")).agg(F.percentile_approx("doc_id", shares, 10_000).alias("_bounds"))
+        bounds = checkpointed(bounds)  # one row a range
+        bounds = F.broadcast(bounds) if bounds.count() <= SENT_ROWS else bounds
+        place = F.greatest(F.size(F.filter("_bounds", lambda b: b <= F.col("doc_id"))) - 1, F.lit(0))
+        cut = ranged.join(bounds, F.col("_range") == F.col("_r"), "left")
+        ranged = cut.withColumn("_range", F.when(F.col("_range") < 0, F.col("_range")).otherwise(F.col("_range") * cuts + place)).drop("_r", "_bounds")
+        needed = -(-needed // cuts)
+    return ranged
+
+
+def with_successor(docs: DataFrame, complete: Callable[[DataFrame], DataFrame], carried: list[str]) -> DataFrame:
+    """The rows of ``docs (doc_id, text)``, completed, with ``next_`` and the name of each carried column of the next row.
+
+    ``complete`` adds the carried columns to a table with texts. Rows are ordered by id, then text, null
+    ids first; the first row follows the last. A range of ids is sorted in one task; only the numbers
+    and first rows of the ranges are exchanged between them.
     """
-    stats = docs.agg(F.count("*"), F.max("doc_id"), F.percentile_approx("doc_id", [k / COARSE for k in range(COARSE)], 10_000)).first()
-    total, top, bounds = stats[0], stats[1] or 0, sorted(set(stats[2] or [0]))
-    fine = max(1, -(-total // (len(bounds) * RANGE_ROWS)))
-    lows = F.array(*[F.lit(int(b)) for b in bounds])
-    widths = F.array(*[F.lit(max(1, int(n) - int(b))) for b, n in zip(bounds, [*bounds[1:], top + 1], strict=True)])
-    at = F.greatest(F.size(F.filter(lows, lambda b: b <= F.col("doc_id"))) - 1, F.lit(0))
-    inside = F.floor((F.col("doc_id") - F.get(lows, at)) * fine / F.get(widths, at))
-    number = F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(at * fine + F.least(F.greatest(inside, F.lit(0)), F.lit(fine - 1))).cast("long")
-    row = F.struct(*carried)
-    ranged = docs.withColumn("_range", number)
+    ranged, row = id_ranges(docs), F.struct(*carried)
     near = Window.partitionBy("_range").orderBy("doc_id", "text")
-    led = ranged.withColumn("_following", F.lead(row).over(near))
-    first = F.min_by(row, F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), "text"))
-    heads = checkpointed(ranged.groupBy("_range").agg(first.alias("_head")))
+    led = complete(ranged).withColumn("_following", F.lead(row).over(near))
+    first = F.min_by("text", F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), "text"))
+    heads = checkpointed(complete(checkpointed(ranged.groupBy("_range").agg(first.alias("text")))).select("_range", row.alias("_head")))
     over = Window.orderBy("_range")
-    numbers = heads.select("_range")  # one row a range
+    numbers = heads.select("_range")  # one number a range
     following = numbers.select("_range", F.coalesce(F.lead("_range").over(over), F.min("_range").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_next"))
     to = following.join(heads.withColumnRenamed("_range", "_n"), F.col("_next") == F.col("_n")).select(F.col("_range").alias("_r"), "_head")
     taken = F.coalesce("_following", "_head")
-    return led.join(to, (F.col("_range") == F.col("_r")) & F.col("_following").isNull(), "left").select(
-        *docs.columns, *[taken[c].alias(f"next_{c}") for c in carried]
+    return led.join(to, (F.col("_range") == F.col("_r")) & F.col("_following").isNull(), "left").drop("_range", "_r").select(
+        *[c for c in led.columns if not c.startswith("_")], *[taken[c].alias(f"next_{c}") for c in carried]
     )
 
 
@@ -145,19 +179,14 @@ def fingerprint_edits(df: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """``doc_id, text, edited, own, changed, following``: each text, its edited text, and the signatures of both and of the next text.
 
     The edited text has its last quarter of code points replaced by as many of the next document's first
-    ones. Null texts are empty; ties and repeated rows are ordered by text; other columns are not read.
+    ones. Null texts are empty; ties and repeated rows are ordered by text; other columns are not read;
+    an empty table gives an empty one. A text's signatures are computed once and carried to the row before.
     """
     docs = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    table = lexicon_table(lexicon(docs.select("text")))
-    led = with_successor(docs, ["text"])
+    terms = checkpointed(lexicon(docs.select("text")))
+    table = lexicon_table(terms) if terms.count() <= SENT_TERMS else None
+    led = with_successor(docs, lambda rows: signed(rows, "text", "own", terms, table), ["text", "own"])
     quarter = F.floor(F.length("text") / 4).cast("int")
     edited = F.concat(F.substring("text", F.lit(1), F.length("text") - quarter), F.substring("next_text", F.lit(1), quarter))
-    both = led.withColumn("edited", edited)
-    return both.select(
-        "doc_id",
-        "text",
-        "edited",
-        signatures(F.col("text"), table).alias("own"),
-        signatures(F.col("edited"), table).alias("changed"),
-        signatures(F.col("next_text"), table).alias("following"),
-    )
+    both = signed(led.withColumn("edited", edited), "edited", "changed", terms, table)
+    return both.select("doc_id", "text", "edited", "own", "changed", F.col("next_own").alias("following"))

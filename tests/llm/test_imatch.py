@@ -51,9 +51,11 @@ def rows():
     return out + [(5, None), (6, ""), (7, "Rare once"), (None, "no id"), (None, None), (8, out[0][1]), out[1], (9, "one  two\tthree")]
 
 
-def test_against_brute_force(spark, rows, monkeypatch):
+@pytest.mark.parametrize("sent", [im.SENT_TERMS, 0])
+def test_against_brute_force(spark, rows, monkeypatch, sent):
     monkeypatch.setattr(im, "RANGE_ROWS", 10)
-    monkeypatch.setattr(im, "COARSE", 4)
+    monkeypatch.setattr(im, "CUTS", 4)
+    monkeypatch.setattr(im, "SENT_TERMS", sent)
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA).repartition(3)
     want = sorted((i is not None, i or 0, *x) for i, *x in brute(rows))
     assert as_list(im.fingerprint_edits(df)) == want
@@ -72,3 +74,14 @@ def test_likeness_tells_edits_from_strangers(spark, small):
     told = im.fingerprint_edits(spark.read.parquet(f"{small}/documents.parquet"))
     near = told.select(F.avg(im.likeness(F.col("own"), F.col("changed"))), F.avg(im.likeness(F.col("own"), F.col("following")))).first()
     assert near[0] > 0.3 and near[1] < 0.1
+
+
+def test_clustered_ids_make_even_ranges(spark, monkeypatch):
+    monkeypatch.setattr(im, "RANGE_ROWS", 50)
+    monkeypatch.setattr(im, "CUTS", 5)
+    ids = [*range(1000), *range(10**12, 10**12 + 1000), *[10**17 + 10**14 * k for k in range(30)]]
+    df = spark.createDataFrame([(i,) for i in ids], "doc_id long")
+    sizes = [r["count"] for r in im.id_ranges(df).groupBy("_range").count().collect()]
+    assert sum(sizes) == len(ids) and max(sizes) <= 120 and len(sizes) >= 30
+    order = [r.doc_id for r in im.id_ranges(df).orderBy("_range", "doc_id").collect()]
+    assert order == sorted(ids)
