@@ -112,7 +112,7 @@ def similar_pairs(queries: DataFrame, points: DataFrame, k: int | None = None) -
                     q, d = np.repeat(np.arange(len(ids)), len(doc)), np.tile(np.arange(len(doc)), len(ids))
                 else:
                     order = np.argsort(doc, kind="stable")
-                    best = order[np.argsort(-scores[:, order], axis=1, kind="stable")[:, :k]]
+                    best = order[np.argsort(-np.round(scores[:, order], 9), axis=1, kind="stable")[:, :k]]  # the order of the ranking
                     q, d = np.repeat(np.arange(len(ids)), k), best.reshape(-1)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[q]), pa.array(doc[d]), pa.array(scores[q, d])], schema=schema)
 

@@ -58,7 +58,8 @@ def build_index(docs: DataFrame, wanted: DataFrame | None = None) -> Index:
         named = checkpointed(wanted.select(F.col("term").alias("w")).distinct())
         named = F.broadcast(named) if named.count() <= SENT_TERMS else named
         terms = terms.join(named, F.col("term") == F.col("w"), "left").where("term is null or w is not null")
-    counted = terms.groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"), F.count_if(F.col("at") < F.col("words")).alias("uf"))
+    # a document's postings stay together, so that its scores are complete before they are exchanged
+    counted = terms.repartition("doc_id").groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"), F.count_if(F.col("at") < F.col("words")).alias("uf"))
     held = stored(counted, "postings")
     lengths, postings = held.where("term is null").select("doc_id", "dl", "tf"), held.where("term is not null")
     # equal ids share one row, so a row stands for as many documents as it has been counted
@@ -73,10 +74,11 @@ def idf(rows: int, df):
 
 def bm25(terms: DataFrame, index: Index, k1: float = K1, b: float = B) -> DataFrame:
     """``query_id, doc_id, sparse`` for pairs that share a term; a term that a query repeats counts as often."""
-    held = terms.join(index.frequencies, "term").join(index.postings, "term")
     norm = 1.0 - b + b * F.col("dl") / max(index.mean_length, 1e-9)
-    score = F.col("qtf") * idf(index.rows, F.col("df")) * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * norm)
-    return held.groupBy("query_id", "doc_id").agg(F.sum(score).alias("sparse"))
+    # a posting's weight is computed once, not for every query that has its term
+    weight = idf(index.rows, F.col("df")) * F.col("tf") * (k1 + 1.0) / (F.col("tf") + k1 * norm)
+    weighed = index.postings.join(index.frequencies, "term").select("term", "doc_id", weight.alias("weight"))
+    return weighed.join(terms, "term").groupBy("query_id", "doc_id").agg(F.sum(F.col("qtf") * F.col("weight")).alias("sparse"))
 
 
 def words_containing(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
@@ -105,7 +107,7 @@ def containing(tokens: DataFrame, docs: DataFrame) -> DataFrame:
     words = F.array_distinct(F.split(F.lower(F.coalesce("content", F.lit(""))), r"(?U)\s+"))
     placed = docs.select("doc_id", F.explode_outer(words).alias("word")).where("word <> ''")
     found = words_containing(tokens, placed.select("word").distinct())
-    return found.join(placed, "word").select("token", "doc_id").distinct()
+    return found.join(placed, "word").select("token", "doc_id").repartition("doc_id").distinct()
 
 
 def boost_tokens(terms: DataFrame, index: Index) -> DataFrame:

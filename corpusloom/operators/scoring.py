@@ -176,6 +176,9 @@ def dense_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
 
 
 def top_k(scored: DataFrame, k: int, score: str = "score", by: str = "query_id", tie: str = "doc_id", first: str | None = None) -> DataFrame:
-    """The best rows of each query with ``rank``; ties by id; ``first`` is an optional column that goes before the score."""
-    order = Window.partitionBy(by).orderBy(*([F.desc(first)] if first else []), F.desc(score), tie)
+    """The best rows of each query with ``rank``; ties by id; ``first`` is an optional column that goes before the score.
+
+    Scores are ordered by nine decimals, so that copies of a text tie in whatever order their parts were summed.
+    """
+    order = Window.partitionBy(by).orderBy(*([F.desc(first)] if first else []), F.round(score, 9).desc(), tie)
     return scored.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
