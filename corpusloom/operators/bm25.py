@@ -82,20 +82,26 @@ def bm25(terms: DataFrame, index: Index, k1: float = K1, b: float = B) -> DataFr
 
 
 def words_containing(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
-    """``token, word`` for the distinct words of ``vocabulary (word)`` that hold a token anywhere, by their three-character pieces."""
+    """``token, word`` for the distinct words of ``vocabulary (word)`` that hold a token anywhere, by their three-character pieces.
+
+    Up to ``SENT_TERMS`` tokens are sent to where the words lie, so that pieces without a token are not exchanged.
+    """
+    wanted = checkpointed(tokens.select("token").distinct())
+    long = wanted.where(F.length("token") >= 3).select("token", F.substring("token", 1, 3).alias("piece"))
+    short = wanted.where(F.length("token") < 3)
+    few = wanted.count() <= SENT_TERMS
     size = F.length("word")
     pieces = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(size - 2, F.lit(1))), lambda i: F.substring("word", i, F.lit(3))))
     indexed = vocabulary.select("word", F.explode_outer(pieces).alias("piece"))
-    wanted = tokens.select("token").distinct()
-    long = wanted.where(F.length("token") >= 3).select("token", F.substring("token", 1, 3).alias("piece"))
-    found = long.join(indexed, "piece").where(F.contains("word", "token")).select("token", "word")
-    # tokens of fewer characters: from all short pieces of the words
-    short = wanted.where(F.length("token") < 3)
-    ends = F.array_distinct(
-        F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.array(F.substring("word", i, F.lit(1)), F.substring("word", i, F.lit(2)))))
-    )
-    brief = vocabulary.select("word", F.explode(ends).alias("token")).join(short, "token", "left_semi").select("token", "word")
-    return found.unionByName(brief).distinct()
+    found = indexed.join(F.broadcast(long) if few else long, "piece").where(F.contains("word", "token")).select("token", "word")
+    if not short.isEmpty():
+        # tokens of fewer characters: from all short pieces of the words
+        ends = F.array_distinct(
+            F.flatten(F.transform(F.sequence(F.lit(1), size), lambda i: F.array(F.substring("word", i, F.lit(1)), F.substring("word", i, F.lit(2)))))
+        )
+        brief = vocabulary.select("word", F.explode_outer(ends).alias("token")).join(F.broadcast(short) if few else short, "token", "left_semi").select("token", "word")
+        found = found.unionByName(brief)
+    return found.distinct()
 
 
 def containing(tokens: DataFrame, docs: DataFrame) -> DataFrame:
