@@ -473,7 +473,7 @@ def line_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 per_document(
     "boosted_score",
     lambda t: {"score": r6(scoring.intelligent_boost(F.lit(0.7), F.lit("Legal"), F.lit("Business"), t))},
-    "round(greatest(0, least(0.75, 0.7 + CASE WHEN " + " + ".join(sql_count("text", "(?i)" + p) for p in classify.STRONG_LEGAL) + " >= 2 THEN 0.15 ELSE -0.10 END)), 6) AS score",
+    "CAST(round(greatest(0, least(0.75, 0.7 + CASE WHEN " + " + ".join(sql_count("text", "(?i)" + p) for p in classify.STRONG_LEGAL) + " >= 2 THEN 0.15 ELSE -0.10 END)), 6) AS DOUBLE) AS score",
 )
 per_document("embeddable", lambda t: {"embeddable": collections.embeddable(t)}, "trim(text) <> '' AND NOT starts_with(text, 'EXTRACTION FAILED') AS embeddable")
 per_document("chunk_types", lambda t: {"chunk_type": chunking.chunk_type(t)}, """CASE WHEN starts_with(ltrim(text), 'fn ') OR starts_with(ltrim(text), 'function ') THEN 'Function'
