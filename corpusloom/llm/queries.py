@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import audio_media, chat_format, hypergeometric_shuffle, imatch, mixture_pack, secret_index, sentencepiece_codec, simhash_blocks, toxicity_chain, warc_salvage
+from . import (
+    audio_media, chat_format, fill_middle, filter_audit, hypergeometric_shuffle, imatch, mixture_pack, secret_index, sentencepiece_codec, simhash_blocks, toxicity_chain,
+    url_rules, warc_salvage,
+)
 from .common import scan, stored
 
 SHARDS = 40
@@ -126,6 +129,22 @@ def op10_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    back = fill_middle.restore(fill_middle.fill_in_middle(_read(spark, sf_dir, "documents"), seed=7, rate=100, spm=50))
+    return back.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2("restored", 256).alias("restored_sha256")
+    )
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flags = filter_audit.failures(_read(spark, sf_dir, "documents"))
+    return filter_audit.audit(filter_audit.labelled(flags, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op13_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_rules.judge_urls(_read(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict", "reason")
+
+
 _OP4_SQL = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -205,6 +224,62 @@ FROM t JOIN f f0 ON f0.doc_id = t.doc_id AND f0.v = 0 JOIN f f1 ON f1.doc_id = t
 JOIN r r1 ON r1.doc_id = t.doc_id AND r1.v = 1 JOIN r r2 ON r2.doc_id = t.doc_id AND r2.v = 2
 """
 
+_OP11_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS x FROM documents),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '[^\n]*\n|[^\n]+') AS us,
+  [CAST('0x' || substr(x, 1, 8) AS BIGINT), CAST('0x' || substr(x, 9, 8) AS BIGINT), CAST('0x' || substr(x, 17, 8) AS BIGINT), CAST('0x' || substr(x, 25, 8) AS BIGINT)] AS h FROM d),
+c AS (SELECT *, len(us) AS n, least(h[1] % (len(us) + 1), h[2] % (len(us) + 1)) AS a, greatest(h[1] % (len(us) + 1), h[2] % (len(us) + 1)) AS b,
+  CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h[3] % 100 >= 100 THEN 'plain' WHEN h[4] % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM u),
+p AS (SELECT *, coalesce(array_to_string(us[1 : a], ''), '') AS pre, coalesce(array_to_string(us[a + 1 : b], ''), '') AS mid, coalesce(array_to_string(us[b + 1 : n], ''), '') AS suf FROM c)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+  sha256(text) AS restored_sha256
+FROM p
+"""
+
+# every order over every document, without subsets
+_OP12_SQL = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(source, '') AS part, regexp_extract_all(coalesce(text, ''), '[^ 	-]+') AS ws FROM documents),
+f AS (SELECT t.doc_id, part,
+    [len(ws) < 200, 100 * len(list_distinct(ws)) < 50 * len(ws), 100 * len(regexp_extract_all(text, '[A-Z]')) > 2 * length(text), regexp_matches(text, '[#$%&*|]'),
+     coalesce(t.doc_id > min(t.doc_id) OVER (PARTITION BY text), false)] AS fails,
+    t.doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) AS good, t.doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1) AS toxic
+  FROM t),
+g AS (SELECT part, fails, count(*) AS n, count(*) FILTER (good) AS good, count(*) FILTER (toxic) AS toxic FROM f GROUP BY ALL),
+l AS (SELECT unnest([1, 2, 3, 4, 5]) AS i),
+o AS (SELECT a.i AS a, b.i AS b, c.i AS c, d.i AS d, e.i AS e FROM l a, l b, l c, l d, l e WHERE len(list_distinct([a.i, b.i, c.i, d.i, e.i])) = 5),
+s AS (SELECT [a, b, c, d, e] AS ord, substr('ABCDE', a, 1) || substr('ABCDE', b, 1) || substr('ABCDE', c, 1) || substr('ABCDE', d, 1) || substr('ABCDE', e, 1) AS filter_order, unnest([1, 2, 3, 4, 5]) AS step FROM o),
+x AS (SELECT g.*, s.*, ord[step] AS own, len(list_filter(ord[1 : step - 1], lambda k: fails[k])) > 0 AS gone, len(list_filter(fails, lambda y: y)) AS failed FROM g CROSS JOIN s),
+r AS (SELECT part, filter_order, step, any_value(own) AS own,
+    coalesce(sum(n) FILTER (NOT gone AND NOT fails[own]), 0) AS kept, coalesce(sum(n) FILTER (NOT gone AND fails[own]), 0) AS removed,
+    coalesce(sum(n) FILTER (gone AND fails[own]), 0) AS redundant, coalesce(sum(n) FILTER (fails[own] AND failed = 1), 0) AS unique_fails,
+    coalesce(sum(good) FILTER (NOT gone AND fails[own]), 0) AS good_lost, coalesce(sum(toxic) FILTER (NOT gone AND fails[own]), 0) AS toxic_lost
+  FROM x GROUP BY part, filter_order, step)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed, CAST(redundant AS BIGINT) AS redundant,
+  CAST(unique_fails AS BIGINT) AS unique_fails, CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+  CAST(sum(removed) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM r
+"""
+
+
+def _op13_sql() -> str:
+    """Each place rule by equality and prefix, and each form by its expression."""
+    places = sorted(url_rules.PLACES, key=lambda r: -r.rank)
+    arms = []
+    for r in places:
+        host, _, path = r.name.partition("/")
+        arms.append((f"(host = '{host}' OR ends_with(host, '.{host}')) AND starts_with(path, '/{path}')", r))
+    forms = [(f"regexp_matches(host || path, '{r.pattern}')", r) for r in sorted(url_rules.FORMS, key=lambda r: -r.rank)]
+    rule = " ".join(f"WHEN {c} THEN '{r.name}'" for c, r in arms)
+    verdict = " ".join(f"WHEN {c} THEN '{r.verdict}'" for c, r in arms + forms)
+    reason = " ".join(f"WHEN {c} THEN '{r.name}'" for c, r in arms + forms)
+    return f"""
+WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+  regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path FROM pages)
+SELECT page_id, host, path, CASE {rule} END AS rule, CASE {verdict} ELSE 'allow' END AS verdict, CASE {reason} END AS reason FROM u
+"""
+
+
 QUERIES = {
     "op1_sentencepiece": op1_sentencepiece,
     "op2_audio": op2_audio,
@@ -216,6 +291,9 @@ QUERIES = {
     "op8_secrets": op8_secrets,
     "op9_warc": op9_warc,
     "op10_simhash": op10_simhash,
+    "op11_fill_middle": op11_fill_middle,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_url_rules": op13_url_rules,
 }
 
-ORACLE_SQL = {"op3_imatch": _OP3_SQL, "op4_chat": _OP4_SQL, "op8_secrets": _op8_sql(), "op9_warc": _OP9_SQL}
+ORACLE_SQL = {"op3_imatch": _OP3_SQL, "op4_chat": _OP4_SQL, "op8_secrets": _op8_sql(), "op9_warc": _OP9_SQL, "op11_fill_middle": _OP11_SQL, "op12_filter_audit": _OP12_SQL, "op13_url_rules": _op13_sql()}
