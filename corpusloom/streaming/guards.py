@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions import classify
+from . import ordered
 
 # Gates of the ingest endpoint.
 LIVE_SKEW_S, LEGACY_SKEW_S = 15 * 60, 90
@@ -72,29 +73,19 @@ def accepted_times(times: list[float], held: list[float], calls: int, seconds: f
 def rate_limited(df: DataFrame, client: str = "client", ts: str = "ts", calls: int = RATE_CALLS, seconds: int = RATE_SECONDS) -> DataFrame:
     """``client, ts, id, accepted`` for batches of ``client, ts, id``, client by client in order of time, then id.
 
-    A client's rows come in Arrow batches sorted by time; only the accepted times of the trailing
-    window are kept between batches, so a client with many calls needs no more memory than others.
+    A client's rows are streamed through the fold in sorted batches; only the accepted times of the
+    trailing window are kept between batches, so a client with many calls needs no more memory than others.
     """
     rows = df.select(F.col(client).alias("client"), F.col(ts).alias("ts"), F.col("id"))
-    schema = T.StructType([*rows.schema.fields, T.StructField("accepted", T.BooleanType())])
-
-    def limit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        who, held = None, []
-        for pdf in batches:
-            at = pdf["ts"].astype("int64").to_numpy() / (1e9 if "ns" in str(pdf["ts"].dtype) else 1e6)
-            flags = []
-            for c, t in zip(pdf["client"], at, strict=True):
-                if c != who:
-                    who, held = c, []
-                ok, held = accepted_times([t], held, calls, seconds)
-                flags += ok
-            yield pdf.assign(accepted=flags)
-
-    return rows.repartition("client").sortWithinPartitions("client", "ts", "id").mapInPandas(limit, schema)
+    return ordered.fold_table(rows, ordered.RateLimit(calls, seconds), "client")
 
 
 def rate_limited_stream(df: DataFrame, client: str = "client", ts: str = "ts", calls: int = RATE_CALLS, seconds: int = RATE_SECONDS) -> DataFrame:
-    """The same on a stream: state is the list of accepted times, which expires when the watermark is past the window."""
+    """The same on a stream, for calls that must be answered at once: each micro-batch is judged as it arrives, in order of time.
+
+    State is the list of accepted times, which expires when the watermark is past the window. Calls that
+    come late are judged late; ``ordered.fold_stream`` waits for them.
+    """
     from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -128,7 +119,8 @@ def debounced(df: DataFrame, key: str, ts: str = "ts", gap: str = "300 milliseco
 
 def spaced(df: DataFrame, key: str, ts: str = "ts", seconds: int = 5) -> DataFrame:
     """Events at least so many seconds after the last accepted one of the key."""
-    return rate_limited(df, key, ts, calls=1, seconds=seconds).where("accepted").drop("accepted")
+    rows = df.select(F.col(key).alias("client"), F.col(ts).alias("ts"), F.col("id"))
+    return ordered.fold_table(rows, ordered.RateLimit(1, seconds, rejects=False), "client").drop("accepted")
 
 
 def stable(df: DataFrame, key: str, ts: str = "ts", size: str = "size", change: int = 100, times: int = 2) -> DataFrame:
@@ -152,14 +144,18 @@ def accepted_events(df: DataFrame, now: Column, calls: int = RATE_CALLS, seconds
     """The gates of the ingest endpoint in one pipeline: ``nonce, client, ts, url, content`` of the events that pass.
 
     ``df (nonce, client, ts, version, url, content)`` may stream: version and size, time gate, domain,
-    first use of a nonce, then the rate of each client, of which rejected calls do not count.
+    first use of a nonce, then the rate of each client, of which rejected calls do not count. ``now`` may
+    be the column of arrival. A stream judges an event when the watermark has passed it. The watermark
+    lies back by the width of the time gate on both sides, so no event that passes the gate on its
+    arrival is behind it, and the result is that of the table.
     """
     good = df.where(valid_payload(F.col("version"), F.col("content")) & fresh(F.col("ts"), now) & ~classify.blocked_domain(F.col("url")))
-    used = first_use(good, "nonce", "ts")
+    used = first_use(good, "nonce", "ts", f"{2 * LIVE_SKEW_S} seconds").select("nonce", "client", "ts", "url", "content")
     if df.isStreaming:
-        return used.select("nonce", "client", "ts", "url", "content")
+        rated = ordered.fold_stream(used, ordered.RateLimit(calls, seconds, rejects=False), "client", "ts", "nonce", ["url", "content"])
+        return rated.select(used.columns)
     rated = rate_limited(used.withColumn("id", F.col("nonce")), "client", "ts", calls, seconds).where("accepted").select(F.col("id").alias("_id"))
-    return used.join(rated, F.col("nonce") == F.col("_id"), "left_semi").select("nonce", "client", "ts", "url", "content")
+    return used.join(rated, F.col("nonce") == F.col("_id"), "left_semi")
 
 
 def telemetry(df: DataFrame, ts: str = "ts", window: str = "1 minute", by: str = "method") -> DataFrame:
