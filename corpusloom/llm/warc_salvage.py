@@ -4,9 +4,11 @@ Archives are rows of ``archive, bytes``: each task writes its records as gzip me
 archive when it is large enough. Rows reach any store that Spark reaches; archives that exist as
 files are read with :func:`archive_files`. The reader checks the gzip member, the version line, the
 length and the block digest of each record. After a failed check inside a member it carries on at the
-next version line of the inflated bytes; of a broken member it reads the bytes before the break, and
-takes records whose block digests hold, if the damage is found outside of them. After that, and outside of members, it searches for the next gzip member that starts a record, or
-the next version line, carries on there, and logs the bytes between as a quarantined gap.
+next version line of the inflated bytes; of a broken member it reads the bytes before the break and
+takes the records whose block digests hold. Their heads have no check of their own, so they are not
+certain, and are marked. After that, and outside of members, it searches for the next gzip member that
+starts a record, or the next version line, carries on there, and logs the bytes between as a
+quarantined gap.
 """
 
 from __future__ import annotations
@@ -178,23 +180,23 @@ def _next_start(data: bytes, at: int) -> int:
     return stop
 
 
-def salvage(data: bytes) -> Iterator[tuple[str, int, int, object, bytes]]:
-    """Events in order: ``("record", start, end, fields, block)`` or ``("gap", start, end, reason, b"")``.
+def salvage(data: bytes) -> Iterator[tuple[str, int, int, object, bytes, bool]]:
+    """Events in order: ``("record", start, end, fields, block, certain)`` or ``("gap", start, end, reason, b"", True)``.
 
     Records and gaps cover all bytes; touching gaps are one gap with the first reason. A member with
-    good and bad records is a gap, and its good records come before it with no bytes of their own.
+    good and bad records, or one whose own check fails, is a gap, and its good records come before it
+    with no bytes of their own. A record is not certain if its member's check fails: its block holds
+    its digest, but what its head says may be damaged.
     """
     at, gap_at, why = 0, -1, ""
     seen, seen_to = [], 0
     while at < len(data):
-        found, bad, end = [], "", at
+        found, bad, end, certain = [], "", at, True
         if data.startswith(_MEMBER, at):
             plain, end, broken = inflate(data, at)
             # without an error the bytes before a lost end are sure
-            found, bad = _member_records(plain, not broken.startswith("broken"))
-            if broken.startswith("broken") and not bad:
-                # the damage is in none of the blocks, so it may be in any of the heads, which have no check of their own
-                found = []
+            certain = not broken.startswith("broken")
+            found, bad = _member_records(plain, certain)
             if broken:
                 # a member that is not compressed shows its records in the archive's bytes too
                 seen, seen_to = found, end
@@ -208,15 +210,15 @@ def salvage(data: bytes) -> Iterator[tuple[str, int, int, object, bytes]]:
             except ValueError as e:
                 bad, end = str(e), _next_start(data, at + 1)
         if gap_at >= 0 and (found or not bad):
-            yield "gap", gap_at, at, why, b""
+            yield "gap", gap_at, at, why, b"", True
             gap_at = -1
         for fields, block in found:
-            yield "record", at, at if bad else end, fields, block
+            yield "record", at, at if bad else end, fields, block, certain
         if bad and gap_at < 0:
             gap_at, why = at, bad
         at = end
     if gap_at >= 0:
-        yield "gap", gap_at, len(data), why, b""
+        yield "gap", gap_at, len(data), why, b"", True
 
 
 def mark_revisits(df: DataFrame, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html") -> DataFrame:
@@ -321,7 +323,8 @@ def read_archives(archives: DataFrame) -> DataFrame:
     """All records and gaps of archives, in one pass.
 
     ``archive, kind ('record' or 'gap'), start_byte, end_byte, reason, record_type, page_id, url,
-    payload_digest, refers_to, payload_bytes, payload``. A gap has only the first five. A revisit's
+    payload_digest, refers_to, payload_bytes, payload, certain``. A gap has only the first five; a record
+    that is not ``certain`` comes from a member whose own check fails. A revisit's
     ``payload_bytes`` and ``payload_digest`` are those of the full payload; its ``payload`` is empty.
     A null or empty archive gives no rows.
     """
@@ -334,9 +337,9 @@ def read_archives(archives: DataFrame) -> DataFrame:
 
     def make():
         def work(archive, data):
-            for kind, start, end, what, block in salvage(data or b""):
+            for kind, start, end, what, block, certain in salvage(data or b""):
                 if kind == "gap":
-                    yield (archive, kind, start, end, what, None, None, None, None, None, None, None)
+                    yield (archive, kind, start, end, what, None, None, None, None, None, None, None, None)
                     continue
                 head, _, body = block.partition(b"\r\n\r\n")
                 found = length.search(head)
@@ -345,13 +348,13 @@ def read_archives(archives: DataFrame) -> DataFrame:
                 yield (
                     archive, kind, start, end, None, record_type, number(what.get("warc-record-id", "")), what.get("warc-target-uri"),
                     what.get("warc-payload-digest", "").removeprefix("sha256:") if revisit else hashlib.sha256(body).hexdigest(),
-                    number(what.get("warc-refers-to", "")), int(found[1]) if revisit and found else len(body), body,
+                    number(what.get("warc-refers-to", "")), int(found[1]) if revisit and found else len(body), body, certain,
                 )
 
         return work
 
     return map_rows(
         archives.select("archive", "bytes"),
-        "archive string, kind string, start_byte long, end_byte long, reason string, record_type string, page_id long, url string, payload_digest string, refers_to long, payload_bytes long, payload binary",
+        "archive string, kind string, start_byte long, end_byte long, reason string, record_type string, page_id long, url string, payload_digest string, refers_to long, payload_bytes long, payload binary, certain boolean",
         make,
     )

@@ -55,7 +55,9 @@ def test_salvage_after_damage():
             }[damage]
             data = b"".join(parts[:2]) + bad + b"".join(parts[3:])
             events = list(ws.salvage(data))
-            found = [e[4].partition(b"\r\n\r\n")[2] for e in events if e[0] == "record"]
+            # a record whose head may be damaged comes back too, but is marked
+            assert all(e[4].partition(b"\r\n\r\n")[2] == body[2] for e in events if not e[5])
+            found = [e[4].partition(b"\r\n\r\n")[2] for e in events if e[0] == "record" and e[5]]
             kept = body if damage == "junk" else body[:2] + body[3:]
             assert found == kept, (pack, damage)
             gaps = [e for e in events if e[0] == "gap"]
@@ -97,6 +99,19 @@ def test_records_of_a_damaged_member():
         assert payloads(whole[:-8] + bytes(8) + alone)[0][-1] == b"alone"
 
 
+def test_a_wrong_trailer_loses_no_record(spark):
+    """One byte of a member's check differs: all records, whose digests hold, come back and are marked."""
+    body = [b"%d " % i * 50 for i in range(50)]
+    whole = ws.member(b"".join(ws.record_bytes(i, f"http://x/{i}", b, hashlib.sha256(b).hexdigest(), None) for i, b in enumerate(body)))
+    alone = ws.member(ws.record_bytes(99, "http://x/99", b"alone", "", None))
+    for at in (-8, -5, -3):
+        data = whole[:at] + bytes([whole[at] ^ 1]) + whole[len(whole) + at + 1 :] + alone
+        rows = ws.read_archives(spark.createDataFrame([("a", data)], "archive string, bytes binary")).collect()
+        held = [r for r in rows if r.kind == "record"]
+        assert [(r.page_id, bytes(r.payload), r.certain) for r in held] == [(i, b, False) for i, b in enumerate(body)] + [(99, b"alone", True)]
+        assert [(r.start_byte, r.end_byte) for r in rows if r.kind == "gap"] == [(0, len(whole))]
+
+
 def test_a_broken_member_needs_digests():
     parts = [re.sub(rb"WARC-Block-Digest: [^\r]*\r\n", b"", ws.record_bytes(i, "http://x/", b"%d " % i * 50, "", None)) for i in range(3)]
     whole = ws.member(b"".join(parts))
