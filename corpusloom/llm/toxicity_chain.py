@@ -20,7 +20,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, checkpointed, map_rows
+from .common import bounded_batches, checkpointed, map_rows, place_of
 
 #: Labelled rows that the chain is fitted on, at most (those with the smallest hash of their id and text).
 TRAIN_ROWS = 12_000
@@ -174,26 +174,40 @@ def choose_words(labelled: DataFrame, categories: list[str], size: int = VOCABUL
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = 5) -> Chain:
-    """A chain of the categories that ``labels (doc_id, quality, toxic)`` has, from ``docs (doc_id, text)``.
+def training_rows(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = 5) -> tuple[DataFrame, list[str]]:
+    """``fold, text`` and a column of 0, 1 or null for each category, and the categories' names: at most ``train_rows`` distinct labelled rows.
 
-    It is fitted on at most ``train_rows`` labelled rows, those with the smallest hash of id and text.
-    Rows without text, id, any label or partner are not used; a label that is null is not used for its
-    category; rows of labels that repeat count as often. Other columns are not read. Without any
-    labelled row, or any word, the chain says 0.
+    They are those with the smallest hash of id and text, then the smallest labels.
     """
     known = {name: rule for name, rule in CATEGORIES.items() if rule[0] in labels.columns}
     names = list(known)
     marks = [F.expr(f"CAST(`{column}` {rule} AS INT)").alias(name) for name, (column, rule) in known.items()]
-    rows = labels.select(F.col("doc_id").alias("_id"), *marks).where(" or ".join(f"{n} is not null" for n in names))
+    rows = labels.select(F.col("doc_id").alias("_id"), *marks).where(" or ".join(f"{n} is not null" for n in names)).distinct()
     # hashes are made before the join, so that only the texts of the cut are exchanged
     hashed = docs.where("text is not null").select(
         "doc_id", F.xxhash64(F.lit(seed), "doc_id", "text").alias("h"), F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"), "text"
     )
     # the cut is found on the hashes alone, so texts stay where they are
-    cut = hashed.select("doc_id", "h").join(rows.select("_id"), F.col("doc_id") == F.col("_id")).select("h").orderBy("h").limit(train_rows).agg(F.max("h")).first()[0]
-    cut = -(1 << 63) if cut is None else cut
-    sample = checkpointed(hashed.where(F.col("h") <= cut).join(rows, F.col("doc_id") == F.col("_id")).select("fold", *names, "text"))
+    told = hashed.select("doc_id", "h").distinct().join(rows, F.col("doc_id") == F.col("_id")).select("h", *names)
+    place = ["h", *[F.coalesce(n, F.lit(-1)).alias(n) for n in names]]
+    last = told.select(*place).orderBy("h", *names).limit(train_rows).agg(F.max(F.struct("h", *names)).alias("l")).first().l
+    if last is None:
+        return hashed.where("false").join(rows, F.col("doc_id") == F.col("_id")).select("fold", *names, "text"), names
+    within = F.struct(*place) <= F.struct(*[F.lit(v).alias(n) for n, v in last.asDict().items()])
+    chosen = hashed.where(F.col("h") <= last.h).join(rows, F.col("doc_id") == F.col("_id")).where(within)
+    return chosen.dropDuplicates(["doc_id", "h", *names]).select("fold", *names, "text"), names
+
+
+def fit(docs: DataFrame, labels: DataFrame, train_rows: int = TRAIN_ROWS, seed: int = 5) -> Chain:
+    """A chain of the categories that ``labels (doc_id, quality, toxic)`` has, from ``docs (doc_id, text)``.
+
+    It is fitted on the rows of :func:`training_rows`, at most ``train_rows``. Rows without text, id,
+    any label or partner are not used; a label that is null is not used for its category; documents
+    and labels that repeat count once. Other columns are not read. Without any labelled row, or any
+    word, the chain says 0.
+    """
+    sample, names = training_rows(docs, labels, train_rows, seed)
+    sample = checkpointed(sample)
     chosen = choose_words(sample, names)
     words = tuple(sorted({w for lists in chosen.values() for own in lists.values() for w in own}))
 
@@ -255,7 +269,7 @@ def keep_clean(docs: DataFrame, chain: Chain, threshold: float = THRESHOLD, text
 
     bounded_batches(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(chain)
-    at = docs.columns.index(text_col)
+    at = place_of(docs, text_col)
 
     def run(batches):
         model = sent.value

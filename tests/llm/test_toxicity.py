@@ -64,6 +64,16 @@ def test_bound_on_the_sample(spark):
     docs, labels = corpus()
     chain = tc.fit(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, toxic int"), train_rows=100)
     assert len(chain.words) > 0
+    # a labelled row that repeats forty times in each table is one row
+    many = [docs[0]] * 40 + docs[1:]
+    table, told = spark.createDataFrame(many, "doc_id long, text string"), spark.createDataFrame([labels[0]] * 40 + labels[1:], "doc_id long, toxic int")
+    for bound in (1, 100, 10_000):
+        rows, names = tc.training_rows(table, told, train_rows=bound)
+        assert names == ["toxic"] and rows.count() == min(bound, len(docs))
+    # of a document with several labels the smallest come first
+    told = spark.createDataFrame([(1, 1, 1), (1, 0, 1), (1, None, 0), (1, 1, None)], "doc_id long, quality int, toxic int")
+    one = spark.createDataFrame([(1, "a text")], "doc_id long, text string")
+    assert [tc.training_rows(one, told, train_rows=n)[0].count() for n in (1, 2, 3, 4, 5)] == [1, 2, 3, 4, 4]
 
 
 def test_awkward_rows(spark, awkward, empty):
