@@ -16,7 +16,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -242,8 +242,10 @@ LANES, NEAR_BITS = 4, 68
 CELLS = 16
 #: Rows of a group of equal blocks that are compared at once, and texts that are.
 GROUP, CHUNK = 4096, 1000
-#: Blocks on which a group that stays large is split at most, one after another.
+#: Further blocks on which a group that stays large is split, one after another, before all its pairs are compared in tiles.
 DEPTH = 4
+#: Bits of the first hash of a set of shingles; sets that share it are told apart by a second one of 64 bits.
+NODE_BITS = 64
 
 
 def set_blocks(hashes: np.ndarray) -> np.ndarray:
@@ -323,13 +325,33 @@ def _grouped_links(rows: DataFrame) -> DataFrame:
     return groups.where(F.size("g") > 1).mapInArrow(run, "k long, a long, b long")
 
 
+def _tiled_links(rows: DataFrame) -> DataFrame:
+    """The links of the pairs of each group of ``k, n, node, fp, ended`` of which one row at least has ``ended``, chunk by chunk.
+
+    A chunk meets each chunk that has ended rows; no task holds more than two chunks.
+    """
+    size = max(GROUP // 2, 1)
+    chunks = F.ceil(F.col("n") / size)
+    own = stored(rows.withColumns({"m": chunks, "c": F.pmod(F.xxhash64("node", F.lit("tile")), chunks)}), "tiles")
+    ends = own.where("ended").select("k", F.col("c").alias("e")).distinct()
+    if ends.isEmpty():
+        return own.select("k", F.col("node").alias("a"), F.col("node").alias("b")).limit(0)
+    # a tile is a chunk with ended rows and any other chunk of the group
+    tiles = ends.join(own.select("k", "m").distinct(), "k").select("k", "e", F.explode(F.sequence(F.lit(0).cast("long"), F.col("m").cast("long") - 1)).alias("o"))
+    tiles = tiles.select("k", F.least("e", "o").alias("i"), F.greatest("e", "o").alias("j")).distinct()
+    sides = tiles.select("k", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("c"))
+    return _grouped_links(sides.join(own.select("k", "c", "node", "fp"), ["k", "c"]).select(F.xxhash64("k", "i", "j").alias("k"), "node", "fp"))
+
+
 def set_links(sets: DataFrame) -> DataFrame:
     """Candidate links ``a, b`` between the rows of ``node long, fp binary, blocks array<long>``, one row a distinct set.
 
     Rows that share a block meet in a group, which gives links that span its components by Hamming
     distance. In a larger group first each of several parts keeps one row a component, so a crowd of
     near copies shrinks to a few; if many are left, they are not near each other and are dealt by each
-    further block that they share as well. No group of any size meets in one task.
+    further block that they share as well. What is still crowded after ``DEPTH`` further blocks is
+    compared pair by pair, tile by tile, and so are rows of a crowd that have no further block, with
+    all of the crowd. No group of any size meets in one task.
     """
     counts = checkpointed(sets.select(F.explode("blocks").alias("k")).groupBy("k").agg(F.count("*").alias("n")).where("n > 1"))
     dealt = sets.select("node", "fp", F.explode("blocks").alias("k"))
@@ -355,8 +377,13 @@ def set_links(sets: DataFrame) -> DataFrame:
             if now.where(F.col("n") > GROUP).isEmpty() or not shrunk:
                 break
         links.append(checkpointed(_grouped_links(rows.where(F.col("n") <= GROUP).select("k", "node", "fp"))))
+        crowd = rows.where(F.col("n") > GROUP)
+        ended = F.lit(depth == DEPTH) | (F.col("place") + 1 >= F.size("blocks"))
+        links.append(checkpointed(_tiled_links(crowd.select("k", "n", "node", "fp", ended.alias("ended")))))
+        if depth == DEPTH:
+            break
         further = F.posexplode(F.expr("slice(blocks, place + 2, size(blocks))")).alias("more", "other")
-        deeper = rows.where(F.col("n") > GROUP).select("k", "node", "fp", "blocks", "place", further)
+        deeper = crowd.select("k", "node", "fp", "blocks", "place", further)
         placed = deeper.select("node", "fp", "blocks", (F.col("place") + 1 + F.col("more")).alias("place"), F.xxhash64("k", "other").alias("k"))
         counts = checkpointed(placed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"))
         links.append(checkpointed(_grouped_links(placed.join(counts.where(F.col("n") <= GROUP), "k", "left_semi").select("k", "node", "fp"))))
@@ -482,8 +509,8 @@ def keep_one(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: st
 
     Documents link if the sets of their word shingles, repeats left out, have a Jaccard similarity of
     0.8 or more. Blocks and SimHash fingerprints of the sets only propose components; within each of
-    them the sets themselves decide. Texts of equal shingle sets always link, so null, empty and blank
-    texts do. The row that stays is the one with the smallest id, rows without an id last; of several
+    them the sets themselves decide. Texts of equal shingle sets, by two hashes of 64 bits, always link,
+    so null, empty and blank texts do. The row that stays is the one with the smallest id, rows without an id last; of several
     the one with the smallest hash of all its columns, so the result does not depend on the order of
     the rows. Repeated rows are one row afterwards; columns of any name are carried; an empty table
     gives an empty one. Ids must be numbers.
@@ -494,7 +521,7 @@ def keep_one(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: st
     source = plain.select(
         *plain.columns, F.monotonically_increasing_id().alias("rid"), own_id.alias("id"), row_hash(plain).alias("hash"), F.col(f"c{text_at}").cast("string").alias("body")
     )
-    target = T.StructType([*source.schema.fields[:-1], *T.StructType.fromDDL("node long, fp binary, blocks array<long>").fields])
+    target = T.StructType([*source.schema.fields[:-1], *T.StructType.fromDDL("node long, check long, fp binary, blocks array<long>").fields])
     out_schema = arrow_schema(target)
 
     def run(batches):
@@ -503,28 +530,36 @@ def keep_one(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                node, fp, blocks = [], [], []
+                node, check, fp, blocks = [], [], [], []
                 for text in part.column(part.num_columns - 1).to_pylist():
                     hashes = np.unique(shingle_hashes(text, words))
-                    node.append(xxhash.xxh64_intdigest(hashes.tobytes(), 42))
+                    node.append(xxhash.xxh64_intdigest(hashes.tobytes(), 42) >> (64 - NODE_BITS))
+                    check.append(xxhash.xxh64_intdigest(hashes.tobytes(), 43))
                     fp.append(majority_bits(hashes, LANES))
                     blocks.append(set_blocks(hashes))
                 ends = np.cumsum([0, *map(len, blocks)])
                 columns = [
-                    *part.columns[:-1], pa.array(np.array(node, dtype=np.uint64).view(np.int64)), pa.array(fp, pa.binary()),
+                    *part.columns[:-1], *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (node, check)), pa.array(fp, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(blocks))),
                 ]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out_schema, strict=True)], schema=out_schema)
 
     bounded_batches(df.sparkSession)
     rows = stored(source.mapInArrow(run, target), "sets")
-    sets = stored(rows.groupBy("node").agg(F.min("rid").alias("rid"), F.any_value("fp").alias("fp"), F.any_value("blocks").alias("blocks")), "nodes")
+    sets = rows.groupBy("node", "check").agg(F.min("rid").alias("rid"), F.any_value("fp").alias("fp"), F.any_value("blocks").alias("blocks"))
+    # different sets of one first hash, of which there are hardly any, get nodes of their own
+    same = F.row_number().over(Window.partitionBy("node").orderBy("check"))
+    sets = stored(sets.withColumn("first", F.col("node")).withColumn("node", F.when(same == 1, F.col("node")).otherwise(F.xxhash64("node", "check"))), "nodes")
+    moved = sets.where("node <> first").select("first", F.col("check").alias("_check"), F.col("node").alias("own"))
+    nodes = rows.select("rid", "id", "hash", "node", "check")
+    if not moved.isEmpty():
+        nodes = nodes.join(moved, (F.col("node") == F.col("first")) & (F.col("check") == F.col("_check")), "left").withColumn("node", F.coalesce("own", "node"))
     parts = checkpointed(connected_components(set_links(sets)).select(F.col("node").alias("_n"), F.col("root").alias("part")))
     # the text of one row a set
     asked = sets.select("node", F.col("rid").alias("_rid")).join(parts, F.col("node") == F.col("_n")).select("part", "node", "_rid")
     texts = stored(rows.select("rid", F.col(f"c{text_at}").cast("string").alias("text")).join(asked, F.col("rid") == F.col("_rid")).select("part", "node", "text"), "texts")
     roots = checkpointed(exact_components(texts, words).withColumnRenamed("node", "_n"))
-    narrow = rows.select("rid", "id", "hash", "node").join(roots, F.col("node") == F.col("_n"), "left").select("rid", "id", "hash", F.coalesce("root", "node").alias("root"))
+    narrow = nodes.join(roots, F.col("node") == F.col("_n"), "left").select("rid", "id", "hash", F.coalesce("root", "node").alias("root"))
     narrow = checkpointed(narrow)
     order = F.struct(F.col("id").isNull().alias("x"), "id", "hash", "rid")
     best = narrow.groupBy(F.col("root").alias("_r")).agg(F.min_by("rid", order).alias("best"), F.count("*").alias("n")).where("n > 1").select("_r", "best")

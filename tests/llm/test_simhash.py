@@ -1,6 +1,7 @@
 import random
 
 import numpy as np
+import pytest
 import xxhash
 from corpusloom.llm import common
 from corpusloom.llm import simhash_blocks as sb
@@ -211,6 +212,35 @@ def test_crowded_groups_against_brute_force(spark, monkeypatch):
     assert sorted(r.doc_id for r in kept.collect()) == brute_kept(texts)
 
 
+def test_sets_that_share_a_hash_stay_apart(spark, monkeypatch):
+    """With three bits for the first hash, most sets collide; none goes for it."""
+    monkeypatch.setattr(sb, "NODE_BITS", 3)
+    rng = random.Random(2)
+    texts = [" ".join("".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(rng.randint(1, 40))) for _ in range(60)]
+    texts += texts[:20] + [t + " and" for t in texts[20:40]] + ["", "  "]
+    kept = sb.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == brute_kept(texts[:-1])
+
+
+@pytest.mark.parametrize("depth", [0, 1])
+def test_crowds_beyond_the_depth(spark, monkeypatch, depth):
+    """Rows of one block, and of several, of which none is near another but for planted pairs, with no further split: tiles find all pairs."""
+    monkeypatch.setattr(sb, "GROUP", 8)
+    monkeypatch.setattr(sb, "DEPTH", depth)
+    rng = np.random.default_rng(depth)
+    fps = rng.integers(0, 2**63, (60, sb.LANES), dtype=np.uint64)
+    fps[30:40] = fps[:10] ^ np.uint64(5)
+    rows = []
+    for n, fp in enumerate(fps):
+        blocks = [1] if n % 3 == 0 or n >= 50 else [1, 2] if n % 3 == 1 else [1, 2, 3]
+        rows.append((n, fp.astype(">u8").tobytes(), blocks))
+    sets = spark.createDataFrame(rows, "node long, fp binary, blocks array<long>")
+    found = {frozenset((r.a, r.b)) for r in sb.set_links(sets).collect()}
+    # a pair that shares one block only and has others besides is met where those lie; these planted pairs share all that the smaller has
+    want = {frozenset((n, n + 30)) for n in range(10)}
+    assert found == want
+
+
 def test_one_row_of_equal_ids_stays_whatever_their_order(spark):
     rows = [(1, "one two three four five six", tag) for tag in "yxzx"] + [(2, "One two  three four five six", "a"), (3, None, "b"), (3, "", "c"), (None, None, "d"), (4, "else " * 9, None)]
     schema = "doc_id long, text string, tag string"
