@@ -2,13 +2,10 @@
 
 from __future__ import annotations
 
-from functools import reduce
-
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import classify, text, vectors
-from ..storage import checkpointed
 from . import bm25
 
 # Weights of dense, sparse and keyword scores.
@@ -136,28 +133,6 @@ def fielded_bm25(query: Column, content: Column) -> Column:
 NAMES = ["dense", "sparse", "keyword"]
 
 
-def pair_scores(queries: DataFrame, docs: DataFrame, dense: DataFrame | None = None) -> tuple[DataFrame, int]:
-    """``query_id, doc_id, dense, sparse, keyword`` for the pairs that have any score, and the number of chunks.
-
-    Every chunk is a candidate of every query, but a pair without a row has scores of 0 and is not
-    written down. ``dense`` may bring ``query_id, doc_id, dense``, as a rule for all pairs.
-    """
-    terms = checkpointed(bm25.query_terms(queries))
-    index = bm25.build_index(docs, terms)
-    keyword, technical = bm25.boosts(queries, terms, index, docs)
-    names = [*NAMES, "technical"]
-
-    def part(df: DataFrame, name: str) -> DataFrame:
-        return df.select("query_id", "doc_id", *[F.col(n).cast("double").alias(n) if n == name else F.lit(0.0).alias(n) for n in names])
-
-    # scores that are absent are 0, so all parts are added up in one pre-aggregated exchange
-    parts = [part(bm25.bm25(terms, index), "sparse"), part(keyword, "keyword"), part(technical, "technical")]
-    parts += [part(dense, "dense")] if dense is not None else []
-    added = reduce(DataFrame.unionByName, parts).groupBy("query_id", "doc_id").agg(*[F.sum(n).alias(n) for n in names])
-    boosted = F.least(F.col("keyword") + F.col("technical"), F.lit(1.0))
-    return added.select("query_id", "doc_id", "dense", "sparse", boosted.alias("keyword")), index.rows
-
-
 def hybrid_scores(pairs: DataFrame, ranges: DataFrame, intents: DataFrame | None = None) -> DataFrame:
     """Adds ``hybrid``: each score min-max normalised over the query's chunks, then fused with fixed weights.
 

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions import classify, numeric, text, vectors
-from ..operators import bm25, rerank, scoring
-from ..storage import checkpointed, stored
+from ..operators import bm25, pair_blocks, rerank, scoring
+from ..storage import checkpointed
 
 def vector_search(queries: DataFrame, points: DataFrame, k: int = 10, min_score: float | None = None) -> DataFrame:
     """``query_id, doc_id, score, rank``: exact cosine top-k; ``min_score`` filters after the top-k, so fewer may be left."""
@@ -36,42 +41,28 @@ def hit_metadata(hits: DataFrame, categories: list[str] | None = None, business:
 
 
 def hybrid_search(
-    queries: DataFrame, docs: DataFrame, k: int = 10, pool: int = 20, dense: DataFrame | None = None, prior: bool = False, intents: DataFrame | None = None
+    queries: DataFrame, docs: DataFrame, k: int = 10, pool: int = 20, dense: bool = False, prior: bool = False, intents: DataFrame | None = None
 ) -> DataFrame:
     """``query_id, doc_id, dense, sparse, keyword, hybrid, score, query_kind, has_match, rank``.
 
     Hybrid scores over all chunks; bibliography scores a tenth; queries about numbers put chunks whose
-    numbers fit before others; a pool of the best. With ``prior`` the best ``k`` of the pool pass the
-    section prior, which drops contaminated ones and ranks by score alone. With ``intents (query_id,
-    intent)`` the weights follow the query's intent.
+    numbers fit before others; a pool of the best. ``dense`` compares the ``embedding`` columns of both.
+    With ``prior`` the best ``k`` of the pool pass the section prior, which drops contaminated ones and
+    ranks by score alone. With ``intents (query_id, intent)`` the weights follow the query's intent.
 
-    Pairs without any score rank last, by id, unless their numbers fit; of them only those that can be
-    among the best are written down: the lowest ids, and the chunks whose numbers fit.
+    Blocks of queries meet blocks of chunks twice: for the ranges of the scores, and for the best of
+    each query. No pair below the lists is written. Chunks and queries without an id are left out.
     """
+    queries, docs = queries.where("query_id is not null"), docs.where("doc_id is not null")
     best_of = pool if prior else k
-    scored, rows = scoring.pair_scores(queries, docs, dense)
-    scored = stored(scored, "pairs")
-    ranges = checkpointed(scoring.score_ranges(scored, scoring.NAMES, rows))
     asked = checkpointed(queries.select("query_id", numeric.query_kind(F.col("query")).alias("query_kind"), numeric.constraints(F.col("query")).alias("_wanted")))
-    # what depends on a chunk alone is computed once for it
-    facts = stored(docs.select("doc_id", rerank.is_bibliography(F.col("content")).alias("_listed"), numeric.values(F.col("content")).alias("_values")), "facts")
-    lowest = facts.select("doc_id").orderBy("doc_id").limit(best_of)
-    digits = asked.where(F.col("query_kind").isin("DigitAtomic", "DigitCombined")).select("query_id", F.inline("_wanted"))
-    numbers = facts.select("doc_id", F.inline(F.array_distinct("_values")))
-    fitting = numbers.join(digits.withColumnRenamed("unit", "_unit"), F.col("unit") == F.col("_unit"))
-    fitting = fitting.where(numeric.meets(F.struct("value", "unit"), F.struct("op", "low", "high", F.col("_unit").alias("unit")))).select("query_id", "doc_id").distinct()
-    fitting = stored(fitting, "fitting")
-    more = queries.select("query_id").join(lowest, how="cross").unionByName(fitting)
-    zeros = more.select("query_id", "doc_id", *[F.lit(0.0).alias(n) for n in scoring.NAMES])
-    pairs = scored.unionByName(zeros).groupBy("query_id", "doc_id").agg(*[F.sum(n).alias(n) for n in scoring.NAMES])
-    every = queries.select("query_id").join(ranges, "query_id", "left").fillna(0.0)
-    full = scoring.hybrid_scores(pairs, every, intents).join(facts.select("doc_id", "_listed"), "doc_id").join(asked.select("query_id", "query_kind"), "query_id")
-    full = full.join(fitting.withColumn("_fits", F.lit(True)), ["query_id", "doc_id"], "left")
-    full = full.withColumns({
-        "score": F.when(F.col("_listed"), F.col("hybrid") * 0.1).otherwise(F.col("hybrid")),
-        "has_match": F.coalesce("_fits", F.lit(False)),
-    }).drop("_listed", "_fits")
-    best = scoring.top_k(full, best_of, first="has_match")
+    keep = {"listed": rerank.is_bibliography(F.coalesce("content", F.lit("")))} | ({"embedding": F.col("embedding").cast("array<double>")} if dense else {})
+    lists = []
+    for block, terms in _query_blocks(queries):
+        index = bm25.build_index(docs, terms, inside=True, keep=keep)
+        lists.append(_best_pairs(block, docs, terms, index, asked, best_of, dense, intents))
+    best = scoring.top_k(reduce(DataFrame.unionByName, lists), best_of, first="has_match")
+    best = best.join(asked.select("query_id", "query_kind"), "query_id")
     if prior:
         sources = docs.select("doc_id", "content", F.col("source_type") if "source_type" in docs.columns else F.lit("Document Text").alias("source_type"))
         best = rerank.section_rerank(best.where(F.col("rank") <= k).drop("rank").join(sources, "doc_id"))
@@ -79,6 +70,52 @@ def hybrid_search(
     return best.select("query_id", "doc_id", "dense", "sparse", "keyword", "hybrid", "score", "query_kind", "has_match", "rank")
 
 
+def _query_blocks(queries: DataFrame) -> list[tuple[DataFrame, DataFrame]]:
+    """Queries and their terms, in blocks that every task can hold."""
+    terms = checkpointed(bm25.query_terms(queries))
+    blocks = max(-(-queries.count() // vectors.SENT_QUERIES), -(-terms.count() // bm25.SENT_TERMS), 1)
+    if blocks == 1:
+        return [(queries, terms)]
+    blocks *= 2  # parts by a hash are not quite equal
+    own = lambda df, n: df.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == n)
+    return [(own(queries, n), own(terms, n)) for n in range(blocks)]
+
+
+def _best_pairs(queries: DataFrame, docs: DataFrame, terms: DataFrame, index: bm25.Index, asked: DataFrame, k: int, dense: bool, intents: DataFrame | None) -> DataFrame:
+    """``query_id, doc_id, dense, sparse, keyword, hybrid, score, has_match``: the best of each query in each block of chunks."""
+    spark = docs.sparkSession
+    kind = queries.schema["query_id"].dataType
+    ids = sorted(r.query_id for r in queries.select("query_id").distinct().collect())  # a block
+    top = bm25.technical_terms(queries, bm25.index_idf(index), 5)
+    own = bm25.scorer(terms, index, top, queries.select("query_id", "embedding") if dense else None, ids)
+    sent, held = spark.sparkContext.broadcast(own), index.held
+    weights = np.array([scoring.WEIGHTS["Mixed"]] * len(ids)).reshape(len(ids), 3)
+    if intents is not None:
+        named = {r.query_id: r.intent for r in intents.join(queries.select("query_id"), "query_id", "left_semi").collect()}
+        weights = np.array([scoring.WEIGHTS.get(named.get(q), scoring.WEIGHTS["Mixed"]) for q in ids]).reshape(len(ids), 3)
+    columns = ", ".join(f"{s}_{n} double" for n in pair_blocks.NAMES for s in ("low", "high"))
+    rows = held.mapInArrow(lambda batches: pair_blocks.ranges(batches, sent.value), f"q long, {columns}")
+    sums = [f(f"{s}_{n}").alias(f"{s}_{n}") for n in pair_blocks.NAMES for s, f in (("low", F.min), ("high", F.max))]
+    found = {r.q: r for r in rows.groupBy("q").agg(*sums).collect()}  # one row a query
+    scale = {f"{s}_{n}": np.array([found[q][f"{s}_{n}"] if q in found else 0.0 for q in range(len(ids))]) for n in pair_blocks.NAMES for s in ("low", "high")}
+    names = F.broadcast(spark.createDataFrame([(q, n) for n, q in enumerate(ids)], T.StructType([T.StructField("query_id", kind), T.StructField("q", T.IntegerType())])))
+    digits = asked.join(names, "query_id").where(F.col("query_kind").isin("DigitAtomic", "DigitCombined")).select("q", F.inline("_wanted"))
+    if digits.isEmpty():
+        held = held.withColumn("fits", F.array().cast("array<int>"))
+    else:
+        numbers = docs.select(F.col("doc_id").cast("long").alias("_d"), F.inline(F.array_distinct(numeric.values(F.col("content")))))
+        fitting = numbers.join(F.broadcast(digits.withColumnRenamed("unit", "_unit")), F.col("unit") == F.col("_unit"))
+        fitting = fitting.where(numeric.meets(F.struct("value", "unit"), F.struct("op", "low", "high", F.col("_unit").alias("unit"))))
+        held = held.join(fitting.groupBy("_d").agg(F.collect_set("q").alias("fits")), F.col("doc_id") == F.col("_d"), "left")  # at most the block's queries
+        held = held.withColumn("fits", F.coalesce("fits", F.array().cast("array<int>")))
+    schema = pa.schema([("q", pa.int64()), ("doc_id", pa.int64()), *((c, pa.float64()) for c in (*pair_blocks.NAMES, "hybrid", "score")), ("has_match", pa.bool_())])
+    read = ["doc_id", "dl", "at", "tf", "inside", "listed", "fits", *(["embedding"] if dense else [])]
+    lists = held.select(*read).mapInArrow(
+        lambda batches: pair_blocks.best(batches, sent.value, scale, weights, k, schema), "q long, doc_id long, dense double, sparse double, keyword double, hybrid double, score double, has_match boolean"
+    )
+    return lists.join(names, "q").drop("q").select("query_id", "doc_id", *pair_blocks.NAMES, "hybrid", "score", "has_match")
+
+
 def query_intents(queries: DataFrame, docs: DataFrame) -> DataFrame:
     """``query_id, intent``: ExactPhrase, Conceptual or Mixed, by the query's words and the idf of its three leading terms."""
     index = bm25.build_index(docs, bm25.query_terms(queries))
