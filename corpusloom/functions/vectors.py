@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -58,7 +59,7 @@ def hashed_embedding(dims: int = 64):
     return F.pandas_udf(embed, T.ArrayType(T.DoubleType()))
 
 
-#: Most queries whose vectors travel to every task; beyond it the pairs are dealt by a shuffle.
+#: Most queries whose vectors travel to every task; more go in blocks.
 SENT_QUERIES = 10_000
 #: Points that are compared with the queries at once in a task.
 BLOCK = 4096
@@ -82,17 +83,22 @@ def similar_pairs(queries: DataFrame, points: DataFrame, k: int | None = None) -
 
     Each block of points keeps the best ``k`` of each query (all without it; ties by id), so only these
     go on to a ranking. Vectors of other lengths, null or of norm 0 have a cosine of 0. Ids are numbers.
-    The queries' vectors are sent to every task up to ``SENT_QUERIES``; more meet the points by a shuffle.
+    The queries' vectors are sent to every task in blocks of ``SENT_QUERIES``, each of which meets all points.
     """
     asked = queries.select(F.col("query_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
     held = points.select(F.col("doc_id").cast("long"), F.col("embedding").cast("array<double>").alias("embedding"))
-    if asked.count() > SENT_QUERIES:
-        a = asked.select("query_id", l2_normalize(F.col("embedding")).alias("_q"))
-        unit = held.select("doc_id", l2_normalize(F.col("embedding")).alias("_p"))
-        return unit.join(a, how="cross").select("query_id", "doc_id", F.round(F.coalesce(dot(F.col("_q"), F.col("_p")), F.lit(0.0)), 12).alias("score"))
-    rows = asked.collect()  # at most SENT_QUERIES rows
+    rows = asked.limit(SENT_QUERIES + 1).collect()
+    if len(rows) > SENT_QUERIES:
+        parts = 2 * -(-asked.count() // SENT_QUERIES)  # parts by a hash are not quite equal
+        own = F.pmod(F.xxhash64("query_id", F.lit(parts)), F.lit(parts))
+        return reduce(DataFrame.unionByName, [_similar_to(asked.where(own == n).collect(), held, k) for n in range(parts)])
+    return _similar_to(rows, held, k)
+
+
+def _similar_to(rows: list, held: DataFrame, k: int | None) -> DataFrame:
+    """:func:`similar_pairs` of a block of queries."""
     ids = np.array([r.query_id for r in rows], dtype=np.int64)
-    sent = points.sparkSession.sparkContext.broadcast((ids, _unit(pa.array([r.embedding for r in rows], pa.list_(pa.float64())))))
+    sent = held.sparkSession.sparkContext.broadcast((ids, _unit(pa.array([r.embedding for r in rows], pa.list_(pa.float64())))))
     schema = pa.schema([("query_id", pa.int64()), ("doc_id", pa.int64()), ("score", pa.float64())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import selection
 from .collections import cap_cache
 
 #: Bytes that a recognition result takes on average, of the cache's megabytes.
@@ -64,6 +65,5 @@ def valid_results(cache: DataFrame, files: DataFrame, now: Column, ttl_hours: in
 def clean(entries: DataFrame, now: Column, max_entries: int, max_age_hours: int) -> DataFrame:
     """``cache, key, cached_at`` that stay: documents up to an age and a number, the newest first; embeddings ten times as many of any age."""
     old = (F.col("cache") == "documents") & (F.unix_timestamp(now) - F.unix_timestamp("cached_at") > max_age_hours * 3600)
-    newest = Window.partitionBy("cache").orderBy(F.desc("cached_at"), "key")
     limit = F.when(F.col("cache") == "embeddings", max_entries * 10).otherwise(max_entries)
-    return entries.where(~old).withColumn("_n", F.row_number().over(newest)).where(F.col("_n") <= limit).drop("_n")
+    return selection.newest(entries.where(~old), "cache", "cached_at", "key", limit)

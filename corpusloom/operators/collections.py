@@ -5,16 +5,24 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import selection
+
+
+def _first(rows: DataFrame, key: str, *order: Column) -> DataFrame:
+    """The first row of each key; what the order leaves open is decided by a hash of the row."""
+    own = Window.partitionBy(key).orderBy(*order, F.xxhash64(*rows.columns))
+    return rows.withColumn("_n", F.row_number().over(own)).where("_n = 1").drop("_n")
+
 
 def upsert(stored: DataFrame, new: DataFrame, key: str, order: str) -> DataFrame:
-    """All stored rows whose key is not in the new ones, and of the new ones the last of each key."""
-    last = new.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(order)))).where("_n = 1").drop("_n")
+    """All stored rows whose key is not in the new ones, and of the new ones the last of each key; of equal ones that with the smallest hash of its columns."""
+    last = _first(new, key, F.desc(order))
     return stored.join(last.select(key), key, "left_anti").unionByName(last)
 
 
 def insert_absent(stored: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """Groups are created once: stored rows win."""
-    return stored.unionByName(new.dropDuplicates([key]).join(stored.select(key), key, "left_anti"))
+    """Groups are created once: stored rows win, and of new ones of a key that with the smallest hash of its columns."""
+    return stored.unionByName(_first(new, key).join(stored.select(key), key, "left_anti"))
 
 
 def delete_documents(stored: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
@@ -68,8 +76,8 @@ def live_sessions(sessions: DataFrame, now: Column, ttl_s: int = 3600) -> DataFr
 
 
 def latest_versions(cache: DataFrame, key: str, modified: str = "modified") -> DataFrame:
-    """The newest entry of each key; older ones are stale."""
-    return cache.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(F.desc(modified)))).where("_n = 1").drop("_n")
+    """The newest entry of each key, of equal ones that with the smallest hash of its columns; older ones are stale."""
+    return _first(cache, key, F.desc(modified))
 
 
 def evict(entries: DataFrame, needed: int, score: str = "eviction_score", size: str = "size", by: str | None = None) -> DataFrame:
@@ -163,8 +171,10 @@ def moving_average(events: DataFrame, by: str, order: str, value: str, keep: flo
 
 
 def latency_summary(runs: DataFrame, by: str, value: str) -> DataFrame:
-    q = {f"p{p}": F.expr(f"percentile({value}, {p / 100})") for p in (50, 95, 99)}
-    return runs.groupBy(by).agg(F.min(value).alias("low"), F.avg(value).alias("mean"), *[c.alias(k) for k, c in q.items()], F.max(value).alias("high"))
+    """``by, low, mean, p50, p95, p99, high``; percentiles are exact, and no group's values meet in one buffer."""
+    plain = runs.groupBy(by).agg(F.min(value).alias("low"), F.avg(value).alias("mean"), F.max(value).alias("high"))
+    told = selection.percentiles(runs, by, value, {"p50": 0.5, "p95": 0.95, "p99": 0.99}).withColumnRenamed(by, "_by")
+    return plain.join(told, F.col(by).eqNullSafe(F.col("_by")), "left").select(by, "low", "mean", "p50", "p95", "p99", "high")
 
 
 def hit_ratio(requests: DataFrame) -> DataFrame:

@@ -19,29 +19,51 @@ KEY_VALUE = r"^[^:=]+[:=]\s*.+$"
 CONFIDENCES = {"Figure": 0.8, "Table": 0.85, "Header": 0.9, "List": 0.75, "KeyValue": 0.7, "Text": 0.9}
 
 
+#: Boxes of a page that are compared at once with others.
+TILE, OTHERS = 512, 4096
+
+
+def _components(x: np.ndarray, y: np.ndarray, w: np.ndarray, h: np.ndarray) -> np.ndarray:
+    """For each box, in order of ``y``, the first box of its region.
+
+    Tiles of boxes meet those that begin no further down than their reach, and links are joined by
+    union-find, so memory does not grow with the square of a page.
+    """
+    parent = np.arange(len(x))
+    for a in range(0, len(x), TILE):
+        one = slice(a, a + TILE)
+        stop = int(np.searchsorted(y, (y + h)[one].max() + GAP))
+        for c in range(a, stop, OTHERS):
+            two = slice(c, min(c + OTHERS, stop))
+            across = np.maximum(x[one][:, None] - (x + w)[two][None, :], x[two][None, :] - (x + w)[one][:, None])
+            down = np.maximum(y[one][:, None] - (y + h)[two][None, :], y[two][None, :] - (y + h)[one][:, None])
+            i, j = np.nonzero((across < GAP) & (down < GAP))
+            i, j = i + a, j + c
+            while True:
+                low, high = np.minimum(parent[i], parent[j]), np.maximum(parent[i], parent[j])
+                if (low == high).all():
+                    break
+                np.minimum.at(parent, high, low)
+                while (parent[parent] != parent).any():
+                    parent = parent[parent]
+    return parent
+
+
 def regions(boxes: DataFrame) -> DataFrame:
     """``doc_id, page, region, content, boxes, columns, x, y, width, height`` of connected boxes, page by page.
 
-    A page is what one recognition returns, so its boxes are few; regions are numbered in order of their
-    first box, and contents are read by lines of ten units, then from left to right. A column is a step
+    A page is what one recognition returns, and one task takes it, box by box with its neighbours;
+    regions are numbered in order of their first box, and contents are read by lines of ten units, then from left to right. A column is a step
     of 20 units across in which two boxes begin.
     """
 
     def cluster(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["y", "x"], kind="stable").reset_index(drop=True)
         x, y, w, h = (pdf[c].to_numpy(dtype=float) for c in ("x", "y", "width", "height"))
-        across = np.maximum(0, np.maximum(x[:, None] - (x + w)[None, :], x[None, :] - (x + w)[:, None]))
-        down = np.maximum(0, np.maximum(y[:, None] - (y + h)[None, :], y[None, :] - (y + h)[:, None]))
-        near = (across < GAP) & (down < GAP)
-        label = np.arange(len(pdf))
-        while True:
-            new = np.where(near, label[None, :], len(pdf)).min(axis=1)
-            if (new == label).all():
-                break
-            label = new
+        label = _components(x, y, w, h)
         out = []
-        for n, root in enumerate(dict.fromkeys(label.tolist())):
-            at = np.flatnonzero(label == root)
+        order = np.argsort(label, kind="stable")
+        for n, at in enumerate(np.split(order, np.flatnonzero(np.diff(label[order])) + 1)):
             at = at[np.lexsort((x[at], np.round(y[at] / 10)))]
             left, top = x[at].min(), y[at].min()
             text = " ".join(pdf.content.iloc[at].fillna("").tolist())

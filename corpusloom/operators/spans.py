@@ -2,33 +2,71 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Characters of a bucket; spans and ranges meet by equal buckets, never by a join on inequalities alone.
-BUCKET = 1024
+#: Characters of the smallest bins; those of each further level are twice as long.
+BIN = 64
+#: Levels, up to bins longer than any text.
+LEVELS = 40
 
 
-def bucketed(df: DataFrame, start: str, end: str) -> DataFrame:
-    """One row for each bucket that the half-open range touches."""
-    last = F.greatest(F.col(end) - 1, F.col(start))
-    return df.withColumn("_bucket", F.explode(F.sequence(F.floor(F.col(start) / BUCKET), F.floor(last / BUCKET))))
+def level_of(start: Column, end: Column) -> Column:
+    """The lowest level whose bins are as long as the range, so that it touches one or two of them."""
+    size = F.greatest(end - start, F.lit(1))
+    return F.greatest(F.ceil(F.round(F.log2(size / BIN), 9)), F.lit(0)).cast("int")
+
+
+def _bins(start: Column, end: Column, levels: Column) -> Column:
+    """``array<struct<level, bin>>``: the bins of each level that the half-open range touches, for levels no lower than its own."""
+    last = F.greatest(end - 1, start)
+
+    def at(level: Column) -> Column:
+        width = F.lit(BIN) * F.pow(F.lit(2), level)
+        pair = F.array_distinct(F.array(F.floor(start / width), F.floor(last / width)))
+        return F.transform(pair, lambda n: F.struct(level.alias("level"), n.alias("bin")))
+
+    return F.flatten(F.transform(levels, at))
+
+
+def _levels(df: DataFrame, start: str, end: str) -> list[int]:
+    """The levels that occur; at most ``LEVELS``."""
+    return sorted(r.level for r in df.select(level_of(F.col(start), F.col(end)).alias("level")).distinct().collect())
+
+
+def binned(df: DataFrame, start: str, end: str, others: list[int], above: bool) -> DataFrame:
+    """One row for each bin, ``_level, _bin``, of its own level, or (``above``) of those of the ``others`` that are higher."""
+    own = level_of(F.col(start), F.col(end))
+    levels = F.array(own) if not above else F.filter(F.array(*map(F.lit, others)) if others else F.array().cast("array<int>"), lambda x: x > own)
+    return df.withColumn("_at", F.explode(_bins(F.col(start), F.col(end), levels))).withColumns({"_level": F.col("_at.level"), "_bin": F.col("_at.bin")}).drop("_at")
 
 
 def overlapping(spans: DataFrame, ranges: DataFrame) -> DataFrame:
-    """``range_id, span_id`` where the spans ``[char_start, char_end)`` and ranges ``[lo, hi)`` of a document overlap; each pair once."""
-    a = bucketed(spans.select("doc_id", "span_id", "char_start", "char_end"), "char_start", "char_end")
-    b = bucketed(ranges.where("hi > lo").select("doc_id", "range_id", "lo", "hi"), "lo", "hi")
-    met = a.join(b, ["doc_id", "_bucket"]).where((F.col("char_start") < F.col("hi")) & (F.col("char_end") > F.col("lo")))
-    # a pair that shares several buckets is kept in the first
-    first = F.floor(F.greatest("char_start", "lo") / BUCKET)
-    return met.where(F.col("_bucket") == first).select("range_id", "span_id")
+    """``range_id, span_id`` where the spans ``[char_start, char_end)`` and ranges ``[lo, hi)`` of a document overlap; each pair once.
+
+    Both lie in one or two bins of the level of their length. A pair meets in the level of the longer of
+    the two: the shorter one also stands in one or two bins of each higher level that the other side has,
+    so a span as long as its document is a row or two and not one for each bin of its length.
+    """
+    a, b = spans.select("doc_id", "span_id", "char_start", "char_end"), ranges.where("hi > lo").select("doc_id", "range_id", "lo", "hi")
+    of_spans, of_ranges = _levels(a, "char_start", "char_end"), _levels(b, "lo", "hi")
+    met = []
+    same = binned(a, "char_start", "char_end", [], False)
+    for x, y in ((same, binned(b, "lo", "hi", [], False)), (same, binned(b, "lo", "hi", of_spans, True)), (binned(a, "char_start", "char_end", of_ranges, True), binned(b, "lo", "hi", [], False))):
+        both = x.join(y, ["doc_id", "_level", "_bin"]).where((F.col("char_start") < F.col("hi")) & (F.col("char_end") > F.col("lo")))
+        # a pair that shares two bins is kept in the first
+        first = F.floor(F.greatest("char_start", "lo") / (F.lit(BIN) * F.pow(F.lit(2), F.col("_level"))))
+        met.append(both.where(F.col("_bin") == first).select("range_id", "span_id"))
+    return met[0].unionByName(met[1]).unionByName(met[2])
 
 
 def at_position(spans: DataFrame, positions: DataFrame) -> DataFrame:
     """``pos_id, span_id``: the first span (by start, then id) of the document that holds the position."""
-    b = positions.select("doc_id", "pos_id", "pos", F.floor(F.col("pos") / BUCKET).alias("_bucket"))
-    met = bucketed(spans.select("doc_id", "span_id", "char_start", "char_end"), "char_start", "char_end").join(b, ["doc_id", "_bucket"])
+    a = spans.select("doc_id", "span_id", "char_start", "char_end")
+    levels = _levels(a, "char_start", "char_end")
+    bins = _bins(F.col("pos"), F.col("pos") + 1, F.array(*map(F.lit, levels)) if levels else F.array().cast("array<int>"))
+    b = positions.select("doc_id", "pos_id", "pos", F.explode(bins).alias("_at")).select("doc_id", "pos_id", "pos", F.col("_at.level").alias("_level"), F.col("_at.bin").alias("_bin"))
+    met = binned(a, "char_start", "char_end", [], False).join(b, ["doc_id", "_level", "_bin"])
     held = met.where((F.col("pos") >= F.col("char_start")) & (F.col("pos") < F.col("char_end")))
     return held.groupBy("pos_id").agg(F.min_by("span_id", F.struct("char_start", "span_id")).alias("span_id"))
 

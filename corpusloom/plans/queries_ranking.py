@@ -360,10 +360,19 @@ def fielded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("query_id", "doc_id", "intent", "category", r6(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
+def approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queries, points = vector_tables(spark, sf_dir)
+    book = ann.fit_codebook(points)
+    return ann.approximate_search(queries, points, stored(ann.encode(points, book), "codes"), book)
+
+
+@query()
+def approximate_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits of coded vectors, of which each query compares fifty exactly."""
+    return approximate(spark, sf_dir).select("query_id", "doc_id", r6(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))
+
+
 @query()
 def approximate_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The recall of an inverted file at ten for each query of the query set, against exact search."""
-    queries, points = vector_tables(spark, sf_dir)
-    centres = ann.fit_centroids(points, 32)
-    found = scoring.top_k(ann.approximate_search(queries, ann.in_cells(points, centres), centres, probes=20), 10)
-    return retrieval.recall(found, retrieval.vector_search(queries, points), 10)
+    """The recall of these hits at ten for each query of the query set, against exact search."""
+    return retrieval.recall(approximate(spark, sf_dir), retrieval.vector_search(*vector_tables(spark, sf_dir)), 10)

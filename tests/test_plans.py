@@ -53,6 +53,31 @@ def test_approximate_search_finds_nine_in_ten(spark, small):
     assert len(found) == 25 and sum(r.recall for r in found) / len(found) >= 0.9
 
 
+def test_approximate_hits_are_exact_scores(spark, small):
+    """Each hit has its exact cosine, fifty vectors a query are compared, and nine in ten of the true hits are found."""
+    import numpy as np
+
+    rows = {r.vec_id: np.array(r.embedding, dtype=float) for r in spark.read.parquet(f"{small}/embeddings.parquet").collect()}
+    unit = {i: v / np.linalg.norm(v) for i, v in rows.items()}
+    hits = queries_ranking.approximate_hits(spark, small).collect()
+    assert all(abs(h.score - float(unit[h.query_id] @ unit[h.doc_id])) < 2e-6 for h in hits)
+    true = {q: sorted(unit, key=lambda i: (-round(float(unit[q] @ unit[i]), 9), i))[:10] for q in unit if q % 20 == 0}
+    found = sum(h.doc_id in true[h.query_id] for h in hits)
+    assert len(hits) == 10 * len(true) and found >= 0.9 * len(hits)
+
+
+def test_codes_of_odd_vectors(spark):
+    from corpusloom.operators import ann
+
+    points = spark.createDataFrame([(1, [1.0, 0.0]), (2, [0.0, 0.0]), (3, None), (4, [1.0]), (5, [3.0, 3.0]), (None, [1.0, 1.0])], "doc_id long, embedding array<double>")
+    fit = points.where("size(embedding) = 2")
+    book = ann.fit_codebook(fit, parts=1)
+    asked = spark.createDataFrame([(1, [2.0, 2.0]), (2, None), (3, [1.0])], "query_id long, embedding array<double>")
+    assert [(r.query_id, r.doc_id) for r in ann.approximate_search(asked, points, ann.encode(points, book), book, k=1).collect()] == [(1, 5)]
+    nothing = ann.fit_codebook(points.limit(0))
+    assert ann.encode(points, nothing).count() == 0
+
+
 def test_numeric_queries_put_matches_first(spark):
     docs = spark.createDataFrame([(1, "accuracy of 97% on tests"), (2, "accuracy accuracy accuracy accuracy 80%"), (3, "nothing")], "doc_id long, content string")
     asked = spark.createDataFrame([(1, "accuracy > 95%")], "query_id long, query string")
