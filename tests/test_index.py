@@ -104,3 +104,22 @@ def test_segments_equal_a_rebuild(spark):
     # what is searched lies in the index's own folder
     assert all(f.startswith(f"file:{index.folder}".replace("file:file:", "file:")) or index.folder in f for f in small.index(terms).postings.inputFiles())
     assert small.upsert(spark.createDataFrame([], "doc_id long, content string")) == small
+
+
+def test_bounded_lists_and_what_they_read(spark):
+    from corpusloom.operators import block_max, scoring
+
+    rng = random.Random(12)
+    common, rare = [f"w{i}" for i in range(12)], [f"r{i}" for i in range(300)]
+    docs = [(i, " ".join([rng.choice(common) for _ in range(rng.randint(1, 20))] + [rng.choice(rare) for _ in range(rng.randint(0, 6))])) for i in range(1500)]
+    docs += [(i + 2000, docs[i][1]) for i in range(0, 200, 7)]
+    asked = [(n, " ".join([rng.choice(rare), rng.choice(rare), rng.choice(common)])) for n in range(12)] + [(12, "w1 w1 w2"), (13, "unknown")]
+    table, queries = spark.createDataFrame(docs, "doc_id long, content string"), spark.createDataFrame(asked, "query_id long, query string")
+    terms = bm25.query_terms(queries)
+    index = bm25.build_index(table, terms)
+    want = scoring.top_k(bm25.bm25(terms, index).withColumnRenamed("sparse", "score"), 10)
+    found, share = block_max.top_k(terms, block_max.build(index, 16))
+    key = lambda df: sorted((r.query_id, r.rank, r.doc_id, round(r.score, 9)) for r in df.collect())
+    assert key(found) == key(want) and len(key(want)) >= 120
+    read = share.agg(F.sum("read"), F.sum("postings")).first()
+    assert 0 < read[0] < 0.6 * read[1]
