@@ -16,7 +16,7 @@ from ..storage import checkpointed, stored
 from . import bm25, scoring
 
 #: Ids of a range.
-RANGE = 32
+RANGE = 3
 #: Scores are compared by nine decimals, so a bound may be that much below.
 SLACK = 1e-8
 
