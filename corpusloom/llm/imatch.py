@@ -12,13 +12,14 @@ with few of their terms.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Callable
 from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from .common import checkpointed, stored
 
 #: Shares of all documents in which a term of the lexicon occurs, least and most.
 LEAST_SHARE, MOST_SHARE = 0.002, 0.02
@@ -28,7 +29,9 @@ SUBSETS = 8
 #: Buckets of the lexicon's hash table.
 BUCKETS = 1 << 13
 #: Rows of a range of ids that is sorted at once, about, and ranges into which a range is cut at a time.
-RANGE_ROWS, CUTS = 5_000, 64
+RANGE_ROWS, CUTS = 1_000, 64
+#: Ranges whose order is found in one task.
+NEAR_RANGES = 1 << 12
 #: Terms of a lexicon that travels to every task; beyond it the lexicon is joined.
 SENT_TERMS = 300_000
 #: Rows of a small table up to which it is sent to every task.
@@ -51,15 +54,12 @@ def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHAR
 
 
 def lexicon_table(terms: DataFrame) -> Column:
-    """The lexicon as a literal ``array<array<string>>`` by hash bucket: one bounded row."""
+    """The lexicon as a literal ``array<array<string>>`` by hash bucket: one bounded row, which passes through the driver."""
     bucket = F.pmod(F.xxhash64("term"), F.lit(BUCKETS)).cast("int")
-    held = terms.groupBy(bucket.alias("bucket")).agg(F.collect_list("term").alias("terms"))
-    entries = held.agg(F.map_from_entries(F.collect_list(F.struct("bucket", "terms"))).alias("m"))
-    nothing = F.expr("cast(array() as array<string>)")
-    dense = F.transform(F.sequence(F.lit(0), F.lit(BUCKETS - 1)), lambda b: F.coalesce(F.element_at("m", b), nothing))
-    # subqueries are not allowed inside higher-order functions, so the bounded row passes through the driver
-    text = entries.select(F.to_json(dense).alias("table")).first()[0]
-    return F.from_json(F.lit(text or "[]"), "array<array<string>>")
+    table: list[list[str]] = [[] for _ in range(BUCKETS)]
+    for r in terms.select(bucket.alias("bucket"), "term").collect():  # at most SENT_TERMS
+        table[r.bucket].append(r.term)
+    return F.from_json(F.lit(json.dumps(table)), "array<array<string>>")
 
 
 def lexicon_terms(text: Column, table: Column) -> Column:
@@ -132,25 +132,38 @@ def likeness(a: Column, b: Column) -> Column:
     return F.coalesce(best, F.when(F.get(a, F.lit(0)) == F.get(b, F.lit(0)), 1.0).otherwise(0.0))
 
 
+def _place(docs: DataFrame) -> Column:
+    """A number that orders rows with an id by it, and rows without one by the first seven bytes of their text."""
+    if "text" not in docs.columns:
+        return F.col("doc_id")
+    prefix = F.conv(F.rpad(F.hex(F.substring(F.col("text").cast("binary"), 1, 7)), 14, "0"), 16, 10).cast("long")
+    return F.coalesce("doc_id", prefix)
+
+
 def id_ranges(docs: DataFrame) -> DataFrame:
-    """``docs`` with ``_range``: numbers of ranges of ``doc_id`` in its order, of about ``RANGE_ROWS`` rows each; -1 for null ids.
+    """``docs`` with ``_range``: numbers of ranges of ``doc_id`` in its order, of about ``RANGE_ROWS`` rows each.
 
-    Ranges are cut by quantiles of their own ids, into ``CUTS`` at most at a time, until they are small
-    enough, so clustered ids do not make large ranges. Rows of one id are one range.
+    Rows without an id come first, in order of their texts. Ranges are cut by quantiles of their own
+    rows, into ``CUTS`` at most at a time, until they are small enough, so clustered ids do not make
+    large ranges. Rows of one id are one range, and so are those without one whose texts begin alike.
+    The quantiles are those of a narrow table that is stored, so the texts are read once for it.
     """
-    needed = -(-docs.count() // RANGE_ROWS)
-    ranged = docs.withColumn("_range", F.when(F.col("doc_id").isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("long"))
+    own = _place(docs)
+    narrow = stored(docs.select(F.col("doc_id").isNotNull().cast("long").alias("_range"), own.alias("_v")), "places")
+    needed = -(-narrow.count() // RANGE_ROWS)
+    ranged = docs.withColumns({"_range": F.col("doc_id").isNotNull().cast("long"), "_v": own})
     while needed > 1:
         cuts = min(CUTS, needed)
         shares = [k / cuts for k in range(cuts)]
-        bounds = ranged.where("_range >= 0").groupBy(F.col("_range").alias("_r")).agg(F.percentile_approx("doc_id", shares, 10_000).alias("_bounds"))
-        bounds = checkpointed(bounds)  # one row a range
+        bounds = checkpointed(narrow.groupBy(F.col("_range").alias("_r")).agg(F.percentile_approx("_v", shares, 10_000).alias("_bounds")))  # one row a range
         bounds = F.broadcast(bounds) if bounds.count() <= SENT_ROWS else bounds
-        place = F.greatest(F.size(F.filter("_bounds", lambda b: b <= F.col("doc_id"))) - 1, F.lit(0))
-        cut = ranged.join(bounds, F.col("_range") == F.col("_r"), "left")
-        ranged = cut.withColumn("_range", F.when(F.col("_range") < 0, F.col("_range")).otherwise(F.col("_range") * cuts + place)).drop("_r", "_bounds")
+        place = F.greatest(F.size(F.filter("_bounds", lambda b: b <= F.col("_v"))) - 1, F.lit(0))
+        narrow, ranged = (
+            df.join(bounds, F.col("_range") == F.col("_r"), "left").withColumn("_range", F.col("_range") * cuts + F.coalesce(place, F.lit(0))).drop("_r", "_bounds")  # noqa: B023
+            for df in (narrow, ranged)
+        )
         needed = -(-needed // cuts)
-    return ranged
+    return ranged.drop("_v")
 
 
 def with_successor(docs: DataFrame, complete: Callable[[DataFrame], DataFrame], carried: list[str]) -> DataFrame:
@@ -165,9 +178,14 @@ def with_successor(docs: DataFrame, complete: Callable[[DataFrame], DataFrame],
     led = complete(ranged).withColumn("_following", F.lead(row).over(near))
     first = F.min_by("text", F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))), "text"))
     heads = checkpointed(complete(checkpointed(ranged.groupBy("_range").agg(first.alias("text")))).select("_range", row.alias("_head")))
-    over = Window.orderBy("_range")
-    numbers = heads.select("_range")  # one number a range
-    following = numbers.select("_range", F.coalesce(F.lead("_range").over(over), F.min("_range").over(over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("_next"))
+    # the next range's number: among neighbours, and from the last of them to the first of the next neighbours
+    numbers = heads.select("_range", F.floor(F.col("_range") / NEAR_RANGES).alias("_near"))  # one number a range
+    firsts = numbers.groupBy("_near").agg(F.min("_range").alias("_first"))
+    over = Window.orderBy("_near")
+    whole = over.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    turn = checkpointed(firsts.select(F.col("_near").alias("_t"), F.coalesce(F.lead("_first").over(over), F.min("_first").over(whole)).alias("_turn")))
+    led_to = F.lead("_range").over(Window.partitionBy("_near").orderBy("_range"))
+    following = numbers.withColumn("_next", led_to).join(turn, F.col("_near") == F.col("_t")).select("_range", F.coalesce("_next", "_turn").alias("_next"))
     to = following.join(heads.withColumnRenamed("_range", "_n"), F.col("_next") == F.col("_n")).select(F.col("_range").alias("_r"), "_head")
     taken = F.coalesce("_following", "_head")
     return led.join(to, (F.col("_range") == F.col("_r")) & F.col("_following").isNull(), "left").drop("_range", "_r").select(
