@@ -24,6 +24,8 @@ from .common import checkpointed, numbered, row_hash, stored
 
 #: Rows of a source block on average; the driver and each task hold 8 bytes for each.
 BLOCK_ROWS = 10_000
+#: Blocks at most, of which the driver and each task hold a number each, and partitions of an exchange at most.
+MOST_BLOCKS, MOST_TASKS = 2_000_000, 20_000
 #: Rows of a part of a shard on average; parts are sorted each on its own.
 PART_ROWS = 50_000
 #: Equal rows above which they are told apart, so that they do not share a block.
@@ -123,17 +125,20 @@ def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
         apart = keyed.join(equal, F.col("h") == F.col("e"), "left_semi").withColumn("h", F.xxhash64("h", F.monotonically_increasing_id()))
         keyed = keyed.join(equal, F.col("h") == F.col("e"), "left_anti").unionByName(stored(apart, "equal"))
     rows = keyed.count()
-    blocks = max(1, -(-rows // BLOCK_ROWS))
+    blocks = min(max(1, -(-rows // BLOCK_ROWS)), MOST_BLOCKS)
     keyed = keyed.withColumn("block", F.pmod(F.xxhash64("h", F.lit("block")), F.lit(blocks)).cast("int"))
     counts = np.zeros(blocks, dtype=np.int64)
     for b, n in keyed.groupBy("block").count().collect():  # one row a block
         counts[b] = n
     before = np.concatenate([[0], np.cumsum(counts)])
-    sent = df.sparkSession.sparkContext.broadcast((before, exact_sizes(rows, shards)))
+    sent = df.sparkSession.sparkContext.broadcast((before, exact_sizes(rows, shards)))  # a number a block
+    drawn: list[Matrix] = []  # of a task, whose batches share its nodes
 
     @F.pandas_udf("int")
     def shard_of(block: pd.Series, rank: pd.Series) -> pd.Series:
-        matrix, b, r = Matrix(*sent.value, seed), block.to_numpy(), rank.to_numpy()
+        if not drawn:
+            drawn.append(Matrix(*sent.value, seed))
+        matrix, b, r = drawn[0], block.to_numpy(), rank.to_numpy()
         out = np.empty(len(b), dtype=np.int32)
         for one in np.unique(b):
             at = b == one
@@ -142,11 +147,12 @@ def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
 
     parts = max(1, -(-rows // (shards * PART_ROWS)))
     local = Window.partitionBy("block").orderBy(F.xxhash64("h", F.lit("local")), "h")
-    ranked = keyed.withColumn("rank", F.row_number().over(local) - 1)
+    # a partition holds a few blocks, and later a few parts of shards, whatever the session's number of partitions
+    ranked = keyed.repartition(min(blocks, MOST_TASKS), "block").withColumn("rank", F.row_number().over(local) - 1)
     part = F.pmod(F.xxhash64("h", F.lit("part")), F.lit(parts)).cast("int")
     exchanged = ranked.withColumns({"shard": shard_of("block", "rank"), "part": part})
     again = Window.partitionBy("shard", "part").orderBy(F.xxhash64("h", F.lit("again")), "h")
-    placed = exchanged.withColumn("at", (F.row_number().over(again) - 1).cast("long"))
+    placed = exchanged.repartition(min(shards * parts, MOST_TASKS), "shard", "part").withColumn("at", (F.row_number().over(again) - 1).cast("long"))
     first = F.lit(0)
     if parts > 1:
         sizes = exchanged.groupBy(F.col("shard").alias("s"), F.col("part").alias("p")).agg(F.count("*").alias("n"))
