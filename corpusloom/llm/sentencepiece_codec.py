@@ -2,29 +2,29 @@
 
 When no piece of the vocabulary has a whitespace marker behind another character, a segmentation
 never crosses the start of a marked word (a run of markers and the characters up to the next
-marker). Each task keeps a table of the distinct marked words it has met; the library segments a
-word once, and a document's ids are the table's entries joined back by position. The table is
-bounded (``TABLE_WORDS``); when it is full it starts anew, which changes speed and never results.
-No shuffle is needed: exchanging every word position of the corpus for one global table moves
-several times the input.
+marker). Blocks of documents give their distinct marked words to one table, in which the library
+segments each distinct word of the corpus once; each block gets the ids of its own words back and
+joins them by position. Words of a block are few beside its text, so the exchange of the words is
+small; the texts are exchanged once, to meet their block's words.
 """
 
 from __future__ import annotations
 
 import re
 from array import array
+from collections.abc import Iterator
 from functools import lru_cache
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import SLICE_ROWS, bounded_batches, map_rows
 
 MARK = "▁"
-#: Most distinct words that a task's table holds.
-TABLE_WORDS = 400_000
-#: Words longer than this (characters) are segmented without being kept.
-KEPT_CHARS = 64
+RESULT = "doc_id long, ids binary, n_tokens long, decoded string"
+#: Distinct words that a task gathers before it passes them on, and that it keeps of a block; others are segmented where they are met.
+TABLE_WORDS = 1_000_000
 _WORD = re.compile(f"{MARK}+[^{MARK}]*")
 #: Texts on which the split must agree with the library before it is used.
 _PROBES = ("a  b ", " a\tb c\n\n d", f"x{MARK}y {MARK}", "   ", "ﬁ ｆİ ​ z", "é é\x00\x01 q")
@@ -37,56 +37,98 @@ def processor(model_path: str):
     return sentencepiece.SentencePieceProcessor(model_file=model_path)
 
 
-class WordTable:
-    """Distinct marked words and their ids as little-endian unsigned 32-bit integers."""
+def marked_words(text: str) -> list[str]:
+    return _WORD.findall(MARK + text.replace(" ", MARK)) if text else []
 
-    def __init__(self, model_path: str, limit: int = TABLE_WORDS) -> None:
+
+class Segmenter:
+    """Ids of marked words and of texts, as little-endian unsigned 32-bit integers."""
+
+    def __init__(self, model_path: str) -> None:
         self.model = processor(model_path)
-        self.limit = limit
-        self.table: dict[str, bytes] = {}
+        self.begin, self.end = self.pack([self.model.bos_id()]), self.pack([self.model.eos_id()])
+
+    def splits(self) -> bool:
+        """Whether no piece can cross a marker, and texts agree with the library word by word."""
         pieces = map(self.model.id_to_piece, range(self.model.get_piece_size()))
-        self.splits = not any(MARK in p.lstrip(MARK) for p in pieces) and all(
-            self._joined(p) == self._pack(self.model.encode(p)) for p in _PROBES
-        )
-        self.begin, self.end = self._pack([self.model.bos_id()]), self._pack([self.model.eos_id()])
+        return not any(MARK in p.lstrip(MARK) for p in pieces) and all(b"".join(self.words(marked_words(p))) == self.pack(self.model.encode(p)) for p in _PROBES)
 
     @staticmethod
-    def _pack(ids: list[int]) -> bytes:
+    def pack(ids: list[int]) -> bytes:
         packed = array("I", ids)
         if packed.itemsize != 4:
             raise ValueError("unsigned int of 32 bits expected")
         return packed.tobytes()
 
-    def _segment(self, words: list[str]) -> list[bytes]:
+    def words(self, words: list[str]) -> list[bytes]:
         """The library adds the first marker itself; a lone marker is looked up."""
         ids = self.model.encode([w[1:] for w in words], num_threads=1)
-        return [self._pack(i if len(w) > 1 else [self.model.piece_to_id(MARK)]) for w, i in zip(words, ids, strict=True)]
-
-    def _joined(self, text: str) -> bytes:
-        if not text:
-            return b""
-        words = _WORD.findall(MARK + text.replace(" ", MARK))
-        table = self.table
-        new = [w for w in set(words) if w not in table]
-        if new:
-            found = dict(zip(new, self._segment(new), strict=True))
-            kept = {w: i for w, i in found.items() if len(w) <= KEPT_CHARS}
-            if len(table) + len(kept) > self.limit:
-                table.clear()
-                return b"".join([found[w] if w in found else table.setdefault(w, self._segment([w])[0]) for w in words])
-            table.update(kept)
-            if len(kept) < len(found):
-                return b"".join([table[w] if w in table else found[w] for w in words])
-        return b"".join([table[w] for w in words])
+        return [self.pack(i if len(w) > 1 else [self.model.piece_to_id(MARK)]) for w, i in zip(words, ids, strict=True)]
+
+    def whole(self, text: str) -> bytes:
+        return self.begin + self.pack(self.model.encode(text)) + self.end
 
-    def encode(self, text: str) -> bytes:
-        body = self._joined(text) if self.splits else self._pack(self.model.encode(text))
-        return self.begin + body + self.end
+    def joined(self, text: str, table: dict[str, bytes]) -> bytes:
+        """A text's ids from those of its words, joined by position; a word that the table lacks is segmented here."""
+        words = marked_words(text)
+        try:
+            return b"".join([self.begin, *[table[w] for w in words], self.end])
+        except KeyError:
+            new = list({w for w in words if w not in table})
+            own = dict(zip(new, self.words(new), strict=True))
+            return b"".join([self.begin, *[own[w] if w in own else table[w] for w in words], self.end])
 
     def decode(self, ids: bytes) -> str:
         return self.model.decode(memoryview(ids).cast("I").tolist())
 
 
+def block_words(blocks: DataFrame) -> DataFrame:
+    """``block, word``: the distinct marked words of each partition of ``blocks (block, text, ...)``, whose rows have one block each."""
+    schema = pa.schema([("block", pa.int32()), ("word", pa.string())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[str] = set()
+        block = 0
+
+        def told() -> Iterator[pa.RecordBatch]:
+            words = list(found)
+            for at in range(0, len(words), 50_000):
+                part = words[at : at + 50_000]
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(part), pa.int32()), pa.array(part, pa.string())], schema=schema)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(at, SLICE_ROWS)
+                block = part.column(0)[0].as_py()
+                for text in part.column(1).to_pylist():
+                    found.update(marked_words(text))
+                    if len(found) > TABLE_WORDS:
+                        yield from told()
+                        found.clear()
+        yield from told()
+
+    return blocks.mapInArrow(run, "block int, word string")
+
+
+def segmented(pairs: DataFrame, model_path: str) -> DataFrame:
+    """``block, word, ids binary``: all rows of a word lie together, and the library segments it once."""
+    schema = pa.schema([("block", pa.int32()), ("word", pa.string()), ("ids", pa.binary())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own, last = Segmenter(model_path), ("", b"")
+        for batch in batches:
+            words = batch.column(1).dictionary_encode()
+            names = words.dictionary.to_pylist()  # in order, so a word that goes on from the batch before is the first
+            new = names[1:] if names and names[0] == last[0] else names
+            ids = ([last[1]] if len(new) < len(names) else []) + own.words(new)
+            if names:
+                last = (names[-1], ids[-1])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(ids, pa.binary()).take(words.indices)], schema=schema)
+
+    bounded_batches(pairs.sparkSession)
+    return pairs.repartition("word").sortWithinPartitions("word").mapInArrow(run, "block int, word string, ids binary")
+
+
 def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids binary, n_tokens long, decoded string`` for each row.
 
@@ -94,15 +136,43 @@ def encode_decode(df: DataFrame, model_path: str, id_col: str = "doc_id", text_c
     has the ids begin, end and decodes to the empty text. Repeated rows and null ids are kept as they
     are; other columns of the input, whatever their names, are not read.
     """
+    source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    if not Segmenter(model_path).splits():
+
+        def make():
+            own = Segmenter(model_path)
 
-    def make():
-        table = WordTable(model_path)
+            def work(key, text):
+                ids = own.whole(text)
+                return ((key, ids, len(ids) // 4, own.decode(ids)),)
 
-        def work(key, text):
-            ids = table.encode(text or "")
-            return ((key, ids, len(ids) // 4, table.decode(ids)),)
+            return work
+
+        return map_rows(source, RESULT, make)
+
+    # a block is a partition of the scan
+    blocks = source.withColumn("block", F.spark_partition_id())
+    bounded_batches(df.sparkSession)
+    words = segmented(block_words(blocks.select("block", "text", "doc_id")), model_path)  # the same columns, so the same blocks
+    nothing = F.lit(None)
+    both = words.select("block", F.lit(0).alias("kind"), nothing.cast("long").alias("doc_id"), F.col("word").alias("text"), "ids").unionByName(
+        blocks.select("block", F.lit(1).alias("kind"), "doc_id", "text", nothing.cast("binary").alias("ids"))
+    )
+
+    def make_joined():
+        own, table, state = Segmenter(model_path), {}, [None]
+
+        def work(block, kind, key, text, ids):
+            if block != state[0]:
+                table.clear()
+                state[0] = block
+            if kind == 0:
+                if len(table) < TABLE_WORDS:
+                    table[text] = ids
+                return ()
+            ids = own.joined(text, table)
+            return ((key, ids, len(ids) // 4, own.decode(ids)),)
 
         return work
 
-    source = df.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return map_rows(source, "doc_id long, ids binary, n_tokens long, decoded string", make)
+    return map_rows(both.repartition("block").sortWithinPartitions("block", "kind"), RESULT, make_joined)

@@ -1,6 +1,8 @@
 from array import array
 
-from corpusloom.llm.sentencepiece_codec import WordTable, encode_decode, processor
+from corpusloom.llm import sentencepiece_codec as codec
+from corpusloom.llm.sentencepiece_codec import Segmenter, encode_decode, processor
+from pyspark.sql import functions as F
 
 
 def packed(ids):
@@ -28,10 +30,27 @@ def test_null_is_empty_and_empty_table(spark, empty, tokenizer_path):
     assert (bytes(row.ids), row.n_tokens, row.decoded) == (packed([1, 2]), 2, "")
 
 
-def test_a_full_table_starts_anew(tokenizer_path):
+def test_words_are_joined_by_position(tokenizer_path):
     path = tokenizer_path("piece_bpe_32k.model")
-    table, model = WordTable(path, limit=5), processor(path)
-    assert table.splits
-    for text in ("one two three four", "five six seven one", "one two one two", "a " * 50):
-        assert table.encode(text) == packed([1, *model.encode(text), 2])
-        assert len(table.table) <= 5 + len(set(text.split()))
+    own, model = Segmenter(path), processor(path)
+    assert own.splits()
+    texts = ["one two three four", "five  six seven one", " a" * 50, "", " ", "x" * 3000, f"{codec.MARK}y {codec.MARK}"]
+    words = sorted({w for t in texts for w in codec.marked_words(t)})
+    table = dict(zip(words, own.words(words), strict=True))
+    for known in (table, {}, {w: table[w] for w in words[::2]}):
+        assert [own.joined(t, known) for t in texts] == [packed([1, *model.encode(t), 2]) for t in texts]
+
+
+def test_each_block_gets_its_words_and_each_word_is_segmented_once(spark, awkward, tokenizer_path, monkeypatch):
+    path = tokenizer_path("piece_bpe_32k.model")
+    for most in (codec.TABLE_WORDS, 5):
+        monkeypatch.setattr(codec, "TABLE_WORDS", most)
+        blocks = awkward.select(F.spark_partition_id().alias("block"), F.coalesce("text", F.lit("")).alias("text"), "doc_id")
+        pairs = codec.block_words(blocks)
+        want = {(r.block, w) for r in blocks.collect() for w in codec.marked_words(r.text)}
+        assert {(r.block, r.word) for r in pairs.collect()} == want and len({b for b, _ in want}) > 1
+        rows = codec.segmented(pairs, path).withColumn("part", F.spark_partition_id()).collect()
+        assert {(r.block, r.word) for r in rows} == want
+        own = Segmenter(path)
+        assert all(bytes(r.ids) == own.words([r.word])[0] for r in rows) and all(len({r.part for r in rows if r.word == w}) == 1 for _, w in want)
+        test_equals_the_library(awkward, tokenizer_path)
