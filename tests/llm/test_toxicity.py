@@ -134,3 +134,59 @@ def test_query_on_held_out_documents(spark, small, tmp_path):
     whole = tc.fit(docs, labels)
     told = {r.doc_id: r for r in tc.predict(docs, whole).collect()}
     assert all(abs(r.p_toxic - told[r.doc_id].toxic) < 1e-5 and r.toxic == int(told[r.doc_id].toxic >= tc.THRESHOLD) for r in rows)
+
+
+def test_query_against_a_plain_chain(spark, small):
+    """The registered query on whole tables: folds, words, out-of-fold probabilities and weights by a chain written out plainly."""
+    import xxhash
+    from corpusloom.llm import queries
+
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{small}/documents.parquet").collect()}
+    told = {r.doc_id: {"low_quality": int(r.quality == 0), "toxic": int(r.toxic > 0)} for r in spark.read.parquet(f"{small}/labels.parquet").collect()}
+
+    def fold_of(text):
+        h = xxhash.xxh64_intdigest(text.encode(), 42)
+        return (h - 2**64 if h >= 2**63 else h) % tc.FOLDS
+
+    rows = [{"text": texts[d], "fold": fold_of(texts[d]), **told[d]} for d in sorted(told) if texts.get(d) is not None]
+    assert len(rows) <= tc.TRAIN_ROWS
+
+    def features(text, words):
+        found = tc._WORD.findall((text or "").lower())
+        return [np.log1p(sum(w == f if not f.endswith("*") else len(w) >= len(f) - 1 and w.startswith(f[:-1]) for w in found)) for f in words]
+
+    def model(x, y):
+        """Zero of the gradient of the penalised likelihood, by Newton steps that are halved until the loss falls."""
+        x = np.column_stack([np.array(x, dtype=float).reshape(len(y), -1), np.ones(len(y))])
+        y, ridge, w = np.array(y, dtype=float), np.append(np.full(x.shape[1] - 1, tc.RIDGE), 1e-6), np.zeros(x.shape[1])
+        loss = lambda v: np.logaddexp(0, x @ v).sum() - y @ (x @ v) + (ridge * v * v).sum() / 2
+        for _ in range(500):
+            p = 1 / (1 + np.exp(-x @ w))
+            step, size = np.linalg.solve(x.T @ (x * (p * (1 - p))[:, None]) + np.diag(ridge), x.T @ (p - y) + ridge * w), 1.0
+            while loss(w - size * step) > loss(w) and size > 1e-9:
+                size /= 2
+            w = w - size * step
+            if np.abs(step).max() < 1e-9:
+                break
+        return lambda v: 1 / (1 + np.exp(-(np.array(v) @ w[:-1] + w[-1])))
+
+    final, earlier = [], [[] for _ in rows]
+    for category in ("low_quality", "toxic"):
+        held_out = [0.0] * len(rows)
+        for fold in range(tc.FOLDS):
+            words = brute_words(rows, category, fold)[: tc.VOCABULARY]
+            inside = [i for i, r in enumerate(rows) if r["fold"] != fold]
+            own = model([features(rows[i]["text"], words) + earlier[i] for i in inside], [rows[i][category] for i in inside])
+            for i, r in enumerate(rows):
+                if r["fold"] == fold:
+                    held_out[i] = float(own(features(r["text"], words) + earlier[i]))
+        words = brute_words(rows, category, None)[: tc.VOCABULARY]
+        final.append((words, model([features(r["text"], words) + e for r, e in zip(rows, earlier, strict=True)], [r[category] for r in rows])))
+        earlier = [e + [p] for e, p in zip(earlier, held_out, strict=True)]
+    got = {r.doc_id: r for r in queries.op5_toxicity(spark, small).collect()}
+    assert set(got) == set(texts)
+    for d, text in texts.items():
+        first = float(final[0][1](features(text, final[0][0])))
+        second = float(final[1][1](features(text, final[1][0]) + [first]))
+        assert abs(got[d].p_low_quality - first) < 1e-4 and abs(got[d].p_toxic - second) < 1e-4
+        assert got[d].toxic == (second >= tc.THRESHOLD) or abs(second - tc.THRESHOLD) < 1e-4
