@@ -58,8 +58,8 @@ def byte_fold(pieces: str, size: int, overlap: int) -> str:
     return fold(listed, "{'h': '', 'o': CAST([] AS VARCHAR[])}", step, f"CASE WHEN {sql_strip('s.h')} <> '' THEN list_append(s.o, {sql_strip('s.h')}) ELSE s.o END")
 
 
-def section_sql(profile: str) -> str:
-    """For texts without a heading of the profile, which these are: one section, whole or packed by sentences."""
+def pack_sql(profile: str) -> str:
+    """The chunks of a section ``t``: whole, or packed by sentences."""
     p = chunking.PROFILES[profile]
     target, most, back = p.target * 4, p.most * 4, int(p.target * 4 * chunking.dynamic_overlap(p))
     pieces = f"list_transform(list_filter(list_transform(regexp_split_to_array(t, {q(chunking.SENTENCE_END.pattern)}), lambda x: {sql_strip('x')}), lambda x: x <> ''), lambda x: {{'h': x, 'z': strlen(x), 'o': CAST([] AS VARCHAR[])}})"
@@ -70,7 +70,12 @@ def section_sql(profile: str) -> str:
     step = f"CASE WHEN {size} > {most} THEN {{'h': '', 'z': CAST(0 AS BIGINT), 'o': list_append({out}, {held})}} ELSE {{'h': {held}, 'z': {size}, 'o': {out}}} END"
     packed = fold(pieces, "{'h': '', 'z': CAST(0 AS BIGINT), 'o': CAST([] AS VARCHAR[])}", step, f"CASE WHEN {sql_strip('s.h')} <> '' THEN list_append(s.o, s.h) ELSE s.o END")
     short = f"CASE WHEN strlen({sql_strip('t')}) >= {p.least * 4} THEN [{sql_strip('t')}] ELSE CAST([] AS VARCHAR[]) END"
-    return chunk_sql("text", f"CASE WHEN strlen(t) <= {target} THEN {short} ELSE {packed} END", "t IS NOT NULL").replace("'' AS section", "'Document' AS section")
+    return f"CASE WHEN strlen(t) <= {target} THEN {short} ELSE {packed} END"
+
+
+def section_sql(profile: str) -> str:
+    """For texts without a heading of the profile, which these are: one section."""
+    return chunk_sql("text", pack_sql(profile), "t IS NOT NULL").replace("'' AS section", "'Document' AS section")
 
 
 _WINDOWS = """WITH RECURSIVE d AS (SELECT doc_id, text AS t, length(text) AS n FROM documents WHERE text <> ''),

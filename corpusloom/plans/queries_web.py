@@ -160,7 +160,7 @@ per_document(
 )
 
 
-@query("""SELECT page_id || '.txt' AS name, sha256(html) AS content, 'PlainText' AS document_type, 'Text' AS format, strlen(html) < 1048576 AS small FROM pages""")
+@query("""SELECT page_id || '.txt' AS name, sha256(html) AS content, 'PlainText' AS document_type, 'Text' AS format, strlen(html) < 1048576 AS small, 'document' AS category FROM pages""")
 def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pages written as one file each, then read as whole texts and listed as a folder."""
     import uuid
@@ -169,8 +169,8 @@ def text_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     table(spark, sf_dir, "pages").select("page_id", F.col("html").alias("value")).write.partitionBy("page_id").option("lineSep", "\x01").text(folder)
     key = F.regexp_extract("path", r"page_id=(\d+)/", 1)
     read = files.text_files(spark, f"{folder}/page_id=*").select(F.concat(key, F.lit(".txt")).alias("name"), F.sha2(F.regexp_replace("content", "\x01$", ""), 256).alias("content"), "document_type")
-    listed = files.folder_listing(spark, f"{folder}/page_id=*").select("document_type", "size")
-    small = listed.agg(F.bool_and(F.col("size").endswith("KB")).alias("small"), F.max("document_type").alias("format"))
+    listed = files.folder_listing(spark, f"{folder}/page_id=*").select("document_type", "size", "category")
+    small = listed.agg(F.bool_and(F.col("size").endswith("KB")).alias("small"), F.max("document_type").alias("format"), F.max("category").alias("category"))
     return read.join(F.broadcast(small), how="cross")  # one row
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import classify
+
 # Formats by extension (case counts), document types by application.
 FORMATS = {"pdf": "Pdf", "png": "Png", "jpg": "Jpeg", "jpeg": "Jpeg", "tiff": "Tiff", "tif": "Tiff", "bmp": "Bmp"}
 APPS = {"Word": "docx", "Excel": "xlsx", "PowerPoint": "pptx", "Pages": "pages", "Numbers": "numbers", "Preview": "pdf"}
@@ -32,7 +34,7 @@ def folder_listing(spark: SparkSession, path: str) -> DataFrame:
     rows = spark.read.format("binaryFile").load(path).select("path", "length", "modificationTime")
     name = F.element_at(F.split("path", "/"), -1)
     size = F.when(F.col("length") >= 1 << 20, F.format_string("%.1f MB", F.col("length") / (1 << 20))).otherwise(F.format_string("%.1f KB", F.col("length") / 1024))
-    return rows.select(name.alias("name"), size.alias("size"), file_format(F.col("path")).alias("document_type"), F.date_format("modificationTime", "dd/MM/yyyy").alias("date"))
+    return rows.select(name.alias("name"), size.alias("size"), file_format(F.col("path")).alias("document_type"), classify.filename_category(name).alias("category"), F.date_format("modificationTime", "dd/MM/yyyy").alias("date"))
 
 
 def pdf_strategy(size: Column) -> Column:
