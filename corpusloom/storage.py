@@ -5,6 +5,9 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -34,8 +37,27 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def tables_dir(spark: SparkSession) -> str:
-    """Where this application keeps its stored tables."""
-    return f"{shared_dir(spark)}/corpusloom-{spark.sparkContext.applicationId}"
+    """Where this application keeps its stored tables, or inside :func:`scratch` those of its block."""
+    return f"{shared_dir(spark)}/corpusloom-{spark.sparkContext.applicationId}{_BLOCK.get()}"
+
+
+_BLOCK: ContextVar[str] = ContextVar("block", default="")
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Deletes at its end the tables that its block has stored; what is to stay must be written elsewhere by then."""
+    block = _BLOCK.set(f"{_BLOCK.get()}/scratch-{uuid.uuid4().hex}")
+    try:
+        yield
+    finally:
+        _delete(spark, tables_dir(spark))
+        _BLOCK.reset(block)
+
+
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
@@ -48,8 +70,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 def clear_stored(spark: SparkSession) -> None:
     """Delete all tables that this application has stored, when no result that reads them is needed any more."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(tables_dir(spark))
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(spark, tables_dir(spark))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:

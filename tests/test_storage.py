@@ -51,3 +51,15 @@ def test_a_cluster_needs_a_shared_folder(spark):
     if spark.conf.get("spark.checkpoint.dir", None) is None:
         with pytest.raises(ValueError, match="spark.checkpoint.dir"):
             storage.shared_dir(Elsewhere(spark))
+
+
+def test_scratch_tables_go_with_their_block(spark):
+    import os
+
+    with storage.scratch(spark):
+        inner = storage.stored(spark.range(3).toDF("n"), "inner")
+        folder = storage.tables_dir(spark)
+        with storage.scratch(spark):
+            assert storage.tables_dir(spark).startswith(folder + "/")
+        assert inner.count() == 3 and os.path.isdir(folder.removeprefix("file:"))
+    assert not os.path.exists(folder.removeprefix("file:")) and storage.tables_dir(spark) != folder
