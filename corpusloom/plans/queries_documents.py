@@ -268,12 +268,17 @@ def capture_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PRICED = "'Prix: ' || (doc_id % 90) || ',50 € et ' || doc_id || ' USD, from ' || (doc_id % 7) || '$ ou ' || (doc_id % 90) || ',50 €'"
 
 
-@query(f"""SELECT doc_id, CAST(len(ps) AS BIGINT) AS n_prices, array_to_string(ps, '|') AS prices FROM (SELECT doc_id, list_distinct_in_order AS ps FROM (SELECT doc_id,
-  list_filter([(doc_id % 90) || ',50 €', (doc_id % 7) || '$', doc_id || ' USD', 'from ' || (doc_id % 7) || '$', 'Prix: ' || (doc_id % 90) || ',50 €'], lambda x: true) AS list_distinct_in_order FROM documents))""")
+_PRICED = "'Prix: ' || (doc_id % 90) || ',50 € et ' || coalesce(text, '') || ' ' || doc_id || ' USD, from ' || (doc_id % 7) || '$ ou ' || (doc_id % 90) || ',50 €'"
+_PRICES = "list_concat(" + ", ".join(f"regexp_extract_all(t, {q(p.replace('(?iu)', '(?i)'))})" for p in classify.PRICES) + ")"
+
+
+@query(f"""SELECT doc_id, CAST(len(ps) AS BIGINT) AS n_prices, array_to_string(ps, '|') AS prices FROM (SELECT doc_id, list_filter(ps, lambda x, i: list_position(ps, x) = i) AS ps
+  FROM (SELECT doc_id, {_PRICES} AS ps FROM (SELECT doc_id, {_PRICED} AS t FROM documents)))""")
 def price_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Prices in several writings, each once, pattern after pattern."""
+    """Prices of whole texts, which begin and end with some in several writings, each once, pattern after pattern."""
     d, n = F.col("doc_id").cast("string"), (F.col("doc_id") % 90).cast("string")
-    said = F.concat(F.lit("Prix: "), n, F.lit(",50 € et "), d, F.lit(" USD, from "), (F.col("doc_id") % 7).cast("string"), F.lit("$ ou "), n, F.lit(",50 €"))
+    text = F.coalesce("text", F.lit(""))
+    said = F.concat(F.lit("Prix: "), n, F.lit(",50 € et "), text, F.lit(" "), d, F.lit(" USD, from "), (F.col("doc_id") % 7).cast("string"), F.lit("$ ou "), n, F.lit(",50 €"))
     found = classify.prices(said)
     return table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("n_prices"), F.array_join(found, "|").alias("prices"))
 

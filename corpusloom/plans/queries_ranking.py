@@ -180,12 +180,12 @@ per_document(
 )
 
 
-@query(f"""WITH d AS (SELECT doc_id, left(text, CAST(40 + doc_id % 200 AS INT)) AS content, ['Table', 'Figure Caption', 'Document Text', 'Table Caption'][doc_id % 4 + 1] AS source FROM documents)
+@query(f"""WITH d AS (SELECT doc_id, coalesce(text, '') AS content, ['Table', 'Figure Caption', 'Document Text', 'Table Caption'][doc_id % 4 + 1] AS source FROM documents)
   SELECT doc_id, {_DROPPED} AS contaminated, CAST({_PRIOR} AS DOUBLE) AS prior FROM d""")
 def section_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Starts of texts as chunks of every kind of source; short captions are dropped."""
+    """Whole texts as chunks of every kind of source; short captions are dropped."""
     source = F.get(F.array(*map(F.lit, ("Table", "Figure Caption", "Document Text", "Table Caption"))), (F.col("doc_id") % 4).cast("int"))
-    cut = table(spark, sf_dir, "documents").select("doc_id", F.substring("text", F.lit(1), (40 + F.col("doc_id") % 200).cast("int")).alias("content"), source.alias("source"))
+    cut = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("content"), source.alias("source"))
     return cut.select("doc_id", rerank.is_contaminated(F.col("content"), F.col("source")).alias("contaminated"), rerank.section_prior(F.col("content"), F.col("source")).alias("prior"))
 
 
