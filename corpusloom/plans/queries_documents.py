@@ -507,14 +507,21 @@ def pdf_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- positions and spans of chunks ------------------------------------------------------------------
 
 
-@query("""SELECT doc_id, CAST(doc_id % 7 AS BIGINT) AS first_at, CAST(doc_id % 7 + length(CAST(doc_id AS VARCHAR)) + 6 AS BIGINT) AS second_at, CAST(doc_id % 7 + 2 * length(CAST(doc_id AS VARCHAR)) + 6 + 5 AS BIGINT) AS third_at FROM documents""")
+def _places_sql(pattern: str, kind: int) -> str:
+    """Matches are put between marks, and the lengths of the pieces summed to positions."""
+    return f"""SELECT doc_id, {kind} AS k, s FROM (SELECT doc_id, i, sum(length(p)) OVER (PARTITION BY doc_id ORDER BY i) - length(p) AS s FROM (SELECT doc_id, unnest(ps) AS p, generate_subscripts(ps, 1) AS i
+      FROM (SELECT doc_id, string_split(regexp_replace(t, {q(pattern.replace("(?iu)", "(?i)"))}, chr(1) || '\\0' || chr(1), 'g'), chr(1)) AS ps FROM d))) WHERE i % 2 = 0"""
+
+
+@query(f"""WITH d AS (SELECT doc_id, repeat('-', CAST(doc_id % 7 AS INT)) || doc_id || '% and ' || coalesce(text, '') || ' ' || doc_id || '% or 3x' AS t FROM documents),
+  m AS ({_places_sql(numeric.PERCENT, 0)} UNION ALL {_places_sql(numeric.TIMES, 1)})
+  SELECT doc_id, count(*) AS n_values, string_agg(CAST(CAST(s AS BIGINT) AS VARCHAR), ',' ORDER BY k, s) AS places FROM m GROUP BY doc_id""")
 def value_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Where percentages, then multiples, stand in a text."""
+    """Where percentages, then multiples, stand in whole texts, which begin and end with some."""
     n = F.col("doc_id").cast("string")
-    said = F.concat(F.repeat(F.lit("-"), (F.col("doc_id") % 7).cast("int")), n, F.lit("% and "), n, F.lit("% or 3x"))
+    said = F.concat(F.repeat(F.lit("-"), (F.col("doc_id") % 7).cast("int")), n, F.lit("% and "), F.coalesce("text", F.lit("")), F.lit(" "), n, F.lit("% or 3x"))
     found = numeric.placed_values(said)
-    at = [F.get(found, F.lit(k))["at"].cast("long") for k in range(3)]
-    return table(spark, sf_dir, "documents").select("doc_id", at[0].alias("first_at"), at[1].alias("second_at"), at[2].alias("third_at"))
+    return table(spark, sf_dir, "documents").select("doc_id", F.size(found).cast("long").alias("n_values"), F.array_join(F.transform(found, lambda v: v["at"].cast("string")), ",").alias("places"))
 
 
 @query(f"""WITH w AS ({_WINDOWS}), s AS (SELECT doc_id, doc_id * 100000 + i AS span_id, i * 200 AS a, least(i * 200 + 300, n_chars) AS b FROM (SELECT doc_id, n_chars, unnest(range(0, (n_chars + 199) // 200)) AS i FROM documents WHERE n_chars > 0))
