@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import classify, text, vectors
+from ..functions import classify, text
 from . import bm25
 
 # Weights of dense, sparse and keyword scores.
@@ -73,24 +73,27 @@ def domain_hybrid(intent: Column, sparse: Column, cosine: Column) -> Column:
     return share * cosine + (1.0 - share) * sparse
 
 
+# Limits of a score, and what is added to it, by the query's domain and the chunk's category.
+CAPS = {
+    ("Legal", "Business"): 0.75, ("Legal", "Academic"): 0.75, ("Business", "Academic"): 0.85, ("Business", "Mixed"): 0.85, ("Academic", "Business"): 0.80, ("Academic", "Mixed"): 0.80,
+}
+ALIGNED = {("Business", "Business"): 0.25, ("Academic", "Academic"): 0.20, ("Legal", "Mixed"): 0.15, ("Technical", "Academic"): 0.12}
+LEGAL_HITS, LEGAL_BOOST, NOT_LEGAL = 2, 0.15, -0.10
+
+
+def _by_pair(table: dict[tuple[str, str], float], intent: Column, category: Column, other: Column) -> Column:
+    for (i, c), value in table.items():
+        other = F.when((intent == i) & (category == c), value).otherwise(other)
+    return other
+
+
 def type_aware_cap(intent: Column, category: Column, score: Column) -> Column:
-    return (
-        F.when((intent == "Legal") & category.isin("Business", "Academic"), F.least(score, F.lit(0.75)))
-        .when((intent == "Business") & category.isin("Academic", "Mixed"), F.least(score, F.lit(0.85)))
-        .when((intent == "Academic") & category.isin("Business", "Mixed"), F.least(score, F.lit(0.80)))
-        .otherwise(score)
-    )
+    return F.least(score, _by_pair(CAPS, intent, category, F.lit(float("inf"))))
 
 
 def boosted(score: Column, intent: Column, category: Column, legal_hits: Column) -> Column:
-    aligned = (
-        F.when((intent == "Business") & (category == "Business"), 0.25)
-        .when((intent == "Academic") & (category == "Academic"), 0.20)
-        .when((intent == "Legal") & (category == "Mixed"), 0.15)
-        .when((intent == "Technical") & (category == "Academic"), 0.12)
-        .otherwise(0.0)
-    )
-    legal = F.when(legal_hits >= 2, 0.15).when(category != "Mixed", -0.10).otherwise(0.0)
+    aligned = _by_pair(ALIGNED, intent, category, F.lit(0.0))
+    legal = F.when(legal_hits >= LEGAL_HITS, LEGAL_BOOST).when(category != "Mixed", NOT_LEGAL).otherwise(0.0)
     return F.greatest(type_aware_cap(intent, category, score + aligned + F.when(intent == "Legal", legal).otherwise(0.0)), F.lit(0.0))
 
 
@@ -145,11 +148,6 @@ def hybrid_scores(pairs: DataFrame, ranges: DataFrame, intents: DataFrame | None
     return joined.select(*pairs.columns, fuse(*scaled, F.col("intent") if intents is not None else None).alias("hybrid"))
 
 
-def dense_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
-    """``query_id, doc_id, dense``: cosine of ``embedding`` columns, for all pairs."""
-    return vectors.similar_pairs(queries, docs).select("query_id", "doc_id", F.col("score").alias("dense"))
-
-
 def top_k(scored: DataFrame, k: int, score: str = "score", by: str = "query_id", tie: str = "doc_id", first: str | None = None) -> DataFrame:
     """The best rows of each query with ``rank``; ties by id; ``first`` is an optional column that goes before the score.
 

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from functools import reduce
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from ..functions import classify
+from ..functions import classify, vectors
 from ..functions.text import words
-from . import bm25, scoring
+from ..storage import stored
+from . import bm25, pair_blocks, scoring, term_batches
 
 
 def fielded_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
@@ -33,23 +40,84 @@ def fielded_scores(queries: DataFrame, docs: DataFrame) -> DataFrame:
     return counted.join(terms, "token").groupBy("query_id", "doc_id").agg(F.sum(score).alias("fielded"))
 
 
-def search(queries: DataFrame, docs: DataFrame, dense: DataFrame, k: int = 10) -> DataFrame:
+#: Categories of chunks by their places in a row.
+CATEGORIES = ("Business", "Academic", "Legal", "Technical", "Mixed")
+
+
+def search(queries: DataFrame, docs: DataFrame, k: int = 10) -> DataFrame:
     """``query_id, doc_id, intent, category, score, rank``: the best chunks of each query.
 
-    Both scores are min-max normalised over all chunks, mixed by the query's domain, and boosted and
-    capped by domain and the chunk's category. ``dense (query_id, doc_id, dense)`` has every pair that
-    is a candidate.
+    The cosines of the ``embedding`` columns and the fielded scores are min-max normalised over all
+    chunks, mixed by the query's domain, and boosted and capped by domain and the chunk's category.
+    Blocks of queries meet blocks of chunks as matrices, for the ranges and for the best of each query;
+    no pair below the lists is written. Chunks and queries without an id are left out.
     """
-    rows = docs.count()
-    scored = dense.join(fielded_scores(queries, docs), ["query_id", "doc_id"], "left").fillna(0.0, ["fielded"])
-    ranges = scoring.score_ranges(scored, ["dense", "fielded"], rows)
+    queries, docs = queries.where("query_id is not null"), docs.where("doc_id is not null")
+    content = F.coalesce("content", F.lit(""))
     facts = docs.select(
-        "doc_id", classify.category(F.coalesce("content", F.lit(""))).alias("category"), classify.strong_legal_hits(F.coalesce("content", F.lit(""))).alias("legal_hits")
-    )
-    asked = queries.select("query_id", classify.domain_intent(F.coalesce("query", F.lit(""))).alias("intent")).join(ranges, "query_id")
-    full = scored.join(asked, "query_id").join(facts, "doc_id")
-    scaled = {n: scoring.min_max(F.col(n), F.col(f"low_{n}"), F.col(f"high_{n}")) for n in ("dense", "fielded")}
-    mixed = scoring.domain_hybrid(F.col("intent"), scaled["fielded"], scaled["dense"])
-    # equal texts have equal scores, whatever the order of their sums
-    ranked = full.withColumn("score", F.round(scoring.boosted(mixed, F.col("intent"), F.col("category"), F.col("legal_hits")), 9))
-    return scoring.top_k(ranked, k).select("query_id", "doc_id", "intent", "category", "score", "rank")
+        F.col("doc_id").cast("long").alias("doc_id"), F.col("embedding").cast("array<double>").alias("embedding"),
+        F.array_position(F.array(*map(F.lit, CATEGORIES)), classify.category(content)).cast("int").alias("kind"), classify.strong_legal_hits(content).cast("int").alias("legal_hits"),
+    )
+    facts = stored(facts, "facts")
+    blocks = 1 if (n := queries.count()) <= vectors.SENT_QUERIES else 2 * -(-n // vectors.SENT_QUERIES)  # parts by a hash are not quite equal
+    own = F.pmod(F.xxhash64("query_id"), F.lit(blocks))
+    lists = [_best(queries.where(own == n) if blocks > 1 else queries, docs, facts, k) for n in range(blocks)]
+    return scoring.top_k(reduce(DataFrame.unionByName, lists), k).select("query_id", "doc_id", "intent", "category", "score", "rank")
+
+
+def _best(queries: DataFrame, docs: DataFrame, facts: DataFrame, k: int) -> DataFrame:
+    """``query_id, doc_id, intent, category, score``: the best of a block of queries in each block of chunks."""
+    spark = docs.sparkSession
+    asked = queries.select("query_id", F.col("embedding").cast("array<double>"), classify.domain_intent(F.coalesce("query", F.lit(""))).alias("intent")).orderBy("query_id").collect()
+    names = T.StructType([queries.schema["query_id"], T.StructField("intent", T.StringType()), T.StructField("q", T.IntegerType())])
+    table = F.broadcast(spark.createDataFrame([(r.query_id, r.intent, n) for n, r in enumerate(asked)], names))  # a block
+    pairs = fielded_scores(queries, docs).join(table.select("query_id", "q"), "query_id").groupBy("doc_id").agg(F.collect_list(F.struct("q", "fielded")).alias("pairs"))  # at most the block's queries
+    held = stored(facts.join(pairs.withColumnRenamed("doc_id", "_d"), F.col("doc_id") == F.col("_d"), "left").select(*facts.columns, F.col("pairs.q").alias("at"), F.col("pairs.fielded").alias("fielded")), "held")
+    unit = vectors._unit(pa.array([r.embedding for r in asked], pa.list_(pa.float64())))
+    share = np.array([scoring.COSINE_SHARE.get(r.intent, 0.5) for r in asked])
+    by_kind = lambda t, other: np.array([[t.get((r.intent, c), other) for c in CATEGORIES] for r in asked]).reshape(len(asked), len(CATEGORIES))
+    aligned, caps, legal = by_kind(scoring.ALIGNED, 0.0), by_kind(scoring.CAPS, np.inf), np.array([r.intent == "Legal" for r in asked], bool)
+    sent = spark.sparkContext.broadcast((unit, share, aligned, caps, legal))
+    count = len(asked)
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        unit = sent.value[0]
+        step = max(pair_blocks.CELLS // max(count, 1), 1)
+        for batch in batches if count else ():
+            for start in range(0, batch.num_rows, step):
+                part = batch.slice(start, step)
+                dense, fielded = np.zeros((part.num_rows, count)), np.zeros((part.num_rows, count))
+                for length, (rows, x) in vectors._unit(pa.concat_arrays([part.column("embedding")])).items():
+                    if length in unit:
+                        own, q = unit[length]
+                        dense[np.ix_(rows, own)] = np.round(x @ q.T, 12)
+                sizes, at = term_batches._lists(part.column("at"))
+                fielded[np.repeat(np.arange(part.num_rows), sizes), np.asarray(at)] = np.asarray(term_batches._lists(part.column("fielded"))[1])
+                yield part, dense, fielded
+
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, dense, fielded in blocks(batches):
+            yield pa.RecordBatch.from_pydict({"q": np.arange(count)} | {f"{s}{n}": f(axis=0) for n, x in enumerate((dense, fielded)) for s, f in (("l", x.min), ("h", x.max))})
+
+    limits = held.mapInArrow(ranges, "q long, l0 double, h0 double, l1 double, h1 double").groupBy("q").agg(*[f(c).alias(c) for c, f in (("l0", F.min), ("h0", F.max), ("l1", F.min), ("h1", F.max))])
+    found = {r.q: r for r in limits.collect()}  # one row a query
+    scale = {c: np.array([found[q][c] if q in found else 0.0 for q in range(count)]) for c in ("l0", "h0", "l1", "h1")}
+
+    def best(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        _, share, aligned, caps, legal = sent.value
+        for part, dense, fielded in blocks(batches):
+            scaled = [(x - scale[f"l{n}"]) / np.maximum(scale[f"h{n}"] - scale[f"l{n}"], 1e-6) for n, x in enumerate((dense, fielded))]
+            kind = part.column("kind").to_numpy() - 1
+            hits = part.column("legal_hits").to_numpy()
+            law = np.where(hits >= scoring.LEGAL_HITS, scoring.LEGAL_BOOST, np.where(kind != CATEGORIES.index("Mixed"), scoring.NOT_LEGAL, 0.0))
+            score = share * scaled[0] + (1.0 - share) * scaled[1] + aligned.T[kind] + np.where(legal[None, :], law[:, None], 0.0)
+            # equal texts have equal scores, whatever the order of their sums
+            score = np.round(np.maximum(np.minimum(score, caps.T[kind]), 0.0), 9)
+            doc = part.column("doc_id").to_numpy()
+            place = np.argsort(doc, kind="stable")
+            order = np.argsort(-score[place], axis=0, kind="stable")[:k]
+            d, q = place[order].T.reshape(-1), np.repeat(np.arange(count), order.shape[0])
+            yield pa.RecordBatch.from_pydict({"q": pa.array(q, pa.int64()), "doc_id": doc[d], "kind": pa.array(kind[d], pa.int32()), "score": score[d, q]})
+
+    lists = held.mapInArrow(best, "q long, doc_id long, kind int, score double")
+    return lists.join(table, "q").select("query_id", "doc_id", "intent", F.get(F.array(*map(F.lit, CATEGORIES)), F.col("kind")).alias("category"), "score")

@@ -356,7 +356,7 @@ def query_understanding(spark: SparkSession, sf_dir: str) -> DataFrame:
   SELECT query_id, doc_id, intent, category, round(round(score, 9), 6) AS score, rank FROM rf WHERE rank <= 10""")
 def fielded_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     queries, docs = embedded(spark, sf_dir)
-    found = search_engine.search(queries, docs, scoring.dense_scores(queries, docs))
+    found = search_engine.search(queries, docs)
     return found.select("query_id", "doc_id", "intent", "category", r6(F.col("score")).alias("score"), F.col("rank").cast("long").alias("rank"))
 
 
