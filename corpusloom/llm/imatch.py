@@ -34,8 +34,8 @@ RANGE_ROWS, CUTS = 1_000, 64
 NEAR_RANGES = 1 << 12
 #: Terms of a lexicon that travels to every task; beyond it the lexicon is joined.
 SENT_TERMS = 300_000
-#: Rows of a small table up to which it is sent to every task.
-SENT_ROWS = 20_000
+#: Rows of a small table up to which it is sent to every task, and ranges whose bounds are a literal.
+SENT_ROWS, LITERAL_ROWS = 20_000, 1_000
 _SPACE = r"[\x20\x09-\x0D]+"
 
 
@@ -140,6 +140,23 @@ def _place(docs: DataFrame) -> Column:
     return F.coalesce("doc_id", prefix)
 
 
+def _cut(rows: DataFrame, bounds: DataFrame, cuts: int) -> DataFrame:
+    """Each range of ``rows (_range, _v, ...)`` cut by its ``bounds (_r, _bounds)``: by a literal where ranges are few, else by a join."""
+    few, total = bounds.where("_r is not null").limit(LITERAL_ROWS + 1).collect(), F.lit(0)
+    if len(few) <= LITERAL_ROWS:
+        table: list[list[int]] = [[] for _ in range(max((r["_r"] for r in few), default=-1) + 1)]
+        if len(table) <= LITERAL_ROWS * CUTS:
+            for r in few:
+                table[r["_r"]] = list(r["_bounds"])
+            own = F.get(F.from_json(F.lit(json.dumps(table)), "array<array<bigint>>"), F.col("_range").cast("int"))
+            place = F.greatest(F.size(F.filter(own, lambda b: b <= F.col("_v"))) - 1, total)
+            return rows.withColumn("_range", F.col("_range") * cuts + place)
+    bounds = F.broadcast(bounds) if bounds.count() <= SENT_ROWS else bounds
+    place = F.greatest(F.size(F.filter("_bounds", lambda b: b <= F.col("_v"))) - 1, total)
+    cut = rows.join(bounds, F.col("_range") == F.col("_r"), "left")
+    return cut.withColumn("_range", F.col("_range") * cuts + F.coalesce(place, total)).drop("_r", "_bounds")
+
+
 def id_ranges(docs: DataFrame) -> DataFrame:
     """``docs`` with ``_range``: numbers of ranges of ``doc_id`` in its order, of about ``RANGE_ROWS`` rows each.
 
@@ -156,12 +173,7 @@ def id_ranges(docs: DataFrame) -> DataFrame:
         cuts = min(CUTS, needed)
         shares = [k / cuts for k in range(cuts)]
         bounds = checkpointed(narrow.groupBy(F.col("_range").alias("_r")).agg(F.percentile_approx("_v", shares, 10_000).alias("_bounds")))  # one row a range
-        bounds = F.broadcast(bounds) if bounds.count() <= SENT_ROWS else bounds
-        place = F.greatest(F.size(F.filter("_bounds", lambda b: b <= F.col("_v"))) - 1, F.lit(0))
-        narrow, ranged = (
-            df.join(bounds, F.col("_range") == F.col("_r"), "left").withColumn("_range", F.col("_range") * cuts + F.coalesce(place, F.lit(0))).drop("_r", "_bounds")  # noqa: B023
-            for df in (narrow, ranged)
-        )
+        narrow, ranged = (_cut(df, bounds, cuts) for df in (narrow, ranged))
         needed = -(-needed // cuts)
     return ranged.drop("_v")
 

@@ -76,7 +76,9 @@ def test_likeness_tells_edits_from_strangers(spark, small):
     assert near[0] > 0.3 and near[1] < 0.1
 
 
-def test_clustered_ids_make_even_ranges(spark, monkeypatch):
+@pytest.mark.parametrize("few", [im.LITERAL_ROWS, 0])
+def test_clustered_ids_make_even_ranges(spark, monkeypatch, few):
+    monkeypatch.setattr(im, "LITERAL_ROWS", few)
     monkeypatch.setattr(im, "RANGE_ROWS", 50)
     monkeypatch.setattr(im, "CUTS", 5)
     ids = [*range(1000), *range(10**12, 10**12 + 1000), *[10**17 + 10**14 * k for k in range(30)]]
