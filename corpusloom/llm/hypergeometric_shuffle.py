@@ -147,12 +147,12 @@ def shuffle_into_shards(df: DataFrame, shards: int, seed: int = 0) -> DataFrame:
 
     parts = max(1, -(-rows // (shards * PART_ROWS)))
     local = Window.partitionBy("block").orderBy(F.xxhash64("h", F.lit("local")), "h")
-    # a partition holds a few blocks, and later a few parts of shards, whatever the session's number of partitions
-    ranked = keyed.repartition(min(blocks, MOST_TASKS), "block").withColumn("rank", F.row_number().over(local) - 1)
+    # a partition holds a block, and later a part of a shard, or as few as there can be, whatever the session's number of partitions
+    ranked = keyed.repartitionById(min(blocks, MOST_TASKS), "block").withColumn("rank", F.row_number().over(local) - 1)
     part = F.pmod(F.xxhash64("h", F.lit("part")), F.lit(parts)).cast("int")
-    exchanged = ranked.withColumns({"shard": shard_of("block", "rank"), "part": part})
-    again = Window.partitionBy("shard", "part").orderBy(F.xxhash64("h", F.lit("again")), "h")
-    placed = exchanged.repartition(min(shards * parts, MOST_TASKS), "shard", "part").withColumn("at", (F.row_number().over(again) - 1).cast("long"))
+    exchanged = ranked.withColumns({"shard": shard_of("block", "rank"), "part": part}).withColumn("cell", (F.col("shard") * parts + F.col("part")).cast("int"))
+    again = Window.partitionBy("cell").orderBy(F.xxhash64("h", F.lit("again")), "h")
+    placed = exchanged.repartitionById(min(shards * parts, MOST_TASKS), "cell").withColumn("at", (F.row_number().over(again) - 1).cast("long"))
     first = F.lit(0)
     if parts > 1:
         sizes = exchanged.groupBy(F.col("shard").alias("s"), F.col("part").alias("p")).agg(F.count("*").alias("n"))
