@@ -44,7 +44,10 @@ def words(text: Column) -> Column:
 
 
 def lexicon(docs: DataFrame, least: float = LEAST_SHARE, most: float = MOST_SHARE) -> DataFrame:
-    """``term`` in the band, over all rows of ``docs (text)``; counts are pre-aggregated before the shuffle."""
+    """``term`` in the band, over all rows of ``docs (text)``; counts are pre-aggregated before the shuffle.
+
+    Null and empty texts are rows without terms; repeated rows count as often; an empty table gives no term.
+    """
     total = docs.count()
     # without a repeat a term says nothing about a second document
     low, high = max(2, ceil(total * least)), max(2, floor(total * most))

@@ -155,7 +155,7 @@ def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "
     """``row long, trigram``: the trigrams of the rules' queries that occur in each row's lower-case text.
 
     ``row`` is a hash of all columns; rows that share one share their postings, which adds candidates
-    and loses none.
+    and loses none. A null or empty text has no postings, and an empty table none.
     """
     wanted = sorted({t for r in rules for c in trigram_query(r) or () for t in c})
     # the text is lowered once, as a variable of the outer function
@@ -164,7 +164,10 @@ def postings(docs: DataFrame, rules: tuple[Rule, ...] = RULES, text_col: str = "
 
 
 def candidates(index: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``row, kinds array<string>``: rows that hold all trigrams of a clause of the kind's query."""
+    """``row, kinds array<string>``: rows that hold all trigrams of a clause of the kind's query.
+
+    Postings that repeat count once; without postings, or rules with trigrams, there are no candidates.
+    """
     spark = index.sparkSession
     clauses = [
         (rule.kind, n, len(c), t)

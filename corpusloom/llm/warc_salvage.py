@@ -290,7 +290,8 @@ def write_files(archives: DataFrame, folder: str) -> DataFrame:
 
     Each file is written under another name and then moved to its own, so a task that is run again
     leaves whole files with the same content. ``folder`` is an absolute path or any address that Arrow's
-    file systems know. A null archive is an empty file. Files are written when the result is read.
+    file systems know. A null archive is an empty file; of archives of one name one stays; other columns,
+    whatever their names, are not read; an empty table gives none. Files are written when the result is read.
     """
     import pyarrow as pa
 
