@@ -323,6 +323,10 @@ def suggested_actions(intention: Column, app: Column, document_type: Column) ->
 
 # What each kind of page is headed by and what is asked about it.
 PAGE_FORMS = {
+    "commerce": (
+        "📄 **CONTENU:**\n",
+        "**MISSION:** Analyse ces informations commerciales. Identifie les meilleurs prix, compare les offres, et donne des conseils d'achat concrets basés sur les données extraites.",
+    ),
     "article": (
         "📰 **ARTICLE:**\n",
         "**MISSION:** Résume cet article en 5 points clés, extrais 3 citations importantes, et génère 3 questions critiques pour approfondir le sujet.",
@@ -335,10 +339,6 @@ PAGE_FORMS = {
         "📧 **CONTENU EMAIL/MESSAGE:**\n",
         "**MISSION:** Résume ce message, extrais les action items et deadlines, identifie les contacts importants et propose un plan de suivi.",
     ),
-    "commerce": (
-        "📄 **CONTENU:**\n",
-        "**MISSION:** Analyse ces informations commerciales. Identifie les meilleurs prix, compare les offres, et donne des conseils d'achat concrets basés sur les données extraites.",
-    ),
 }
 GENERIC_FORM = "**Question à propos de ce contenu :** "
 
