@@ -59,6 +59,16 @@ def hashed_embedding(dims: int = 64):
     return F.pandas_udf(embed, T.ArrayType(T.DoubleType()))
 
 
+def query_text(query: Column) -> Column:
+    """What is embedded for a query."""
+    return F.concat(F.lit("query: "), F.coalesce(query, F.lit("")))
+
+
+def passage_text(content: Column) -> Column:
+    """What is embedded for a chunk."""
+    return F.concat(F.lit("passage: "), F.coalesce(content, F.lit("")))
+
+
 #: Most queries whose vectors travel to every task; more go in blocks.
 SENT_QUERIES = 10_000
 #: Points that are compared with the queries at once in a task.

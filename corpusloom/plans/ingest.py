@@ -42,7 +42,7 @@ def ingest(docs: DataFrame, group_id: str = "default", dims: int = 64) -> DataFr
     return rows.where(collections.embeddable(F.col("content"))).select(
         F.concat_ws(":", "doc_id", "chunk_idx").alias("chunk_id"), "doc_id", F.lit(group_id).alias("group_id"), "chunk_idx", "content",
         chunking.chunk_type(F.col("content")).alias("chunk_type"), "category", "confidence", F.sha2("content", 256).alias("hash"), "language",
-        embed("content").alias("embedding"),
+        embed(vectors.passage_text(F.col("content"))).alias("embedding"),
     )
 
 

@@ -16,8 +16,8 @@ from .registry import batch, chunks, per_document, q, query, r6, sql_any, sql_co
 
 #: Hashed words as vectors: slot and sign of each word, their sums, and cosines from sums of products.
 _DENSE = f"""
-dw AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 128 AS h FROM (SELECT doc_id, unnest({sql_words("lower(content)")}) AS w FROM d0)),
-qw AS (SELECT query_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 128 AS h FROM (SELECT query_id, unnest({sql_words("lower(query)")}) AS w FROM q0)),
+dw AS (SELECT doc_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 128 AS h FROM (SELECT doc_id, unnest({sql_words("lower('passage: ' || content)")}) AS w FROM d0)),
+qw AS (SELECT query_id, CAST('0x' || substr(md5(w), 1, 8) AS BIGINT) % 128 AS h FROM (SELECT query_id, unnest({sql_words("lower('query: ' || coalesce(query, ''))")}) AS w FROM q0)),
 dv AS (SELECT doc_id, h % 64 AS slot, sum(CASE WHEN h < 64 THEN 1.0 ELSE -1.0 END) AS v FROM dw GROUP BY ALL),
 qv AS (SELECT query_id, h % 64 AS slot, sum(CASE WHEN h < 64 THEN 1.0 ELSE -1.0 END) AS v FROM qw GROUP BY ALL),
 dn AS (SELECT doc_id, sqrt(sum(v * v)) AS n FROM dv GROUP BY doc_id), qn AS (SELECT query_id, sqrt(sum(v * v)) AS n FROM qv GROUP BY query_id),
@@ -45,7 +45,8 @@ def rounded(found: DataFrame) -> DataFrame:
 def embedded(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """The query batch and the chunks with a stand-in for the embedding model."""
     embed = vectors.hashed_embedding()
-    return batch(spark, sf_dir).withColumn("embedding", embed("query")), chunks(spark, sf_dir).withColumn("embedding", embed("content"))
+    asked = batch(spark, sf_dir).withColumn("embedding", embed(vectors.query_text(F.col("query"))))
+    return asked, chunks(spark, sf_dir).withColumn("embedding", embed(vectors.passage_text(F.col("content"))))
 
 
 @query(f"""WITH {_DENSE_PAIRS}, r AS (SELECT *, 'Document Text' AS source, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) AS place FROM sd),
