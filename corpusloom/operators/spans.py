@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -52,12 +54,17 @@ def overlapping(spans: DataFrame, ranges: DataFrame) -> DataFrame:
     of_spans, of_ranges = _levels(a, "char_start", "char_end"), _levels(b, "lo", "hi")
     met = []
     same = binned(a, "char_start", "char_end", [], False)
-    for x, y in ((same, binned(b, "lo", "hi", [], False)), (same, binned(b, "lo", "hi", of_spans, True)), (binned(a, "char_start", "char_end", of_ranges, True), binned(b, "lo", "hi", [], False))):
+    sides = [(same, binned(b, "lo", "hi", [], False))]
+    if of_spans and of_ranges and of_spans[-1] > of_ranges[0]:
+        sides.append((same, binned(b, "lo", "hi", of_spans, True)))
+    if of_spans and of_ranges and of_ranges[-1] > of_spans[0]:
+        sides.append((binned(a, "char_start", "char_end", of_ranges, True), binned(b, "lo", "hi", [], False)))
+    for x, y in sides:
         both = x.join(y, ["doc_id", "_level", "_bin"]).where((F.col("char_start") < F.col("hi")) & (F.col("char_end") > F.col("lo")))
         # a pair that shares two bins is kept in the first
         first = F.floor(F.greatest("char_start", "lo") / (F.lit(BIN) * F.pow(F.lit(2), F.col("_level"))))
         met.append(both.where(F.col("_bin") == first).select("range_id", "span_id"))
-    return met[0].unionByName(met[1]).unionByName(met[2])
+    return reduce(DataFrame.unionByName, met)
 
 
 def at_position(spans: DataFrame, positions: DataFrame) -> DataFrame:
