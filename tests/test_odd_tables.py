@@ -24,3 +24,8 @@ DOCUMENTS = "doc_id long, text string, lang string, source string, n_chars long"
 def test_measures_of_long_texts(spark, tmp_path, size):
     rows = [(1, "x" * size, "en", "s", size), (2, "short", "en", "s", 5)]
     assert differing(spark, tmp_path, "text_measures", "documents", rows, DOCUMENTS) == ([], [])
+
+
+def test_regions_of_texts_with_lines(spark, tmp_path):
+    rows = [(4, "token = 'a'\nkey: b", "en", "s", 18), (9, "- a\n- b\nc", "en", "s", 9), (14, "Figure 2 of a page", "en", "s", 18), (19, None, "en", "s", 0), (24, "", "en", "s", 0), (20, "x", "en", "s", 1), (23, "x", "en", "s", 1)]
+    assert differing(spark, tmp_path, "region_kinds", "documents", rows, DOCUMENTS) == ([], [])
