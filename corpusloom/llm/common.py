@@ -5,13 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..storage import checkpointed, clear_stored, scan, shared_dir, stored
+from ..storage import bounded_batches, checkpointed, clear_stored, scan, shared_dir, stored
 
-__all__ = ["checkpointed", "clear_stored", "scan", "shared_dir", "stored"]
+__all__ = ["bounded_batches", "checkpointed", "clear_stored", "scan", "shared_dir", "stored"]
 
 #: Output bytes that a Python worker gathers before it hands a batch to Spark.
 FLUSH_BYTES = 8 << 20
@@ -39,11 +39,6 @@ def row_hash(df: DataFrame, *salt: Column) -> Column:
     return F.xxhash64(*salt, *[F.to_json(c) if "map<" in kind else F.col(c) for c, kind in df.dtypes])
 
 
-def bounded_batches(spark: SparkSession) -> None:
-    """Bound Arrow batches by bytes as well as rows, so that long texts do not gather in a worker."""
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(32 << 20))
-
-
 def arrow_schema(schema: T.StructType) -> pa.Schema:
     from pyspark.sql.pandas.types import to_arrow_schema
 
