@@ -83,3 +83,39 @@ def test_numeric_queries_put_matches_first(spark):
     asked = spark.createDataFrame([(1, "accuracy > 95%")], "query_id long, query string")
     rows = retrieval.hybrid_search(asked, docs, k=3).orderBy("rank").collect()
     assert rows[0].doc_id == 1 and rows[0].has_match and rows[0].query_kind == "DigitCombined" and not rows[1].has_match
+
+
+def test_vectors_meet_in_bounded_matrices(spark, monkeypatch):
+    """A task holds no more scores at once than ``CELLS``, and copies of a vector rank by id."""
+    import numpy as np
+    from corpusloom.functions import vectors
+
+    sizes, real = [], np.zeros
+    rng = np.random.default_rng(1)
+    x = [(n, rng.integers(-1, 2, 3).astype(float).tolist()) for n in range(150)] + [(150, [0.0, 0.0, 0.0]), (151, None), (152, [1.0])]
+    points = spark.createDataFrame(x[::-1], "doc_id long, embedding array<double>").coalesce(1)
+    asked = points.withColumnRenamed("doc_id", "query_id")
+    whole = {(r.query_id, r.doc_id): r.score for r in vectors.similar_pairs(asked, points).collect()}
+    monkeypatch.setattr(vectors, "CELLS", 700)
+    ids = sorted({d for _, d in whole})
+    found = retrieval.vector_search(asked, points, k=7).collect()
+    for q in ids:
+        want = sorted(ids, key=lambda d: (-round(whole[q, d], 9), d))[:7]
+        assert [r.doc_id for r in sorted((r for r in found if r.query_id == q), key=lambda r: r.rank)] == want
+
+    # the function itself, as a task runs it
+    def zeros(shape, *args, **kw):
+        sizes.append(int(np.prod(shape)))
+        return real(shape, *args, **kw)
+
+    class Frame:
+        sparkSession = spark
+
+        def mapInArrow(self, run, schema):
+            return run
+
+    run = vectors._similar_to(asked.collect(), Frame(), 7)
+    monkeypatch.setattr(np, "zeros", zeros)
+    batches = points.toArrow().to_batches()
+    out = [r for b in run(iter(batches)) for r in b.to_pylist()]
+    assert max(sizes) <= 700 and {r["query_id"] for r in out} == set(ids)
