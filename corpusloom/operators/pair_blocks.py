@@ -36,10 +36,18 @@ class Lookup:
 
     def sums(self, row: np.ndarray, term: np.ndarray, weight: np.ndarray | None, rows: int, queries: int) -> list[np.ndarray]:
         """The number of terms that have met, and the sum of each kind of number, as matrices of rows by queries."""
-        entry, at = term_batches.expand(np.arange(len(row)), term, self.starts, self.counts, np.arange(len(self.query)))
-        cell = row[entry] * queries + self.query[at]
-        out = [np.bincount(cell, minlength=rows * queries)]
-        out += [np.bincount(cell, weights=v[at] if weight is None else v[at] * weight[entry], minlength=rows * queries) for v in self.values]
+        out = [np.zeros(rows * queries, np.int64), *(np.zeros(rows * queries) for _ in self.values)]
+        for a, b in term_batches.bounded(self.counts[term], term_batches.ENTRIES):
+            entry, at = term_batches.expand(np.arange(a, b), term[a:b], self.starts, self.counts, np.arange(len(self.query)))
+            if not len(entry):
+                continue
+            # rows lie in order
+            first, last = int(row[entry[0]]), int(row[entry[-1]]) + 1
+            cell, own = (row[entry] - first) * queries + self.query[at], slice(first * queries, last * queries)
+            size = (last - first) * queries
+            out[0][own] += np.bincount(cell, minlength=size)
+            for x, v in zip(out[1:], self.values, strict=True):
+                x[own] += np.bincount(cell, weights=v[at] if weight is None else v[at] * weight[entry], minlength=size)
         return [x.reshape(rows, queries) for x in out]
 
 

@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Rows of a batch that are looked up at once, and bytes of text.
-ROWS, BYTES = 2048, 16 << 20
+ROWS, BYTES = 1024, 1 << 20
 #: Distinct words whose terms a task remembers, and characters of the longest of them.
 KEPT_WORDS, KEPT_CHARS = 500_000, 64
 
@@ -132,6 +132,20 @@ def expand(rows: np.ndarray, codes: np.ndarray, starts: np.ndarray, counts: np.n
     return np.repeat(rows, n), values[at]
 
 
+#: Entries that are expanded at once.
+ENTRIES = 1 << 21
+
+
+def bounded(sizes: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Ranges of rows whose sizes add up to about ``most``, or of one row."""
+    ends = np.cumsum(sizes)
+    at = 0
+    while at < len(sizes):
+        to = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + most, side="right")))
+        yield at, to
+        at = to
+
+
 def as_lists(rows: np.ndarray, n: int, *columns: np.ndarray) -> list[pa.Array]:
     """Columns of sorted rows as lists of integers, one list a row of ``n``."""
     ends = pa.array(np.searchsorted(rows, np.arange(n + 1)), pa.int32())
