@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import any_of
+from ..storage import sliced
 
 # Fixed values.
 TRACKING = ("utm_source", "utm_medium", "utm_campaign", "utm_content", "utm_term", "fbclid", "gclid", "ref", "source", "campaign", "_ga", "_gid", "mc_cid", "mc_eid")
@@ -263,7 +264,7 @@ def extract_pages(pages: DataFrame) -> DataFrame:
 
     def run(batches):
         columns = ["page_id", "title", "main_text", "page_class", "confidence", "score", "headings", "tables", "meta", "open_graph", "microdata", "jsonld"]
-        for pdf in batches:
+        for pdf in sliced(batches):
             yield pd.DataFrame([(k, *extract_page(h or "")) for k, h in zip(pdf["page_id"], pdf["html"], strict=True)], columns=columns)
 
     return pages.select("page_id", "html").mapInPandas(run, PAGE)
