@@ -244,6 +244,10 @@ CELLS = 16
 GROUP, CHUNK = 4096, 1000
 #: Further blocks on which a group that stays large is split, one after another, before all its pairs are compared in tiles.
 DEPTH = 4
+#: Sets whose shingles tell which are frequent, and how many frequent ones are told; both change the order of shingles only.
+ORDER_SETS, ORDER_TERMS = 10_000, 100_000
+#: Bits of the widest parity map of a set.
+MOST_BITS = 1 << 16
 #: Bits of the first hash of a set of shingles; sets that share it are told apart by a second one of 64 bits.
 NODE_BITS = 64
 
@@ -351,17 +355,18 @@ def set_links(sets: DataFrame) -> DataFrame:
     near copies shrinks to a few; if many are left, they are not near each other and are dealt by each
     further block that they share as well. What is still crowded after ``DEPTH`` further blocks is
     compared pair by pair, tile by tile, and so are rows of a crowd that have no further block, with
-    all of the crowd. No group of any size meets in one task.
+    all of the crowd. No group of any size meets in one task. Pairs that no group proposes are met by
+    :func:`missed_links`.
     """
     counts = checkpointed(sets.select(F.explode("blocks").alias("k")).groupBy("k").agg(F.count("*").alias("n")).where("n > 1"))
     dealt = sets.select("node", "fp", F.explode("blocks").alias("k"))
     links = [checkpointed(_grouped_links(dealt.join(counts.where(F.col("n") <= GROUP), "k", "left_semi")))]
     hot = counts.where(F.col("n") > GROUP)
-    placed = sets.select("node", "fp", "blocks", F.posexplode("blocks").alias("place", "k"))
+    placed = sets.select("node", "fp", F.size("blocks").alias("last"), F.posexplode("blocks").alias("place", "k"))
     for depth in range(DEPTH + 1):
         if hot.isEmpty():
             break
-        rows = stored(placed.join(hot, "k").select("k", "n", "place", "node", "fp", "blocks"), "hot")
+        rows = stored(placed.join(hot, "k").select("k", "n", "place", "last", "node", "fp"), "hot")
         for turn in range(3):
             # parts of a group by a hash that differs from turn to turn
             part = F.pmod(F.xxhash64("node", F.lit(turn)), F.ceil(F.col("n") / GROUP))
@@ -378,13 +383,14 @@ def set_links(sets: DataFrame) -> DataFrame:
                 break
         links.append(checkpointed(_grouped_links(rows.where(F.col("n") <= GROUP).select("k", "node", "fp"))))
         crowd = rows.where(F.col("n") > GROUP)
-        ended = F.lit(depth == DEPTH) | (F.col("place") + 1 >= F.size("blocks"))
+        ended = F.lit(depth == DEPTH) | (F.col("place") + 1 >= F.col("last"))
         links.append(checkpointed(_tiled_links(crowd.select("k", "n", "node", "fp", ended.alias("ended")))))
         if depth == DEPTH:
             break
-        further = F.posexplode(F.expr("slice(blocks, place + 2, size(blocks))")).alias("more", "other")
-        deeper = crowd.select("k", "node", "fp", "blocks", "place", further)
-        placed = deeper.select("node", "fp", "blocks", (F.col("place") + 1 + F.col("more")).alias("place"), F.xxhash64("k", "other").alias("k"))
+        further = F.posexplode(F.expr("slice(blocks, place + 2, last)")).alias("more", "other")
+        # only what is still crowded meets its blocks again
+        deeper = crowd.select("k", "node", "fp", "place", "last").join(sets.select("node", "blocks"), "node").select("k", "node", "fp", "place", "last", further)
+        placed = deeper.select("node", "fp", "last", (F.col("place") + 1 + F.col("more")).alias("place"), F.xxhash64("k", "other").alias("k"))
         counts = checkpointed(placed.groupBy("k").agg(F.count("*").alias("n")).where("n > 1"))
         links.append(checkpointed(_grouped_links(placed.join(counts.where(F.col("n") <= GROUP), "k", "left_semi").select("k", "node", "fp"))))
         hot = counts.where(F.col("n") > GROUP)
@@ -504,12 +510,175 @@ def exact_components(texts: DataFrame, words: int) -> DataFrame:
     return connected_components(reduce(DataFrame.unionByName, links))
 
 
+def parity_map(hashes: np.ndarray) -> bytes:
+    """A bit for each residue of the distinct hashes: 1 if an odd number has it; as many bits as hashes or more, up to ``MOST_BITS``.
+
+    Each hash that one of two sets has alone changes one bit, so two maps differ in no more bits than
+    there are such hashes. A map of half the width is both halves of the bits added.
+    """
+    width = min(max(64, 1 << max(len(hashes) - 1, 0).bit_length()), MOST_BITS)
+    at = (_mixed(hashes, 11) & np.uint64(width - 1)).astype(np.int64)
+    return np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8)).tobytes()
+
+
+def near_maps(sizes: np.ndarray, maps: list[bytes], some: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of the rows ``some`` and ``others`` whose sizes and parity maps allow a similarity of 0.8; no pair that has it is left out."""
+    found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+    wide = np.array([len(m) for m in maps], dtype=np.int64)
+    folded: dict[tuple[int, int], np.ndarray] = {}
+
+    def lanes(rows: np.ndarray, own: int, width: int, side: int) -> np.ndarray:
+        if (side, own, width) not in folded:
+            x = np.frombuffer(b"".join(maps[r] for r in rows), dtype=np.uint64).reshape(len(rows), -1)
+            while x.shape[1] * 8 > width:
+                half = x.shape[1] // 2
+                x = x[:, :half] ^ x[:, half:]
+            folded[side, own, width] = x
+        return folded[side, own, width]
+
+    for u in np.unique(wide[some]).tolist():
+        for v in np.unique(wide[others]).tolist():
+            a, b, width = some[wide[some] == u], others[wide[others] == v], min(u, v)
+            # sets of a similarity of 0.8 differ in size by a quarter at most, so their widths by one step
+            if 5 * sizes[a].max() < 4 * sizes[b].min() or 5 * sizes[b].max() < 4 * sizes[a].min():
+                continue
+            x, y = lanes(a, u, width, 0), lanes(b, v, width, 1)
+            step = max(1, DIRECT * DIRECT // max(len(b), 1))
+            for low in range(0, len(a), step):
+                one = a[low : low + step]
+                differ = np.zeros((len(one), len(b)), dtype=np.int32)
+                for lane in range(x.shape[1]):
+                    differ += np.bitwise_count(x[low : low + step, lane][:, None] ^ y[:, lane][None, :])
+                m, n = sizes[one][:, None], sizes[b][None, :]
+                i, j = np.nonzero((9 * differ <= m + n) & (5 * m >= 4 * n) & (5 * n >= 4 * m))
+                found.append((one[i], b[j]))
+    return tuple(np.concatenate(c) for c in zip(*found, strict=True))
+
+
+def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that many sets hold, ascending, and how many of some ``ORDER_SETS`` sets do; ``texts (node, text)``, at most ``ORDER_TERMS`` shingles."""
+    every = max(1, -(-texts.count() // ORDER_SETS))
+    some = texts.where(F.pmod(F.xxhash64("node", F.lit("order")), F.lit(every)) == 0)
+    schema = pa.schema([("h", pa.int64()), ("n", pa.int64())])
+
+    def run(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                part, sets = batch.slice(at, 256), []
+                for node, text in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    if node not in seen:
+                        seen.add(node)
+                        sets.append(np.unique(shingle_hashes(text, words)))
+                if sets:
+                    h, n = np.unique(np.concatenate(sets), return_counts=True)
+                    yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], schema=schema)
+
+    bounded_batches(texts.sparkSession)
+    counts = some.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where("n > 2")
+    told = counts.orderBy(F.desc("n"), "h").limit(ORDER_TERMS).collect()  # a bounded list
+    h, n = np.array([r.h for r in told], dtype=np.int64).view(np.uint64), np.array([r.n for r in told], dtype=np.int64)
+    order = np.argsort(h)
+    return h[order], n[order]
+
+
+def prefix_of(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """The first of the distinct hashes by rarity, as many as a set of similarity 0.8 can not do without: two such sets share one of them.
+
+    A similar set holds four fifths of the hashes at least. In any one order of all hashes the first
+    fifth and one more of either set therefore meet.
+    """
+    size = len(hashes)
+    keep = size - (4 * size + 4) // 5 + 1
+    if not size or keep >= size:
+        return hashes
+    rarity = np.zeros(size, dtype=np.int64)
+    if len(frequent):
+        at = np.minimum(np.searchsorted(frequent, hashes), len(frequent) - 1)
+        rarity = np.where(frequent[at] == hashes, counts[at], 0)
+    return hashes[np.lexsort((_mixed(hashes, 7), rarity))[:keep]]
+
+
+def missed_links(rows: DataFrame, sets: DataFrame, roots: DataFrame, words: int) -> DataFrame:
+    """``a, b``: links by exact similarity between sets that ``roots (node, root)`` leaves apart; with these links the components are whole.
+
+    Each set stands under its rarest shingles, of which any two similar sets share one, so every pair
+    of similar sets meets. Of those that meet, pairs of one root, or whose sizes or parity maps rule out
+    the similarity, go; the texts decide the others. ``rows (node, text)`` may repeat a node;
+    ``sets (node, size, map)`` has each once. A crowded shingle is compared chunk by chunk.
+    """
+    frequent, counts = _frequent(rows, words)
+    spark = rows.sparkSession
+    pair_schema = pa.schema([("k", pa.int64()), ("node", pa.int64())])
+
+    def keys(batches):
+        seen: set[int] = set()
+        for batch in batches:
+            for at in range(0, batch.num_rows, 256):
+                ks, nodes, sizes = [], [], []
+                for node, text in zip(*(c.to_pylist() for c in batch.slice(at, 256).columns), strict=True):
+                    if node in seen:
+                        continue
+                    if len(seen) < 1 << 20:
+                        seen.add(node)
+                    ks.append(prefix_of(np.unique(shingle_hashes(text, words)), frequent, counts))
+                    nodes.append(node)
+                    sizes.append(len(ks[-1]))
+                if ks:
+                    columns = np.concatenate(ks).view(np.int64), np.repeat(np.array(nodes, dtype=np.int64), sizes)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=pair_schema)
+
+    def shared(batches):
+        # a key of one node meets nothing
+        for k, _, node in _groups(pa.RecordBatch.from_arrays([b.column(0), b.column(0), b.column(1)], names=["t", "k", "node"]) for b in batches):
+            node = np.unique(node)
+            if len(node) > 1:
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), k, dtype=np.int64)), pa.array(node)], schema=pair_schema)
+
+    bounded_batches(spark)
+    dealt = rows.mapInArrow(keys, "k long, node long").repartition("k").sortWithinPartitions("k").mapInArrow(shared, "k long, node long")
+    placed = stored(dealt.join(roots.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"), "left").select("k", "node", F.coalesce("root", "node").alias("root")), "shared")
+    held = placed.groupBy("k", "root").agg(F.count("*").alias("m"))
+    groups = held.groupBy("k").agg(F.sum("m").alias("n"), F.max("m").alias("most"), F.max_by("root", F.struct("m", "root")).alias("main")).where("n > most")
+    groups = checkpointed(groups.select("k", "n", (F.col("n") - F.col("most")).alias("few"), "main"))
+    size = max(GROUP, 1)
+
+    def chunk_of(n: str):
+        return F.pmod(F.xxhash64("node", F.lit(n)), F.ceil(F.col(n) / size))
+
+    def each(n: str):
+        return F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / size) - 1))
+
+    # what is not of a key's largest component meets all that the key has
+    both = placed.join(groups, "k")
+    minor = both.where("root <> main").select("k", "node", "root", chunk_of("few").alias("i"), each("n").alias("j"), F.lit(True).alias("side"))
+    all_ = both.select("k", "node", "root", each("few").alias("i"), chunk_of("n").alias("j"), F.lit(False).alias("side"))
+    tiles = minor.unionByName(all_).select(F.xxhash64("k", "i", "j").alias("t"), "k", "node", "root", "side")
+    tiles = tiles.join(sets.select(F.col("node").alias("_n"), "size", "map"), F.col("node") == F.col("_n")).select("t", "k", "node", "root", "side", "size", "map")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def meet(batches):
+        for _, _, node, root, side, sizes, maps in _groups(batches):
+            side = side.astype(bool)
+            a, b = near_maps(sizes.astype(np.int64), list(maps), np.flatnonzero(side), np.flatnonzero(~side))
+            apart = root[a] != root[b]
+            a, b = node[a[apart]], node[b[apart]]
+            if len(a):
+                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+
+    pairs = stored(tiles.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(meet, "a long, b long").distinct(), "pairs")
+    ends = pairs.select(F.xxhash64("a", "b").alias("g"), F.explode(F.array("a", "b")).alias("node"))
+    texts = rows.join(ends.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text"))
+    return checkpointed(exact_links(ends.join(texts, "node").select("g", "node", "text"), words))
+
+
 def keep_one(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``df``, all columns, without near-duplicates: of each component exactly one row stays.
 
     Documents link if the sets of their word shingles, repeats left out, have a Jaccard similarity of
-    0.8 or more. Blocks and SimHash fingerprints of the sets only propose components; within each of
-    them the sets themselves decide. Texts of equal shingle sets, by two hashes of 64 bits, always link,
+    0.8 or more. Blocks and SimHash fingerprints of the sets propose components, and within each of
+    them the sets themselves decide; what they have not proposed is met by its rarest shingles, so no
+    link is lost. Texts of equal shingle sets, by two hashes of 64 bits, always link,
     so null, empty and blank texts do. The row that stays is the one with the smallest id, rows without an id last; of several
     the one with the smallest hash of all its columns, so the result does not depend on the order of
     the rows. Repeated rows are one row afterwards; columns of any name are carried; an empty table
@@ -521,7 +690,7 @@ def keep_one(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: st
     source = plain.select(
         *plain.columns, F.monotonically_increasing_id().alias("rid"), own_id.alias("id"), row_hash(plain).alias("hash"), F.col(f"c{text_at}").cast("string").alias("body")
     )
-    target = T.StructType([*source.schema.fields[:-1], *T.StructType.fromDDL("node long, check long, fp binary, blocks array<long>").fields])
+    target = T.StructType([*source.schema.fields[:-1], *T.StructType.fromDDL("node long, check long, size int, map binary, fp binary, blocks array<long>").fields])
     out_schema = arrow_schema(target)
 
     def run(batches):
@@ -530,23 +699,26 @@ def keep_one(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: st
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                node, check, fp, blocks = [], [], [], []
+                node, check, size, maps, fp, blocks = [], [], [], [], [], []
                 for text in part.column(part.num_columns - 1).to_pylist():
                     hashes = np.unique(shingle_hashes(text, words))
                     node.append(xxhash.xxh64_intdigest(hashes.tobytes(), 42) >> (64 - NODE_BITS))
                     check.append(xxhash.xxh64_intdigest(hashes.tobytes(), 43))
+                    size.append(len(hashes))
+                    maps.append(parity_map(hashes))
                     fp.append(majority_bits(hashes, LANES))
                     blocks.append(set_blocks(hashes))
                 ends = np.cumsum([0, *map(len, blocks)])
                 columns = [
-                    *part.columns[:-1], *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (node, check)), pa.array(fp, pa.binary()),
+                    *part.columns[:-1], *(pa.array(np.array(x, dtype=np.uint64).view(np.int64)) for x in (node, check)),
+                    pa.array(size, pa.int32()), pa.array(maps, pa.binary()), pa.array(fp, pa.binary()),
                     pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(blocks))),
                 ]
                 yield pa.RecordBatch.from_arrays([c.cast(f.type) for c, f in zip(columns, out_schema, strict=True)], schema=out_schema)
 
     bounded_batches(df.sparkSession)
     rows = stored(source.mapInArrow(run, target), "sets")
-    sets = rows.groupBy("node", "check").agg(F.min("rid").alias("rid"), F.any_value("fp").alias("fp"), F.any_value("blocks").alias("blocks"))
+    sets = rows.groupBy("node", "check").agg(F.min("rid").alias("rid"), *[F.any_value(c).alias(c) for c in ("size", "map", "fp", "blocks")])
     # different sets of one first hash, of which there are hardly any, get nodes of their own
     same = F.row_number().over(Window.partitionBy("node").orderBy("check"))
     sets = stored(sets.withColumn("first", F.col("node")).withColumn("node", F.when(same == 1, F.col("node")).otherwise(F.xxhash64("node", "check"))), "nodes")
@@ -558,7 +730,14 @@ def keep_one(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: st
     # the text of one row a set
     asked = sets.select("node", F.col("rid").alias("_rid")).join(parts, F.col("node") == F.col("_n")).select("part", "node", "_rid")
     texts = stored(rows.select("rid", F.col(f"c{text_at}").cast("string").alias("text")).join(asked, F.col("rid") == F.col("_rid")).select("part", "node", "text"), "texts")
-    roots = checkpointed(exact_components(texts, words).withColumnRenamed("node", "_n"))
+    roots = checkpointed(exact_components(texts, words))
+    bodies = rows.select("rid", "node", "check", F.col(f"c{text_at}").cast("string").alias("text"))
+    if not moved.isEmpty():
+        bodies = bodies.join(F.broadcast(moved), (F.col("node") == F.col("first")) & (F.col("check") == F.col("_check")), "left").withColumn("node", F.coalesce("own", "node"))
+    missed = missed_links(bodies.select("node", "text"), sets, roots, words)
+    if not missed.isEmpty():
+        roots = checkpointed(connected_components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).unionByName(missed)))
+    roots = roots.withColumnRenamed("node", "_n")
     narrow = nodes.join(roots, F.col("node") == F.col("_n"), "left").select("rid", "id", "hash", F.coalesce("root", "node").alias("root"))
     narrow = checkpointed(narrow)
     order = F.struct(F.col("id").isNull().alias("x"), "id", "hash", "rid")

@@ -259,3 +259,35 @@ def test_hub_in_components(spark):
     edges = [(0, i) for i in range(1, 3000)] + [(i, 5000 + i) for i in range(100)]
     found = {r.node: r.root for r in common.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert len(found) == 3100 and set(found.values()) == {0}
+
+
+def test_pairs_whose_fingerprints_are_far_apart(spark):
+    """Pairs of similarity 0.8 that differ in 69 to 73 of 256 bits, as these seeds' words do, are linked all the same."""
+    texts = []
+    for seed in (1427, 1869, 3420, 4666):
+        rng = random.Random(seed)
+        words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(9)]
+        texts += [" ".join(words), " ".join(words[:8])]
+    fps = [np.frombuffer(sb.majority_bits(np.unique(sb.shingle_hashes(t, 5)), sb.LANES), dtype=np.uint64) for t in texts]
+    assert all(np.bitwise_count(a ^ b).sum() > sb.NEAR_BITS for a, b in zip(fps[::2], fps[1::2], strict=True))
+    kept = sb.keep_one(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    assert sorted(r.doc_id for r in kept.collect()) == brute_kept(texts) == [0, 2, 4, 6]
+
+
+@pytest.mark.parametrize("group", [3, 4096])
+def test_links_without_any_proposal(spark, monkeypatch, group):
+    """With no components to start from, pairs that meet by rare shingles give all of them, in chunks too."""
+    monkeypatch.setattr(sb, "GROUP", group)
+    rng = random.Random(13)
+    some = lambda n: ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(n)]
+    base, line, texts = some(90), some(20), []
+    for n in (4, 9, 40, 90, 90, 90, 90):
+        texts += [" ".join(base[:n])] + [" ".join(base[k:n] + some(rng.randint(0, n // 6))) for k in range(3)]
+    texts += [" ".join(some(5) + line + some(2)) for _ in range(12)] + [" ".join(line * k + some(1)) for k in range(1, 4)]
+    sets = [np.unique(sb.shingle_hashes(t, 5)) for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    held = spark.createDataFrame([(n, len(s), sb.parity_map(s)) for n, s in enumerate(sets)], "node long, size int, map binary")
+    links = sb.missed_links(rows, held, spark.createDataFrame([], "node long, root long"), 5)
+    found = {frozenset((r.a, r.b)) for r in links.collect()}
+    near = lambda a, b: 5 * len(np.intersect1d(a, b)) >= 4 * len(np.union1d(a, b))
+    assert found == {frozenset((i, j)) for i in range(len(sets)) for j in range(i) if near(sets[i], sets[j])} and len(found) > 20
