@@ -246,6 +246,8 @@ GROUP, CHUNK = 4096, 1000
 DEPTH = 4
 #: Sets whose shingles tell which are frequent, and how many frequent ones are told; both change the order of shingles only.
 ORDER_SETS, ORDER_TERMS = 10_000, 100_000
+#: Sets up to which their numbers are sent to all tasks, so that other texts are not shuffled.
+SENT_NODES = 200_000
 #: Bits of the widest parity map of a set.
 MOST_BITS = 1 << 16
 #: Bits of the first hash of a set of shingles; sets that share it are told apart by a second one of 64 bits.
@@ -599,17 +601,29 @@ def prefix_of(hashes: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> n
     return hashes[np.lexsort((_mixed(hashes, 7), rarity))[:keep]]
 
 
+def shared_prefix(m: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """How many hashes the prefixes (:func:`prefix_of`) of sets of ``m`` and ``n`` hashes share at least if their similarity is 0.8.
+
+    What the sets share, four ninths of both sizes at least, lies in both prefixes or behind that prefix
+    which ends first; behind a prefix are four fifths of its set, less one.
+    """
+    behind = (4 * np.maximum(m, n) + 4) // 5 - 1
+    return np.maximum((4 * (m + n) + 8) // 9 - behind, 1)
+
+
 def missed_links(rows: DataFrame, sets: DataFrame, roots: DataFrame, words: int) -> DataFrame:
     """``a, b``: links by exact similarity between sets that ``roots (node, root)`` leaves apart; with these links the components are whole.
 
     Each set stands under its rarest shingles, of which any two similar sets share one, so every pair
     of similar sets meets. Of those that meet, pairs of one root, or whose sizes or parity maps rule out
-    the similarity, go; the texts decide the others. ``rows (node, text)`` may repeat a node;
-    ``sets (node, size, map)`` has each once. A crowded shingle is compared chunk by chunk.
+    the similarity, go, and so do pairs that share too few of their rarest shingles; the texts decide
+    the others. ``rows (node, text)`` may repeat a node; ``sets (node, size, map)`` has each once. A
+    crowded shingle is compared chunk by chunk.
     """
     frequent, counts = _frequent(rows, words)
     spark = rows.sparkSession
-    pair_schema = pa.schema([("k", pa.int64()), ("node", pa.int64())])
+    kind = "k long, node long, size int"
+    key_schema = pa.schema([("k", pa.int64()), ("node", pa.int64()), ("size", pa.int32())])
 
     def keys(batches):
         seen: set[int] = set()
@@ -621,23 +635,25 @@ def missed_links(rows: DataFrame, sets: DataFrame, roots: DataFrame, words: int)
                         continue
                     if len(seen) < 1 << 20:
                         seen.add(node)
-                    ks.append(prefix_of(np.unique(shingle_hashes(text, words)), frequent, counts))
+                    hashes = np.unique(shingle_hashes(text, words))
+                    ks.append(prefix_of(hashes, frequent, counts))
                     nodes.append(node)
-                    sizes.append(len(ks[-1]))
+                    sizes.append(len(hashes))
                 if ks:
-                    columns = np.concatenate(ks).view(np.int64), np.repeat(np.array(nodes, dtype=np.int64), sizes)
-                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=pair_schema)
+                    times = [len(k) for k in ks]
+                    columns = np.concatenate(ks).view(np.int64), np.repeat(np.array(nodes, dtype=np.int64), times), np.repeat(np.array(sizes, dtype=np.int32), times)
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=key_schema)
 
     def shared(batches):
         # a key of one node meets nothing
-        for k, _, node in _groups(pa.RecordBatch.from_arrays([b.column(0), b.column(0), b.column(1)], names=["t", "k", "node"]) for b in batches):
-            node = np.unique(node)
+        for k, _, node, size in _groups(pa.RecordBatch.from_arrays([b.column(n) for n in (0, 0, 1, 2)], names=["t", "k", "node", "size"]) for b in batches):
+            node, at = np.unique(node, return_index=True)
             if len(node) > 1:
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), k, dtype=np.int64)), pa.array(node)], schema=pair_schema)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(node), k, dtype=np.int64)), pa.array(node), pa.array(size[at])], schema=key_schema)
 
     bounded_batches(spark)
-    dealt = rows.mapInArrow(keys, "k long, node long").repartition("k").sortWithinPartitions("k").mapInArrow(shared, "k long, node long")
-    placed = stored(dealt.join(roots.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"), "left").select("k", "node", F.coalesce("root", "node").alias("root")), "shared")
+    dealt = rows.mapInArrow(keys, kind).repartition("k").sortWithinPartitions("k").mapInArrow(shared, kind)
+    placed = stored(dealt.join(roots.select(F.col("node").alias("_n"), "root"), F.col("node") == F.col("_n"), "left").select("k", "node", "size", F.coalesce("root", "node").alias("root")), "shared")
     held = placed.groupBy("k", "root").agg(F.count("*").alias("m"))
     groups = held.groupBy("k").agg(F.sum("m").alias("n"), F.max("m").alias("most"), F.max_by("root", F.struct("m", "root")).alias("main")).where("n > most")
     groups = checkpointed(groups.select("k", "n", (F.col("n") - F.col("most")).alias("few"), "main"))
@@ -649,8 +665,24 @@ def missed_links(rows: DataFrame, sets: DataFrame, roots: DataFrame, words: int)
     def each(n: str):
         return F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col(n) / size) - 1))
 
-    # what is not of a key's largest component meets all that the key has
     both = placed.join(groups, "k")
+    # few pairs are counted key by key; two similar sets share as many of their rarest shingles as :func:`shared_prefix` says
+    little = F.col("n") * F.col("few") <= DIRECT
+    counted_schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("need", pa.int64())])
+
+    def count(batches):
+        for _, _, node, size, root in _groups(pa.RecordBatch.from_arrays([b.column(n) for n in (0, 0, 1, 2, 3)], names=["t", "k", "node", "size", "root"]) for b in batches):
+            i, j = np.nonzero((node[:, None] < node[None, :]) & (root[:, None] != root[None, :]))
+            m, n = size[i].astype(np.int64), size[j].astype(np.int64)
+            near = (5 * m >= 4 * n) & (5 * n >= 4 * m)
+            if near.any():
+                columns = node[i[near]], node[j[near]], shared_prefix(m[near], n[near])
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], schema=counted_schema)
+
+    counted = both.where(little).select("k", "node", "size", "root").repartition("k").sortWithinPartitions("k").mapInArrow(count, "a long, b long, need long")
+    enough = counted.groupBy("a", "b").agg(F.count("*").alias("c"), F.first("need").alias("need")).where("c >= need").select("a", "b")
+    # of crowded keys, what is not of the largest component meets all that the key has, and the maps decide
+    both = both.where(~little)
     minor = both.where("root <> main").select("k", "node", "root", chunk_of("few").alias("i"), each("n").alias("j"), F.lit(True).alias("side"))
     all_ = both.select("k", "node", "root", each("few").alias("i"), chunk_of("n").alias("j"), F.lit(False).alias("side"))
     tiles = minor.unionByName(all_).select(F.xxhash64("k", "i", "j").alias("t"), "k", "node", "root", "side")
@@ -666,10 +698,13 @@ def missed_links(rows: DataFrame, sets: DataFrame, roots: DataFrame, words: int)
             if len(a):
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
 
-    pairs = stored(tiles.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(meet, "a long, b long").distinct(), "pairs")
-    ends = pairs.select(F.xxhash64("a", "b").alias("g"), F.explode(F.array("a", "b")).alias("node"))
-    texts = rows.join(ends.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text"))
-    return checkpointed(exact_links(ends.join(texts, "node").select("g", "node", "text"), words))
+    ruled = tiles.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(meet, "a long, b long").distinct()
+    parts = checkpointed(connected_components(stored(enough.unionByName(ruled), "pairs")).withColumnRenamed("root", "part"))
+    nodes = parts.select("node")
+    nodes = F.broadcast(nodes) if parts.count() <= SENT_NODES else nodes
+    texts = rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.any_value("text").alias("text"))
+    found = exact_components(stored(texts.join(parts, "node").select("part", "node", "text"), "texts"), words)
+    return checkpointed(found.where("node <> root").select(F.col("node").alias("a"), F.col("root").alias("b")))
 
 
 def keep_one(df: DataFrame, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
