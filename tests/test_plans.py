@@ -119,3 +119,11 @@ def test_vectors_meet_in_bounded_matrices(spark, monkeypatch):
     batches = points.toArrow().to_batches()
     out = [r for b in run(iter(batches)) for r in b.to_pylist()]
     assert max(sizes) <= 700 and {r["query_id"] for r in out} == set(ids)
+
+
+def test_sessions_do_not_classify(spark, small):
+    """Sessions take no category, so none is computed for them, and they are the same without."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").limit(20).cache()
+    at = F.lit("2024-01-01").cast("timestamp")
+    without, with_ = (sorted(map(tuple, sessions.open_sessions(ingest.ingest(docs, classified=c), at, F.lit(0.8)).collect())) for c in (False, True))
+    assert without == with_ and without
