@@ -1,4 +1,4 @@
-from corpusloom.operators import answers, sessions
+from corpusloom.operators import answers, layout, sessions
 from corpusloom.plans import ingest, queries_ranking, retrieval
 from pyspark.sql import functions as F
 
@@ -127,3 +127,18 @@ def test_sessions_do_not_classify(spark, small):
     at = F.lit("2024-01-01").cast("timestamp")
     without, with_ = (sorted(map(tuple, sessions.open_sessions(ingest.ingest(docs, classified=c), at, F.lit(0.8)).collect())) for c in (False, True))
     assert without == with_ and without
+
+
+def test_pages_of_boxes_in_small_batches(spark):
+    """Pages lie in batches with others and go on in the next; no page is a call of its own, and no name or page need be there."""
+    rows = [(d, p, float(60 * (i % 3)), float(200 * (i // 6) + 20 * (i // 3 % 2)), 50.0, 12.0, None if i == 4 else f"w{i}") for d in (1, 2, None) for p in (0, 1, None) for i in range(12)]
+    boxes = spark.createDataFrame(rows, "doc_id long, page int, x double, y double, width double, height double, content string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "5")
+    try:
+        found = layout.regions(boxes)
+        assert "FlatMapGroups" not in found._jdf.queryExecution().executedPlan().toString()
+        got = {tuple(r) for r in found.collect()}
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    texts = ("w0 w1 w2 w3  w5", "w6 w7 w8 w9 w10 w11")
+    assert got == {(d, p, n, t, 6, 3, 0.0, 200.0 * n, 170.0, 32.0) for d in (1, 2, None) for p in (0, 1, None) for n, t in enumerate(texts)}
