@@ -17,6 +17,8 @@ __all__ = ["bounded_batches", "checkpointed", "clear_stored", "scan", "shared_di
 FLUSH_BYTES = 8 << 20
 #: Rows that a worker turns into Python objects at once.
 SLICE_ROWS = 128
+#: Rows of a narrow table for a partition, and partitions that it may have however few rows it has.
+PART_ROWS, LEAST_PARTS = 50_000, 8
 
 
 def numbered(df: DataFrame) -> DataFrame:
@@ -83,35 +85,47 @@ def map_rows(
     return df.mapInArrow(run, target)
 
 
+def narrowed(df: DataFrame, rows: int) -> DataFrame:
+    """``df``, of about ``rows`` narrow rows, in no more partitions than these need."""
+    return df.coalesce(max(LEAST_PARTS, rows // PART_ROWS))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """Components of an undirected graph by alternating large-star and small-star steps.
 
     ``edges`` has two comparable, non-null columns ``a`` and ``b``. Returns ``node, root`` for every node
     that an edge names; ``root`` is the smallest node of its component. Each step is a pre-aggregated
     minimum, stored, and a plain join of two exchanges, which adaptive execution splits where many
-    neighbours meet one hub; each round ends in a reliable checkpoint.
+    neighbours meet one hub; each round ends in a reliable checkpoint. Tables of few rows are kept in
+    few partitions, since each partition of a step is files of its own, however few rows it has.
     """
 
-    def digest(e: DataFrame) -> tuple:
-        return tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    def kept(df: DataFrame) -> DataFrame:
+        return narrowed(df, rows)
 
     def lowest(e: DataFrame) -> DataFrame:
-        return checkpointed(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("m", "a").alias("m")))
+        return checkpointed(kept(e.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("k"), F.least("m", "a").alias("m"))))
+
+    def settled(e: DataFrame) -> bool:
+        """Whether each edge leads from a node of one edge to the centre of its star, which no further round changes."""
+        ends = e.select(F.col("a").alias("n"), F.lit(1).alias("leaf"), F.lit(0).alias("centre")).unionByName(e.select(F.col("b").alias("n"), F.lit(0).alias("leaf"), F.lit(1).alias("centre")))
+        return ends.groupBy("n").agg(F.sum("leaf").alias("leaf"), F.max("centre").alias("centre")).where("leaf > 1 or leaf > 0 and centre > 0").isEmpty()
 
     e = checkpointed(
         edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
     )
-    before = digest(e)
-    while before[0]:
+    while rows := e.count():
+        e = kept(e)
+        if settled(e):
+            break
         # a node's neighbours are larger ones, which rows name second, and smaller ones, which rows name first
         both = e.select("a", "b").unionByName(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
         large = (
             both.where("b > a")
             .join(lowest(both), F.col("a") == F.col("k"))
             .select(F.col("b").alias("a"), F.col("m").alias("b"))
-            .distinct()
         )
-        large = checkpointed(large)
+        large = checkpointed(kept(kept(large).distinct()))
         least = lowest(large)
         small = (
             large.join(least, F.col("a") == F.col("k"))
@@ -120,12 +134,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
             .unionByName(least.select(F.col("k").alias("a"), F.col("m").alias("b")))
             .where("a <> b")
             .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-            .distinct()
         )
-        e = checkpointed(small)
-        after = digest(e)
-        if after == before:
-            break
-        before = after
-    roots = e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct()
+        e = checkpointed(kept(kept(small).distinct()))
+    roots = kept(e.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
     return e.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(roots)

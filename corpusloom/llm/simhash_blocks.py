@@ -523,9 +523,8 @@ def parity_map(hashes: np.ndarray) -> bytes:
     return np.packbits((np.bincount(at, minlength=width) & 1).astype(np.uint8)).tobytes()
 
 
-def near_maps(sizes: np.ndarray, maps: list[bytes], some: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs of the rows ``some`` and ``others`` whose sizes and parity maps allow a similarity of 0.8; no pair that has it is left out."""
-    found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64))]
+def near_blocks(sizes: np.ndarray, maps: list[bytes], some: np.ndarray, others: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of the rows ``some`` and ``others`` whose sizes and parity maps allow a similarity of 0.8, of a bounded number of pairs at once; no pair that has it is left out."""
     wide = np.array([len(m) for m in maps], dtype=np.int64)
     folded: dict[tuple[int, int], np.ndarray] = {}
 
@@ -553,10 +552,29 @@ def near_maps(sizes: np.ndarray, maps: list[bytes], some: np.ndarray, others: np
                     differ += np.bitwise_count(x[low : low + step, lane][:, None] ^ y[:, lane][None, :])
                 m, n = sizes[one][:, None], sizes[b][None, :]
                 i, j = np.nonzero((9 * differ <= m + n) & (5 * m >= 4 * n) & (5 * n >= 4 * m))
-                found.append((one[i], b[j]))
+                yield one[i], b[j]
+
+
+def near_maps(sizes: np.ndarray, maps: list[bytes], some: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs of :func:`near_blocks`."""
+    found = [(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64)), *near_blocks(sizes, maps, some, others)]
     return tuple(np.concatenate(c) for c in zip(*found, strict=True))
 
 
+def joined_labels(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``label`` (for each row a row of its component, the least one) after the links between the rows ``a`` and ``b``."""
+    while True:
+        one, two = label[a], label[b]
+        apart = one != two
+        if not apart.any():
+            return label
+        a, b, one, two = a[apart], b[apart], one[apart], two[apart]
+        label = label.copy()
+        np.minimum.at(label, np.maximum(one, two), np.minimum(one, two))
+        while (label[label] != label).any():
+            label = label[label]
+
+
 def _frequent(texts: DataFrame, words: int) -> tuple[np.ndarray, np.ndarray]:
     """Shingles that many sets hold, ascending, and how many of some ``ORDER_SETS`` sets do; ``texts (node, text)``, at most ``ORDER_TERMS`` shingles."""
     every = max(1, -(-texts.count() // ORDER_SETS))
@@ -690,13 +708,17 @@ def missed_links(rows: DataFrame, sets: DataFrame, roots: DataFrame, words: int)
     schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
     def meet(batches):
+        # only the components of the pairs are asked for, so a tile gives links that span them and not its pairs
         for _, _, node, root, side, sizes, maps in _groups(batches):
             side = side.astype(bool)
-            a, b = near_maps(sizes.astype(np.int64), list(maps), np.flatnonzero(side), np.flatnonzero(~side))
-            apart = root[a] != root[b]
-            a, b = node[a[apart]], node[b[apart]]
-            if len(a):
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], schema=schema)
+            own, at = np.unique(node, return_inverse=True)
+            label = np.arange(len(own))
+            for a, b in near_blocks(sizes.astype(np.int64), list(maps), np.flatnonzero(side), np.flatnonzero(~side)):
+                apart = root[a] != root[b]
+                label = joined_labels(label, at[a[apart]], at[b[apart]])
+            far = label != np.arange(len(own))
+            if far.any():
+                yield pa.RecordBatch.from_arrays([pa.array(own[label[far]]), pa.array(own[far])], schema=schema)
 
     ruled = tiles.repartition("t", "k").sortWithinPartitions("t", "k").mapInArrow(meet, "a long, b long").distinct()
     parts = checkpointed(connected_components(stored(enough.unionByName(ruled), "pairs")).withColumnRenamed("root", "part"))

@@ -297,3 +297,40 @@ def test_links_without_any_proposal(spark, monkeypatch, group, direct):
                 x, y = sorted((want[i], want[j]))
                 want = [x if v == y else v for v in want]
     assert own == want and len(set(own)) < len(own) - 15
+
+
+def test_a_crowd_of_pairs_gives_few_links(spark, monkeypatch):
+    """Copies of a crowded key that all pass the maps: a tile writes links that span them, and not its pairs."""
+    monkeypatch.setattr(sb, "DIRECT", 4)
+    written, plain = {}, sb.stored
+
+    def stored(df, name):
+        out = plain(df, name)
+        written[name] = out.count()
+        return out
+
+    monkeypatch.setattr(sb, "stored", stored)
+    rng = random.Random(5)
+    base = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(150)]
+    texts = [" ".join(base[:-1] + [f"last{n}"]) for n in range(60)]
+    sets = [np.unique(sb.shingle_hashes(t, 5)) for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "node long, text string")
+    held = spark.createDataFrame([(n, len(s), sb.parity_map(s)) for n, s in enumerate(sets)], "node long, size int, map binary")
+    links = sb.missed_links(rows, held, spark.createDataFrame([], "node long, root long"), 5)
+    assert {r.root for r in common.connected_components(links).collect()} == {0}
+    assert written["pairs"] < 2 * len(texts)  # 1,770 pairs
+
+
+def test_small_tables_of_components_lie_in_few_partitions(spark):
+    """Each partition of a step is files of its own, so a chain of 40 links is not kept in 64 of them."""
+    names = {"spark.sql.shuffle.partitions": "64", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in names}
+    try:
+        for k, v in names.items():
+            spark.conf.set(k, v)
+        roots = common.connected_components(spark.createDataFrame([(n, n + 1) for n in range(40)] + [(90, 91), (90, 91), (7, 7)], "a long, b long"))
+        assert {(r.node, r.root) for r in roots.collect()} == {(n, 0) for n in range(41)} | {(90, 90), (91, 90)}
+        assert roots.rdd.getNumPartitions() <= 2 * common.LEAST_PARTS
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
