@@ -10,14 +10,18 @@ version's row and not from its text. So a change reads the texts of what has cha
 from __future__ import annotations
 
 import uuid
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
+from itertools import pairwise
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import bare_tokens, with_bigrams
-from ..storage import checkpointed, tables_dir
+from ..functions.text import bare_tokens
+from ..storage import bounded_batches, checkpointed, stored, tables_dir
 from . import bm25
 
 #: Buckets of terms; a search reads those of its terms.
@@ -30,6 +34,31 @@ def _bucket(term: str):
     return F.pmod(F.xxhash64(term), F.lit(BUCKETS)).cast("int")
 
 
+_TERMS = "doc_id long, dl long, terms array<struct<term: string, tf: bigint, uf: bigint>>"
+#: Texts whose terms are counted at once.
+ROWS = 256
+
+
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of ``_TERMS`` for rows of ``doc_id, bare array<string>``: how often each term is a word or a pair of neighbours, and how often a word."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, ROWS):
+            part = batch.slice(at, ROWS)
+            lengths, ends, terms, tf, uf = [], [0], [], [], []
+            for words in part.column(1).to_pylist():
+                single = Counter(words)
+                both = Counter(single)
+                both.update(f"{a}_{b}" for a, b in pairwise(words))
+                lengths.append(2 * len(words) - min(len(words), 1))
+                terms += both
+                tf += both.values()
+                uf += [single.get(t, 0) for t in both]
+                ends.append(len(terms))
+            columns = [pa.array(terms, pa.string()), pa.array(tf, pa.int64()), pa.array(uf, pa.int64())]
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.StructArray.from_arrays(columns, names=["term", "tf", "uf"]))
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(lengths, pa.int64()), lists], names=["doc_id", "dl", "terms"])
+
+
 @dataclass(frozen=True)
 class Segment:
     number: int
@@ -101,14 +130,12 @@ class SegmentedIndex:
 
         A null content is empty; of rows of one id that with the greatest content counts; rows without an id are left out.
         """
-        docs = docs.where("doc_id IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("content").alias("content"))
-        bare = docs.select("doc_id", bare_tokens(F.coalesce("content", F.lit(""))).alias("bare"))
-        size = F.size("bare")
-        listed = bare.select("doc_id", size.alias("words"), (2 * size - F.least(size, F.lit(1))).cast("long").alias("dl"), with_bigrams(F.col("bare")).alias("all"))
-        counted = listed.select("doc_id", "dl", "words", F.posexplode_outer("all").alias("at", "term")).groupBy("doc_id", "dl", "term").agg(F.count("*").alias("tf"), F.count_if(F.col("at") < F.col("words")).alias("uf"))
-        told = F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "tf", "uf")))  # the terms of one text
+        # ranges of ids are cut from the texts as they come, so that their terms are counted once and where they stay
+        ranged = docs.where("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("doc_id"), "content").repartitionByRange("doc_id")
+        docs = ranged.groupBy("doc_id").agg(F.max("content").alias("content"))
         path = f"{self.folder}/segment-{uuid.uuid4().hex}"
-        self._write_segment(counted.groupBy("doc_id", "dl").agg(told.alias("terms")), path)
+        bounded_batches(self.spark)
+        self._write_segment(docs.select("doc_id", bare_tokens(F.coalesce("content", F.lit(""))).alias("bare")).mapInArrow(_counted, _TERMS), path, ranged=True)
         new = self.spark.read.parquet(f"{path}/terms")
         sums = new.agg(F.count("*").alias("n"), F.coalesce(F.sum("dl"), F.lit(0)).alias("dl")).first()
         if not sums.n:
@@ -120,9 +147,9 @@ class SegmentedIndex:
             rows=kept.rows + sums.n, length=kept.length + sums.dl,
         ).merged()
 
-    def _write_segment(self, terms: DataFrame, path: str) -> None:
-        """``terms (doc_id, dl, terms)`` in order of id, and the postings by buckets, of which large ones lie in several files."""
-        terms.repartitionByRange("doc_id").sortWithinPartitions("doc_id").write.option("compression", "zstd").parquet(f"{path}/terms")
+    def _write_segment(self, terms: DataFrame, path: str, ranged: bool = False) -> None:
+        """``terms (doc_id, dl, terms)`` in order of id, and the postings by buckets, of which large ones lie in several files; ``ranged`` terms lie in ranges of ids."""
+        (terms if ranged else terms.repartitionByRange("doc_id")).sortWithinPartitions("doc_id").write.option("compression", "zstd").parquet(f"{path}/terms")
         rows = self.spark.read.parquet(f"{path}/terms").select("doc_id", "dl", F.inline("terms")).withColumn("bucket", _bucket("term"))
         rows.hint("rebalance", "bucket").sortWithinPartitions("bucket", "term").write.option("compression", "zstd").partitionBy("bucket").parquet(f"{path}/postings")
 
@@ -175,4 +202,11 @@ class SegmentedIndex:
             parts.append(self._live(rows.join(named, "term", "left_semi"), s))
         postings = reduce(DataFrame.unionByName, parts) if parts else self.spark.createDataFrame([], "doc_id long, dl long, term string, tf long, uf long")
         frequencies = checkpointed(self.frequencies(named))
-        return bm25.Index(self.documents().select("doc_id", "dl"), postings, frequencies, self.rows, self.length / self.rows if self.rows else 0.0)
+        held, terms = None, ()
+        if names <= bm25.SENT_TERMS:
+            # a row for each document that has any, so that scores are sums within rows
+            terms = tuple(sorted(r.term for r in named.collect()))
+            places = F.broadcast(self.spark.createDataFrame(list(enumerate(terms)), "at int, term string"))
+            rows = postings.join(places, "term").groupBy("doc_id", "dl").agg(F.sort_array(F.collect_list(F.struct("at", F.col("tf").cast("int").alias("tf"), F.col("uf").cast("int").alias("uf")))).alias("l"))
+            held = stored(rows.select("doc_id", "dl", "l.at", "l.tf", "l.uf", F.array().cast("array<int>").alias("inside")), "postings")
+        return bm25.Index(self.documents().select("doc_id", "dl"), postings, frequencies, self.rows, self.length / self.rows if self.rows else 0.0, held, terms)

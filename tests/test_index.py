@@ -123,3 +123,17 @@ def test_bounded_lists_and_what_they_read(spark):
     assert key(found) == key(want) and len(key(want)) >= 120
     read = share.agg(F.sum("read"), F.sum("postings")).first()
     assert 0 < read[0] < 0.6 * read[1]
+
+
+def test_scores_of_segments_are_sums_within_rows(spark):
+    """The index of segments has a row for each document, as that of texts has, so no pair of a term and a query is exchanged."""
+    rng = random.Random(21)
+    docs = [*sample(rng, 60), (60, None), (61, "a_b red fish a b"), (62, "...")]
+    index = segments.SegmentedIndex.empty(spark).upsert(spark.createDataFrame([(i, "old red") for i in range(0, 60, 3)] + [(99, "sky")], "doc_id long, content string"))
+    index = index.upsert(spark.createDataFrame(docs, "doc_id long, content string")).delete(spark.createDataFrame([(99,)], "doc_id long"))
+    queries = [*QUERIES, (5, "a b"), (6, "a_b")]
+    terms = bm25.query_terms(spark.createDataFrame(queries, "query_id long, query string"))
+    held = index.index(terms)
+    assert held.held is not None and 0 < held.held.count() <= len(docs)
+    bare = [(i, t if t != "..." else "") for i, t in docs]
+    assert scores(bm25.bm25(terms, held)) == brute_bm25(bare, queries)
