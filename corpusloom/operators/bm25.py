@@ -166,6 +166,32 @@ def pair_scores(terms: DataFrame, index: Index, top: DataFrame | None = None, k1
     return rows.mapInArrow(run, f"query_id {kind[0].dataType.simpleString()}, doc_id long, sparse double, keyword double, technical double")
 
 
+def best_pairs(terms: DataFrame, index: Index, k: int) -> DataFrame:
+    """``query_id, doc_id, score``: pairs of :func:`bm25` among which are the ``k`` best of each query, ties by id.
+
+    Each task keeps the best of its documents, so a query has no more rows than tasks times ``k``.
+    """
+    if index.held is None or (asked := _sent(terms)) is None:
+        return bm25(terms, index).withColumnRenamed("sparse", "score")
+    sent = index.held.sparkSession.sparkContext.broadcast(scorer(asked, index))
+    kind = terms.schema["query_id"].dataType
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark.sql.pandas.types import to_arrow_type
+
+        own = sent.value
+        best = pair_blocks.Best(len(own.ids), k)
+        for batch in batches if own.ids else ():
+            for part in own.parts(batch):
+                met, scores = own(part)
+                d, q = np.nonzero(met)
+                best.add(q, pair_blocks.doc_ids(part.column(0))[d], scores["sparse"][d, q])
+        yield pa.RecordBatch.from_arrays(best.columns(own.names(to_arrow_type(kind))), names=["query_id", "doc_id", "score"])
+
+    rows = index.held.select("doc_id", "dl", "at", "tf", "inside")
+    return rows.mapInArrow(run, f"query_id {kind.simpleString()}, doc_id long, score double")
+
+
 def words_containing(tokens: DataFrame, vocabulary: DataFrame) -> DataFrame:
     """``token, word`` for the distinct words of ``vocabulary (word)`` that hold a token anywhere.
 

@@ -12,6 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from ..functions import vectors
 from . import term_batches
@@ -100,6 +101,38 @@ class Scorer:
         return pa.array(self.ids, kind)
 
 
+class Best:
+    """The best ``k`` documents of each query so far, by scores of nine decimals and then ids; a null id is the least."""
+
+    def __init__(self, queries: int, k: int) -> None:
+        self.k, self.size = k, queries
+        self.query, self.doc, self.score = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0)
+        self.least = np.full(queries, -np.inf)
+
+    def add(self, query: np.ndarray, doc: np.ndarray, score: np.ndarray) -> None:
+        near = np.round(score, 9) >= self.least[query]
+        query, doc, score = (np.concatenate([a, b[near]]) for a, b in ((self.query, query), (self.doc, doc), (self.score, score)))
+        rounded = np.round(score, 9)
+        order = np.lexsort((doc, -rounded, query))
+        query, doc, score, rounded = query[order], doc[order], score[order], rounded[order]
+        rank = np.arange(len(query)) - np.searchsorted(query, query)
+        last = rank == self.k - 1
+        self.least[query[last]] = rounded[last]
+        self.query, self.doc, self.score = query[rank < self.k], doc[rank < self.k], score[rank < self.k]
+
+    def columns(self, names: pa.Array) -> list[pa.Array]:
+        """The queries by their names, the ids, the scores."""
+        return [names.take(pa.array(self.query)), pa.array(self.doc, mask=self.doc == NO_ID), pa.array(self.score)]
+
+
+#: Stands for a null id.
+NO_ID = np.iinfo(np.int64).min
+
+
+def doc_ids(column: pa.Array) -> np.ndarray:
+    return np.asarray(pc.fill_null(column, int(NO_ID))).astype(np.int64)
+
+
 def with_boosts(scores: dict[str, np.ndarray]) -> dict[str, np.ndarray]:
     """``dense, sparse, keyword`` with both boosts in one, at most 1."""
     return {"dense": scores["dense"], "sparse": scores["sparse"], "keyword": np.minimum(scores["keyword"] + scores["technical"], 1.0)}

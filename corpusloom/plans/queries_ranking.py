@@ -227,7 +227,7 @@ def lexical_hits(spark: SparkSession, sf_dir: str, k: int = 10) -> DataFrame:
     """The best chunks of each query by BM25, with their texts."""
     queries, docs = batch(spark, sf_dir), chunks(spark, sf_dir)
     terms = bm25.query_terms(queries)
-    best = stored(scoring.top_k(bm25.bm25(terms, bm25.build_index(docs, terms)).withColumnRenamed("sparse", "score"), k), "hits")
+    best = stored(scoring.top_k(bm25.best_pairs(terms, bm25.build_index(docs, terms), k), k), "hits")
     return best.join(docs, "doc_id").join(queries, "query_id")
 
 

@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 
 from ..functions import classify, numeric, text, vectors
 from ..operators import bm25, pair_blocks, rerank, scoring
-from ..storage import checkpointed
+from ..storage import checkpointed, stored
 
 def vector_search(queries: DataFrame, points: DataFrame, k: int = 10, min_score: float | None = None) -> DataFrame:
     """``query_id, doc_id, score, rank``: exact cosine top-k; ``min_score`` filters after the top-k, so fewer may be left."""
@@ -31,7 +31,11 @@ def hit_metadata(hits: DataFrame, categories: list[str] | None = None, business:
         "document_id": F.coalesce("document_id", F.lit("unknown")),
         "confidence": F.coalesce("confidence", F.lit(0.85)),
     })
-    out = out.withColumn("category", classify.category(F.col("content")) if categories or business else F.lit("Mixed"))
+    if categories or business:
+        # stored, so that a filter on the category is not moved to the table of the texts, all of which would be classified
+        out = stored(out.withColumn("category", classify.category(F.col("content"))), "hits")
+    else:
+        out = out.withColumn("category", F.lit("Mixed"))
     if categories:
         out = out.where(F.col("category").isin(categories))
     if business:

@@ -137,3 +137,19 @@ def test_scores_of_segments_are_sums_within_rows(spark):
     assert held.held is not None and 0 < held.held.count() <= len(docs)
     bare = [(i, t if t != "..." else "") for i, t in docs]
     assert scores(bm25.bm25(terms, held)) == brute_bm25(bare, queries)
+
+
+def test_best_pairs_hold_the_lists(spark):
+    """Each task tells no more than its best, and the lists are those of all pairs, with many ties, a null id and a null text."""
+    from corpusloom.operators import scoring
+
+    rng = random.Random(4)
+    docs = [*sample(rng, 400), (None, "red fish"), (900, None)]
+    table = spark.createDataFrame(docs, "doc_id long, content string").repartition(3)
+    terms = bm25.query_terms(spark.createDataFrame(QUERIES, "query_id long, query string"))
+    index = bm25.build_index(table, terms)
+    pairs = bm25.best_pairs(terms, index, 5)
+    key = lambda df: sorted((r.query_id, r.rank, r.doc_id or -1, round(r.score, 9)) for r in df.collect())
+    want = key(scoring.top_k(bm25.bm25(terms, index).withColumnRenamed("sparse", "score"), 5))
+    assert key(scoring.top_k(pairs, 5)) == want and len(want) == 10
+    assert pairs.count() <= 10 * index.held.rdd.getNumPartitions() < bm25.bm25(terms, index).count()

@@ -142,3 +142,14 @@ def test_pages_of_boxes_in_small_batches(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     texts = ("w0 w1 w2 w3  w5", "w6 w7 w8 w9 w10 w11")
     assert got == {(d, p, n, t, 6, 3, 0.0, 200.0 * n, 170.0, 32.0) for d in (1, 2, None) for p in (0, 1, None) for n, t in enumerate(texts)}
+
+
+def test_only_hits_are_classified(spark):
+    """The filter on categories is not moved to the table of all texts."""
+    from corpusloom.plans import retrieval
+
+    texts = spark.createDataFrame([(n, "revenue and profit of the fiscal year" if n % 2 else "words") for n in range(40)], "doc_id long, content string")
+    hits = spark.createDataFrame([(1, 3, 0.5), (1, 4, 0.4)], "query_id long, doc_id long, score double").withColumns({"document_id": F.lit("x"), "confidence": F.lit(None).cast("double")})
+    found = retrieval.hit_metadata(hits.join(texts, "doc_id"), categories=["Business", "Academic", "Legal", "Technical", "Mixed"])
+    assert sorted((r.doc_id, r.confidence) for r in found.collect()) == [(3, 0.85), (4, 0.85)]
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
