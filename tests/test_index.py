@@ -153,3 +153,23 @@ def test_best_pairs_hold_the_lists(spark):
     want = key(scoring.top_k(bm25.bm25(terms, index).withColumnRenamed("sparse", "score"), 5))
     assert key(scoring.top_k(pairs, 5)) == want and len(want) == 10
     assert pairs.count() <= 10 * index.held.rdd.getNumPartitions() < bm25.bm25(terms, index).count()
+
+
+def test_bounded_lists_write_no_pairs(spark, monkeypatch):
+    """What is stored has a row a document at most, and no row for a query and a range; a null id and copies take their places, and joins give the same."""
+    from corpusloom.operators import block_max, scoring
+
+    written, plain = [], block_max.stored
+    monkeypatch.setattr(block_max, "stored", lambda df, name: (out := plain(df, name), written.append(out.count()))[0])
+    rng = random.Random(8)
+    docs = [*sample(rng, 300), (None, "red fish"), (900, None), (901, "red fish sea"), (902, "red fish sea")]
+    terms = bm25.query_terms(spark.createDataFrame(QUERIES, "query_id long, query string"))
+    index = bm25.build_index(spark.createDataFrame(docs, "doc_id long, content string"), terms)
+    key = lambda df: sorted((r.query_id, r.rank, r.doc_id or -1, round(r.score, 9)) for r in df.collect())
+    want = key(scoring.top_k(bm25.bm25(terms, index).withColumnRenamed("sparse", "score"), 7))
+    blocks = block_max.build(index, 4)
+    found, share = block_max.top_k(terms, blocks, 7)
+    assert key(found) == want and len(want) == 14 and sum(written) <= len(docs)
+    joined, all_ = block_max._joined_top_k(terms.where("query_id = 1"), blocks, 7)
+    told = {r.query_id: r.postings for r in share.collect()}
+    assert [x for x in key(joined) if x[2] >= 0] == [x for x in want if x[0] == 1 and x[2] >= 0] and sorted(told) == [1, 2]
