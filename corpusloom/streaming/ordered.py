@@ -8,25 +8,33 @@ their place, and the results are those of the table.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
 SECOND = 1_000_000
-#: Waiting rows that are moved at once when a key's state is rewritten.
+#: Rows that are told at once.
 MOVED_ROWS = 2000
+#: Bytes of a chunk of waiting rows, and chunks that are moved at once when a bucket's state is rewritten.
+CHUNK_BYTES, MOVED_CHUNKS = 256 << 10, 16
+#: Buckets of keys of a stream. State, timers and messages to the state store are those of buckets, not of keys.
+BUCKETS = 1024
 STATE_STORE = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
 class Fold:
     """``fields``: columns that a step reads, with their types (string or long; null is empty or 0).
 
-    ``held`` and ``out`` are the columns of the state and of the results. Times are microseconds.
+    ``held`` and ``out`` are the columns of the state and of the results. Times are microseconds. The state is kept
+    as JSON, so its values are strings, numbers, booleans and lists of them.
     """
 
     fields: dict[str, str] = {}
@@ -183,24 +191,42 @@ def _rows(pdf: pd.DataFrame) -> Iterator[tuple]:
 
 
 class OrderedFold(StatefulProcessor):
-    """Rows wait in one of two lists until the watermark has passed them; when some are due, the others move to the other list.
+    """The folds of a bucket of keys. Rows wait in chunks in one of two lists until the watermark has passed them; when some are due, the others move to the other list.
 
-    The times and fields of a key's waiting rows are sorted in memory, the carried columns are not held.
+    A chunk is a piece of an Arrow stream, and the states of a bucket's keys are one value, so that the messages
+    to the state store do not grow with rows and keys. The times and fields of a bucket's due rows are sorted in
+    memory, the carried columns are not held.
     """
 
     def __init__(self, fold: Fold, schema: T.StructType) -> None:
         self.fold, self.schema = fold, schema
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        kinds = ", ".join(f"f{n} {kind}" for n, kind in enumerate(self.fold.fields.values()))
-        row = f"t long, tie string, {kinds + ', ' if kinds else ''}carried array<string>"
+        kinds = [(f"f{n}", pa.string() if kind == "string" else pa.int64()) for n, kind in enumerate(self.fold.fields.values())]
+        self.own = ["k", "t", "tie", *(name for name, _ in kinds)]
+        self.rows = pa.schema([("k", pa.string()), ("t", pa.int64()), ("tie", pa.string()), *kinds, ("carried", pa.list_(pa.string()))])
         self.handle = handle
-        self.lists = [handle.getListState(f"waiting{n}", row) for n in range(2)]
+        self.lists = [handle.getListState(f"chunks{n}", "low long, high long, rows binary") for n in range(2)]
         self.place = handle.getValueState("place", "now int, timer long")
-        self.state = handle.getValueState("state", self.fold.held)
+        self.state = handle.getValueState("states", "held string")
+
+    def _chunks(self, rows: pa.RecordBatch) -> Iterator[tuple[int, int, bytes]]:
+        """The least and the greatest time, and the rows, of pieces of ``rows``."""
+        step = max(1, rows.num_rows * CHUNK_BYTES // max(rows.nbytes, 1))
+        for at in range(0, rows.num_rows, step):
+            part = rows.slice(at, step)
+            times = pc.min_max(part.column("t"))
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, part.schema) as stream:
+                stream.write_batch(part)
+            yield times["min"].as_py(), times["max"].as_py(), sink.getvalue().to_pybytes()
+
+    @staticmethod
+    def _unpacked(chunk: bytes) -> pa.RecordBatch:
+        return pa.ipc.open_stream(bytes(chunk)).read_next_batch()
 
     def _timer(self, now: int, old: int | None, at: int | None) -> None:
-        """Wakes the key when the watermark is past ``at`` microseconds."""
+        """Wakes the bucket when the watermark is past ``at`` microseconds."""
         new = None if at is None else -(-at // 1000)
         if new != old:
             if old is not None:
@@ -213,48 +239,74 @@ class OrderedFold(StatefulProcessor):
         now, timer = self.place.get() if self.place.exists() else (0, None)
         first = None
         for pdf in rows:
-            waiting = list(_rows(pdf))
-            self.lists[now].appendList(waiting)
-            first = min([r[0] for r in waiting] + ([] if first is None else [first]))
+            chunks = list(self._chunks(pa.RecordBatch.from_pandas(pdf, schema=self.rows, preserve_index=False)))
+            self.lists[now].appendList(chunks)
+            first = min([low for low, _, _ in chunks] + ([] if first is None else [first]))
         if first is not None and (timer is None or -(-first // 1000) < timer):
             self._timer(now, timer, first)
         return iter(())
 
+    def _judged(self, held: dict[str, list], due: list[tuple[tuple, int]], mark: int) -> tuple[dict[int, tuple], list[tuple]]:
+        """Takes ``held``, the states by key, to ``mark``: the results of the due rows by their numbers, and those of wakes."""
+        made: dict[int, tuple] = {}
+        alone: list[tuple] = []
+
+        def put(k: str, own: tuple | None, woken: list[tuple[int, tuple]]) -> None:
+            alone.extend((k, t, None, *out, []) for t, out in woken)
+            if own is None:
+                held.pop(k, None)
+            else:
+                held[k] = own
+
+        for (k, t, _, *row), n in due:
+            own, woken = self.fold.until(held.get(k), t)
+            own, out = self.fold.step(own, t, tuple(row))
+            put(k, own, woken)
+            if out is not None:
+                made[n] = out
+        for k in list(held):
+            put(k, *self.fold.until(held[k], mark))
+        return made, alone
+
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
         mark = timerValues.getCurrentWatermarkInMs() * 1000
         now, timer = self.place.get()
         if timer != expiredTimerInfo.getExpiryTimeInMs():
             return
         source, target = self.lists[now], self.lists[1 - now]
-        waits = source.exists()
-        due = sorted((r[:-1], n) for n, r in enumerate(source.get()) if r[0] <= mark) if waits else []
-        held = tuple(self.state.get()) if self.state.exists() else None
-        made: dict[int, tuple] = {}
-        alone: list[tuple] = []
-        for row, n in due:
-            held, woken = self.fold.until(held, row[0])
-            alone += [(key[0], t, None, *out, []) for t, out in woken]
-            held, out = self.fold.step(held, row[0], row[2:])
-            if out is not None:
-                made[n] = out
-        held, woken = self.fold.until(held, mark)
-        alone += [(key[0], t, None, *out, []) for t, out in woken]
-        if held is None:
-            self.state.clear()
+        due, waiting, n = [], [], 0
+        for low, _, chunk in source.get() if source.exists() else ():
+            if low > mark:
+                waiting.append(low)
+                continue
+            rows = self._unpacked(chunk)
+            due += [(r, n + i) for i, r in enumerate(zip(*(rows.column(c).to_pylist() for c in self.own), strict=True)) if r[1] <= mark]
+            n += rows.num_rows
+        due.sort()
+        held = json.loads(self.state.get()[0]) if self.state.exists() else {}
+        made, alone = self._judged(held, due, mark)
+        if held:
+            self.state.update((json.dumps(held),))
         else:
-            self.state.update(held)
-        first = None if held is None else self.fold.due(held)
-        if alone:
-            yield _frame(alone, self.schema)
+            self.state.clear()
+        for at in range(0, len(alone), MOVED_ROWS):
+            yield _frame(alone[at : at + MOVED_ROWS], self.schema)
         if due:
-            told, left = [], []
-            for n, r in enumerate(source.get()):
-                if n in made:
-                    told.append((key[0], r[0], r[1], *made[n], list(r[-1])))
-                elif r[0] > mark:
-                    left.append(tuple(r))
-                    first = r[0] if first is None else min(first, r[0])
-                if len(left) >= MOVED_ROWS:
+            told, left, n = [], [], 0
+            for low, high, chunk in source.get():
+                if low > mark:
+                    left.append((low, high, bytes(chunk)))
+                else:
+                    rows = self._unpacked(chunk)
+                    wanted = [i for i in range(rows.num_rows) if n + i in made]
+                    if wanted:
+                        part = rows.take(pa.array(wanted, pa.int64())).to_pydict()
+                        told += [(k, t, tie, *made[n + i], more) for i, k, t, tie, more in zip(wanted, part["k"], part["t"], part["tie"], part["carried"], strict=True)]
+                    if high > mark:
+                        left += (rest := list(self._chunks(rows.filter(pc.greater(rows.column("t"), mark)))))
+                        waiting += [r[0] for r in rest]
+                    n += rows.num_rows
+                if len(left) >= MOVED_CHUNKS:
                     target.appendList(left)
                     left = []
                 if len(told) >= MOVED_ROWS:
@@ -266,8 +318,7 @@ class OrderedFold(StatefulProcessor):
                 yield _frame(told, self.schema)
             source.clear()
             now = 1 - now
-        elif waits:
-            first = min([r[0] for r in source.get()] + ([] if first is None else [first]))
+        first = min(waiting + [at for own in held.values() if (at := self.fold.due(own)) is not None], default=None)
         if first is None:
             self.place.clear()
         else:
@@ -277,17 +328,19 @@ class OrderedFold(StatefulProcessor):
         pass
 
 
-def fold_stream(df: DataFrame, fold: Fold, key: str, ts: str = "ts", tie: str = "id", carried: list[str] | None = None) -> DataFrame:
+def fold_stream(df: DataFrame, fold: Fold, key: str, ts: str = "ts", tie: str = "id", carried: list[str] | None = None, buckets: int = BUCKETS) -> DataFrame:
     """``key, ts, tie``, the fold's results and the carried columns, of the events that have a result and of the wakes.
 
     ``df`` streams and has a watermark on ``ts``, a timestamp. Events of a key come in order of time, then of the
     tie as a string; one behind the watermark is dropped, as is one without a time. A null key is a key.
     Carried columns are of plain types; they and the tie are null for a wake. Appends, with state in RocksDB.
+    Keys lie in ``buckets`` by a hash, whose number must stay as it is while a stream is started again from its checkpoint; more keys ask for more.
     """
     carried = carried or []
     df.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     schema = _schema(fold)
-    out = _inner(df, key, ts, tie, fold, carried).groupBy("k").transformWithStateInPandas(OrderedFold(fold, schema), schema, "append", "eventTime")
+    rows = _inner(df, key, ts, tie, fold, carried).withColumn("bucket", F.pmod(F.xxhash64("k"), F.lit(buckets)).cast("int"))
+    out = rows.groupBy("bucket").transformWithStateInPandas(OrderedFold(fold, schema), schema, "append", "eventTime")
     return _outer(out, df, key, ts, tie, fold, carried)
 
 

@@ -145,3 +145,29 @@ def test_first_use_of_equal_times(spark):
         df = spark.createDataFrame(rows, "nonce string, ts timestamp, id int").repartition(n)
         assert [r.id for r in guards.first_use(df, tie="id").collect()] == [1]
         assert len({r.id for r in guards.first_use(df).collect()}) == 1
+
+
+def test_state_of_a_stream_is_that_of_buckets(spark, tmp_path):
+    """Many keys share a bucket: results, with carried texts and late rows, are those of the table, and the rows of the state do not grow with the keys."""
+    import random
+
+    from corpusloom.streaming import ordered
+
+    rng = random.Random(5)
+    rows = [(rng.choice([None, *map(str, range(300))]), START + timedelta(seconds=rng.randrange(7200)), f"e{n:04d}", f"{n}" * rng.randrange(1000)) for n in range(2000)]
+    schema = "page string, ts timestamp, event string, text string"
+    fold = ordered.RateLimit(2, 900, rejects=False)
+    late = [r for r in rows[1500:] if r[1] > START + timedelta(minutes=91)]
+    end = [("end", START + timedelta(hours=9), "z", "")]
+    (tmp_path / "in").mkdir()
+    stream = ordered.fold_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in")).withWatermark("ts", "30 minutes"), fold, "page", "ts", "event", ["text"], buckets=3)
+    held = []
+    for part in (rows[:1500], late, end):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        run = stream.writeStream.format("parquet").option("checkpointLocation", str(tmp_path / "state")).option("path", str(tmp_path / "out")).trigger(availableNow=True).start()
+        assert run.awaitTermination(120)
+        held.append(run.lastProgress["stateOperators"][0]["numRowsTotal"])
+    want = ordered.fold_table(spark.createDataFrame(rows[:1500] + late, schema), fold, "page", "ts", "event", ["text"]).collect()
+    got = spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).where("page IS NULL OR page <> 'end'").collect()
+    assert 500 < len(want) < 1950 and sorted(map(repr, got)) == sorted(map(repr, want))
+    assert 0 < held[0] < 100
