@@ -171,3 +171,18 @@ def test_state_of_a_stream_is_that_of_buckets(spark, tmp_path):
     got = spark.read.schema(stream.schema).parquet(str(tmp_path / "out")).where("page IS NULL OR page <> 'end'").collect()
     assert 500 < len(want) < 1950 and sorted(map(repr, got)) == sorted(map(repr, want))
     assert 0 < held[0] < 100
+
+
+def test_pages_of_one_bucket_are_extracted_apart(spark):
+    """Pages that share a bucket, one of them without a name, keep their own gaps over slices, on a stream as on a table."""
+    from corpusloom.streaming import ordered
+    from corpusloom.streaming.replay import replay
+
+    kinds = ("navigation", "focus", "navigation", None)
+    rows = [(None if n % 7 == 0 else n % 7, START + timedelta(seconds=17 * n % 3600), f"{n:03d}", kinds[n % 4], 90 + n % 30) for n in range(210)]
+    schema = "page long, ts timestamp, event string, kind string, length long"
+    table, fold = spark.createDataFrame(rows, schema), ordered.Extraction(300, 100)
+    closing = spark.createDataFrame([(-1, START + timedelta(hours=9), "z", "navigation", 100)], schema)
+    got = replay(table, lambda s: ordered.fold_stream(s.withWatermark("ts", "5 minutes"), fold, "page", "ts", "event", buckets=1), closing, slices=2)
+    want = ordered.fold_table(table, fold, "page", "ts", "event").collect()
+    assert len(want) > 20 and sorted(map(repr, got.collect())) == sorted(map(repr, want))
