@@ -26,6 +26,15 @@ def test_measures_of_long_texts(spark, tmp_path, size):
     assert differing(spark, tmp_path, "text_measures", "documents", rows, DOCUMENTS) == ([], [])
 
 
+#: Texts that are null, blank or begin or end with what captions pass over, and a null id.
+CAPTIONED = [None, "", " ", "\n", "- a list", "– dash", ": a", "..", "\ttab", "a\rb", "a\r\nb", "y\r", "a\u2028b", "\u2029", "z\x85", " " * 31 + "late", "x" * 29 + " y", "Figure 3: of it", "\rTable 4: of it", "\x01", "a\x02b\x02", "\u3000x\u3000"]
+CAPTIONED = [(n, t, "en", "s", 1) for k, t in enumerate(CAPTIONED) for n in (2 * k, 2 * k + 1)] + [(None, t, "en", "s", 1) for t in ("text", None)]
+
+
+def test_chunks_with_figures_of_odd_texts(spark, tmp_path):
+    assert differing(spark, tmp_path, "chunks_with_figures", "documents", CAPTIONED, DOCUMENTS) == ([], [])
+
+
 def test_regions_of_texts_with_lines(spark, tmp_path):
     rows = [(4, "token = 'a'\nkey: b", "en", "s", 18), (9, "- a\n- b\nc", "en", "s", 9), (14, "Figure 2 of a page", "en", "s", 18), (19, None, "en", "s", 0), (24, "", "en", "s", 0), (20, "x", "en", "s", 1), (23, "x", "en", "s", 1)]
     assert differing(spark, tmp_path, "region_kinds", "documents", rows, DOCUMENTS) == ([], [])
