@@ -31,8 +31,9 @@ CAPTIONED = [None, "", " ", "\n", "- a list", "– dash", ": a", "..", "\ttab",
 CAPTIONED = [(n, t, "en", "s", 1) for k, t in enumerate(CAPTIONED) for n in (2 * k, 2 * k + 1)] + [(None, t, "en", "s", 1) for t in ("text", None)]
 
 
-def test_chunks_with_figures_of_odd_texts(spark, tmp_path):
-    assert differing(spark, tmp_path, "chunks_with_figures", "documents", CAPTIONED, DOCUMENTS) == ([], [])
+@pytest.mark.parametrize("name", ["chunks_with_figures", "figure_chunks"])
+def test_figures_of_odd_texts(spark, tmp_path, name):
+    assert differing(spark, tmp_path, name, "documents", CAPTIONED, DOCUMENTS) == ([], [])
 
 
 def test_regions_of_texts_with_lines(spark, tmp_path):
