@@ -26,6 +26,11 @@ def test_measures_of_long_texts(spark, tmp_path, size):
     assert differing(spark, tmp_path, "text_measures", "documents", rows, DOCUMENTS) == ([], [])
 
 
+def test_measures_of_odd_texts(spark, tmp_path):
+    texts = [None, "", " ", "😀 marks 😀", "x" * 39 + "😀y", "\U0010ffff" * 40, "\uffff", "é" * 51, "x" * ((1 << 20) - 1), "x" * (1 << 20), "x" * (3 << 20)]
+    assert differing(spark, tmp_path, "text_measures", "documents", [(n, t, "en", "s", 1) for n, t in enumerate(texts)], DOCUMENTS) == ([], [])
+
+
 #: Texts that are null, blank or begin or end with what captions pass over, and a null id.
 CAPTIONED = [None, "", " ", "\n", "- a list", "– dash", ": a", "..", "\ttab", "a\rb", "a\r\nb", "y\r", "a\u2028b", "\u2029", "z\x85", " " * 31 + "late", "x" * 29 + " y", "Figure 3: of it", "\rTable 4: of it", "\x01", "a\x02b\x02", "\u3000x\u3000"]
 CAPTIONED = [(n, t, "en", "s", 1) for k, t in enumerate(CAPTIONED) for n in (2 * k, 2 * k + 1)] + [(None, t, "en", "s", 1) for t in ("text", None)]
