@@ -46,3 +46,17 @@ def test_condense_and_sentences(spark):
     assert one(spark, "short", lambda t: tx.condense(t, 60)) == "short"
     assert one(spark, "word " * 30, lambda t: tx.condense(t, 22)).endswith("...")
     assert one(spark, "Too short. This one is long enough to be kept here! x", lambda t: tx.key_sentences(t, 2)) == ["This one is long enough to be kept here"]
+
+
+def test_gated_patterns_match_alike(spark):
+    """The look ahead changes no count, also where letters have odd cases."""
+    import pytest
+    from corpusloom.functions import classify
+
+    with pytest.raises(ValueError):
+        classify.gated("", r"(\w+|ab)")
+    texts = ["ſection ARTICLE articleſ", "SAſ Inc. İnc. FY 2020", "P/E Ratio, p/e ratio", "ARRÊTÉS xarrêté arrêté", "Résumé Exécutif BÉNÉFICE NET", "ſtatutory articles L. 5", ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    lists = [(classify.ANY_CASE, p) for p in (classify.BUSINESS_SECTIONS, classify.BUSINESS_METRICS, classify.COMPANIES, classify.FISCAL, classify.LEGAL_CLAUSES)] + [("(?iU)", p) for p in classify.STRONG_LEGAL]
+    for flags, p in lists:
+        assert df.where(F.regexp_count("t", F.lit(flags + p)) != F.regexp_count("t", F.lit(classify.gated(flags, p)))).count() == 0
